@@ -1,0 +1,11 @@
+"""Registered queries and their SQL twins."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
