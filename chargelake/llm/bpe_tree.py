@@ -9,6 +9,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bytebpe import encoding_of
 from .util import with_columns_last
@@ -128,7 +129,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", leaf: int =
             ids = pa.array([tree.ids(s or "").astype(np.int32) for s in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "token_ids"])
 
-    return docs.mapInArrow(encoded, docs.schema.add("token_ids", "array<int>"))
+    return docs.mapInArrow(encoded, docs.schema.add("token_ids", T.ArrayType(T.IntegerType())))
 
 
 def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf: int = 4096) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .bytebpe import LibraryClasses, encoding_of
 
@@ -163,7 +164,7 @@ def pack_documents(
     for field in fields.split(", "):
         schema = schema.add(*field.split(" "))
     if with_ids:
-        schema = schema.add("ids", "array<long>")
+        schema = schema.add("ids", T.ArrayType(T.LongType()))
     id_type, names = None, schema.names
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,19 @@ def doc_crc_mod(doc_id: str | F.Column, mod: int) -> F.Column:
     """crc32 of the id's decimal text modulo ``mod``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, doc_id: str = "doc_id") -> DataFrame:
+    """Documents of at most ``limit`` labelled rows, with the label as ``target_``.
+
+    Of all labels with an id and a value of 0 or 1 those with the smallest hashes of their id are taken, so the choice
+    doesn't depend on the order of rows.  The bound makes the broadcast of the chosen labels safe.
+    """
+    chosen = (
+        labels.filter(F.col(doc_id).isNotNull() & F.col(target).isin(0, 1))
+        .groupBy(doc_id)
+        .agg(F.max(target).cast("double").alias("target_"))
+        .orderBy(F.xxhash64(doc_id), doc_id)
+        .limit(limit)
+    )
+    return docs.join(F.broadcast(chosen), doc_id)
