@@ -129,7 +129,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", leaf: int =
             ids = pa.array([tree.ids(s or "").astype(np.int32) for s in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "token_ids"])
 
-    return docs.mapInArrow(encoded, docs.schema.add("token_ids", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf: int = 4096) -> DataFrame:
@@ -143,7 +143,7 @@ def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf:
             out = pa.array([decode_tree(x or [], table, leaf) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, "decoded"])
 
-    return tokens.mapInArrow(decoded, tokens.schema.add("decoded", "binary"))
+    return tokens.mapInArrow(decoded, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digest_bpe(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", leaf: int = 8192) -> DataFrame:
