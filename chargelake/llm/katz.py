@@ -147,7 +147,7 @@ def bucket_cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Bucket number (the top bits) and range of the sorted keys in it."""
     buckets = (keys >> np.uint64(64 - bits)).astype(np.int64)
     numbers, first = np.unique(buckets, return_index=True)
-    return zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)
+    return zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)][: len(first)], strict=True)
 
 
 def count_requests(batches: DataFrame, what: str, bits: int) -> DataFrame:
@@ -295,7 +295,7 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, batch_tokens: i
         """Backoff weights of the histories in a bucket, for the batches that ask."""
         group = group.sort_values(["batch_id", "kind"])
         give, ask = group[group["kind"] == "give"], group[group["kind"] == "ask"]
-        none = pd.DataFrame({"bucket": [], "batch_id": [], "reply": [], "totals": []})
+        none = pd.DataFrame({"bucket": [], "batch_id": [], "reply": [], "totals": []}, dtype=object)
         if not len(ask):
             return none
         keys, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
