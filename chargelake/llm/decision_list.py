@@ -71,6 +71,10 @@ def grow(values: dict[str, np.ndarray], bad: np.ndarray, thresholds: dict[str, n
                     best, found = gain[k], Test(feature, above, float(cuts[k]))
         if found is None:
             break
+        v = values[found.feature][covered]  # the cut goes to the middle of the gap it lies in
+        low, high = v[v <= found.threshold], v[v > found.threshold]
+        if len(low) and len(high):
+            found = Test(found.feature, found.above, float((low.max() + high.min()) / 2))
         rule += (found,)
         covered &= found.of(values)
     return rule

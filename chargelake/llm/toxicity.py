@@ -18,8 +18,19 @@ from .util import doc_crc_mod, labelled_sample, with_columns_last
 WORD = re.compile(r"\w+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+#: Words that start alike share a term as well: this many characters.
+STEM = 5
+
+
+def terms_of(text: str | None) -> Counter:
+    """Words and, marked with ^, the starts of longer words, with their counts."""
+    words = Counter(WORD.findall((text or "").lower()))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        if len(w) > STEM:
+            stems["^" + w[:STEM]] += n
+    words.update(stems)
+    return words
 
 
 class BlockMaxIndex:
@@ -38,7 +49,7 @@ class BlockMaxIndex:
         self.top = np.zeros((n_terms, max(self.n_blocks, 1)))
         np.maximum.at(self.top, (terms, self.examples // block), self.weights)
 
-    def nearest(self, query: dict[int, float], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest cosine above 0 (ties: lower number first), and the cosines.
 
         Blocks are scored in the order of their bounds; once k examples are known and no block left can
@@ -60,8 +71,6 @@ class BlockMaxIndex:
                 lo, hi = self.bounds[t * self.n_blocks + b], self.bounds[t * self.n_blocks + b + 1]
                 if hi > lo:
                     score[self.examples[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            if b == leave_out // self.block and leave_out >= 0:
-                score[leave_out % self.block] = 0
             hit = np.flatnonzero(score > 0)
             found_e.append(hit + b * self.block)
             found_s.append(score[hit])
@@ -79,12 +88,12 @@ class BlockMaxIndex:
 @dataclass
 class ToxicityModel:
     vocabulary: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    example_ids: list[int]
-    toxic: np.ndarray
+    idf: np.ndarray  # one more than the vocabulary: the last is for all other words, as one term
+    index: BlockMaxIndex  # of the examples' distinct vectors
+    example_ids: list[int]  # the first example of each
+    size: np.ndarray  # how many examples have it
+    toxic: np.ndarray  # the share of toxic among them
     prior: float
-    without: float  # score of a text with no term of the vocabulary
     slope: float
     shift: float
     k: int
@@ -95,26 +104,43 @@ class ToxicityModel:
         return {t: w / norm for t, w in v.items()} if norm else {}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        known = self.vocabulary
-        return Counter(known[w] for w in words_of(text) if w in known)
-
-    def vote(self, query: dict[int, float], leave_out: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Votes weighted by cosine, with one vote of the prior; the examples as evidence."""
-        examples, cosines = self.index.nearest(query, self.k, leave_out)
-        return (cosines @ self.toxic[examples] + self.prior) / (cosines.sum() + 1), examples, cosines
+        """Counts of the vocabulary's terms and, under the number after the last, of all other words together."""
+        known, found, others = self.vocabulary, {}, 0
+        for term, n in terms_of(text).items():
+            if term in known:
+                found[known[term]] = n
+            elif term[0] != "^":
+                others += n
+        if others:
+            found[len(known)] = others
+        return found
+
+    def vote(self, query: dict[int, float], leave_out: int = -1, left_toxic: float = 0.0) -> tuple[float, np.ndarray]:
+        """The k nearest examples vote with their cosine, besides one vote of the prior; the vectors as evidence.
+
+        leave_out: a vector from which one example, of the kind left_toxic, is taken away.
+        """
+        found, cosines = self.index.nearest(query, self.k + 1)
+        size, share = self.size[found].astype(float), self.toxic[found].copy()
+        mine = found == leave_out
+        share[mine] = np.where(size[mine] > 1, (share[mine] * size[mine] - left_toxic) / np.maximum(size[mine] - 1, 1), 0)
+        size[mine] -= 1
+        before = np.cumsum(size) - size
+        weight = cosines * np.clip(self.k - before, 0, size)
+        return float((weight @ share + self.prior) / (weight.sum() + 1)), found
 
     def score(self, vote: float) -> float:
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
 
 
 def toxic_terms(sample: DataFrame, most: int, lift: float, least_chi2: float) -> list[str]:
-    """Words whose documents are toxic ``lift`` times as often as all, with a chi-square over ``least_chi2``."""
+    """Terms whose documents are toxic ``lift`` times as often as all, with a chi-square over ``least_chi2``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for s, y in zip(batch.column("text").to_pylist(), batch.column("target_").to_pylist(), strict=True):
-                seen[int(y)].update(set(words_of(s)) | {""})  # "" counts the documents
+                seen[int(y)].update(terms_of(s).keys() | {""})  # "" counts the documents
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "bad", "good"]
@@ -144,7 +170,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         seen: Counter = Counter()
         for batch in batches:
             for s in batch.column("text").to_pylist():
-                seen.update(vocabulary.keys() & set(words_of(s)))
+                seen.update(vocabulary.keys() & terms_of(s).keys())
                 seen[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
@@ -159,19 +185,19 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 1024, k: int = 32, lift: float = 3.0, least_chi2: float = 24.0
+    docs: DataFrame, labels: DataFrame, sample: int = 8_000, terms: int = 1024, k: int = 16, lift: float = 3.0, least_chi2: float = 24.0, other_idf: float = 0.5
 ) -> ToxicityModel:
     """Examples from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 isn't 0.
 
-    The vocabulary is at most ``terms`` words that mark toxic examples; document frequencies are those of all
-    ``docs``.  Only texts and the label ``toxic`` are read.  The votes of examples left out one at a time give the
+    The vocabulary is at most ``terms`` words and starts of words that mark toxic examples; all other words count as one
+    term of weight ``other_idf``.  Document frequencies are those of all ``docs``.  Only texts and the label ``toxic`` are read.  The votes of examples left out one at a time give the
     calibration.  Without both kinds of labels every score is the prior (0.5 without labels).
     """
     train = labels.filter(doc_crc_mod("doc_id", 5) != 0)
     chosen = labelled_sample(docs.select("doc_id", "text"), train, "toxic", sample)
     vocabulary = {t: i for i, t in enumerate(toxic_terms(chosen, terms, lift, least_chi2))}
     df, n = document_frequencies(docs, vocabulary) if vocabulary else (np.zeros(0), 0)
-    model = ToxicityModel(vocabulary, np.log((1 + n) / (1 + df)) + 1, BlockMaxIndex([], 0), [], np.zeros(0), 0.5, 0.5, 1.0, 0.0, k)
+    model = ToxicityModel(vocabulary, np.append(np.log((1 + n) / (1 + df)) + 1, other_idf), BlockMaxIndex([], 0), [], np.zeros(0), np.zeros(0), 0.5, 1.0, 0.0, k)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,20 +216,21 @@ def fit_toxicity(
         return model
     y = np.array([r["target_"] for r in rows])
     model.prior = float((y.sum() + 0.5) / (len(y) + 1))
-    empty = np.array([not r["terms"] for r in rows])
-    model.without = float((y[empty].sum() + 0.5) / (empty.sum() + 1)) if empty.any() else model.prior
-    examples = [r for r in rows if r["terms"]]
-    queries = [model.vector(dict(zip(r["terms"], r["counts"], strict=True))) for r in examples]
-    model.index, model.example_ids = BlockMaxIndex(queries, len(vocabulary)), [r["doc_id"] for r in examples]
-    model.toxic = y[~empty]
-    if 0 < model.toxic.sum() < len(model.toxic):
-        votes = np.array([model.vote(q, i)[0] for i, q in enumerate(queries)])
+    queries = [model.vector(dict(zip(r["terms"], r["counts"], strict=True))) for r in rows]
+    number: dict[tuple, int] = {}
+    of = np.array([number.setdefault(tuple((t, round(w, 9)) for t, w in q.items()), len(number)) for q in queries])
+    _, first = np.unique(of, return_index=True)
+    model.index = BlockMaxIndex([queries[i] for i in first], len(vocabulary) + 1)
+    model.example_ids, model.size = [rows[i]["doc_id"] for i in first], np.bincount(of)
+    model.toxic = np.bincount(of, weights=y) / model.size
+    if 0 < y.sum() < len(y):
+        votes = np.array([model.vote(q, of[i], y[i])[0] for i, q in enumerate(queries)])
         x = np.column_stack([np.log(votes / (1 - votes)), np.ones(len(votes))])
-        w, target = np.array([1.0, 0.0]), model.toxic
+        w = np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-            w += np.linalg.solve(hessian, x.T @ (target - p) - (w - [1.0, 0.0]))
+            w += np.linalg.solve(hessian, x.T @ (y - p) - (w - [1.0, 0.0]))
         model.slope, model.shift = max(float(w[0]), 0.05), float(w[1])
     return model
 
@@ -211,8 +238,8 @@ def fit_toxicity(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score``, ``predicted`` (score >= 0.5) and ``evidence``: the nearest examples' ids.
 
-    The index is broadcast: it holds at most the sampled examples and vocabulary.  Null or empty texts, and texts
-    without a word of the vocabulary, get the share of toxic among such examples.  Repeated rows and ties: each row
+    The index is broadcast: it holds at most the sampled examples and vocabulary.  Null or empty texts,
+    without neighbours, get the prior.  Repeated rows and ties: each row
     by itself, equal cosines in the order of the examples.  Empty table: no rows.  Clashing columns are renamed.
     """
     docs = with_columns_last(docs, ["score", "predicted", "evidence"])
@@ -221,18 +248,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     schema = docs.select(*kept).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType()))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, plain = shared.value, None
         for batch in batches:
             scores, evidence = [], []
             for s in batch.column(text).to_pylist():
                 counts = m.counts(s)
-                if counts:
-                    vote, examples, _ = m.vote(m.vector(counts))
-                    scores.append(m.score(vote))
-                    evidence.append([m.example_ids[e] for e in examples[:5]])
+                if len(counts) == 1 and len(m.vocabulary) in counts:  # all such texts have the same unit vector
+                    counts = {len(m.vocabulary): 1}
+                    plain = plain or m.vote(m.vector(counts))
+                    vote, found = plain
                 else:
-                    scores.append(m.without)
-                    evidence.append([])
+                    vote, found = m.vote(m.vector(counts))
+                scores.append(m.score(vote))
+                evidence.append([m.example_ids[e] for e in found[:5]])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], [*kept, "score", "evidence"]
             )
