@@ -1,0 +1 @@
+"""Jobs put together from the operators."""

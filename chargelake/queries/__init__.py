@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, charging, forecasts, models, sources  # noqa: F401
+from . import aggregates, charging, forecasts, models, scores, sources  # noqa: F401
 from .registry import QUERIES, SQL
 
 
