@@ -88,12 +88,12 @@ WITH t AS (
     row_number() OVER (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS i
   FROM t JOIN who ON conv_id IS NOT DISTINCT FROM conv_
 ), q AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM p
 )
 SELECT conv_id, segment, speaker, count(*) AS n_messages, count(*) FILTER (WHERE target) AS n_targets,
   string_agg(head || body, '' ORDER BY i) AS rendered,
   string_agg(CASE WHEN target THEN '1' ELSE '0' END, '' ORDER BY i) AS target_mask,
-  coalesce(string_agg(CASE WHEN target THEN CAST(at + length(head) AS BIGINT) || '-' || CAST(at + length(head) + length(body) AS BIGINT) END, ',' ORDER BY i), '') AS target_spans
+  coalesce(string_agg(CASE WHEN target THEN CAST(pos + length(head) AS BIGINT) || '-' || CAST(pos + length(head) + length(body) AS BIGINT) END, ',' ORDER BY i), '') AS target_spans
 FROM q GROUP BY conv_id, segment, speaker
 """

@@ -98,7 +98,7 @@ def hamming_neighbors(vectors: DataFrame, id: str = "vec_id", vector: str = "emb
 
 HAMMING_SQL = """
 WITH codes AS (
-  SELECT DISTINCT vec_id AS id, CAST(list_aggregate(list_transform(embedding, (x, i) -> CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END), 'sum') AS HUGEINT) AS code
+  SELECT DISTINCT vec_id AS id, CAST(list_aggregate(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END), 'sum') AS HUGEINT) AS code
   FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
 ), pairs AS (
   SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code)) AS distance
