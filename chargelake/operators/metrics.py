@@ -22,9 +22,9 @@ def forecast_metrics(df: DataFrame, y: str, p: str, by: tuple[str, ...] = ()) ->
 def sides(real: DataFrame, sim: DataFrame, features: dict[str, str], by: tuple[str, ...]) -> DataFrame:
     """Long (by, feature, value, side) of two tables; features: name in real to name in sim; absent ones are skipped."""
     have = {r: s for r, s in features.items() if r in real.columns and s in sim.columns}
-    a = real.select(*by, *(F.col(r).cast("double").alias(r) for r in have)).unpivot(list(by), list(have), "feature", "x").withColumn("side", F.lit(0))
-    b = sim.select(*by, *(F.col(s).cast("double").alias(r) for r, s in have.items())).unpivot(list(by), list(have), "feature", "x").withColumn("side", F.lit(1))
-    return a.unionByName(b).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    a = real.select(*by, *(F.col(r).cast("double").alias(r) for r in have)).unpivot(list(by), list(have), "feature", "value_").withColumn("side", F.lit(0))
+    b = sim.select(*by, *(F.col(s).cast("double").alias(r) for r, s in have.items())).unpivot(list(by), list(have), "feature", "value_").withColumn("side", F.lit(1))
+    return a.unionByName(b).filter(F.col("value_").isNotNull() & ~F.isnan("value_"))
 
 
 def kolmogorov(d: Column, n: Column, m: Column) -> Column:
@@ -39,22 +39,22 @@ def ks_wasserstein(long: DataFrame, by: list[str]) -> DataFrame:
 
     Values are first counted, so windows run over distinct values; both distances come from one running sum.
     """
-    values = long.groupBy(*by, "x").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    values = long.groupBy(*by, "value_").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     sizes = values.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m")).filter("n > 0 and m > 0")
-    w = Window.partitionBy(*by).orderBy("x")
+    w = Window.partitionBy(*by).orderBy("value_")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gap = F.abs(F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m"))
-    steps = values.join(sizes, by).withColumns({"gap": gap, "next": F.lead("x").over(w)})
-    out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("x"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
+    steps = values.join(sizes, by).withColumns({"gap": gap, "next": F.lead("value_").over(w)})
+    out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("value_"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
 
 
 def kl_divergence(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1e-9) -> DataFrame:
     """Of the real (side 0) against the simulated histogram on shared bins; densities get ``eps`` and are normalised."""
-    ends = long.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    ends = long.groupBy(*by).agg(F.min("value_").alias("lo"), F.max("value_").alias("hi"), F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
     ends = ends.filter("n > 0 and m > 0")
     width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value_") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     counts = long.join(ends, by).groupBy(*by, place.cast("int").alias("bin")).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*by, "bin"], "left").na.fill(0, ["a", "b"])
     w = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
