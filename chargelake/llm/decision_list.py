@@ -95,14 +95,16 @@ def prune(rule: Rule, values: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return best
 
 
-def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most_rules: int = 12, most_tests: int = 3, cuts: int = 64) -> list[Rule]:
+def learn_rules(
+    values: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most_rules: int = 12, most_tests: int = 3, cuts: int = 64, most_failures: int = 4
+) -> list[Rule]:
     """Sequential covering: each rule rejects documents, and the next is learned on what is left.
 
-    Two thirds of the rows grow a rule, the others prune it and must agree to ``precision``; learning ends when
-    they don't.
+    Two thirds of the rows grow a rule, the others prune it and must agree to ``precision``.  Where they don't, the bad
+    rows that the rule was grown on are set aside, and another rule is tried, ``most_failures`` times.
     """
     third = np.arange(len(bad)) % 3 == 2
-    left, rules = np.ones(len(bad), bool), []
+    left, rules, failures = np.ones(len(bad), bool), [], 0
     part = lambda m: {f: v[m] for f, v in values.items()}
     thresholds = {f: np.unique(np.quantile(v, np.linspace(0.0, 1.0, cuts + 1))) for f, v in values.items()} if len(bad) else {}
     while len(rules) < most_rules and bad[left & ~third].any() and bad[left & third].any():
@@ -113,7 +115,11 @@ def learn_rules(values: dict[str, np.ndarray], bad: np.ndarray, precision: float
         m = matches(rule, part(left & third), int((left & third).sum()))
         hits = bad[left & third][m]
         if not len(hits) or hits.mean() < precision:
-            break
+            failures += 1
+            if failures > most_failures:
+                break
+            left &= ~(matches(rule, values, len(bad)) & bad & ~third)
+            continue
         rules.append(rule)
         left &= ~matches(rule, values, len(bad))
     return rules
