@@ -99,10 +99,10 @@ def test_hot_groups_and_edge_rows(spark, docs_of):
     rows += [(i, shared + " " + " ".join(rng.choice(words) for _ in range(40))) for i in range(140, 200)]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "one"), (204, "ONE"), (205, "two words"), (205, "two words"), (None, "two words"), (None, None), (None, "nobody has an id"), (206, " ".join(base * 50))]
     docs = docs_of(rows)
-    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_duplicates(docs, small_bucket=4).collect())
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_duplicates(docs, small_bucket=4, block=20).collect())
     assert got == want_of(rows)
     extra = docs.selectExpr("*", "1 as node", "'a' class_id", "2 as label", "3 as key")
-    assert near_duplicates(extra, small_bucket=4, cheap_rounds=0).count() == len(rows)
+    assert near_duplicates(extra, small_bucket=4, cheap_rounds=0, block=16).count() == len(rows)
     kept = drop_near_duplicates(extra).collect()
     assert set(kept[0].asDict()) == set(extra.columns)
     of = brute_classes([t for _, t in rows])
