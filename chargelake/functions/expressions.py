@@ -83,7 +83,7 @@ def tariff(ts: ColumnOrName, kind: str = "day_night") -> Column:
     """Price of a time of day, EUR/kWh: night and day rates with two peaks, a spot-like curve, or flat."""
     h = hour_of_day(ts)
     if kind == "flat":
-        return F.lit(0.15) + h * 0
+        return F.lit(0.15)
     if kind == "spot_like":
         return F.least(F.greatest(F.lit(0.15) + 0.08 * F.sin(2 * F.pi() * h / 24 - F.pi() / 3), F.lit(0.02)), F.lit(0.40))
     day = F.when((h >= 7) & (h < 22), 0.20).otherwise(0.10)

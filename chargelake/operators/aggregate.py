@@ -138,7 +138,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: tuple[str, ...] = (), bo
 def heatmap(df: DataFrame, value: str | None = None) -> DataFrame:
     """Weekday x hour: sessions, or the sum of a value; holes are 0."""
     cell = F.count("*") if value is None else F.sum(value)
-    grid = df.groupBy("day_of_week").pivot("h_", list(range(24))) if "h_" in df.columns else df.withColumn("h_", F.floor("hour").cast("int")).groupBy("day_of_week").pivot("h_", list(range(24)))
+    grid = df.withColumn("h_", F.floor("hour").cast("int")).groupBy("day_of_week").pivot("h_", list(range(24)))
     return grid.agg(cell).na.fill(0).select("day_of_week", *(F.col(str(h)).alias(f"h{h:02d}") for h in range(24)))
 
 

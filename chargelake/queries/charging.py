@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import hour_of_day, renewable_share, tariff
 from ..operators import loadcurve as L
 from ..operators import smart as C
 from ..operators.schema import shifted_week
-from .adapters import EV, RENEWABLE, SLOTS, TARIFF, event_sessions, price_signal, renewable_signal, with_
+from .adapters import EV, RENEWABLE, SLOTS, TARIFF, event_sessions, price_signal, renewable_signal, slots_of, with_
 from .aggregates import rounded
 from .registry import query
 
@@ -62,8 +63,6 @@ def shift_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT day_of_week, season, CAST(s % 24 AS INT) AS h, round(sum(p * (least(hour + d, s + 1) - greatest(hour, s))), 3) AS kwh FROM y GROUP BY ALL""")
 def smart_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy by hour of the day when charging begins at the scheduled start."""
-    from ..functions.expressions import hour_of_day
-
     s = event_sessions(spark, sf_dir)
     r = C.smart_charge(s, price_signal(s)).filter(F.col("scheduled_start").isNotNull()).withColumn("hour", hour_of_day("scheduled_start"))
     active = F.least(F.greatest(F.col("energy") / F.lit(7.4), F.lit(0.0)), F.lit(48.0))
@@ -88,3 +87,13 @@ def charging_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(EV) + "SELECT day_of_week, season, min(date) AS representative FROM ev GROUP BY ALL")
 def representative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_sessions(spark, sf_dir).groupBy("day_of_week", "season").agg(F.min("date").alias("representative"))
+
+
+@query(with_(EV, SLOTS) + f"""SELECT ts, round({TARIFF}, 4) AS day_night, round(least(greatest(0.15::DOUBLE + 0.08::DOUBLE * sin(2 * pi() * h / 24 - pi() / 3), 0.02::DOUBLE), 0.40::DOUBLE), 6) AS spot_like,
+  0.15::DOUBLE AS flat, round({RENEWABLE}, 6) AS renewable FROM slots""")
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tariffs and renewable share of every half hour of the sessions' days."""
+    t = slots_of(event_sessions(spark, sf_dir)).select(
+        "ts", tariff("ts").alias("day_night"), tariff("ts", "spot_like").alias("spot_like"), F.lit(0.15).alias("flat"), renewable_share("ts").alias("renewable")
+    )
+    return rounded(rounded(t, "day_night"), "spot_like", "renewable", places=6)
