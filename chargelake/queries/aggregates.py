@@ -156,10 +156,10 @@ def national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("date", "scenario").agg(F.sum("energy").alias("v"))
 
 
-@query(with_(NAT) + "SELECT last_day(date) AS month_end, scenario, round(sum(v), 4) AS total, round(avg(v), 4) AS mean FROM nat GROUP BY ALL")
+@query(with_(NAT) + "SELECT last_day(date) AS month_end, scenario, round(sum(v), 4) AS total, round(avg(v), 8) AS mean FROM nat GROUP BY ALL")
 def monthly_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = national(spark, sf_dir).groupBy(A.period("ME").alias("month_end"), "scenario").agg(F.sum("v").alias("total"), F.avg("v").alias("mean"))
-    return rounded(out, "total", "mean")
+    return rounded(rounded(out, "total"), "mean", places=8)
 
 
 @query(with_(NAT) + "SELECT CAST(date_trunc('quarter', date) AS DATE) AS quarter, scenario, round(sum(v), 4) AS total FROM nat GROUP BY ALL")
