@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import scratch_dir, table_written
+from .util import scratch_dir, small_batches, table_written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,18 +136,18 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def shingle_table(docs: DataFrame, words: int) -> DataFrame:
-    """``node, shingles, weights`` of documents with ``node``."""
+    """``node, shingles, weights`` (single precision) of documents with ``node``."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             found = [shingler.of(s) for s in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))],
+                [batch.column("node"), pa.array([s.view(np.int64) for s, _ in found], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in found], pa.list_(pa.float32()))],
                 ["node", "shingles", "weights"],
             )
 
-    return docs.select("node", "text").mapInArrow(shingled, "node binary, shingles array<long>, weights array<double>")
+    return docs.select("node", "text").mapInArrow(shingled, "node binary, shingles array<long>, weights array<float>")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
             keep = []
             columns = (batch.column(c) for c in ("sa", "wa", "sb", "wb"))
             for sa, wa, sb, wb in zip(*columns, strict=True):
-                sets = (sa.values.to_numpy().view(np.uint64), wa.values.to_numpy(), sb.values.to_numpy().view(np.uint64), wb.values.to_numpy())
+                sets = [x.values.to_numpy().view(np.uint64) if n % 2 == 0 else x.values.to_numpy().astype(float) for n, x in enumerate((sa, wa, sb, wb))]
                 keep.append(max(similarity(*sets)) >= threshold - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -215,9 +215,16 @@ def near_duplicates(
     class_id is null only if all ids of the class are.  Repeated rows: one row each, the same class.
     Texts shorter than a window: one shingle.  Empty table: no rows.  Other columns are dropped.
     """
+    with small_batches(docs.sparkSession):
+        return classes_of(docs.select("doc_id", "text"), words, threshold, bands, rows, small_bucket, cheap_rounds)
+
+
+def classes_of(
+    docs: DataFrame, words: int, threshold: float, bands: int, rows: int, small_bucket: int, cheap_rounds: int
+) -> DataFrame:
+    """The steps of ``near_duplicates``; all but the last joins are run here."""
     spark = docs.sparkSession
     save = lambda df: table_written(df, scratch_dir(spark))
-    docs = docs.select("doc_id", "text")
     signed = save(signatures(docs, bands, rows, words))
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = save(nodes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,18 @@ def arrow_map(
     return df.mapInArrow(batch_rows, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside: bounds a Python worker's memory where rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_columns_last(df: DataFrame, added: list[str], prefix: str = "in_") -> DataFrame:
     """Rename columns of ``df`` that clash with those an operator adds: ``n`` becomes ``in_n``."""
     taken, out = set(df.columns), df
