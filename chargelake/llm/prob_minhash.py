@@ -166,6 +166,79 @@ def verified(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFra
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(checked, "a binary, b binary")
 
 
+def links_between(a: list[dict], b: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+    """A link for every two classes (``label``) of two blocks of nodes that have one between them."""
+    side = lambda rows: (
+        np.concatenate([np.asarray(r["shingles"], dtype=np.int64) for r in rows]), np.concatenate([np.asarray(r["weights"], dtype=float) for r in rows]),
+        np.repeat(np.arange(len(rows)), [len(r["shingles"]) for r in rows]),
+    )
+    (xs, xw, xi), (ys, yw, yi) = side(a), side(b)
+    common = np.intersect1d(xs, ys)
+    number = {r["label"]: n for n, r in enumerate({r["label"]: r for r in [*a, *b]}.values())}
+    la, lb = np.array([number[r["label"]] for r in a]), np.array([number[r["label"]] for r in b])
+    overlap, share_a, share_b = (np.zeros((len(a), len(b)), np.float32) for _ in range(3))
+    for lo in range(0, len(common), 8192):  # a part of the shingles at a time
+        part = common[lo : lo + 8192]
+        grids = []
+        for s, w, i, n in ((xs, xw, xi, len(a)), (ys, yw, yi, len(b))):
+            at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+            hit = part[at] == s
+            has, weighed = np.zeros((n, len(part)), np.float32), np.zeros((n, len(part)), np.float32)
+            has[i[hit], at[hit]], weighed[i[hit], at[hit]] = 1, w[hit]
+            grids.append((has, weighed))
+        (ha, wa), (hb, wb) = grids
+        overlap += ha @ hb.T
+        share_a += wa @ hb.T
+        share_b += ha @ wb.T
+    size_a, size_b = (np.bincount(i, minlength=n).astype(np.float32) for i, n in ((xi, len(a)), (yi, len(b))))
+    total_a, total_b = (np.bincount(i, weights=w, minlength=n).astype(np.float32) for i, w, n in ((xi, xw, len(a)), (yi, yw, len(b))))
+    jaccard = overlap / (size_a[:, None] + size_b[None, :] - overlap)
+    # probability Jaccard is at most the share of either side's weight in common; with equal weights it is the Jaccard
+    flat_a, flat_b = total_a <= size_a + 1e-4, total_b <= size_b + 1e-4
+    bound = np.minimum(share_a / total_a[:, None], share_b / total_b[None, :])
+    maybe = (jaccard >= threshold - 1e-6) | (bound >= threshold - 1e-6) & ~(flat_a[:, None] & flat_b[None, :])
+    maybe &= la[:, None] != lb[None, :]
+    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    for i, j in np.argwhere(maybe):
+        pair = (min(la[i], lb[j]), max(la[i], lb[j]))
+        if pair not in found:
+            sets = [np.asarray(a[i]["shingles"]).view(np.uint64), np.asarray(a[i]["weights"], float), np.asarray(b[j]["shingles"]).view(np.uint64), np.asarray(b[j]["weights"], float)]
+            if max(similarity(*sets)) >= threshold - 1e-9:
+                found[pair] = (a[i]["node"], b[j]["node"])
+    return list(found.values())
+
+
+def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) between nodes of different classes in unsettled buckets: ``key, node, label``.
+
+    Buckets that share nodes form groups, so that no two nodes meet once per bucket.  The nodes of a group are dealt
+    into blocks of about ``block``, and each two blocks of a group are one row of work: the rows are few, a task
+    holds two blocks at a time, and the blocks of a large group spread over all tasks.
+    """
+    spark = rest.sparkSession
+    least = rest.groupBy("key").agg(F.min("node").alias("least"))
+    edges = rest.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = components(edges).withColumnRenamed("label", "grp")
+    nodes = rest.select("node", "label").distinct().join(groups, "node")
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"))
+    nodes = nodes.join(sizes, "grp").withColumn("n_blocks", F.ceil(F.col("size") / block))
+    nodes = nodes.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    full = nodes.join(shingles, "node").groupBy("grp", "blk", "n_blocks").agg(F.collect_list(F.struct("node", "label", "shingles", "weights")).alias("rows"))
+    blocks = table_written(full, scratch_dir(spark))
+    left = blocks.select("grp", F.col("rows").alias("x"), F.explode(F.sequence(F.col("blk"), F.col("n_blocks").cast("int") - 1)).alias("blk"))
+    work = left.join(blocks.select("grp", "blk", F.col("rows").alias("y")), ["grp", "blk"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = links_between(batch.column("x")[i].as_py(), batch.column("y")[i].as_py(), threshold)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    with small_batches(spark, 4):
+        return table_written(work.select("x", "y").mapInArrow(compared, "a binary, b binary"), scratch_dir(spark))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the edges (a, b): the smallest node it is connected with.
 
@@ -194,7 +267,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 2
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 2, block: int = 256
 ) -> DataFrame:
     """``doc_id, class_id, node, class_node``: one row for each row of ``docs`` (doc_id, text).
 
@@ -206,21 +279,20 @@ def near_duplicates(
     No bucket is turned into all its pairs.  Buckets of up to ``small_bucket`` nodes are compared in full (a constant
     number of pairs each).  In larger ones classes are first joined cheaply: in each of ``cheap_rounds`` a member
     is compared with one node, the smallest of the random pivots of its buckets that isn't of its class.
-    From then on only members of different classes matter: each exact round takes eight times as many members of a
-    bucket as pivots, by hash, compares them with the members of other classes, and drops them from the
-    bucket, as all their pairs are then settled.  Buckets with one class left are done.  The rounds end when no bucket is
-    left: every two members of a bucket have been compared or have ended up in one class.  No candidate is dropped.
+    Buckets with one class left are done.  What is left, nodes near the threshold that few links hold together, is
+    compared in full and in blocks (``compared_in_blocks``).  So every two members of a bucket have been compared
+    or have ended up in one class: no candidate is dropped, and there is no cap.
 
     Null, empty and white-space texts: alone (class_id their own id, node null).  Null ids: the class of their text;
     class_id is null only if all ids of the class are.  Repeated rows: one row each, the same class.
     Texts shorter than a window: one shingle.  Empty table: no rows.  Other columns are dropped.
     """
     with small_batches(docs.sparkSession):
-        return classes_of(docs.select("doc_id", "text"), words, threshold, bands, rows, small_bucket, cheap_rounds)
+        return classes_of(docs.select("doc_id", "text"), words, threshold, bands, rows, small_bucket, cheap_rounds, block)
 
 
 def classes_of(
-    docs: DataFrame, words: int, threshold: float, bands: int, rows: int, small_bucket: int, cheap_rounds: int
+    docs: DataFrame, words: int, threshold: float, bands: int, rows: int, small_bucket: int, cheap_rounds: int, block: int
 ) -> DataFrame:
     """The steps of ``near_duplicates``; all but the last joins are run here."""
     spark = docs.sparkSession
@@ -242,28 +314,26 @@ def classes_of(
     rest = members.filter(F.col("n") > small_bucket).select("key", "node", "n")
     star = members.filter((F.col("n") > small_bucket) & (F.col("node") > F.col("least"))).groupBy("node").agg(F.min("least").alias("a"))
     links = save(verified(star.select("a", F.col("node").alias("b")).unionByName(all_pairs).distinct(), shingles, threshold))
-    labels, turn, pivots = save(components(links)), 0, 1
-    while True:
-        labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        unsettled = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        rest = save(labelled.join(unsettled, "key", "left_semi"))
-        if rest.isEmpty():
+    labels = save(components(links))
+
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Members of large buckets in which more than one class is left, with their classes."""
+        now = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        return save(now.join(keys, "key", "left_semi"))
+
+    for turn in range(cheap_rounds):
+        now = unsettled(labels)
+        if now.isEmpty():
             break
-        turn += 1
-        cheap = turn <= cheap_rounds
-        if cheap:
-            one = rest.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            pairs = rest.join(one, "key").filter("label <> p.label").groupBy("node").agg(F.min("p.node").alias("a"))
-            pairs = pairs.select("a", F.col("node").alias("b"))
-        else:
-            pivots *= 8
-            rest = rest.withColumn("pivot", F.pmod(F.xxhash64("key", "node", F.lit(pivots)), F.col("n")) < pivots)
-            p = rest.filter("pivot").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-            pairs = p.join(rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "pivot"), "key")
-            pairs = pairs.filter("la <> lb and (not pivot or a < b)").select("a", "b").distinct()
-        links = save(links.unionByName(verified(pairs, shingles, threshold)))
+        one = now.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        pairs = now.join(one, "key").filter("label <> p.label").groupBy("node").agg(F.min("p.node").alias("a"))
+        links = save(links.unionByName(verified(pairs.select("a", F.col("node").alias("b")), shingles, threshold)))
+        labels = save(components(links))
+    now = unsettled(labels)
+    if not now.isEmpty():
+        links = save(links.unionByName(compared_in_blocks(now, shingles, threshold, block)))
         labels = save(components(links))
-        rest = rest.drop("label") if cheap else rest.filter("not pivot").drop("label", "pivot")
 
     joined = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = save(joined)
