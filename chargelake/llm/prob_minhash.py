@@ -242,32 +242,28 @@ def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, b
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the edges (a, b): the smallest node it is connected with.
 
-    Large-star and small-star steps alternate until no edge changes; each step is a grouped minimum and a join,
-    and is written before the next one.  Only a count of changes reaches the driver.
+    Large-star and small-star steps alternate until no edge changes; each step is a grouped minimum and a join, and
+    their result is written before the next two.  Only a count and checksums of the edges reach the driver.
     """
     spark = edges.sparkSession
     now = table_written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), scratch_dir(spark))
+    mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        large = table_written(large, scratch_dir(spark))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # b > a >= m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        small = table_written(small.filter("a <> b").distinct(), scratch_dir(spark))
-        print_of = lambda t: t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-        changed = print_of(small) != print_of(now)
-        now = small
-        if not changed:
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.withColumnRenamed("m", "b"))
+        now = table_written(small.distinct(), scratch_dir(spark))
+        before, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if mark == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 2, block: int = 256
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 1, block: int = 256
 ) -> DataFrame:
     """``doc_id, class_id, node, class_node``: one row for each row of ``docs`` (doc_id, text).
 
