@@ -47,7 +47,7 @@ def scenario_counts(forecast: DataFrame, n_scenarios: int, by: tuple[str, ...] =
 def department_forecast(daily: DataFrame, start: str, horizon: int = 30, value: str = "energy_kwh", min_obs: int = 60, z: float = 1.2816, holidays: DataFrame | None = None) -> DataFrame:
     """All departments in one job: log1p of the value as a linear trend plus a weekday effect (and a holiday effect).
 
-    The reference fits a seasonal ARIMA to each department; this is another model with the same contract: median,
+    Usual is one seasonal ARIMA per department; this is another model with the same contract: median,
     p10 and p90 for each day, never below 0, the mean for a department with fewer than ``min_obs`` days.
     """
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
