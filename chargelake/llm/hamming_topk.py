@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .util import scratch_dir, table_written
@@ -26,9 +26,10 @@ def segment(code: Column, n: int) -> Column:
     return F.shiftrightunsigned(code, BITS * n).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def masks(radius: int) -> list[int]:
-    """The segment values with ``radius`` bits set."""
-    return [v for v in range(1 << BITS) if v.bit_count() == radius]
+def masks(spark: SparkSession) -> DataFrame:
+    """``flip, radius``: all segment values and the radius at which each is tried, its number of bits (FIRST_RADIUS at least)."""
+    bits = F.greatest(F.bit_count("id"), F.lit(FIRST_RADIUS))
+    return spark.range(1 << BITS).select(F.col("id").cast("int").alias("flip"), bits.cast("int").alias("radius"))
 
 
 def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -62,8 +63,8 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     best: DataFrame | None = None
     order = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
     for radius in range(FIRST_RADIUS, BITS + 1):
-        flips = F.explode(F.lit([m for r in range(FIRST_RADIUS + 1) for m in masks(r)] if radius == FIRST_RADIUS else masks(radius)))
-        probes = open_.withColumn("flip", flips).withColumn("part", F.explode(F.lit(list(range(SEGMENTS)))))
+        flips = F.broadcast(masks(spark).filter(F.col("radius") == radius))  # 65,536 rows over all radii
+        probes = open_.withColumn("radius", F.lit(radius)).join(flips, "radius").withColumn("part", F.explode(F.lit(list(range(SEGMENTS)))))
         value = F.expr(f"cast(shiftrightunsigned(query_code, {BITS} * part) & {(1 << BITS) - 1} as int)").bitwiseXOR(F.col("flip"))
         found = probes.withColumn("value", value).join(parts, ["part", "value"]).select("query_id", "query_code", "code").distinct()
         near = found.join(entries, "code").select(
