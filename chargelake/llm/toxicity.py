@@ -34,7 +34,10 @@ def terms_of(text: str | None) -> Counter:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of examples, with the largest weight of each term in each block."""
+    """Postings of unit vectors, in blocks of examples, with the largest weight of each term in each block.
+
+    Only terms that occur in an example have a row; all others share row 0, which is empty.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
         self.n, self.block = len(vectors), block
@@ -42,11 +45,15 @@ class BlockMaxIndex:
         terms = np.array([t for v in vectors for t in v], dtype=np.int64)
         weights = np.array([w for v in vectors for w in v.values()], dtype=np.float64)
         examples = np.repeat(np.arange(self.n), [len(v) for v in vectors])
+        present, terms = np.unique(terms, return_inverse=True)
+        self.row = np.zeros(n_terms, dtype=np.int64)
+        self.row[present] = np.arange(1, len(present) + 1)
+        terms, n_rows = terms + 1, len(present) + 1
         order = np.lexsort((examples, terms))
         self.weights, self.examples, terms = weights[order], examples[order], terms[order]
         cell = terms * self.n_blocks + self.examples // block
-        self.bounds = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.top = np.zeros((n_terms, max(self.n_blocks, 1)))
+        self.bounds = np.searchsorted(cell, np.arange(n_rows * self.n_blocks + 1))
+        self.top = np.zeros((n_rows, max(self.n_blocks, 1)))
         np.maximum.at(self.top, (terms, self.examples // block), self.weights)
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +64,7 @@ class BlockMaxIndex:
         """
         if not query or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms, weights = np.fromiter(query, np.int64), np.fromiter(query.values(), np.float64)
+        terms, weights = self.row[np.fromiter(query, np.int64)], np.fromiter(query.values(), np.float64)
         bound = weights @ self.top[terms]
         order = np.argsort(-bound, kind="stable")
         found_e: list[np.ndarray] = []
@@ -133,34 +140,35 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
 
 
-def toxic_terms(sample: DataFrame, most: int, lift: float, least_chi2: float) -> list[str]:
-    """Terms whose documents are toxic ``lift`` times as often as all, with a chi-square over ``least_chi2``."""
+def toxic_terms(docs: DataFrame, labels: DataFrame, lift: float, least_chi2: float) -> list[str]:
+    """Terms whose documents are toxic ``lift`` times as often as all, with a chi-square over ``least_chi2``.
+
+    Counted over the documents of all ``labels``, however many, and none of the terms is left out.
+    """
+    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("target_"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for s, y in zip(batch.column("text").to_pylist(), batch.column("target_").to_pylist(), strict=True):
-                seen[int(y)].update(terms_of(s).keys() | {""})  # "" counts the documents
+                seen[y].update(terms_of(s).keys())
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "bad", "good"]
             )
 
-    counts = sample.select("text", "target_").mapInArrow(counted, "term string, bad long, good long")
-    counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).persist()
-    total = counts.filter("term = ''").first()
-    if total is None or not total["bad"] or not total["good"]:
-        counts.unpersist()
+    total = {r["target_"]: r["count"] for r in docs.select("doc_id").join(labelled, "doc_id").groupBy("target_").count().collect()}
+    if len(total) < 2:
         return []
-    b, g = float(total["bad"]), float(total["good"])
+    counts = docs.select("doc_id", "text").join(labelled, "doc_id").select("text", "target_").mapInArrow(counted, "term string, bad long, good long")
+    counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    b, g = float(total[1]), float(total[0])
     n, with_term = F.lit(b + g), F.col("bad") + F.col("good")
     cross = F.col("bad") * g - F.col("good") * b
     chi2 = n * cross * cross / (with_term * (n - with_term) * b * g)
-    found = counts.filter(F.col("term") != "").filter(with_term < n).withColumn("chi2", chi2)
+    found = counts.filter(with_term < n).withColumn("chi2", chi2)
     found = found.filter((F.col("bad") / with_term >= lift * b / (b + g)) & (F.col("chi2") >= least_chi2))
-    terms = [r["term"] for r in found.orderBy(F.desc("chi2"), "term").limit(most).collect()]
-    counts.unpersist()
-    return terms
+    return [r["term"] for r in sorted(found.select("term", "chi2").collect(), key=lambda r: (-r["chi2"], r["term"]))]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -185,17 +193,17 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = 8_000, terms: int = 1024, k: int = 16, lift: float = 3.0, least_chi2: float = 24.0, other_idf: float = 0.5
+    docs: DataFrame, labels: DataFrame, sample: int = 8_000, k: int = 16, lift: float = 3.0, least_chi2: float = 24.0, other_idf: float = 0.5
 ) -> ToxicityModel:
     """Examples from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 isn't 0.
 
-    The vocabulary is at most ``terms`` words and starts of words that mark toxic examples; all other words count as one
-    term of weight ``other_idf``.  Document frequencies are those of all ``docs``.  Only texts and the label ``toxic`` are read.  The votes of examples left out one at a time give the
+    The vocabulary is all words and starts of words that mark toxic texts among all such rows, not only the sampled ones;
+    all other words count as one term of weight ``other_idf``.  Document frequencies are those of all ``docs``.  Only texts and the label ``toxic`` are read.  The votes of examples left out one at a time give the
     calibration.  Without both kinds of labels every score is the prior (0.5 without labels).
     """
     train = labels.filter(doc_crc_mod("doc_id", 5) != 0)
     chosen = labelled_sample(docs.select("doc_id", "text"), train, "toxic", sample)
-    vocabulary = {t: i for i, t in enumerate(toxic_terms(chosen, terms, lift, least_chi2))}
+    vocabulary = {t: i for i, t in enumerate(toxic_terms(docs, train, lift, least_chi2))}
     df, n = document_frequencies(docs, vocabulary) if vocabulary else (np.zeros(0), 0)
     model = ToxicityModel(vocabulary, np.append(np.log((1 + n) / (1 + df)) + 1, other_idf), BlockMaxIndex([], 0), [], np.zeros(0), np.zeros(0), 0.5, 1.0, 0.0, k)
 

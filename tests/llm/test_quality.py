@@ -109,6 +109,14 @@ def test_toxicity_on_held_out_labels(spark, table):
     assert all(len(e) for e in toxic[toxic.predicted == 1].evidence)
 
 
+def test_toxic_terms_come_from_all_training_labels(spark, docs_of):
+    marks = [f"bad{i:04d}" for i in range(1500)]
+    texts = [(i, "plain words " + (" ".join(marks) if i % 10 == 0 else f"w{i}")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    model = fit_toxicity(docs_of(texts), labels, sample=20)
+    assert set(marks) <= model.vocabulary.keys() and sum(model.size) == 20
+
+
 def test_toxicity_edge_rows(spark, table, docs_of):
     docs = docs_of(EDGE).selectExpr("*", "1 as score", "'a' as evidence")
     labels = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (8, 0, 1), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
