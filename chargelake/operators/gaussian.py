@@ -97,21 +97,25 @@ def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed:
     return from_features(each.withColumns(f)).select(*draws.columns, "draw", "hour", "duration", "energy")
 
 
-def gaussian_mixtures(df: DataFrame, by: list[str], k: int, folder: str, rounds: int = 8, least: int = 10, id_: str = "session_id") -> tuple[DataFrame, list[float]]:
+def gaussian_mixtures(df: DataFrame, by: list[str], k: int, folder: str, rounds: int = 300, least: int = 10, id_: str = "session_id", tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
     """Mixtures of ``k`` Gaussians in every context at once by expectation-maximisation, and each round's mean log-likelihood.
 
     A round joins the parameters on the context, spreads each session over components by its responsibilities and
     sums weighted moments by (context, component).  Parameters are written to ``folder`` (shared) each round, which
-    cuts the lineage.  Components start as the quantiles of energy in the context.
+    cuts the lineage.  Components start as the quantiles of energy in the context.  Rounds end when no context's mean
+    log-likelihood has changed by ``tolerance`` or more, or after ``rounds``.
     """
     spark = df.sparkSession
+    base = f"{folder}/{uuid.uuid4().hex}"
     rows = to_features(present(df, by)).select(*by, F.col(id_).alias("id_"), *FEATURES)
+    rows.write.parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
     ranked = rows.withColumn("q_", F.ntile(k).over(Window.partitionBy(*by).orderBy("f_energy", "f_duration", "f_hour")) - 1)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("size_")).filter(F.col("size_") >= max(least, k * 5))
     params = ranked.join(sizes, by).groupBy(*by, F.col("q_").alias("k")).agg((F.count("*") / F.first("size_")).alias("weight"), F.count("*").cast("double").alias("mass"), *moments())
-    base = f"{folder}/{uuid.uuid4().hex}"
     params.write.parquet(f"{base}/0")
     trace: list[float] = []
+    means = lambda at: spark.read.parquet(f"{base}/{at}").groupBy(*by).agg((F.sum("ll_") / F.sum("mass")).alias(f"mean_{at}"))
     for n in range(1, rounds + 1):
         params = spark.read.parquet(f"{base}/{n - 1}")
         each = rows.join(params, by)
@@ -125,21 +129,42 @@ def gaussian_mixtures(df: DataFrame, by: list[str], k: int, folder: str, rounds:
         new.join(context, by).withColumn("weight", F.greatest(F.col("mass") / F.col("size_"), F.lit(1e-9))).drop("size_").write.parquet(f"{base}/{n}")
         done = spark.read.parquet(f"{base}/{n}").agg(F.sum("ll_"), F.sum("mass")).first()
         trace.append(float(done[0]) / float(done[1]) if done[1] else float("nan"))
-    return spark.read.parquet(f"{base}/{rounds}").drop("ll_"), trace
+        if not done[1]:
+            break
+        if n > 1:
+            change = means(n).join(means(n - 1), by).agg(F.max(F.abs(F.col(f"mean_{n}") - F.col(f"mean_{n - 1}")))).first()[0]
+            if change < tolerance:
+                break
+    return spark.read.parquet(f"{base}/{len(trace)}").drop("ll_"), trace
 
 
-def component_count_by_bic(df: DataFrame, ks: list[int], seed: int = 0, iterations: int = 20) -> DataFrame:
-    """BIC of unstratified mixtures for each number of components; the least is best."""
+def component_count_by_bic(df: DataFrame, least: int = 2, most: int = 10, seed: int = 0, iterations: int = 300, starts: int = 3, tolerance: float = 1e-3) -> DataFrame:
+    """BIC of unstratified mixtures of ``least`` to min(``most``, n / 5) components (at least one number is tried); the least is best.
+
+    Of ``starts`` fits, the likeliest counts.  A fit ends when the mean log-likelihood changes by ``tolerance`` or less, or after
+    ``iterations``.  Fits run side by side, as their jobs are small.
+    """
+    from functools import partial
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(to_features(df).select(*FEATURES)).select("features").persist()
-    n, out = data.count(), []
-    for k in ks:
-        fitted = GaussianMixture(k=k, seed=seed, maxIter=iterations).fit(data)
-        free = k * (3 + 6) + k - 1
-        out.append((k, float(-2 * fitted.summary.logLikelihood + free * math.log(max(n, 1)))))
+    n = data.count()
+    ks = range(least, max(min(most, n // 5), least) + 1) if n else []
+
+    def likelihood(k: int, start: int) -> float:
+        return GaussianMixture(k=k, seed=seed + start, maxIter=iterations, tol=tolerance * n).fit(data).summary.logLikelihood
+
+    # wrapped one by one: each call copies the local properties, which threads mustn't share
+    tasks = [inheritable_thread_target(df.sparkSession)(partial(likelihood, k, start)) for k in reversed(ks) for start in range(starts)]
+    with ThreadPool(8) as pool:
+        fits = pool.map(lambda task: task(), tasks, chunksize=1)
+    found = [max(fits[i : i + starts]) for i in range(0, len(fits), starts)][::-1]
     data.unpersist()
+    out = [(k, float(-2 * best + (k * (3 + 6) + k - 1) * math.log(n))) for k, best in zip(ks, found, strict=True)]
     return df.sparkSession.createDataFrame(out, "k int, bic double")
 
 

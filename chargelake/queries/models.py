@@ -101,12 +101,12 @@ def gaussian_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def gaussian_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.gaussian_mixtures(order_sessions(spark, sf_dir), ["location_type", "season"], 3, shared_folder(spark), rounds=4)[0]
+    return G.gaussian_mixtures(order_sessions(spark, sf_dir), ["location_type", "season"], 3, shared_folder(spark))[0]
 
 
 @query(None)
 def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.component_count_by_bic(event_sessions(spark, sf_dir), [2, 3, 4], iterations=8)
+    return G.component_count_by_bic(event_sessions(spark, sf_dir))
 
 
 @query(with_(ORD) + FEAT + " SELECT session_id, round(x1, 6) AS f_duration, round(x2, 6) AS f_energy FROM ft")

@@ -142,6 +142,19 @@ def test_mixture_likelihood_rises(spark, tmp_path):
     assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
 
 
+def test_mixtures_iterate_until_they_converge(spark, tmp_path):
+    _, trace = G.gaussian_mixtures(order_sessions(spark, SF), ["location_type"], 2, f"file://{tmp_path}")
+    assert 8 < len(trace) < 300 and abs(trace[-1] - trace[-2]) < 1e-3
+
+
+def test_component_counts_up_to_ten_or_a_fifth_of_the_rows(spark):
+    s = order_sessions(spark, SF)
+    few = s.orderBy("session_id").limit(24)
+    assert [r["k"] for r in G.component_count_by_bic(few).collect()] == [2, 3, 4]
+    found = G.component_count_by_bic(s.orderBy("session_id").limit(60), starts=1).collect()
+    assert [r["k"] for r in found] == list(range(2, 11))
+
+
 def test_panel_fills_by_calendar_or_all(spark):
     df = spark.createDataFrame([("2024-01-01", "a", 1.0), ("2024-01-01", "b", 2.0), ("2024-01-03", "a", 3.0)], "date string, department string, energy double").withColumn("date", F.to_date("date")).withColumn("duration", F.lit(1.0))
     rows = {(str(r["date"]), r["department"]): r["energy_kwh"] for r in A.panel(df).collect()}
