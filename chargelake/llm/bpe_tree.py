@@ -5,103 +5,133 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bytebpe import encoding_of
-from .util import with_columns_last
+from .bytebpe import PRE_TOKEN, encoding_of, tiktoken_split
+from .util import arrow_map, with_columns_last
+
+#: Characters of a leaf of the encoding tree, ids of a leaf of the decoding tree.
+LEAF, DECODE_LEAF = 128, 128
+#: Pre-tokens of more characters are joined token by token.
+LONG = 64
 
 
 class Part:
-    """The ids of ``text[start:end]`` encoded by itself, and its first and last safe space (-1: none).
+    """``text[start:end]`` encoded by itself: where its pre-tokens start, and the ids of each."""
 
-    No pre-token reaches over a space between two non-space characters, whatever stands further
-    off: tokens before and after it are settled by the text on their own side.
-    """
+    __slots__ = ("start", "end", "starts", "ids")
 
-    __slots__ = ("start", "end", "ids", "first", "last")
+    def __init__(self, start: int, end: int, starts: list[int], ids: list[list[int]]):
+        self.start, self.end, self.starts, self.ids = start, end, starts, ids
 
-    def __init__(self, start: int, end: int, ids: list[np.ndarray], first: int, last: int):
-        self.start, self.end, self.ids, self.first, self.last = start, end, ids, first, last
 
+class Pieces(dict):
+    """pre-token -> its ids; emptied when it holds ``limit`` characters."""
 
-class TreeEncoder:
-    """Encodes texts as a reduction tree: halves recursively, then neighbours joined in pairs."""
+    def __init__(self, path: str, limit: int = 4_000_000):
+        super().__init__()
+        self.encode, self.limit, self.held = encoding_of(path)._encode_single_piece, limit, 0
 
-    def __init__(self, path: str, leaf: int = 8192):
-        self.encoding, self.leaf = encoding_of(path), leaf
-        self.token_bytes = np.array([len(t) for t in token_table(path)], dtype=np.int64)
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece.encode())
+        if len(piece) <= LONG:
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+            self.held += len(piece)
+        return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
-    def safe_space(self, text: str, start: int, end: int, last: bool) -> int:
-        """Where the first or last safe space of a part lies; its neighbours must lie in the part as well."""
-        find, at = (text.rfind, end - 1) if last else (text.find, start + 1)
-        while True:
-            at = find(" ", start + 1, at) if last else find(" ", at, end - 1)
-            if at < 0 or not (text[at - 1].isspace() or text[at + 1].isspace()):
-                return at
-            at += 0 if last else 1
+class TreeEncoder:
+    """Encodes texts as a reduction tree: halves recursively, then neighbours joined in pairs."""
+
+    def __init__(self, path: str, leaf: int = LEAF):
+        self.leaf, self.pieces, self.table, self.path = leaf, Pieces(path), token_table(path), path
+        self.self_encoded: bool | None = None
+        self.split = PRE_TOKEN
 
     def part(self, text: str, start: int, end: int) -> Part:
         if end - start <= self.leaf:
-            ids = self.encode(text[start:end])
-            return Part(start, end, [ids], self.safe_space(text, start, end, False), self.safe_space(text, start, end, True))
+            found = list(self.split.finditer(text, start, end))
+            pieces = self.pieces
+            return Part(start, end, [m.start() for m in found], [pieces[m.group()] for m in found])
         middle = (start + end) // 2
         return self.join(text, self.part(text, start, middle), self.part(text, middle, end))
 
     def join(self, text: str, left: Part, right: Part) -> Part:
-        """Encode the boundary anew in a window that grows on either side to the nearest safe space.
+        """Encode the boundary anew in a window that grows, pre-token by pre-token, until nothing outside can change.
 
-        A side without one is taken in whole: nothing outside the window can then change.
+        The pattern has no look-behind, so where a pre-token starts the rest of the split depends on the text from there
+        only.  All pre-tokens of the left part but its last end before its end, with the character that ended them
+        in sight: they stay, unless they begin an apostrophe's three characters that reach over the boundary.  The window
+        begins at the last one, or at the first in the last two characters.  It ends where a pre-token of the joined text
+        ends at a place where one of the right part starts: from there on both splits are the same.
         """
-        begin = left.last if left.last >= 0 else left.start
-        stop = right.first if right.first >= 0 else right.end
-        ids = [*self.before(text, left, begin), self.encode(text[begin:stop]), *self.after(text, right, stop)]
-        first = left.first if left.first >= 0 else self.safe_space(text, left.start, right.end, False)
-        last = right.last if right.last >= 0 else self.safe_space(text, left.start, right.end, True)
-        return Part(left.start, right.end, ids, first, last)
-
-    def before(self, text: str, part: Part, cut: int) -> list[np.ndarray]:
-        """The ids of ``text[part.start:cut]``: whole tokens are dropped from the end."""
-        drop, ids = len(text[cut : part.end].encode()), list(part.ids)
-        while drop:
-            lengths = self.token_bytes[ids[-1]]
-            total = int(lengths.sum())
-            if total <= drop:
-                ids.pop()
-                drop -= total
+        starts, ids, known, n = left.starts, left.ids, right.starts, 0
+        at = tail = starts.pop()
+        last = ids.pop()
+        while starts and starts[-1] >= left.end - 2:
+            at = starts.pop()
+            ids.pop()
+        for m in self.split.finditer(text, at, right.end):
+            end = m.end()
+            while n < len(known) and known[n] < end:
+                n += 1
+            if end - tail > LONG and m.start() == tail and n == 1 and end == (known[1] if len(known) > 1 else right.end):  # both sides, whole
+                piece = self.joined(m.group(), last, right.ids[0])
             else:
-                keep = int(np.searchsorted(np.cumsum(lengths), total - drop)) + 1
-                ids[-1] = ids[-1][:keep]
-                drop = 0
-        return ids
-
-    def after(self, text: str, part: Part, cut: int) -> list[np.ndarray]:
-        """The ids of ``text[cut:part.end]``: whole tokens are dropped from the start."""
-        drop, ids, n = len(text[part.start : cut].encode()), part.ids, 0
-        while drop:
-            lengths = self.token_bytes[ids[n]]
-            total = int(lengths.sum())
-            if total > drop:
-                return [ids[n][int(np.searchsorted(np.cumsum(lengths), drop)) + 1 :], *ids[n + 1 :]]
-            drop -= total
-            n += 1
-        return ids[n:]
-
-    def ids(self, text: str) -> np.ndarray:
-        parts = self.part(text, 0, len(text)).ids
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-
-def decode_tree(ids: list[int], token_bytes: list[bytes], leaf: int = 4096) -> bytes:
+                piece = self.pieces[m.group()]
+            starts.append(m.start())
+            ids.append(piece)
+            if end >= right.start and (end == right.end or n < len(known) and known[n] == end):
+                break
+        starts.extend(known[n:])
+        ids.extend(right.ids[n:])
+        return Part(left.start, right.end, starts, ids)
+
+    def joined(self, piece: str, left: list[int], right: list[int]) -> list[int]:
+        """Ids of a long pre-token from those of its two sides.
+
+        Where every token encodes to itself, ids are the encoding of their bytes if each two neighbours are
+        that of theirs.  So the tokens about the boundary are encoded anew, 4, 8, 16, ... on either side, until the pair at
+        each end of that window is stable; in each side all pairs are stable already.
+        """
+        if self.self_encoded is None:
+            single = self.pieces.encode
+            self.self_encoded = all(single(t) == [i] for i, t in enumerate(self.table) if t)
+        if not self.self_encoded:
+            return self.pieces.encode(piece.encode())
+        width = 4
+        while True:
+            a, b = max(len(left) - width, 0), min(width, len(right))
+            window = self.pieces.encode(b"".join(map(self.table.__getitem__, chain(left[a:], right[:b]))))
+            if (a == 0 or self.stable(left[a - 1], window[0])) and (b == len(right) or self.stable(window[-1], right[b])):
+                return [*left[:a], *window, *right[b:]]
+            width *= 2
+
+    def stable(self, first: int, second: int) -> bool:
+        return self.pieces.encode(self.table[first] + self.table[second]) == [first, second]
+
+    def ids(self, text: str) -> list[int]:
+        """Texts with characters that tiktoken's engine classes differently are split by its classes."""
+        self.split = PRE_TOKEN
+        if not text.isascii():
+            unlike, pattern = tiktoken_split()
+            if not unlike.isdisjoint(text):
+                self.split = pattern
+        return list(chain.from_iterable(self.part(text, 0, len(text)).ids))
+
+
+def decode_tree(ids: list[int], token_bytes: list[bytes], leaf: int = DECODE_LEAF) -> bytes:
     """Bytes of ids: concatenation up the same kind of tree (bytes, as a cut may lie inside a character)."""
     if len(ids) <= leaf:
-        return b"".join([token_bytes[i] for i in ids])
+        return b"".join(map(token_bytes.__getitem__, ids))
     half = len(ids) // 2
     return decode_tree(ids[:half], token_bytes, leaf) + decode_tree(ids[half:], token_bytes, leaf)
 
@@ -114,11 +144,12 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
-def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", leaf: int = 8192) -> DataFrame:
+def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", leaf: int = LEAF) -> DataFrame:
     """``docs`` with ``token_ids`` array<int>: what the tiktoken library's ``encode_ordinary`` gives.
 
-    One row for each row, no shuffle.  Null or empty text: an empty array.  Repeated rows, ties and null ids:
-    each row is encoded.  An input column ``token_ids`` is renamed ``in_token_ids``.
+    One row for each row, no shuffle.  Null or empty text: an empty array.  Very long texts: encoded whole, a level of the
+    tree more for each doubling.  Repeated rows, ties and null ids: each row is encoded.  Empty table: no rows.  An input column
+    ``token_ids`` is renamed ``in_token_ids``.
     """
     docs = with_columns_last(docs, ["token_ids"])
     names = docs.columns
@@ -126,14 +157,17 @@ def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", leaf: int =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = TreeEncoder(ranks_path, leaf)
         for batch in batches:
-            ids = pa.array([tree.ids(s or "").astype(np.int32) for s in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([np.array(tree.ids(s or ""), np.int32) for s in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "token_ids"])
 
-    return docs.mapInArrow(encoded, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return arrow_map(docs, encoded, T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf: int = 4096) -> DataFrame:
-    """``tokens`` with ``decoded`` binary.  Null ids: empty.  An id outside the vocabulary raises."""
+def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf: int = DECODE_LEAF) -> DataFrame:
+    """``tokens`` with ``decoded`` binary.  Null or empty ids: empty.  An id outside the vocabulary raises.
+
+    Repeated rows and ties: each row is decoded.  Empty table: no rows.  An input column ``decoded`` is renamed.
+    """
     tokens = with_columns_last(tokens, ["decoded"])
     names = tokens.columns
 
@@ -143,13 +177,15 @@ def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", leaf:
             out = pa.array([decode_tree(x or [], table, leaf) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*names, "decoded"])
 
-    return tokens.mapInArrow(decoded, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return arrow_map(tokens, decoded, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def digest_bpe(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", leaf: int = 8192) -> DataFrame:
+def digest_bpe(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """Encode, decode again and return digests only: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    The same trees as ``encode_bpe`` and ``decode_bpe``, without carrying the arrays through the plan.
+    The same trees as ``encode_bpe`` and ``decode_bpe``, without carrying the arrays through the plan.  Null or empty text: no
+    ids, the digests of nothing.  Very long texts whole.  Null ids, ties and repeated rows: one row for each row.  Empty
+    table: no rows.  Other columns are dropped.
     """
     schema = docs.select(doc_id).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
@@ -159,7 +195,7 @@ def digest_bpe(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: s
         for batch in batches:
             counts, first, second = array("q"), [], []
             for s in batch.column(text).to_pylist():
-                ids = tree.ids(s or "").tolist()
+                ids = tree.ids(s or "")
                 counts.append(len(ids))
                 first.append(sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 second.append(sha256(decode_tree(ids, table)).hexdigest())
@@ -168,4 +204,4 @@ def digest_bpe(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: s
                 [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(doc_id, text).mapInArrow(digested, schema)
+    return arrow_map(docs.select(doc_id, text), digested, schema)

@@ -78,6 +78,34 @@ def encoding_of(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def unlike_characters() -> dict[str, frozenset[str]]:
+    """Class -> characters that tiktoken's pattern engine has in it and the one here hasn't, or the other way round.
+
+    The two carry different Unicode versions.  An encoding of single bytes whose pattern is the class drops all else.
+    """
+    single, every = {bytes([i]): i for i in range(256)}, "".join(chr(c) for c in range(128, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    found = {}
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        e = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={})
+        found[kind] = frozenset(set(e.decode(e.encode_ordinary(every))) ^ set(regex.findall(kind, every)))
+    return found
+
+
+@lru_cache(maxsize=1)
+def tiktoken_split() -> tuple[frozenset[str], regex.Pattern]:
+    """The characters that the two engines class differently, and the pattern with tiktoken's classes spelled out."""
+    pattern, unlike = public_tokenizers.PATTERN, unlike_characters()
+    for kind, characters in unlike.items():
+        codes = sorted(map(ord, characters))
+        first = [c for c in codes if chr(c - 1) not in characters]
+        last = [c for c in codes if chr(c + 1) not in characters]
+        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last, strict=True))
+        if ranges:
+            pattern = pattern.replace(kind, f"[{kind}~~[{ranges}]]")
+    return frozenset().union(*unlike.values()), regex.compile(pattern, regex.V1)
+
+
 class LibraryClasses:
     """Whether the tokenizers library and the pattern engine here put a text's characters in one class.
 
@@ -89,7 +117,8 @@ class LibraryClasses:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
+        specials = "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))
+        self.split = re.compile(f"({specials or '(?!)'})")  # without special tokens nothing splits
         self.same: set[str] = {chr(c) for c in range(128)}
         self.other: set[str] = set()
 

@@ -137,9 +137,9 @@ def rules_column(rules: list[Rule]) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> list[Rule]:
     """Rules from the statistics of at most ``sample`` labelled documents (``quality`` 0: bad).
 
-    No labels, or no bad ones: no rules.
+    One document for each labelled id, however many rows it has (``labelled_sample``).  No labels, or no bad ones: no rules.
     """
-    found = text_statistics(labelled_sample(docs.select("doc_id", "text"), labels, "quality", sample))
+    found = text_statistics(labelled_sample(docs, labels, "quality", sample))
     rows = found.select("doc_id", (F.col("target_") == 0).alias("bad"), *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
     return learn_rules({f: rows[f].to_numpy(float) for f in FEATURES}, rows["bad"].to_numpy(bool), **options)
@@ -149,8 +149,8 @@ def quality_rules(docs: DataFrame, rules: list[Rule], keep_text: bool = False) -
     """``docs`` with whole-text counts, ``base_failed``, ``rule`` (the first that fits) and ``kept``.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows.  kept: neither
-    base_failed nor rejected by a rule.  Null or empty text: no words, base_failed.  Repeated rows and ties: each row by
-    itself.  Empty table: no rows.  Input columns named like a result are renamed ``in_<name>``.  No shuffle.
+    base_failed nor rejected by a rule.  Null or empty text: no words, base_failed.  Null ids, repeated rows and ties: each
+    row by itself.  Very long texts are counted whole, one at a time.  Empty table: no rows.  Input columns named like a result are renamed ``in_<name>``.  No shuffle.
     """
     added = [*COUNTS, "base_failed", "rule", "kept"]
     found = text_statistics(with_columns_last(docs, added), keep_text=keep_text)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import scratch_dir, table_written
+from .util import Scratch
 
-SEGMENTS, BITS = 4, 16
-#: The radii 0 ... FIRST_RADIUS are searched at once: together they are a few probes only.
-FIRST_RADIUS = 2
+BITS = 64
+#: A segment has at most this many bits, so that the flips of one radius (at most 705,432 numbers) can be broadcast.
+WIDEST = 22
 
 
 def sign_code(vector: str) -> Column:
@@ -22,14 +24,21 @@ def sign_code(vector: str) -> Column:
     return F.when(F.size(vector) > 64, too_long).when(F.size(vector) > 0, code)
 
 
-def segment(code: Column, n: int) -> Column:
-    return F.shiftrightunsigned(code, BITS * n).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+def segments_for(n_codes: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment: about log2(n_codes) bits wide, so that a value has about one code."""
+    bits = max(4, math.ceil(math.log2(max(n_codes, 2))))
+    m = max(math.ceil(BITS / WIDEST), min(16, round(BITS / bits)))
+    widths = [BITS // m + (n < BITS % m) for n in range(m)]
+    return [(sum(widths[:n]), w) for n, w in enumerate(widths)]
+
+
+def part_of(code: Column, segment: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(code, segment[0]).bitwiseAND(F.lit((1 << segment[1]) - 1)).cast("int")
 
 
-def masks(spark: SparkSession) -> DataFrame:
-    """``flip, radius``: all segment values and the radius at which each is tried, its number of bits (FIRST_RADIUS at least)."""
-    bits = F.greatest(F.bit_count("id"), F.lit(FIRST_RADIUS))
-    return spark.range(1 << BITS).select(F.col("id").cast("int").alias("flip"), bits.cast("int").alias("radius"))
+def flips(spark: SparkSession, width: int, radius: int) -> DataFrame:
+    """All numbers of ``width`` bits of which ``radius`` are 1."""
+    return spark.range(1 << width).filter(F.bit_count("id") == radius).select(F.col("id").cast("int").alias("flip"))
 
 
 def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -37,70 +46,79 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 
     Both tables: ``id`` long, ``code`` long.  Order: Hamming distance, then id.  The row with the query's own id is left out.
 
-    A code within distance d of a query differs by at most floor(d / 4) in one of its four
-    segments.  Radii r = 0, 1, ... are searched in all segments; after r every code up to distance 4r + 3
-    has been seen, so a query is done once its k-th distance is no larger; the others go on with
-    the next radius.  Equal codes are one entry of the index with the k + 1 smallest ids, which is
-    all a top-k can use, so a code that a third of all rows share is one entry.  Only counts reach the driver.
+    A code within distance d of a query differs by at most floor(d / m) bits in one of its m segments.  Radii 0, 1, 2, ... are
+    searched in all segments; after r every code up to distance m (r + 1) - 1 has been seen, so a query is done once
+    its k-th distance is no larger, and only the others go on.  A code counts where it is met first, by the least radius and then
+    the first segment, and only if it isn't farther than the k-th so far, both before anything is shuffled.
+    m follows from the number of codes.  Equal codes are one entry of the index with the k + 1 smallest ids, which is
+    all a top-k can use, and equal queries are searched once, so a code that a third of all rows share is one entry and one
+    search.  Only counts reach the driver.
 
-    Null code or id: never a neighbour, and a query without result.  Fewer than k other rows: all of them.
-    Repeated rows of one id: one row.  Empty tables: no rows.
+    Null code or id: never a neighbour, and a query without result.  Repeated rows of an id: one row, of several codes the smallest.
+    Fewer than k other rows: all of them, for queries inside and outside the index.  Empty tables: no rows.
     """
-    spark = index.sparkSession
-    index = index.select("id", "code").filter("id is not null and code is not null")
+    spark, scratch = index.sparkSession, Scratch(index.sparkSession)
+    one_each = lambda t: t.filter("id is not null and code is not null").groupBy("id").agg(F.min("code").alias("code"))
     by_code = Window.partitionBy("code").orderBy("id")
-    few = index.distinct().withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= k + 1)
-    entries = table_written(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), scratch_dir(spark))
-    n_rows = entries.select(F.size("ids").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # at least min(all, k + 1)
-    want = min(k, max(n_rows - 1, 0))
-    places = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), segment(F.col("code"), n).alias("value")) for n in range(SEGMENTS))))
-    parts = entries.select("code", places.alias("p")).select("code", F.col("p.part").alias("part"), F.col("p.value").alias("value"))
-    open_ = table_written(
-        queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).filter("query_id is not null and query_code is not null").distinct(),
-        scratch_dir(spark),
-    )
+    few = one_each(index).withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= k + 1)
+    entries = scratch.save(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    asked = scratch.save(one_each(queries).select(F.col("id").alias("query_id"), F.col("code").alias("query_code")))
+    segments = segments_for(entries.count())
+    m, widest = len(segments), segments[0][1]
+    places = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), part_of(F.col("code"), s).alias("value")) for n, s in enumerate(segments))))
+    parts = entries.select("code", "ids", places.alias("p")).select("code", "ids", F.col("p.part").alias("part"), F.col("p.value").alias("value"))
+    open_ = asked.select("query_code").distinct().withColumn("worst", F.lit(BITS))
+    apart = F.col("query_code").bitwiseXOR(F.col("code"))
+    distance = F.bit_count(apart)
+    order = Window.partitionBy("query_code").orderBy("distance", "neighbor_id")
     done: list[DataFrame] = []
     best: DataFrame | None = None
-    order = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
-    for radius in range(FIRST_RADIUS, BITS + 1):
-        flips = F.broadcast(masks(spark).filter(F.col("radius") == radius))  # 65,536 rows over all radii
-        probes = open_.withColumn("radius", F.lit(radius)).join(flips, "radius").withColumn("part", F.explode(F.lit(list(range(SEGMENTS)))))
-        value = F.expr(f"cast(shiftrightunsigned(query_code, {BITS} * part) & {(1 << BITS) - 1} as int)").bitwiseXOR(F.col("flip"))
-        found = probes.withColumn("value", value).join(parts, ["part", "value"]).select("query_id", "query_code", "code").distinct()
-        near = found.join(entries, "code").select(
-            "query_id",
-            "query_code",
-            F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).alias("distance"),
-            F.explode("ids").alias("neighbor_id"),
-        )
-        near = near.filter("neighbor_id <> query_id")
+    for radius in range(widest + 1):
+        probe = F.array(*(F.struct(F.lit(n).alias("part"), F.lit(w).alias("width"), part_of(F.col("query_code"), (at, w)).alias("own")) for n, (at, w) in enumerate(segments)))
+        probes = open_.select("query_code", "worst", F.explode(probe).alias("p")).select("query_code", "worst", "p.part", "p.width", "p.own")
+        probes = probes.join(F.broadcast(flips(spark, widest, radius)), F.expr("flip < shiftleft(1, width)"))
+        probes = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip", "width")
+        first = F.lit(True)
+        for n, s in enumerate(segments):
+            first = first & (F.bit_count(part_of(apart, s)) >= F.when(F.lit(n) < F.col("part"), radius + 1).otherwise(radius))
+        found = probes.join(parts, ["part", "value"]).filter(first & (distance <= F.col("worst")))
+        near = found.select("query_code", distance.cast("int").alias("distance"), F.explode("ids").alias("neighbor_id"))
         if best is not None:
-            near = near.unionByName(best).distinct()
-        best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        best = table_written(best, scratch_dir(spark))
-        sure = best.groupBy("query_id", "query_code").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
-        sure = sure.filter((F.col("n") >= want) & (F.col("worst") <= SEGMENTS * (radius + 1) - 1) | F.lit(radius == BITS))
-        done.append(best.join(sure.select("query_id", "query_code"), ["query_id", "query_code"], "left_semi"))
-        open_ = table_written(open_.join(sure, ["query_id", "query_code"], "left_anti").select("query_id", "query_code"), scratch_dir(spark))
-        best = best.join(sure, ["query_id", "query_code"], "left_anti").drop("rank")
-        if want == 0 or open_.isEmpty():
+            near = near.unionByName(best)
+        best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).drop("rank")
+        best = scratch.save(best)
+        state = open_.join(best.groupBy("query_code").agg(F.count("*").alias("n"), F.max("distance").alias("far")), "query_code", "left")
+        state = scratch.save(state.select("query_code", F.when(F.col("n") > k, F.col("far")).otherwise(BITS).cast("int").alias("worst")))
+        sure = (F.col("worst") < m * (radius + 1)) | F.lit(radius == widest)
+        done.append(best.join(state.filter(sure).select("query_code"), "query_code", "left_semi"))
+        open_ = state.filter(~sure)
+        if open_.isEmpty():
             break
+        best = best.join(open_.select("query_code"), "query_code", "left_semi")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("query_id", "rank", "neighbor_id", F.col("distance").cast("int").alias("distance"))
+    lists = out.groupBy("query_code").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
+    others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("query_id")), 1, k)
+    ranked = asked.join(lists, "query_code").select("query_id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.neighbor_id").alias("neighbor_id"), F.col("x.distance").alias("distance"))
 
 
 def hamming_neighbors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 10) -> DataFrame:
-    """Sign codes of ``vectors``, and for every row whose id is divisible by ``every`` its k nearest rows."""
+    """Sign codes of ``vectors``, and for every row whose id is divisible by ``every`` its k nearest rows.
+
+    Null or empty vectors have no code; a null component counts as not above 0.  See ``search_codes``.
+    """
     codes = vectors.select(F.col(id).alias("id"), sign_code(vector).alias("code"))
     return search_codes(codes, codes.filter(F.col("id") % every == 0), k)
 
 
 HAMMING_SQL = """
-WITH codes AS (
-  SELECT DISTINCT vec_id AS id, CAST(list_aggregate(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END), 'sum') AS HUGEINT) AS code
+WITH bits AS (
+  SELECT vec_id AS id, list_aggregate(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INTEGER) ELSE CAST(0 AS HUGEINT) END), 'sum') AS b
   FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), codes AS (
+  SELECT id, CAST(min(CASE WHEN b >= 9223372036854775808 THEN CAST(b AS HUGEINT) - 18446744073709551616 ELSE CAST(b AS HUGEINT) END) AS BIGINT) AS code FROM bits GROUP BY id
 ), pairs AS (
   SELECT q.id AS query_id, c.id AS neighbor_id, bit_count(xor(q.code, c.code)) AS distance
   FROM codes q JOIN codes c ON c.id <> q.id WHERE q.id % 50 = 0

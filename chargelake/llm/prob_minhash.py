@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import scratch_dir, small_batches, table_written
+from .util import Scratch, bounded_batches, small_batches
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -26,16 +26,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of word windows with weights 1 + ln(count).  Words: runs between space and \\x09-\\x0D, in lower case."""
 
-    def __init__(self, words: int = 5, limit: int = 500_000):
-        self.words, self.limit, self.known = words, limit, {}
+    def __init__(self, words: int = 5, limit: int = 4_000_000):
+        self.words, self.limit, self.known, self.held = words, limit, {}, 0
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """A text with fewer words than a window is one shingle; one without words has none."""
         found = (text or "").lower().encode().split()
         if not found:
             return np.zeros(0, np.uint64), np.zeros(0)
-        if len(self.known) > self.limit:
+        if self.held > self.limit:  # bytes of remembered words
             self.known.clear()
+            self.held = 0
         known, hashed = self.known, xxhash.xxh3_64_intdigest
         try:
             ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
@@ -43,6 +44,7 @@ class Shingler:
             for w in found:
                 if w not in known:
                     known[w] = hashed(w)
+                    self.held += len(w)
             ids = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         size = min(self.words, len(ids))
         windows = np.zeros(len(ids) - size + 1, np.uint64)
@@ -90,7 +92,11 @@ def band_keys(winner: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
-    """``doc_id, node, bands``: node is the md5 of the whole text (null without words), bands its keys."""
+    """``doc_id, node, bands``: node is the md5 of the whole text (null without words), bands its keys.
+
+    A text that repeats shingles has its keys twice, by their weights and with equal ones: so texts that are alike by their
+    probability Jaccard meet, and those that are alike as sets.  For all others both are the same.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -100,9 +106,17 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
                 found = [shingler.of(s) for s in part.column("text").to_pylist()]
                 doc = np.repeat(np.arange(len(found)), [len(s) for s, _ in found])
                 shingles, weights = (np.concatenate(x) for x in zip(*found, strict=True))
-                keys = band_keys(prob_minhash(shingles, weights, doc, len(found), bands * rows), bands)
+                keys = list(band_keys(prob_minhash(shingles, weights, doc, len(found), bands * rows), bands))
+                again = [n for n, (_, w) in enumerate(found) if (w > 1).any()]
+                if again:
+                    sets = [found[n][0] for n in again]
+                    doc = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+                    shingles = np.concatenate(sets)
+                    equal = band_keys(prob_minhash(shingles, np.ones(len(shingles)), doc, len(sets), bands * rows), bands)
+                    for n, more in zip(again, equal, strict=True):
+                        keys[n] = np.union1d(keys[n], more)
                 has = np.array([len(s) > 0 for s, _ in found])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
                 node = part.column("node").to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([x if h else None for x, h in zip(node, has, strict=True)], pa.binary()), flat],
@@ -208,23 +222,39 @@ def links_between(a: list[dict], b: list[dict], threshold: float) -> list[tuple[
     return list(found.values())
 
 
-def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Links (a, b) between nodes of different classes in unsettled buckets: ``key, node, label``.
+#: Members of a bucket that share a salt: a bucket with many is spread over many tasks.
+SALTED = 256
+
+
+def salt() -> F.Column:
+    """Which part of its bucket a member (node, n) is in."""
+    return F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SALTED)).cast("int").alias("salt")
+
+
+def salts() -> F.Column:
+    """All parts of a bucket of n members."""
+    return F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALTED).cast("int") - 1)).alias("salt")
+
+
+def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, block: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes of different classes in unsettled buckets: ``key, salt, node, label``.
 
     Buckets that share nodes form groups, so that no two nodes meet once per bucket.  The nodes of a group are dealt
     into blocks of about ``block``, and each two blocks of a group are one row of work: the rows are few, a task
     holds two blocks at a time, and the blocks of a large group spread over all tasks.
     """
     spark = rest.sparkSession
-    least = rest.groupBy("key").agg(F.min("node").alias("least"))
-    edges = rest.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(edges).withColumnRenamed("label", "grp")
+    near = rest.groupBy("key", "salt").agg(F.min("node").alias("near"))
+    least = near.groupBy("key").agg(F.min("near").alias("least"))
+    edges = rest.join(near, ["key", "salt"]).select(F.col("node").alias("a"), F.col("near").alias("b"))
+    edges = edges.unionByName(near.join(least, "key").select(F.col("near").alias("a"), F.col("least").alias("b")))
+    groups = components(edges, scratch).withColumnRenamed("label", "grp")
     nodes = rest.select("node", "label").distinct().join(groups, "node")
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"))
     nodes = nodes.join(sizes, "grp").withColumn("n_blocks", F.ceil(F.col("size") / block))
     nodes = nodes.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     full = nodes.join(shingles, "node").groupBy("grp", "blk", "n_blocks").agg(F.collect_list(F.struct("node", "label", "shingles", "weights")).alias("rows"))
-    blocks = table_written(full, scratch_dir(spark))
+    blocks = scratch.save(full)
     left = blocks.select("grp", F.col("rows").alias("x"), F.explode(F.sequence(F.col("blk"), F.col("n_blocks").cast("int") - 1)).alias("blk"))
     work = left.join(blocks.select("grp", "blk", F.col("rows").alias("y")), ["grp", "blk"])
 
@@ -236,17 +266,16 @@ def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, b
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
 
     with small_batches(spark, 4):
-        return table_written(work.select("x", "y").mapInArrow(compared, "a binary, b binary"), scratch_dir(spark))
+        return scratch.save(work.select("x", "y").mapInArrow(compared, "a binary, b binary"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` for every node of the edges (a, b): the smallest node it is connected with.
 
     Large-star and small-star steps alternate until no edge changes; each step is a grouped minimum and a join, and
     their result is written before the next two.  Only a count and checksums of the edges reach the driver.
     """
-    spark = edges.sparkSession
-    now = table_written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), scratch_dir(spark))
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -254,7 +283,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # b > a >= m
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.withColumnRenamed("m", "b"))
-        now = table_written(small.distinct(), scratch_dir(spark))
+        now = scratch.save(small.distinct(), "edges")
+        scratch.clean()
         before, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if mark == before:
             break
@@ -263,92 +293,109 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 1, block: int = 256
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 6, block: int = 256
 ) -> DataFrame:
-    """``doc_id, class_id, node, class_node``: one row for each row of ``docs`` (doc_id, text).
+    """``doc_id, class_id, n_links, link_id, node, class_node``: one row for each row of ``docs`` (doc_id, text).
 
     Documents are linked where the probability Jaccard of their weighted ``words``-word shingles, or the Jaccard of the shingle
     sets, is at least ``threshold``; classes are the connected components, named by their smallest doc_id.  node is
-    the md5 of the text: exact copies are one node; class_node is the smallest of the class.  Candidates share a band of the signature; a pair at 0.8 does
-    so with a probability over 0.99999.
+    the md5 of the text: exact copies are one node; class_node is the smallest of the class.  n_links counts the verified
+    links of the text to other texts, link_id is the smallest doc_id of one such text (null without): every class is held
+    together by its verified links, though not every two of its texts have been compared.  Candidates share a band of a
+    signature, by weights or by sets; a pair at 0.8 by either does so with a probability over 0.99999.
 
     No bucket is turned into all its pairs.  Buckets of up to ``small_bucket`` nodes are compared in full (a constant
-    number of pairs each).  In larger ones classes are first joined cheaply: in each of ``cheap_rounds`` a member
-    is compared with one node, the smallest of the random pivots of its buckets that isn't of its class.
+    number of pairs each).  In larger ones classes are first joined cheaply: in each round a member
+    is compared with one node, the smallest of the random pivots of its buckets that isn't of its class; rounds go on while
+    they settle a quarter of what is left, ``cheap_rounds`` at most.
     Buckets with one class left are done.  What is left, nodes near the threshold that few links hold together, is
     compared in full and in blocks (``compared_in_blocks``).  So every two members of a bucket have been compared
     or have ended up in one class: no candidate is dropped, and there is no cap.
 
     Null, empty and white-space texts: alone (class_id their own id, node null).  Null ids: the class of their text;
     class_id is null only if all ids of the class are.  Repeated rows: one row each, the same class.
-    Texts shorter than a window: one shingle.  Empty table: no rows.  Other columns are dropped.
+    Texts shorter than a window: one shingle.  Very long texts: whole.  Empty table: no rows.  Other columns are dropped.
     """
-    with small_batches(docs.sparkSession):
-        return classes_of(docs.select("doc_id", "text"), words, threshold, bands, rows, small_bucket, cheap_rounds, block)
+    bounded_batches(docs.sparkSession)
+    return classes_of(docs.select("doc_id", "text"), words, threshold, bands, rows, small_bucket, cheap_rounds, block)
 
 
 def classes_of(
     docs: DataFrame, words: int, threshold: float, bands: int, rows: int, small_bucket: int, cheap_rounds: int, block: int
 ) -> DataFrame:
-    """The steps of ``near_duplicates``; all but the last joins are run here."""
-    spark = docs.sparkSession
-    save = lambda df: table_written(df, scratch_dir(spark))
-    signed = save(signatures(docs, bands, rows, words))
+    """The steps of ``near_duplicates``; all but the last joins are run here, and tables of earlier steps are deleted."""
+    scratch = Scratch(docs.sparkSession)
+    save = scratch.save
+    signed = save(signatures(docs, bands, rows, words), "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = save(nodes)
+    nodes = save(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
-    members = save(keyed.join(full, "key"))  # key, node, n, least
+    members = save(keyed.join(full, "key").withColumn("salt", salt()), "members")  # key, node, n, least, salt
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("first_id")), "node")
     text_of = docs.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     picked = text_of.join(wanted, (text_of["node"] == wanted["node"]) & text_of["doc_id"].eqNullSafe(wanted["first_id"]))
     picked = picked.select(text_of["node"], "text").dropDuplicates(["node"])
-    shingles = save(shingle_table(picked, words))
+    shingles = save(shingle_table(picked, words), "shingles")
 
     few = members.filter(F.col("n") <= small_bucket).select("key", "node")
     all_pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    rest = members.filter(F.col("n") > small_bucket).select("key", "node", "n")
+    rest = members.filter(F.col("n") > small_bucket).select("key", "node", "n", "salt")
     star = members.filter((F.col("n") > small_bucket) & (F.col("node") > F.col("least"))).groupBy("node").agg(F.min("least").alias("a"))
-    links = save(verified(star.select("a", F.col("node").alias("b")).unionByName(all_pairs).distinct(), shingles, threshold))
-    labels = save(components(links))
+    links = save(verified(star.select("a", F.col("node").alias("b")).unionByName(all_pairs).distinct(), shingles, threshold), "links")
+    labels = save(components(links, scratch), "labels")
 
     def unsettled(labels: DataFrame) -> DataFrame:
         """Members of large buckets in which more than one class is left, with their classes."""
         now = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        return save(now.join(keys, "key", "left_semi"))
+        keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n")).filter("lo <> hi")
+        return save(now.join(keys.select("key", salts()), ["key", "salt"], "left_semi"), "unsettled")
 
+    now = unsettled(labels)
+    left = now.count()
     for turn in range(cheap_rounds):
-        now = unsettled(labels)
-        if now.isEmpty():
+        if not left:
             break
-        one = now.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pairs = now.join(one, "key").filter("label <> p.label").groupBy("node").agg(F.min("p.node").alias("a"))
-        links = save(links.unionByName(verified(pairs.select("a", F.col("node").alias("b")), shingles, threshold)))
-        labels = save(components(links))
-    now = unsettled(labels)
-    if not now.isEmpty():
-        links = save(links.unionByName(compared_in_blocks(now, shingles, threshold, block)))
-        labels = save(components(links))
+        one = now.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"), F.first("n").alias("n"))
+        pairs = now.join(one.select("key", "p", salts()), ["key", "salt"]).filter("label <> p.label").groupBy("node").agg(F.min("p.node").alias("a"))
+        links = save(links.unionByName(verified(pairs.select("a", F.col("node").alias("b")), shingles, threshold)), "links")
+        labels = save(components(links, scratch), "labels")
+        now, before = unsettled(labels), left
+        left = now.count()
+        if left > 0.75 * before:
+            break
+    if left:
+        links = save(links.unionByName(compared_in_blocks(now, shingles, threshold, block, scratch)), "links")
+        labels = save(components(links, scratch), "labels")
 
     joined = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    joined = save(joined)
+    joined = save(joined, "joined")
     class_of = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    of_node = save(joined.join(class_of, "label").select("node", "class_id", F.col("label").alias("class_node")))
-    with_text = signed.filter("node is not null").select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "node", "class_node")
-    alone = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "node", F.lit(None).cast("binary").alias("class_node"))
+    both = links.distinct().unionByName(links.distinct().select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = joined.select(F.col("node").alias("b"), F.col("doc_id").alias("other"))
+    counts = both.distinct().join(other, "b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.min("other").alias("link_id"))
+    of_node = joined.join(class_of, "label").join(counts, "node", "left")
+    of_node = save(of_node.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "link_id", F.col("label").alias("class_node")), "classes")
+    scratch.clean("nodes", "members", "shingles", "links", "labels", "unsettled", "joined", "edges")
+    columns = ["doc_id", "class_id", "n_links", "link_id", "node", "class_node"]
+    with_text = signed.filter("node is not null").select("doc_id", "node").join(of_node, "node").select(*columns)
+    none = {"n_links": F.lit(0).cast("long"), "link_id": F.lit(None), "class_node": F.lit(None).cast("binary")}
+    alone = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "node").withColumns(none).select(*columns)
     return with_text.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays.
 
-    Of repeated rows (same id and text) one stays.  Rows without words all stay, as they belong to no class.
+    Of repeated rows (same id and text) one stays.  Rows without words all stay, as they belong to no class.  All columns
+    of ``docs`` stay, whatever their names.
     """
     rows = near_duplicates(docs, **options).filter("node is not null and doc_id <=> class_id")
-    first = rows.groupBy("class_node").agg(F.min("doc_id").alias("id_"), F.min("node").alias("node_")).drop("class_node")
-    text = docs.withColumn("node_of", F.unhex(F.md5(F.col("text").cast("binary"))))
+    free = lambda name: name if name not in docs.columns else free(name + "_")
+    own, of_id, of_node = free("node"), free("of_id"), free("of_node")
+    first = rows.groupBy("class_node").agg(F.min("doc_id").alias(of_id), F.min("node").alias(of_node)).drop("class_node")
+    text = docs.withColumn(own, F.unhex(F.md5(F.col("text").cast("binary"))))
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = text.filter(words).join(first, (F.col("node_of") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    kept = kept.dropDuplicates(["node_of", "doc_id"])
-    return kept.unionByName(text.filter(~words)).drop("node_of")
+    kept = text.filter(words).join(first, (F.col(own) == F.col(of_node)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
+    kept = kept.dropDuplicates([own, "doc_id"])
+    return kept.unionByName(text.filter(~words)).drop(own)

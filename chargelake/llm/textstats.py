@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .util import arrow_map
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_exclaim", "n_lines"]
@@ -63,4 +65,4 @@ def text_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False
                 [*(batch.column(c) for c in kept), *(pa.array(found[:, i]) for i in range(len(COUNTS)))], [*kept, *COUNTS]
             )
 
-    return docs.mapInArrow(counted, schema)
+    return arrow_map(docs, counted, schema)

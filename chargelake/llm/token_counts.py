@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import PRE_TOKEN, LibraryClasses, chunks_of, encoding_of, prove_single_tokens
-from .util import with_columns_last
+from .util import arrow_map, with_columns_last
 
 
 class ChunkCounts(dict):
-    """chunk -> number of tokens.  Emptied when it holds ``limit`` chunks."""
+    """chunk -> number of tokens.  Emptied when it holds ``limit`` characters; chunks over ``longest`` aren't kept."""
 
-    def __init__(self, path: str, singles: set[str], limit: int = 1_000_000):
+    def __init__(self, path: str, singles: set[str], limit: int = 8_000_000, longest: int = 64):
         super().__init__()
-        self.merge, self.singles, self.limit = encoding_of(path)._encode_single_piece, singles, limit
+        self.merge, self.singles, self.limit, self.longest, self.held = encoding_of(path)._encode_single_piece, singles, limit, longest, 0
 
     def __missing__(self, chunk: str) -> int:
         """Pre-tokens that are proved single count 1; only the others are merged."""
-        if len(self) >= self.limit:
-            self.clear()
-        n = self[chunk] = sum(1 if p in self.singles else len(self.merge(p.encode())) for p in PRE_TOKEN.findall(chunk))
+        n = sum(1 if p in self.singles else len(self.merge(p.encode())) for p in PRE_TOKEN.findall(chunk))
+        if len(chunk) <= self.longest:
+            if self.held >= self.limit:
+                self.clear()
+                self.held = 0
+            self[chunk] = n
+            self.held += len(chunk)
         return n
 
     def text(self, text: str) -> int:
@@ -38,7 +42,7 @@ def count_tokens(
     The counts are those of the tokenizers library's ``Tokenizer.from_file(tokenizer_path)`` without begin
     and end tokens; strings of special tokens inside a text count as that token, as there.
     The set of proved vocabulary strings is made once on the driver and broadcast: its size is bounded by
-    the vocabulary.  Null text: empty, 0 tokens.  Repeated rows, ties and null ids: each row has its own count.
+    the vocabulary.  Null text: empty, 0 tokens.  Very long texts are counted whole.  Repeated rows, ties and null ids: each row has its own count.
     Empty table: no rows.  Columns named like the results are renamed ``in_<name>``.
 
     tokenizer_path: must be readable at this path on every executor.
@@ -66,4 +70,4 @@ def count_tokens(
             columns.append(pa.array(map(tokens, texts), pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, [*kept, "n_bytes", "n_tokens"])
 
-    return docs.mapInArrow(counted, out).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    return arrow_map(docs, counted, out).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

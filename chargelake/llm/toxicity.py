@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,226 +13,220 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import doc_crc_mod, labelled_sample, with_columns_last
+from .util import arrow_map, doc_crc_mod, labelled_sample, with_columns_last
 
 WORD = re.compile(r"\w+")
-
-
-#: Words that start alike share a term as well: this many characters.
-STEM = 5
+#: Rows of queries scored together.
+TOGETHER = 64
 
 
 def terms_of(text: str | None) -> Counter:
-    """Words and, marked with ^, the starts of longer words, with their counts."""
-    words = Counter(WORD.findall((text or "").lower()))
-    stems: Counter = Counter()
-    for w, n in words.items():
-        if len(w) > STEM:
-            stems["^" + w[:STEM]] += n
-    words.update(stems)
-    return words
+    return Counter(WORD.findall((text or "").lower()))
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors, in blocks of examples, with the largest weight of each term in each block.
+    """Postings of unit vectors in blocks of examples, with the largest weight of each term in each block.
 
-    Only terms that occur in an example have a row; all others share row 0, which is empty.
+    Terms that more than ``dense`` of the examples hold have their postings as rows of a matrix; those of all other
+    terms are lists.  ``vectors``: term numbers and weights of each example.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64, dense: float = 0.05):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        terms = np.array([t for v in vectors for t in v], dtype=np.int64)
-        weights = np.array([w for v in vectors for w in v.values()], dtype=np.float64)
-        examples = np.repeat(np.arange(self.n), [len(v) for v in vectors])
-        present, terms = np.unique(terms, return_inverse=True)
-        self.row = np.zeros(n_terms, dtype=np.int64)
-        self.row[present] = np.arange(1, len(present) + 1)
-        terms, n_rows = terms + 1, len(present) + 1
+        width = self.n_blocks * block
+        sizes = [len(t) for t, _ in vectors]
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        examples = np.repeat(np.arange(self.n), sizes)
+        frequent = np.flatnonzero(np.bincount(terms, minlength=n_terms) > max(dense * self.n, 1))
+        self.place = np.full(n_terms, -1, dtype=np.int32)  # rows of the matrix
+        self.place[frequent] = np.arange(len(frequent))
+        at = self.place[terms]
+        self.matrix = np.zeros((len(frequent), width))
+        self.matrix[at[at >= 0], examples[at >= 0]] = weights[at >= 0]
+        self.top = self.matrix.reshape(len(frequent), self.n_blocks, block).max(axis=2) if self.n else np.zeros((len(frequent), 0))
+        terms, examples, weights = terms[at < 0], examples[at < 0], weights[at < 0]
         order = np.lexsort((examples, terms))
-        self.weights, self.examples, terms = weights[order], examples[order], terms[order]
-        cell = terms * self.n_blocks + self.examples // block
-        self.bounds = np.searchsorted(cell, np.arange(n_rows * self.n_blocks + 1))
-        self.top = np.zeros((n_rows, max(self.n_blocks, 1)))
-        np.maximum.at(self.top, (terms, self.examples // block), self.weights)
+        self.examples, self.weights = examples[order].astype(np.int32), weights[order]
+        self.starts = np.searchsorted(terms[order], np.arange(n_terms + 1)).astype(np.int64)
 
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine above 0 (ties: lower number first), and the cosines.
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples with the largest cosine above 0 (ties: lower number first), and the cosines.
 
-        Blocks are scored in the order of their bounds; once k examples are known and no block left can
-        reach the k-th cosine, the others are skipped.  A bound that equals it isn't skipped, because of ties.
+        The lists are added up for all blocks; on top of that comes, for each block, the bound of the matrix terms.  Blocks
+        are then scored in the order of those sums, 1, 2, 4, ... a round; a query is done once k examples are
+        known and no block left can reach the k-th cosine.  A block that could equal it is still scored, because of ties.
         """
-        if not query or not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms, weights = self.row[np.fromiter(query, np.int64)], np.fromiter(query.values(), np.float64)
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        found_e: list[np.ndarray] = []
-        found_s: list[np.ndarray] = []
-        kth, have = 0.0, 0
-        for b in order:
-            if bound[b] <= 0 or have >= k and bound[b] < kth - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.bounds[t * self.n_blocks + b], self.bounds[t * self.n_blocks + b + 1]
-                if hi > lo:
-                    score[self.examples[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            hit = np.flatnonzero(score > 0)
-            found_e.append(hit + b * self.block)
-            found_s.append(score[hit])
-            have += len(hit)
-            if have >= k:
-                every = np.concatenate(found_s)
-                kth = np.partition(every, len(every) - k)[len(every) - k]
-        if not found_e:
-            return np.zeros(0, np.int64), np.zeros(0)
-        examples, scores = np.concatenate(found_e), np.concatenate(found_s)
-        best = np.lexsort((examples, -np.round(scores, 12)))[:k]
-        return examples[best], scores[best]
+        if not self.n or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        rows, width = len(queries), self.n_blocks * self.block
+        of = np.repeat(np.arange(rows), [len(t) for t, _ in queries])
+        terms = np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weights = np.concatenate([w for _, w in queries])
+        at = self.place[terms]
+        head = np.zeros((rows, len(self.matrix)))
+        head[of[at >= 0], at[at >= 0]] = weights[at >= 0]
+        of, terms, weights = of[at < 0], terms[at < 0], weights[at < 0]
+        first, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        total = np.cumsum(length)
+        posting = np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - length), length)
+        cell = np.repeat(of, length) * width + self.examples[posting]
+        score = np.bincount(cell, weights=np.repeat(weights, length) * self.weights[posting], minlength=rows * width)
+        score = score.reshape(rows, self.n_blocks, self.block)
+        bound = score.max(axis=2) + head @ self.top
+        order = np.argsort(-bound, axis=1, kind="stable")
+        seen = np.full((rows, width), -1.0)
+        kth, live, done, step = np.zeros(rows), np.arange(rows), 0, 1
+        while len(live) and done < self.n_blocks:
+            chosen = order[live, done : done + step]
+            wanted = bound[live[:, None], chosen] >= kth[live][:, None] - 1e-9
+            for b in np.unique(chosen[wanted]):
+                q = live[(wanted & (chosen == b)).any(axis=1)]
+                seen[q, b * self.block : (b + 1) * self.block] = score[q, b] + head[q] @ self.matrix[:, b * self.block : (b + 1) * self.block]
+            done, step = done + step, step * 2
+            if self.n > k:
+                kth[live] = np.maximum(np.partition(seen[live], width - k, axis=1)[:, width - k], 0)
+            if done < self.n_blocks:
+                live = live[bound[live, order[live, done]] >= kth[live] - 1e-9]
+        out = []
+        for q in range(rows):
+            hit = np.flatnonzero(seen[q] > max(kth[q] - 1e-9, 1e-12))
+            best = hit[np.lexsort((hit, -np.round(seen[q, hit], 10)))][:k]
+            out.append((best, seen[q, best]))
+        return out
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
-    idf: np.ndarray  # one more than the vocabulary: the last is for all other words, as one term
-    index: BlockMaxIndex  # of the examples' distinct vectors
-    example_ids: list[int]  # the first example of each
-    size: np.ndarray  # how many examples have it
-    toxic: np.ndarray  # the share of toxic among them
+    vocabulary: dict[str, int]  # every term of the examples
+    weight: np.ndarray  # of each: inverse document frequency times relevance
     prior: float
-    slope: float
-    shift: float
     k: int
+    index: BlockMaxIndex = field(default_factory=lambda: BlockMaxIndex([], 0))
+    example_ids: list = field(default_factory=list)
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms that an example holds as well, in rising order, and how often the text has them."""
+        known = self.vocabulary
+        found = sorted((known[t], n) for t, n in terms_of(text).items() if t in known)
+        terms, counts = zip(*found, strict=True) if found else ((), ())
+        return np.array(terms, dtype=np.int64), np.array(counts, dtype=np.float64)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts)) * (self.weight[terms] if weight is None else weight)
+        norm = np.sqrt(v @ v)
+        return (terms, v / norm) if norm > 0 else (terms[:0], v[:0])
+
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]], leave_out: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The k nearest examples vote with their cosine, besides one vote of the prior; those examples as evidence."""
+        shares, evidence = np.empty(len(queries)), []
+        for q, (found, cosines) in enumerate(self.index.nearest(queries, self.k + (leave_out is not None))):
+            if leave_out is not None:
+                keep = found != leave_out[q]
+                found, cosines = found[keep][: self.k], cosines[keep][: self.k]
+            shares[q] = (cosines @ self.toxic[found] + self.prior) / (cosines.sum() + 1)
+            evidence.append(found)
+        return shares, evidence
+
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * np.log(votes / (1 - votes)) + self.shift)))
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = float(np.sqrt(sum(w * w for w in v.values())))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Counts of the vocabulary's terms and, under the number after the last, of all other words together."""
-        known, found, others = self.vocabulary, {}, 0
-        for term, n in terms_of(text).items():
-            if term in known:
-                found[known[term]] = n
-            elif term[0] != "^":
-                others += n
-        if others:
-            found[len(known)] = others
-        return found
-
-    def vote(self, query: dict[int, float], leave_out: int = -1, left_toxic: float = 0.0) -> tuple[float, np.ndarray]:
-        """The k nearest examples vote with their cosine, besides one vote of the prior; the vectors as evidence.
-
-        leave_out: a vector from which one example, of the kind left_toxic, is taken away.
-        """
-        found, cosines = self.index.nearest(query, self.k + 1)
-        size, share = self.size[found].astype(float), self.toxic[found].copy()
-        mine = found == leave_out
-        share[mine] = np.where(size[mine] > 1, (share[mine] * size[mine] - left_toxic) / np.maximum(size[mine] - 1, 1), 0)
-        size[mine] -= 1
-        before = np.cumsum(size) - size
-        weight = cosines * np.clip(self.k - before, 0, size)
-        return float((weight @ share + self.prior) / (weight.sum() + 1)), found
 
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary occurs; the number of documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        seen = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            for s in batch.column("text").to_pylist():
+                seen[[known[t] for t in set(WORD.findall((s or "").lower())) if t in known]] += 1
+                seen[-1] += 1
+        term = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(seen[term])], ["term", "n"])
 
-def toxic_terms(docs: DataFrame, labels: DataFrame, lift: float, least_chi2: float) -> list[str]:
-    """Terms whose documents are toxic ``lift`` times as often as all, with a chi-square over ``least_chi2``.
+    rows = arrow_map(docs.select("text"), counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(vocabulary) + 1, np.int64)
+    seen[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return seen[:-1], int(seen[-1])
 
-    Counted over the documents of all ``labels``, however many, and none of the terms is left out.
-    """
-    labelled = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("target_"))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for s, y in zip(batch.column("text").to_pylist(), batch.column("target_").to_pylist(), strict=True):
-                seen[y].update(terms_of(s).keys())
-            terms = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), *(pa.array([seen[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "bad", "good"]
-            )
-
-    total = {r["target_"]: r["count"] for r in docs.select("doc_id").join(labelled, "doc_id").groupBy("target_").count().collect()}
-    if len(total) < 2:
-        return []
-    counts = docs.select("doc_id", "text").join(labelled, "doc_id").select("text", "target_").mapInArrow(counted, "term string, bad long, good long")
-    counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    b, g = float(total[1]), float(total[0])
-    n, with_term = F.lit(b + g), F.col("bad") + F.col("good")
-    cross = F.col("bad") * g - F.col("good") * b
-    chi2 = n * cross * cross / (with_term * (n - with_term) * b * g)
-    found = counts.filter(with_term < n).withColumn("chi2", chi2)
-    found = found.filter((F.col("bad") / with_term >= lift * b / (b + g)) & (F.col("chi2") >= least_chi2))
-    return [r["term"] for r in sorted(found.select("term", "chi2").collect(), key=lambda r: (-r["chi2"], r["term"]))]
+def relevance(bad: np.ndarray, good: np.ndarray, prior: float, strength: float, least: float) -> np.ndarray:
+    """``least`` plus how far the odds of a term's examples being toxic lie from the prior's, as a log ratio.
 
+    bad and good count the toxic and clean examples with the term; ``strength`` further examples with the prior's
+    share stand for what a few examples can't tell.
+    """
+    odds = (bad + strength * prior) / (good + strength * (1 - prior))
+    return least + np.abs(np.log(odds * (1 - prior) / prior))
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each word of the vocabulary occurs; the number of documents."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for s in batch.column("text").to_pylist():
-                seen.update(vocabulary.keys() & terms_of(s).keys())
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    rows = docs.select("text").mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(vocabulary)), 0
-    for r in rows:
-        if r["term"] == "":
-            n = r["n"]
-        else:
-            df[vocabulary[r["term"]]] = r["n"]
-    return df, n
-
-
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, sample: int = 8_000, k: int = 16, lift: float = 3.0, least_chi2: float = 24.0, other_idf: float = 0.5
-) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8_000, k: int = 16, strength: float = 20.0, least: float = 0.1) -> ToxicityModel:
     """Examples from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 isn't 0.
 
-    The vocabulary is all words and starts of words that mark toxic texts among all such rows, not only the sampled ones;
-    all other words count as one term of weight ``other_idf``.  Document frequencies are those of all ``docs``.  Only texts and the label ``toxic`` are read.  The votes of examples left out one at a time give the
-    calibration.  Without both kinds of labels every score is the prior (0.5 without labels).
+    A term is a run of word characters in lower case.  Every term of every example counts, none is left out; its weight is (1 + ln
+    count) times the inverse of its document frequency among all ``docs`` times its relevance.  With ``strength`` = inf
+    relevance is the same for all terms, and the vectors are those of plain TF-IDF.  Terms that no example has lie outside the space of
+    the vectors.  Each example's votes, without itself and with relevance counted without it, give the calibration.
+
+    Only texts and the label ``toxic`` are read.  Without both kinds of labels every score is the prior (0.5 without labels).
     """
     train = labels.filter(doc_crc_mod("doc_id", 5) != 0)
-    chosen = labelled_sample(docs.select("doc_id", "text"), train, "toxic", sample)
-    vocabulary = {t: i for i, t in enumerate(toxic_terms(docs, train, lift, least_chi2))}
-    df, n = document_frequencies(docs, vocabulary) if vocabulary else (np.zeros(0), 0)
-    model = ToxicityModel(vocabulary, np.append(np.log((1 + n) / (1 + df)) + 1, other_idf), BlockMaxIndex([], 0), [], np.zeros(0), np.zeros(0), 0.5, 1.0, 0.0, k)
+    chosen = labelled_sample(docs, train, "toxic", sample)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.counts(s) for s in batch.column("text").to_pylist()]
+            found = [terms_of(s) for s in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("target_"),
-                    pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
+                    pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())),
                 ],
                 ["doc_id", "target_", "terms", "counts"],
             )
 
-    small = chosen.select("doc_id", "target_", "text").mapInArrow(vectors, "doc_id long, target_ double, terms array<int>, counts array<int>")
-    rows = sorted(small.collect(), key=lambda r: (r["doc_id"], r["terms"], r["counts"], r["target_"]))
-    if not rows:
-        return model
-    y = np.array([r["target_"] for r in rows])
-    model.prior = float((y.sum() + 0.5) / (len(y) + 1))
-    queries = [model.vector(dict(zip(r["terms"], r["counts"], strict=True))) for r in rows]
-    number: dict[tuple, int] = {}
-    of = np.array([number.setdefault(tuple((t, round(w, 9)) for t, w in q.items()), len(number)) for q in queries])
-    _, first = np.unique(of, return_index=True)
-    model.index = BlockMaxIndex([queries[i] for i in first], len(vocabulary) + 1)
-    model.example_ids, model.size = [rows[i]["doc_id"] for i in first], np.bincount(of)
-    model.toxic = np.bincount(of, weights=y) / model.size
+    schema = chosen.select("doc_id", "target_").schema.add("terms", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.IntegerType()))
+    rows = arrow_map(chosen.select("doc_id", "target_", "text"), termed, schema).toArrow()
+    order = rows.column("doc_id").combine_chunks()
+    rows = rows.take(pa.compute.sort_indices(order)) if len(rows) else rows
+    y = rows["target_"].to_numpy() if len(rows) else np.zeros(0)
+    prior = float((y.sum() + 0.5) / (len(y) + 1))
+    if not len(rows):
+        return ToxicityModel({}, np.zeros(0), prior, k)
+    lists = rows["terms"].combine_chunks()
+    names = lists.values.dictionary_encode()
+    vocabulary = {t: i for i, t in enumerate(names.dictionary.to_pylist())}
+    terms, counts = names.indices.to_numpy().astype(np.int64), rows["counts"].combine_chunks().values.to_numpy().astype(np.float64)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    df, n = document_frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    of = np.repeat(np.arange(len(y)), np.diff(bounds))
+    bad = np.bincount(terms, weights=y[of], minlength=len(vocabulary))
+    good = np.bincount(terms, minlength=len(vocabulary)) - bad
+    plain = np.isinf(strength)
+    model = ToxicityModel(vocabulary, idf * (1.0 if plain else relevance(bad, good, prior, strength, least)), prior, k)
+    parts = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        rising = np.argsort(terms[a:b])
+        parts.append((terms[a:b][rising], counts[a:b][rising]))
+    vectors = [model.vector(t, c) for t, c in parts]
+    # examples whose heaviest term is the same lie together, so that blocks have few large weights
+    heaviest = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors])
+    placed = np.lexsort((np.arange(len(y)), heaviest))
+    model.index = BlockMaxIndex([vectors[i] for i in placed], len(vocabulary))
+    ids = rows["doc_id"].to_pylist()
+    model.example_ids, model.toxic = [ids[i] for i in placed], y[placed]
     if 0 < y.sum() < len(y):
-        votes = np.array([model.vote(q, of[i], y[i])[0] for i, q in enumerate(queries)])
+        if not plain:  # each example as if it hadn't been counted
+            vectors = [model.vector(t, c, idf[t] * relevance(bad[t] - y[i], good[t] - 1 + y[i], prior, strength, least)) for i, (t, c) in enumerate(parts)]
+        where = np.empty(len(y), np.int64)
+        where[placed] = np.arange(len(y))
+        votes = np.concatenate([model.votes(vectors[lo : lo + TOGETHER], where[lo : lo + TOGETHER])[0] for lo in range(0, len(y), TOGETHER)])
         x = np.column_stack([np.log(votes / (1 - votes)), np.ones(len(votes))])
         w = np.array([1.0, 0.0])
         for _ in range(30):
@@ -246,32 +240,25 @@ def fit_toxicity(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score``, ``predicted`` (score >= 0.5) and ``evidence``: the nearest examples' ids.
 
-    The index is broadcast: it holds at most the sampled examples and vocabulary.  Null or empty texts,
-    without neighbours, get the prior.  Repeated rows and ties: each row
-    by itself, equal cosines in the order of the examples.  Empty table: no rows.  Clashing columns are renamed.
+    The index is broadcast: it holds at most the sampled examples.  Null or empty texts, and those without a term of an
+    example, have no neighbours and get the calibrated prior.  Very long texts count whole.  Null ids, repeated rows and ties:
+    each row by itself, equal cosines in the order of the examples.  Empty table: no rows.  Clashing columns are renamed.
     """
     docs = with_columns_last(docs, ["score", "predicted", "evidence"])
     kept = [c for c in docs.columns if c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*kept).schema.add("score", "double").add("evidence", T.ArrayType(T.LongType()))
+    id_type = T.StringType() if model.example_ids and isinstance(model.example_ids[0], str) else T.LongType()
+    schema = docs.select(*kept).schema.add("score", "double").add("evidence", T.ArrayType(id_type))
+    arrow_ids = pa.list_(pa.string() if isinstance(id_type, T.StringType) else pa.int64())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, plain = shared.value, None
-        for batch in batches:
-            scores, evidence = [], []
-            for s in batch.column(text).to_pylist():
-                counts = m.counts(s)
-                if len(counts) == 1 and len(m.vocabulary) in counts:  # all such texts have the same unit vector
-                    counts = {len(m.vocabulary): 1}
-                    plain = plain or m.vote(m.vector(counts))
-                    vote, found = plain
-                else:
-                    vote, found = m.vote(m.vector(counts))
-                scores.append(m.score(vote))
-                evidence.append([m.example_ids[e] for e in found[:5]])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], [*kept, "score", "evidence"]
-            )
-
-    out = docs.select(*kept, text).mapInArrow(scored, schema)
+        m = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(lo, TOGETHER)
+                votes, found = m.votes([m.vector(*m.counts(s)) for s in batch.column(text).to_pylist()])
+                evidence = [[m.example_ids[e] for e in f[:5]] for f in found]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(m.scores(votes)), pa.array(evidence, arrow_ids)], [*kept, "score", "evidence"])
+
+    out = arrow_map(docs.select(*kept, text), scored, schema)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

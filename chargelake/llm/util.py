@@ -12,14 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset (local tests) a temporary folder is taken and set.
+    Where that setting is unset a temporary folder is taken and set, but only on a local master; elsewhere no folder of
+    one machine would do, so this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="chargelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -31,22 +38,59 @@ def table_written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written for one run of an operator.  ``clean`` deletes those that no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def save(self, df: DataFrame, name: str = "") -> DataFrame:
+        """With a name, the table takes the place of an earlier one of that name at the next ``clean``."""
+        folder = scratch_dir(self.spark)
+        self.folders.setdefault(name or folder, []).append(folder)
+        return table_written(df, folder)
+
+    def clean(self, *names: str) -> None:
+        """Delete the tables with these names, the last table of any other repeated name stays."""
+        jvm = self.spark.sparkContext._jvm
+        for name, folders in self.folders.items():
+            while folders and (name in names or len(folders) > 1):
+                path = jvm.org.apache.hadoop.fs.Path(folders.pop(0))
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Lower the session's limits on Arrow batches to ``rows`` rows and ``megabytes``.
+
+    Texts are wide rows of very different lengths, and a Python worker holds a batch several times over; the
+    defaults (10,000 rows, 64 MB) are for narrow ones.  Spark reads these settings when a job starts, so they are set for
+    the session and stay; limits that are lower already are kept.
+    """
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+    now = spark.conf.get(BATCH_BYTES).rstrip("bB")
+    if not now.isdigit() or int(now) > megabytes << 20:
+        spark.conf.set(BATCH_BYTES, str(megabytes << 20))
+
+
 def arrow_map(
     df: DataFrame, batch_rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
 ) -> DataFrame:
+    """``mapInArrow`` in batches that fit texts."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(batch_rows, schema)
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs run inside: bounds a Python worker's memory where rows are wide."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), rows) if int(before) > 0 else rows)
+    """Arrow batches of at most ``rows`` rows for the jobs run inside."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, min(int(before), rows) if int(before) > 0 else rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def with_columns_last(df: DataFrame, added: list[str], prefix: str = "in_") -> DataFrame:
@@ -67,17 +111,23 @@ def doc_crc_mod(doc_id: str | F.Column, mod: int) -> F.Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, doc_id: str = "doc_id") -> DataFrame:
-    """Documents of at most ``limit`` labelled rows, with the label as ``target_``.
+def chosen_labels(labels: DataFrame, target: str, limit: int, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, target_`` of at most ``limit`` labelled ids; the bound makes a broadcast of them safe.
 
     Of all labels with an id and a value of 0 or 1 those with the smallest hashes of their id are taken, so the choice
-    doesn't depend on the order of rows.  The bound makes the broadcast of the chosen labels safe.
+    doesn't depend on the order of rows; of several labels of one id the largest counts.
     """
-    chosen = (
+    return (
         labels.filter(F.col(doc_id).isNotNull() & F.col(target).isin(0, 1))
         .groupBy(doc_id)
         .agg(F.max(target).cast("double").alias("target_"))
         .orderBy(F.xxhash64(doc_id), doc_id)
         .limit(limit)
     )
-    return docs.join(F.broadcast(chosen), doc_id)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, limit: int, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, text, target_``: one document for each of ``chosen_labels``, of several rows of an id the smallest text."""
+    chosen = F.broadcast(chosen_labels(labels, target, limit, doc_id))
+    found = docs.select(doc_id, "text").join(chosen, doc_id)
+    return found.groupBy(doc_id).agg(F.min("text").alias("text"), F.first("target_").alias("target_"))

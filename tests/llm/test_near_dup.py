@@ -5,7 +5,8 @@ from itertools import combinations
 
 import numpy as np
 
-from chargelake.llm.prob_minhash import Shingler, components, drop_near_duplicates, near_duplicates, prob_minhash, similarity
+from chargelake.llm.prob_minhash import Shingler, components, drop_near_duplicates, near_duplicates, prob_minhash, signatures, similarity
+from chargelake.llm.util import Scratch
 
 
 def brute_similarity(a, wa, b, wb):
@@ -72,7 +73,7 @@ def test_components(spark):
     for _ in label:
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {bytes(r["node"]): bytes(r["label"]) for r in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    got = {bytes(r["node"]): bytes(r["label"]) for r in components(spark.createDataFrame(edges, "a binary, b binary"), Scratch(spark)).collect()}
     assert got == {x: m for x, m in label.items() if x in got} and all(x in got for a, b in edges if a != b for x in (a, b))
 
 
@@ -97,11 +98,12 @@ def test_hot_groups_and_edge_rows(spark, docs_of):
         rows.append((i, " ".join(copy)))
     shared = " ".join(rng.choice(words) for _ in range(60))  # a passage in many otherwise different texts
     rows += [(i, shared + " " + " ".join(rng.choice(words) for _ in range(40))) for i in range(140, 200)]
+    rows += [(207, " ".join(rng.choice(words) for _ in range(40_000)))]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "one"), (204, "ONE"), (205, "two words"), (205, "two words"), (None, "two words"), (None, None), (None, "nobody has an id"), (206, " ".join(base * 50))]
     docs = docs_of(rows)
     got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_duplicates(docs, small_bucket=4, block=20).collect())
     assert got == want_of(rows)
-    extra = docs.selectExpr("*", "1 as node", "'a' class_id", "2 as label", "3 as key")
+    extra = docs.selectExpr("*", "1 as node", "'a' class_id", "2 as label", "3 as key", "4 as id_", "5 as node_", "6 as node_of", "7 as of_id", "8 as of_node")
     assert near_duplicates(extra, small_bucket=4, cheap_rounds=0, block=16).count() == len(rows)
     kept = drop_near_duplicates(extra).collect()
     assert set(kept[0].asDict()) == set(extra.columns)
@@ -110,3 +112,30 @@ def test_hot_groups_and_edge_rows(spark, docs_of):
     assert len(with_words) == len({of[t] for t in with_words}) == len(set(of.values()))
     assert sum(r["text"] not in of for r in kept) == sum(t not in of for _, t in rows)
     assert near_duplicates(docs.filter("false")).count() == 0 and drop_near_duplicates(docs.filter("false")).count() == 0
+
+
+def test_links_hold_classes_together(spark, table):
+    """Links are verified pairs: as many as the counts say, and without other links every class is connected."""
+    rows = near_duplicates(table("documents", "0.01")).collect()
+    text = {r["doc_id"]: r["text"] for r in table("documents", "0.01").collect()}
+    shingler = Shingler()
+    size = {}
+    for r in rows:
+        size.setdefault(r["class_id"], set()).add(bytes(r["node"] or b""))
+    for r in rows:
+        assert (r["n_links"] > 0) == (r["link_id"] is not None) == (len(size[r["class_id"]]) > 1)
+        if r["link_id"] is not None:
+            assert max(similarity(*shingler.of(text[r["doc_id"]]), *shingler.of(text[r["link_id"]]))) >= 0.8 - 1e-6
+
+
+def test_texts_alike_as_sets_meet(spark, docs_of):
+    """Half of the second text is said 50 times: set Jaccard near 1, probability Jaccard well below the threshold."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(20):
+        half = [[f"t{n}w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2)]
+        rows += [(2 * n, " ".join(half[0] + half[1])), (2 * n + 1, " ".join(half[0] + half[1] * 50))]
+    keys = {r["doc_id"]: set(r["bands"]) for r in signatures(docs_of(rows), 32, 5, 5).collect()}
+    assert all(keys[2 * n] & keys[2 * n + 1] for n in range(20)) and len(keys[1]) > len(keys[0]) == 32
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_duplicates(docs_of(rows)).collect())
+    assert got == want_of(rows) and len({c for _, c in got}) == 20

@@ -37,6 +37,24 @@ def test_stages(spark, table):
     assert zlib.crc32(b"") == 0 and {p["doc_id"] for p in pieces} == before.keys()
 
 
+def test_edge_rows_and_further_columns(spark, tmp_path, docs_of):
+    """Null and empty texts, repeated rows, ids without labels, and columns whose names the operators use."""
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    rows = [(1, None), (2, ""), (3, " \n"), (4, good), (4, good), (None, good), (None, None), (5, good + " more"), (6, "x " * 30_000), (7, " ".join(f"other{i}" for i in range(60)))]
+    docs = docs_of(rows).selectExpr("*", "'a' as kept", "1 as node", "2 as id_", "3 as n_words", "4 as `odd.name`", "5 as more_", "6 as quality_p")
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+        assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+        if name == "near_dedup":
+            left = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+            assert left == sorted([("1", ""), ("2", ""), ("3", " \n"), ("None", ""), ("4", good), ("6", "x " * 30_000), ("7", rows[-1][1])])
+        if name == "quality_rules":
+            assert {r["doc_id"] for r in out.collect()} <= {4, 5, 7, None} and out.filter("text is null").count() == 0
+
+
 def test_run_and_its_empty_input(spark, table, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     for name in ("documents", "labels"):
