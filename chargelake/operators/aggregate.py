@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 #: Percentiles of scenario tables.
 BANDS = {"p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 
@@ -44,7 +46,7 @@ def hourly_profile(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def scenario_bands(df: DataFrame, value: str, keys: list[str], bands: dict[str, float] = BANDS) -> DataFrame:
-    """Mean and exact percentiles over scenarios for each key."""
+    """Mean and exact percentiles over scenarios for each key; a key has as many values as scenarios."""
     at = F.percentile(value, F.array(*(F.lit(q) for q in bands.values())))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), at.alias("q_")).select(*keys, "mean", *(F.col("q_")[i].alias(n) for i, n in enumerate(bands)))
 
@@ -90,7 +92,7 @@ def panel(df: DataFrame, freq: str = "D", metric: str = "energy_kwh", fill: floa
     """Long panel date x department.  mode calendar: only dates that no department has are filled; all: every hole."""
     have = aggregate_by_department(df, freq, metric)
     dates = date_spine(have) if freq == "D" else have.select("date").distinct()
-    grid = dates.crossJoin(F.broadcast(have.select("department").distinct()))  # departments are a small dimension
+    grid = dates.crossJoin(have.select("department").distinct())  # the panel itself: every date of every department
     seen = have.select("date", F.lit(True).alias("seen_")).distinct()
     out = grid.join(have, ["date", "department"], "left").join(seen, "date", "left")
     hole = F.col(metric).isNull() & (F.col("seen_").isNull() if mode == "calendar" else F.lit(True))
@@ -104,12 +106,12 @@ def daily_counts(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def summary_stats(df: DataFrame, features: tuple[str, ...] = ("duration", "energy", "power_kw")) -> DataFrame:
     long = df.select(*features).unpivot([], list(features), "feature", "value")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = percentiles(long, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     out = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q_"),
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), (100.0 * F.count_if(F.col("value").isNull()) / F.count("*")).alias("missing_pct"),
     )
-    return out.select("feature", "count", "mean", "std", "min", *(F.col("q_")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "max", "missing_pct")
+    return out.join(q, "feature", "left").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "missing_pct")
 
 
 def context_rates(df: DataFrame, by: list[str], least: int = 10) -> DataFrame:

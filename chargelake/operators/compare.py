@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def aligned(a: DataFrame, b: DataFrame, ts: str = "ts") -> DataFrame:
     """Both values at the timestamps that both have."""
@@ -13,7 +15,8 @@ def aligned(a: DataFrame, b: DataFrame, ts: str = "ts") -> DataFrame:
 
 def rescaled_to_median(df: DataFrame, value: str, target: DataFrame, target_value: str) -> DataFrame:
     """``value`` times the ratio of the medians."""
-    m = df.agg(F.percentile(value, F.lit(0.5)).alias("m_")).join(F.broadcast(target.agg(F.percentile(target_value, F.lit(0.5)).alias("t_"))))
+    middle = lambda t, c, name: percentiles(t.select(F.lit(1).alias("all_"), F.col(c).alias("v_")), ["all_"], "v_", {name: 0.5}).drop("all_")
+    m = middle(df, value, "m_").join(F.broadcast(middle(target, target_value, "t_")))
     return df.join(F.broadcast(m)).withColumn("rescaled", F.col(value) * F.try_divide(F.col("t_"), F.col("m_"))).drop("m_", "t_")
 
 
@@ -24,10 +27,12 @@ def mean_of_means(df: DataFrame, value: str, inner: list[str], outer: list[str])
 
 def series_summary(df: DataFrame, by: str, value: str = "value", ts: str = "ts", reference: str | None = None) -> DataFrame:
     """Mean, median, maximum, the hour at which days peak most often (ties: the earliest), TWh a year, bias in percent."""
-    out = df.groupBy(by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"), (F.avg(value) * 8760 / 1e9).alias("annual_twh"))
+    out = df.groupBy(by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), (F.avg(value) * 8760 / 1e9).alias("annual_twh"))
+    out = out.join(percentiles(df, [by], value, {"median": 0.5}), by, "left")
     top = df.withColumn("d_", F.to_date(ts)).groupBy(by, "d_").agg(F.max(value).alias("top_"))
     peaks = df.withColumn("d_", F.to_date(ts)).join(top, [by, "d_"]).filter(F.col(value) == F.col("top_"))
     out = out.join(peaks.groupBy(by).agg(F.mode(F.hour(ts), True).alias("peak_hour")), by)
+    out = out.select(by, "mean", "median", "max", "annual_twh", "peak_hour")
     if reference is None:
         return out
     base = out.filter(F.col(by) == reference).select(F.col("mean").alias("r_"))

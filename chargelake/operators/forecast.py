@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import count_of, growth, normal, season, uniform
+from .ranks import numbered
 
 
-def days_from(df: DataFrame, start: str, horizon: int) -> DataFrame:
-    """Each row of ``df`` for every day of the horizon."""
-    day = F.lit(start).cast("date")
+def days_from(df: DataFrame, start: str | Column, horizon: int) -> DataFrame:
+    """Each row of ``df`` for every day of the horizon; start: a day, or a column of ``df`` with one."""
+    day = (start if isinstance(start, Column) else F.lit(start)).cast("date")
     return df.withColumn("date", F.explode(F.sequence(day, F.date_add(day, horizon - 1))))
 
 
-def persistence_forecast(counts: DataFrame, n_weeks: int, start: str, horizon: int, by: tuple[str, ...] = (), most_weeks: int = 52) -> DataFrame:
+def persistence_forecast(counts: DataFrame, n_weeks: int, start: str | Column, horizon: int, by: tuple[str, ...] = (), most_weeks: int = 52) -> DataFrame:
     """The count of the same weekday ``n_weeks`` before; where there is none, of the nearest week before that (up to
     ``most_weeks``); else the mean.
 
@@ -30,6 +31,11 @@ def persistence_forecast(counts: DataFrame, n_weeks: int, start: str, horizon: i
     return best.select(*by, "date", count_of(F.coalesce("n_", "mean_")).alias("n_sessions"))
 
 
+def with_holidays(df: DataFrame, holidays: DataFrame, flag: str = "holiday") -> DataFrame:
+    """``df`` with a flag 1 on the dates of ``holidays``, else 0."""
+    return df.join(holidays.select("date", F.lit(1).alias(flag)).distinct(), "date", "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+
+
 def normal_forecast(counts: DataFrame, start: str, horizon: int, by: tuple[str, ...] = (), z: float = 1.2816) -> DataFrame:
     """Mean of the group's counts, and the band of a normal distribution; never below 0."""
     level = counts.groupBy(*by).agg(F.avg("n_sessions").alias("mean"), F.coalesce(F.stddev_samp("n_sessions"), F.lit(0.0)).alias("std"))
@@ -44,6 +50,21 @@ def scenario_counts(forecast: DataFrame, n_scenarios: int, by: tuple[str, ...] =
     return each.withColumn(value, count_of(F.col(value) + spread * normal(F.lit(seed), *by, "date", "scenario")))
 
 
+def normal_scenarios(counts: DataFrame, start: str, horizon: int, n_scenarios: int, by: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """Draws of the group's normal distribution for each day and scenario: ``by, date, scenario, n_sessions``."""
+    level = counts.groupBy(*by).agg(F.avg("n_sessions").alias("mean_"), F.coalesce(F.stddev_samp("n_sessions"), F.lit(0.0)).alias("std_"))
+    days = days_from(level, start, horizon).withColumnRenamed("mean_", "n_sessions")
+    return scenario_counts(days, n_scenarios, by, F.col("std_"), seed).drop("std_").select(*by, "date", "scenario", "n_sessions")
+
+
+def persistence_scenarios(counts: DataFrame, n_weeks: int, start: str, horizon: int, n_scenarios: int, by: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
+    """Same-weekday persistence with noise of 3 % of the group's standard deviation, at least 0.1."""
+    spread = counts.groupBy(*by).agg(F.greatest(0.03 * F.coalesce(F.stddev_samp("n_sessions"), F.lit(0.0)), F.lit(0.1)).alias("std_"))
+    days = persistence_forecast(counts, n_weeks, start, horizon, by)
+    days = days.join(spread, list(by)) if by else days.join(F.broadcast(spread))  # one row without groups
+    return scenario_counts(days, n_scenarios, by, F.col("std_"), seed).select(*by, "date", "scenario", "n_sessions")
+
+
 def department_forecast(daily: DataFrame, start: str, horizon: int = 30, value: str = "energy_kwh", min_obs: int = 60, z: float = 1.2816, holidays: DataFrame | None = None) -> DataFrame:
     """All departments in one job: log1p of the value as a linear trend plus a weekday effect (and a holiday effect).
 
@@ -53,7 +74,7 @@ def department_forecast(daily: DataFrame, start: str, horizon: int = 30, value:
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
     rows = daily.withColumns({"y_": F.log1p(value), "t_": day.cast("double"), "wd_": F.weekday("date")})
     if holidays is not None:
-        rows = rows.join(F.broadcast(holidays.select("date", F.lit(1).alias("hol_")).distinct()), "date", "left").withColumn("hol_", F.coalesce("hol_", F.lit(0)))
+        rows = with_holidays(rows, holidays, "hol_")
     else:
         rows = rows.withColumn("hol_", F.lit(0))
     trend = rows.groupBy("department").agg(
@@ -66,7 +87,7 @@ def department_forecast(daily: DataFrame, start: str, horizon: int = 30, value:
     model = trend.join(rest, "department")
     days = days_from(model, start, horizon).withColumns({"t_": day.cast("double"), "wd_": F.weekday("date")})
     if holidays is not None:
-        days = days.join(F.broadcast(holidays.select("date", F.lit(1).alias("hol_")).distinct()), "date", "left")
+        days = with_holidays(days, holidays, "hol_")
     else:
         days = days.withColumn("hol_", F.lit(0))
     out = days.join(weekday, ["department", "wd_"], "left")
@@ -90,21 +111,22 @@ def last_n_occurrences(df: DataFrame, targets: DataFrame, n: int, date: str = "d
     return pool, info.na.fill(0, ["n_dates", "n_sessions"])
 
 
-def bootstrap_sessions(pool: DataFrame, draws: DataFrame, keys: list[str], n_scenarios: int = 1, id_: str = "session_id", seed: int = 0) -> DataFrame:
+def bootstrap_sessions(pool: DataFrame, draws: DataFrame, keys: list[str], n_scenarios: int = 1, id_: str = "session_id", seed: int = 0, split: bool = True) -> DataFrame:
     """Resampled sessions, with replacement: ``draws`` gives ``n`` for each cell ``keys``.
 
     The pool's rows are numbered within their cell, draws are exploded, and each takes the row that its
     reproducible uniform number points at: one equi-join on (cell, number).  A cell without pool gives no rows.
+    split: number the parts of a cell side by side (``numbered``); without where cells are many and small.
     """
     missing = [c for c in (*keys, id_) if c not in pool.columns]
     if missing:
         raise ValueError(f"the pool lacks {missing}")
-    numbered = pool.withColumn("at_", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)) - 1)
+    rows = numbered(pool, keys, id_, split)
     sizes = pool.groupBy(*keys).agg(F.count("*").alias("size_"))
     each = draws.join(sizes, keys).filter("n > 0").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
     each = each.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     each = each.withColumn("at_", F.floor(uniform(F.lit(seed), *keys, "scenario", "draw") * F.col("size_")).cast("int"))
-    return each.join(numbered, [*keys, "at_"]).drop("at_", "size_", "n")
+    return each.join(rows, [*keys, "at_"]).drop("at_", "size_", "n")
 
 
 def growth_projection(baseline: DataFrame, start: str, years: float, model: str, value: str = "base", weights: dict[str, float] | None = None, energy: str | None = None, **params: float) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import normal, recency_weight
+from ..functions.expressions import normal, recency_weight, season
 from .aggregate import present
 from .schema import from_features, to_features
 
@@ -46,16 +47,54 @@ def gaussian_strata(df: DataFrame, by: list[str], recency: bool = False, half_li
     return weighed.groupBy(*by).agg(F.first("n").alias("n"), F.first("per_day").alias("per_day"), *moments(F.col("w_")))
 
 
-def log_density() -> Column:
-    """Of the features under m0-m2, c00-c22: closed form of the inverse and determinant of a 3 x 3 matrix."""
-    c = {(i, j): F.col(f"c{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
+def log_density(of: Callable[[str], Column] = F.col) -> Column:
+    """Of the features under m0-m2, c00-c22 (given by ``of``): closed form of the inverse and determinant of a 3 x 3 matrix."""
+    c = {(i, j): of(f"c{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
     minor = lambda i, j: (lambda r, s: c[r[0], s[0]] * c[r[1], s[1]] - c[r[0], s[1]] * c[r[1], s[0]])([k for k in range(3) if k != i], [k for k in range(3) if k != j])
     det = c[0, 0] * minor(0, 0) - c[0, 1] * minor(0, 1) + c[0, 2] * minor(0, 2)
-    d = [F.col(f) - F.col(f"m{i}") for i, f in enumerate(FEATURES)]
+    d = [F.col(f) - of(f"m{i}") for i, f in enumerate(FEATURES)]
     quad = sum((d[i] * d[j] * minor(i, j) * (-1) ** (i + j) for i in range(3) for j in range(3)), F.lit(0.0)) / det
     return -0.5 * (quad + F.ln(det) + 3 * math.log(2 * math.pi))
 
 
+def quadratic_forms(parts: str) -> Column:
+    """Weighted components' log densities as forms in the features: ``k, q*``, of which q goes with 1, qi with x_i, qij with x_i x_j.
+
+    So each session costs ten products a component, and the inverse is worked out once for a component, in steps that
+    keep the expressions small.
+    """
+    keep = lambda c, *names: [c[n].alias(n) for n in names]
+    m = ["m0", "m1", "m2"]
+
+    def minors(c: Column) -> Column:
+        s = {(i, j): c[f"c{min(i, j)}{max(i, j)}"] for i in range(3) for j in range(3)}
+        rest = lambda i: [k for k in range(3) if k != i]
+        minor = lambda i, j: s[rest(i)[0], rest(j)[0]] * s[rest(i)[1], rest(j)[1]] - s[rest(i)[0], rest(j)[1]] * s[rest(i)[1], rest(j)[0]]
+        first = [s[0, j].alias(f"s{j}") for j in range(3)]
+        return F.struct(*keep(c, "k", "weight", *m), *first, *((minor(i, j) * float((-1) ** (i + j))).alias(f"a{i}{j}") for i, j in PAIRS))
+
+    def determinant(c: Column) -> Column:
+        det = c["s0"] * c["a00"] + c["s1"] * c["a01"] + c["s2"] * c["a02"]
+        return F.struct(*keep(c, "k", "weight", *m), *keep(c, *(f"a{i}{j}" for i, j in PAIRS)), det.alias("det"))
+
+    def linear(c: Column) -> Column:
+        a = lambda i, j: c[f"a{min(i, j)}{max(i, j)}"] / c["det"]
+        sums = [(a(i, 0) * c["m0"] + a(i, 1) * c["m1"] + a(i, 2) * c["m2"]).alias(f"q{i}") for i in range(3)]
+        squares = [(a(i, j) * (-0.5 if i == j else -1.0)).alias(f"q{i}{j}") for i, j in PAIRS]
+        return F.struct(*keep(c, "k", *m), (F.ln(c["weight"]) - 0.5 * (F.ln(c["det"]) + 3 * math.log(2 * math.pi))).alias("q"), *sums, *squares)
+
+    def centred(c: Column) -> Column:
+        at = c["q"] - 0.5 * (c["m0"] * c["q0"] + c["m1"] * c["q1"] + c["m2"] * c["q2"])
+        return F.struct(c["k"].alias("k"), at.alias("q"), *keep(c, "q0", "q1", "q2", *(f"q{i}{j}" for i, j in PAIRS)))
+
+    return F.transform(F.transform(F.transform(F.transform(parts, minors), determinant), linear), centred)
+
+
+def value_of(form: Column) -> Column:
+    x = [F.col(f) for f in FEATURES]
+    return sum((form[f"q{i}{j}"] * (x[i] * x[j]) for i, j in PAIRS), sum((form[f"q{i}"] * x[i] for i in range(3)), form["q"]))
+
+
 def gaussian_score(df: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
     """Mean log-likelihood over the sessions whose context has a model; none: minus infinity."""
     rows = to_features(df).join(params, by).agg(F.avg(log_density()).alias("score"), F.count("*").alias("n"))
@@ -63,7 +102,7 @@ def gaussian_score(df: DataFrame, params: DataFrame, by: list[str]) -> DataFrame
 
 
 def resolve_context(wanted: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
-    """``wanted`` with ``level`` and the model's context ``ctx_*``: the exact one, else that with the longest common
+    """``wanted`` (its keys may be null: unknown) with ``level`` and the model's context ``ctx_*``: the exact one, else that with the longest common
     beginning of ``by`` (its most populous), else the most populous of all.  One join per length."""
     ctx = params.select("n", *by)
     top = ctx.orderBy(F.desc("n"), *by).limit(1).select(*(F.col(b).alias(f"t_{b}") for b in by))
@@ -97,45 +136,82 @@ def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed:
     return from_features(each.withColumns(f)).select(*draws.columns, "draw", "hour", "duration", "energy")
 
 
-def gaussian_mixtures(df: DataFrame, by: list[str], k: int, folder: str, rounds: int = 300, least: int = 10, id_: str = "session_id", tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
-    """Mixtures of ``k`` Gaussians in every context at once by expectation-maximisation, and each round's mean log-likelihood.
+def fit_mixtures(
+    df: DataFrame, by: list[str], ks: list[int], folder: str, rounds: int = 300, least: int = 10, tolerance: float = 1e-3
+) -> tuple[DataFrame, list[float]]:
+    """``by, kk, k, weight, mass, mean_ll, m*, c*``: mixtures of kk Gaussians, for every context and each kk of ``ks`` at once, by
+    expectation-maximisation; and each round's mean log-likelihood.  A context needs ``least`` sessions and five for each component.
 
-    A round joins the parameters on the context, spreads each session over components by its responsibilities and
-    sums weighted moments by (context, component).  Parameters are written to ``folder`` (shared) each round, which
-    cuts the lineage.  Components start as the quantiles of energy in the context.  Rounds end when no context's mean
-    log-likelihood has changed by ``tolerance`` or more, or after ``rounds``.
+    All components of a mixture are one row of an array, so a round is a join of the sessions with the contexts' few rows, an array
+    expression for the responsibilities, and a grouped sum that is partial before its shuffle: sessions aren't
+    shuffled by themselves.  Parameters are written to ``folder`` (shared) each round, which cuts the lineage.  Components start as
+    ranges of energy between the context's quantiles.  A mixture is done when its mean log-likelihood changes by less than
+    ``tolerance``; only the others go on, ``rounds`` at most.
     """
     spark = df.sparkSession
     base = f"{folder}/{uuid.uuid4().hex}"
-    rows = to_features(present(df, by)).select(*by, F.col(id_).alias("id_"), *FEATURES)
-    rows.write.parquet(f"{base}/rows")
-    rows = spark.read.parquet(f"{base}/rows")
-    ranked = rows.withColumn("q_", F.ntile(k).over(Window.partitionBy(*by).orderBy("f_energy", "f_duration", "f_hour")) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("size_")).filter(F.col("size_") >= max(least, k * 5))
-    params = ranked.join(sizes, by).groupBy(*by, F.col("q_").alias("k")).agg((F.count("*") / F.first("size_")).alias("weight"), F.count("*").cast("double").alias("mass"), *moments())
-    params.write.parquet(f"{base}/0")
+
+    def save(t: DataFrame, name: str) -> DataFrame:
+        t.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    names = ["weight", "mass", *(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in PAIRS)]
+    rows = to_features(present(df, by)).select(*by, *FEATURES)
+    rows = save(rows.repartition(2 * spark.sparkContext.defaultParallelism), "rows")  # few bytes, much work: spread over all cores
+    cuts = [F.percentile_approx("f_energy", F.array(*(F.lit(i / kk) for i in range(1, kk))), 10_000).alias(f"cuts_{kk}") for kk in ks]
+    starts = save(rows.groupBy(*by).agg(F.count("*").alias("size_"), *cuts), "starts")
+    each = F.explode(F.array(*(F.struct(F.lit(kk).alias("kk"), F.col(f"cuts_{kk}").alias("cuts")) for kk in ks)))
+    wide = starts.filter(F.col("size_") >= least).select(*by, "size_", each.alias("s_")).select(*by, "size_", "s_.kk", "s_.cuts").filter("size_ >= 5 * kk")
+    first = rows.join(wide, by).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("f_energy"))))
+    first = first.groupBy(*by, "kk", "k").agg((F.count("*") / F.first("size_")).alias("weight"), F.count("*").cast("double").alias("mass"), *moments())
+
+    def as_rows(t: DataFrame, *more: str) -> DataFrame:
+        return t.groupBy(*by, "kk", *more).agg(F.sort_array(F.collect_list(F.struct("k", *names))).alias("parts"))  # at most kk of them
+
+    now = save(as_rows(first.withColumn("mean_ll", F.lit(float("-inf"))), "mean_ll").withColumn("done", F.lit(False)), "0")
     trace: list[float] = []
-    means = lambda at: spark.read.parquet(f"{base}/{at}").groupBy(*by).agg((F.sum("ll_") / F.sum("mass")).alias(f"mean_{at}"))
     for n in range(1, rounds + 1):
-        params = spark.read.parquet(f"{base}/{n - 1}")
-        each = rows.join(params, by)
-        each = each.withColumn("l_", F.ln("weight") + log_density())
-        cell = Window.partitionBy(*by, "id_")
-        top = F.max("l_").over(cell)
-        total = F.sum(F.exp(F.col("l_") - F.col("top_"))).over(cell)
-        each = each.withColumn("top_", top).withColumn("ll_", F.col("top_") + F.ln(total)).withColumn("r_", F.exp(F.col("l_") - F.col("ll_")))
-        new = each.groupBy(*by, "k").agg(F.sum("r_").alias("mass"), F.sum(F.col("ll_") * F.col("r_")).alias("ll_"), *moments(F.greatest("r_", F.lit(1e-12))))
-        context = new.groupBy(*by).agg(F.sum("mass").alias("size_"))
-        new.join(context, by).withColumn("weight", F.greatest(F.col("mass") / F.col("size_"), F.lit(1e-9))).drop("size_").write.parquet(f"{base}/{n}")
-        done = spark.read.parquet(f"{base}/{n}").agg(F.sum("ll_"), F.sum("mass")).first()
-        trace.append(float(done[0]) / float(done[1]) if done[1] else float("nan"))
-        if not done[1]:
+        live = now.filter("not done")
+        forms = live.select(*by, "kk", quadratic_forms("parts").alias("parts"))
+        seen = rows.join(forms, by).withColumn("l_", F.transform("parts", value_of)).withColumn("top_", F.array_max("l_"))
+        seen = seen.withColumn("ll_", F.col("top_") + F.ln(F.aggregate("l_", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top_")))))
+        shares = F.transform("parts", lambda c, i: F.struct(c["k"].alias("k"), F.exp(F.element_at("l_", i + 1) - F.col("ll_")).alias("r")))
+        spread = seen.select(*by, "kk", *FEATURES, "ll_", F.explode(shares).alias("s_")).select("*", "s_.k", F.col("s_.r").alias("r_"))
+        new = spread.groupBy(*by, "kk", "k").agg(F.sum("r_").alias("mass"), F.sum(F.col("ll_") * F.col("r_")).alias("sum_"), *moments(F.greatest("r_", F.lit(1e-12))))
+        parts = F.sort_array(F.collect_list(F.struct("k", *names[1:])))  # at most kk of them
+        stepped = new.groupBy(*by, "kk").agg(parts.alias("parts"), F.sum("mass").alias("size_"), F.sum("sum_").alias("sum_all"))
+        weighed = F.transform("parts", lambda c: F.struct(c["k"].alias("k"), F.greatest(c["mass"] / F.col("size_"), F.lit(1e-9)).alias("weight"), *(c[x].alias(x) for x in names[1:])))
+        stepped = stepped.select(*by, "kk", (F.col("sum_all") / F.col("size_")).alias("mean_ll"), weighed.alias("parts"))
+        stepped = stepped.join(live.select(*by, "kk", F.col("mean_ll").alias("before_")), [*by, "kk"])
+        stepped = stepped.withColumn("done", F.abs(F.col("mean_ll") - F.col("before_")) < tolerance).drop("before_")
+        now = save(now.filter("done").unionByName(stepped), str(n))
+        mass = F.aggregate("parts", F.lit(0.0), lambda total, c: total + c["mass"])
+        likely, size, left = now.agg(F.sum(F.col("mean_ll") * mass), F.sum(mass), F.count_if(~F.col("done"))).first()
+        trace.append(float(likely) / float(size) if size else float("nan"))
+        if not left:
             break
-        if n > 1:
-            change = means(n).join(means(n - 1), by).agg(F.max(F.abs(F.col(f"mean_{n}") - F.col(f"mean_{n - 1}")))).first()[0]
-            if change < tolerance:
-                break
-    return spark.read.parquet(f"{base}/{len(trace)}").drop("ll_"), trace
+    out = now.select(*by, "kk", "mean_ll", F.explode("parts").alias("p_"))
+    return out.select(*by, "kk", "p_.k", "mean_ll", *(F.col(f"p_.{c}").alias(c) for c in names)), trace
+
+
+def gaussian_mixtures(df: DataFrame, by: list[str], k: int, folder: str, rounds: int = 300, least: int = 10, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
+    """Mixtures of ``k`` Gaussians in every context, and each round's mean log-likelihood (``fit_mixtures``)."""
+    params, trace = fit_mixtures(df, by, [k], folder, rounds, least, tolerance)
+    return params.drop("kk", "mean_ll"), trace
+
+
+def component_counts(df: DataFrame, by: list[str], folder: str, least: int = 2, most: int = 10, rounds: int = 300, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """For every context ``by, kk, bic, best`` of mixtures of ``least`` to min(``most``, n / 5) components, and the best one's parameters.
+
+    All contexts and numbers of components are fitted in one run of ``fit_mixtures``.  Contexts without five sessions for
+    each of ``least`` components have no row; the single Gaussian of ``gaussian_strata`` is theirs.
+    """
+    params, _ = fit_mixtures(df, by, list(range(least, most + 1)), folder, rounds, 10, tolerance)
+    size = F.sum("mass")
+    bic = params.groupBy(*by, "kk").agg((-2 * F.first("mean_ll") * size + (F.col("kk") * 9 + F.col("kk") - 1) * F.ln(F.round(size))).alias("bic"))
+    best = bic.groupBy(*by).agg(F.min_by("kk", F.struct("bic", "kk")).alias("best_"))
+    table = bic.join(best, by).withColumn("best", F.col("kk") == F.col("best_")).drop("best_")
+    return table, params.join(table.filter("best").select(*by, "kk"), [*by, "kk"], "left_semi")
 
 
 def component_count_by_bic(df: DataFrame, least: int = 2, most: int = 10, seed: int = 0, iterations: int = 300, starts: int = 3, tolerance: float = 1e-3) -> DataFrame:
@@ -168,6 +244,20 @@ def component_count_by_bic(df: DataFrame, least: int = 2, most: int = 10, seed:
     return df.sparkSession.createDataFrame(out, "k int, bic double")
 
 
+def contexts_of_dates(dates: DataFrame, by: list[str], date: str = "date") -> DataFrame:
+    """Context keys of dates: weekday, weekend flag, month and season as they follow; any other key of ``by`` is null (unknown)."""
+    day = F.weekday(date)
+    known = {"day_of_week": day, "is_weekend": (day >= 5).cast("int"), "month": F.month(date), "season": season(F.month(date))}
+    return dates.select(date, *(known[b].alias(b) if b in known else F.lit(None).cast("string").alias(b) for b in by))
+
+
+def training_summary(df: DataFrame, by: str, components: str, date: str = "date") -> DataFrame:
+    """The year with most sessions (ties: the earliest), and the least, mean and largest number of components of the groups."""
+    k = df.groupBy(by, components).count().groupBy(by).agg(F.count("*").alias("k"))
+    k = k.agg(F.min("k").alias("min_k"), F.avg("k").alias("mean_k"), F.max("k").alias("max_k"))
+    return df.agg(F.mode(F.year(date), True).alias("training_year")).join(F.broadcast(k))  # one row each
+
+
 def context_summary(params: DataFrame, by: str = "department") -> DataFrame:
     """Contexts, and the sessions behind them, by department; most sessions first."""
     return params.groupBy(by).agg(F.count("*").alias("n_contexts"), F.sum("n").alias("total_samples"), F.avg("per_day").alias("mean_per_day")).orderBy(F.desc("total_samples"), by)

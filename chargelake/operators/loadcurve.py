@@ -5,29 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import normal
+from ..functions.expressions import hour_of_day, normal
 from .aggregate import present
 
-#: A session counts in this many hours from the start of its first day at most; what lasts longer is lost.
+#: A session counts in this many hours from the start of its first day; what lasts longer is lost, unless more are asked for.
 HOURS = 72
 
 
-def overlap_hours(df: DataFrame, start: Column, active: Column, power: Column, keys: list[str]) -> DataFrame:
-    """``keys, h, kwh``: each session's energy in the clock hours 0-23 it overlaps, past midnight wrapped."""
+def overlap_hours(df: DataFrame, start: Column, active: Column, power: Column, keys: list[str], hours: int | None = HOURS) -> DataFrame:
+    """``keys, h, kwh``: each session's energy in the clock hours 0-23 it overlaps, past midnight wrapped.  hours None: without end."""
     rows = present(df, keys).select(*keys, start.alias("a"), (start + active).alias("z"), power.alias("p")).filter("p > 0 and z > a")
-    last = F.least(F.ceil("z").cast("int"), F.lit(HOURS)) - 1
+    end = F.ceil("z").cast("int")
+    last = (end if hours is None else F.least(end, F.lit(hours))) - 1
     each = rows.filter(F.floor("a") <= last).withColumn("s", F.explode(F.sequence(F.floor("a").cast("int"), last)))
     part = F.least(F.col("z"), F.col("s") + 1) - F.greatest(F.col("a"), F.col("s"))
     return each.select(*keys, F.pmod("s", F.lit(24)).alias("h"), (F.col("p") * part).alias("kwh"))
 
 
-def energy_24h(df: DataFrame, keys: list[str], power: Column | None = None, active: Column | None = None) -> DataFrame:
-    """Energy by clock hour; over all hours it is the energy of all sessions that end within 72 h."""
+def energy_24h(df: DataFrame, keys: list[str], power: Column | None = None, active: Column | None = None, hours: int | None = HOURS) -> DataFrame:
+    """Energy by clock hour; over all hours it is the sessions' energy but for what lies beyond ``hours`` (``energy_beyond``)."""
     power = F.col("energy") / F.col("duration") if power is None else power
-    rows = overlap_hours(df, F.col("hour"), F.col("duration") if active is None else active, power, keys)
+    rows = overlap_hours(df, F.col("hour"), F.col("duration") if active is None else active, power, keys, hours)
     return rows.groupBy(*keys, "h").agg(F.sum("kwh").alias("kwh"))
 
 
+def energy_beyond(df: DataFrame, keys: list[str], hours: int = HOURS) -> DataFrame:
+    """Sessions, their energy, and the energy that a profile of ``hours`` loses, with the number of sessions that reach beyond."""
+    end = F.col("hour") + F.col("duration")
+    lost = F.col("energy") / F.col("duration") * F.greatest(end - F.greatest(F.col("hour"), F.lit(float(hours))), F.lit(0.0))
+    rows = present(df, keys).filter("duration > 0 and energy > 0").withColumn("lost_", lost)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_sessions"), F.sum("energy").alias("kwh"), F.sum("lost_").alias("lost_kwh"), F.count_if(F.col("lost_") > 0).alias("n_beyond"))
+
+
+def smart_profile(charged: DataFrame, keys: list[str], power_kw: float = 7.4, most_hours: float = 48.0) -> DataFrame:
+    """Energy by clock hour when charging begins at the scheduled start; sessions without one are left out."""
+    rows = charged.filter(F.col("scheduled_start").isNotNull()).withColumn("hour", hour_of_day("scheduled_start"))
+    active = F.least(F.greatest(F.col("energy") / F.lit(power_kw), F.lit(0.0)), F.lit(most_hours))
+    return energy_24h(rows, keys, F.lit(power_kw), active)
+
+
 def load_profiles(df: DataFrame, keys: list[str], power: Column | None = None, active: Column | None = None, least_per_day: float = 0.0) -> DataFrame:
     """``keys, h, mw``: mean load of a day in each context (energy per observed date), every hour filled."""
     days = present(df, keys).groupBy(*keys).agg(F.count("*").alias("n_sessions"), F.count_distinct("date").alias("n_days"))

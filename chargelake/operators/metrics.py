@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import scenario_bands
+from .ranks import running
+
 EPS = 1e-6
 
 
@@ -34,18 +37,17 @@ def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     return F.when(t < 0.04, F.lit(1.0)).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_wasserstein(long: DataFrame, by: list[str]) -> DataFrame:
+def ks_wasserstein(long: DataFrame, by: list[str], split: bool = True) -> DataFrame:
     """Kolmogorov-Smirnov D and p-value and Wasserstein-1 distance of the two sides.
 
-    Values are first counted, so windows run over distinct values; both distances come from one running sum.
+    Values are first counted, so windows run over distinct values; both distances come from one running sum, of which a
+    large group's is split over tasks (``running``).
     """
     values = long.groupBy(*by, "value_").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     sizes = values.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m")).filter("n > 0 and m > 0")
-    w = Window.partitionBy(*by).orderBy("value_")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(upto) / F.col("n") - F.sum("b").over(upto) / F.col("m"))
-    steps = values.join(sizes, by).withColumns({"gap": gap, "next": F.lead("value_").over(w)})
-    out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next") - F.col("value_"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
+    gap = F.abs(F.col("a_upto") / F.col("n") - F.col("b_upto") / F.col("m"))
+    steps = running(values, by, "value_", ["a", "b"], split).join(sizes, by).withColumn("gap", gap)
+    out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next_") - F.col("value_"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
 
 
@@ -65,13 +67,13 @@ def kl_divergence(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1
     return dens.join(sums, by).groupBy(*by).agg(F.sum(x * F.ln(x / y) - x + y).alias("kl"))
 
 
-def distribution_comparison(real: DataFrame, sim: DataFrame, features: dict[str, str] | None = None, by: tuple[str, ...] = (), bins: int = 50) -> DataFrame:
+def distribution_comparison(real: DataFrame, sim: DataFrame, features: dict[str, str] | None = None, by: tuple[str, ...] = (), bins: int = 50, split: bool = True) -> DataFrame:
     """One row for each feature (and group): ks, ks_p, wasserstein, kl."""
     pairs = features or {f: f for f in ("hour", "duration", "energy")}
     if "hour" in pairs and "arrival_hour" in sim.columns:
         pairs = pairs | {"hour": "arrival_hour"}
     long, keys = sides(real, sim, pairs, by), [*by, "feature"]
-    return ks_wasserstein(long, keys).join(kl_divergence(long, keys, bins), keys).select(*keys, "n", "m", "ks", "ks_p", "wasserstein", "kl")
+    return ks_wasserstein(long, keys, split).join(kl_divergence(long, keys, bins), keys).select(*keys, "n", "m", "ks", "ks_p", "wasserstein", "kl")
 
 
 def crps(df: DataFrame, value: str, truth: str, by: list[str]) -> DataFrame:
@@ -83,6 +85,13 @@ def crps(df: DataFrame, value: str, truth: str, by: list[str]) -> DataFrame:
     return rows.withColumn("i_", rank).groupBy(*by).agg((F.avg(F.abs(F.col(value) - F.col(truth))) - half / (m * m)).alias("crps"), m.alias("members"))
 
 
+def median_evaluation(scenarios: DataFrame, value: str, truth: DataFrame, y: str, keys: list[str]) -> DataFrame:
+    """Days, mean absolute error of the scenarios' median, and its percentage where the truth is above 0."""
+    both = scenario_bands(scenarios, value, keys).select(*keys, "median").join(truth.select(*keys, F.col(y).alias("y_")), keys)
+    gap = F.abs(F.col("median") - F.col("y_"))
+    return both.agg(F.count("*").alias("n_days"), F.avg(gap).alias("mae"), F.avg(F.when(F.col("y_") > 0, 100 * gap / F.col("y_"))).alias("mape"))
+
+
 def profile_error(real: DataFrame, sim: DataFrame, keys: list[str]) -> DataFrame:
     """RMSE of 24-hour profiles, also relative to the real mean power; null where that is nil."""
     pair = real.select(*keys, "h", F.col("mw").alias("y")).join(sim.select(*keys, "h", F.col("mw").alias("p")), [*keys, "h"])

@@ -181,6 +181,18 @@ def combined_sites(df: DataFrame, column: str = "data") -> list[str]:
     return found
 
 
+def combined_site_check(df: DataFrame, column: str = "data") -> DataFrame:
+    """As one row: the sites in a table, whether they are several of the known ones only, and how many rows name another."""
+    name = F.lower(quoted(column).cast("string"))
+    found = df.agg(F.count_if(quoted(column).isNotNull() & ~name.isin(*COMBINED_SITES)).alias("n_other"), F.array_join(F.sort_array(F.collect_set(F.when(name.isin(*COMBINED_SITES), name))), ",").alias("sites"))
+    return found.select("sites", "n_other", ((F.col("n_other") == 0) & F.col("sites").contains(",")).alias("combined"))
+
+
+def load_overview(df: DataFrame, by: list[str]) -> DataFrame:
+    """Sessions and distinct departments by the columns of ``by`` that are there."""
+    return df.groupBy(*stratify_columns(df, by)).agg(F.count("*").alias("n_sessions"), F.count_distinct("department").alias("n_departments"))
+
+
 def stratify_columns(df: DataFrame, wanted: list[str]) -> list[str]:
     """The wanted columns that are there; a department that never varies says nothing and goes."""
     have = [c for c in wanted if c in df.columns]

@@ -4,27 +4,38 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import plus_hours, savings_pct
+from ..functions.expressions import plus_hours, savings_pct, slots_needed
 
 OUTPUT = ["cost_smart", "cost_plug", "savings_pct", "scheduled_start", "scheduled_end"]
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """``df`` with arrival_time, made from ``date`` and the hour of the day (arrival_hour or hour) where there is none."""
+    if "arrival_time" in df.columns:
+        return df
+    hour = next((c for c in ("arrival_hour", "hour") if c in df.columns), None)
+    if hour is None or "date" not in df.columns:
+        raise ValueError("neither arrival_time nor date and arrival_hour or hour")
+    return df.withColumn("arrival_time", plus_hours(F.col("date").cast("timestamp_ntz"), hour))
+
+
 def slots_in_window(df: DataFrame, signal: DataFrame, resolution_min: int, id_: str = "session_id") -> DataFrame:
-    """``id_, energy, power_, ts, value``: the signal's slots that begin while the car is there.
+    """``id_, energy, power_, ts, value``: the signal's slots that begin while the car is there, arrival included, departure not.
 
-    A range join turned into an equi-join: each session is exploded into the slot starts of its stay, which lie on the
-    signal's regular grid.  A slot that has begun at arrival is left out.
+    A range join turned into an equi-join: each session is exploded into the numbers of the slots of its stay, and a time of the
+    signal meets the number it falls in.  Its own time is compared then, so a signal off the grid, or finer than it, is
+    right as well; on the grid each number has one time.
     """
     step = resolution_min * 60
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
-    first = F.ceil(seconds("arrival_time") / step)
-    last = F.ceil(seconds("departure_") / step) - 1
-    rows = df.withColumn("departure_", plus_hours("arrival_time", "duration")).select(id_, "energy", "power_", first.alias("a"), last.alias("z"))
-    slots = rows.filter("z >= a").select(id_, "energy", "power_", F.explode(F.sequence("a", "z")).alias("n_"))
-    return slots.join(signal.select((F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(step * 1_000_000)).cast("long").alias("n_"), "ts", "value"), "n_").drop("n_")
+    slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(step * 1_000_000)).cast("long")
+    rows = df.withColumn("departure_", plus_hours("arrival_time", "duration"))
+    rows = rows.select(id_, "energy", "power_", "arrival_time", "departure_", slot(F.col("arrival_time")).alias("a"), slot(F.col("departure_")).alias("z"))
+    slots = rows.filter("z >= a").withColumn("n_", F.explode(F.sequence("a", "z")))
+    near = slots.join(signal.select(slot(F.col("ts")).alias("n_"), "ts", "value"), "n_")
+    return near.filter((F.col("ts") >= F.col("arrival_time")) & (F.col("ts") < F.col("departure_"))).select(id_, "energy", "power_", "ts", "value")
 
 
 def smart_charge(
@@ -33,33 +44,35 @@ def smart_charge(
     """``df`` with cost_smart, cost_plug, savings_pct, scheduled_start and scheduled_end.
 
     The k slots a charge needs are the k best of its window (lowest price, or highest renewable share; ties: the earlier)
-    against the first k.  Sessions without a slot in their window keep nulls.  Columns of an earlier run go.
+    against the first k.  A session's slots, at most those of its stay, meet once, in one array that is sorted both ways.  Sessions
+    without a slot in their window keep nulls.  Columns of an earlier run go.  Without arrival_time it is made from date and hour.
     """
-    df = df.drop(*OUTPUT)
+    df = with_arrival(df.drop(*OUTPUT))
     power = F.coalesce(F.col("power_kw"), F.lit(default_power_kw)) if "power_kw" in df.columns else F.lit(default_power_kw)
     slots = slots_in_window(df.withColumn("power_", power), signal, resolution_min, id_)
-    best = F.asc("value") if signal_type == "price" else F.desc("value")
-    by = Window.partitionBy(id_)
-    res = resolution_min / 60
-    ranked = slots.withColumns(
-        {
-            "n_": F.count("*").over(by),
-            "at_": F.row_number().over(by.orderBy("ts")),
-            "best_": F.row_number().over(by.orderBy(best, "ts")),
-        }
-    )
-    k = F.least(F.ceil(F.col("energy") / F.lit(efficiency) / (F.col("power_") * res)), F.col("n_"))
-    cost = F.col("value") * F.col("power_") * res
-    chosen = ranked.withColumn("k_", k)
-    each = chosen.groupBy(id_).agg(
-        F.coalesce(F.sum(F.when(F.col("best_") <= F.col("k_"), cost)), F.lit(0.0)).alias("cost_smart"),
-        F.coalesce(F.sum(F.when(F.col("at_") <= F.col("k_"), cost)), F.lit(0.0)).alias("cost_plug"),
-        F.min(F.when(F.col("best_") <= F.col("k_"), F.col("ts"))).alias("scheduled_start"),
-        F.max("k_").alias("k_"),
+    rank = F.col("value") if signal_type == "price" else -F.col("value")
+    stays = slots.groupBy(id_).agg(
+        F.first("energy").alias("energy_"), F.first("power_").alias("power_"),
+        F.collect_list(F.struct(rank.alias("rank"), "ts", "value")).alias("slots_"),
+    )
+    k = F.greatest(slots_needed("energy_", "power_", resolution_min, efficiency, F.size("slots_")), F.lit(0)).cast("int")
+    by_time = F.sort_array(F.transform("slots_", lambda s: F.struct(s["ts"].alias("ts"), s["value"].alias("value"))))
+    chosen = stays.withColumn("k_", k).select(
+        id_, "power_", "k_", F.slice(F.sort_array("slots_"), F.lit(1), F.col("k_")).alias("best_"), F.slice(by_time, F.lit(1), F.col("k_")).alias("first_")
+    ).withColumn(
+        "best_", F.sort_array(F.transform("best_", lambda s: F.struct(s["ts"].alias("ts"), s["value"].alias("value"))))  # costs add up in order of time
     )
-    end = F.col("scheduled_start") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("k_") * resolution_min).cast("int"))
+    cost = lambda c: F.aggregate(c, F.lit(0.0), lambda total, s: total + s["value"] * F.col("power_") * F.lit(resolution_min / 60))
+    start = F.array_min(F.transform("best_", lambda s: s["ts"]))
+    each = chosen.select(id_, cost("best_").alias("cost_smart"), cost("first_").alias("cost_plug"), start.alias("scheduled_start"), "k_")
+    end = F.col("scheduled_start") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k_") * resolution_min)
     each = each.withColumn("scheduled_end", end).withColumn("savings_pct", savings_pct("cost_plug", "cost_smart")).drop("k_")
-    return df.join(each, id_, "left")
+    return df.join(each.select(id_, *OUTPUT), id_, "left")
+
+
+def representative_dates(signal_days: DataFrame, by: tuple[str, ...] = ("day_of_week", "season"), date: str = "date") -> DataFrame:
+    """The first date of each weekday and season."""
+    return signal_days.groupBy(*by).agg(F.min(date).alias("representative"))
 
 
 def savings_summary(df: DataFrame) -> DataFrame:

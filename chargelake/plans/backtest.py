@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import gaussian as G
-from ..operators.aggregate import daily_counts
+from ..operators.aggregate import fill_days
 from ..operators.forecast import bootstrap_sessions, persistence_forecast
 from ..operators.metrics import crps, distribution_comparison, forecast_metrics
+from ..sources.readers import written
 
 CELL = ["dataset", "origin", "h", "x"]
 
@@ -65,24 +66,27 @@ def rolling_origin(
     """
     grid = backtest_grid(df, x_grid, horizons, eval_window_days, step_days)
     pools = backtest_pools(df, grid)
-    status = backtest_status(df, grid, pools, min_sessions)
+    status = written(backtest_status(df, grid, pools, min_sessions))  # a row for each cell
     ok = status.filter("status = 'ok'").select(*CELL, "target", F.col("n_target").alias("n"))
-    sessions = pools.join(ok.drop("target", "n"), CELL, "left_semi").join(df.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"])
+    columns = [c for c in ("session_id", "dataset", "date", "hour", "duration", "energy") if c in df.columns]
+    df = df.select(*columns)
+    sessions = written(pools.join(ok.drop("target", "n"), CELL, "left_semi").join(df.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"]))
     draws = ok.select(*CELL, "n")
     found: list[DataFrame] = []
     for arm in arms:
         if arm == "persistence":
-            one = bootstrap_sessions(sessions, draws, CELL, n_scenarios, seed=seed)
+            one = bootstrap_sessions(sessions, draws, CELL, n_scenarios, seed=seed, split=False)
         else:
             params = G.gaussian_strata(sessions.withColumn("date", F.col("pool_date")), CELL, recency=arm == "gmm_recency")
             each = draws.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
             one = G.gaussian_sessions(params, each, CELL, seed)
         found.append(one.select(*CELL, "scenario", "hour", "duration", "energy").withColumn("method", F.lit(arm)))
     sim = reduce(lambda a, b: a.unionByName(b), found)
+    # cells are many and hold a few days each, so their windows aren't split
     truth = ok.drop("n").join(df.withColumnRenamed("date", "target"), ["dataset", "target"]).select(*CELL, "hour", "duration", "energy")
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("method"), F.lit(s).alias("scenario")) for a in arms for s in range(n_scenarios))))
     real = truth.withColumn("a_", each).select(*CELL, "a_.method", "a_.scenario", "hour", "duration", "energy")
-    scores = distribution_comparison(real, sim, by=(*CELL, "scenario", "method")).withColumn("status", F.lit("ok"))
+    scores = distribution_comparison(real, sim, by=(*CELL, "scenario", "method"), split=False).withColumn("status", F.lit("ok"))
     rest = status.filter("status <> 'ok'").select(*CELL, "status")
     return scores.unionByName(rest, allowMissingColumns=True)
 
@@ -95,12 +99,9 @@ def energy_crps(df: DataFrame, sim: DataFrame, keys: list[str]) -> DataFrame:
 
 def count_sanity(df: DataFrame, origins: list[str], horizon: int, n_weeks: int = 1) -> DataFrame:
     """Forecast against true counts for each origin and day ahead, with same-weekday persistence; and their scores by ``metrics``."""
-    parts = []
-    for origin in origins:  # a short list of dates; all parts run as one job
-        past = daily_counts(df.filter(F.col("date") <= F.lit(origin).cast("date")))
-        start = df.sparkSession.sql(f"select cast(date_add(date'{origin}', 1) as string)").first()[0]
-        parts.append(persistence_forecast(past, n_weeks, start, horizon).withColumn("origin", F.lit(origin).cast("date")))
-    fc = reduce(lambda a, b: a.unionByName(b), parts)
+    seen = df.groupBy("date").agg(F.count("*").alias("n_sessions")).select("*", F.explode(F.lit(origins).cast("array<date>")).alias("origin"))
+    past = fill_days(seen.filter(F.col("date") <= F.col("origin")), "n_sessions", ("origin",))
+    fc = persistence_forecast(past, n_weeks, F.date_add("origin", 1), horizon, ("origin",))
     truth = df.groupBy("date").agg(F.count("*").cast("double").alias("n_true"))
     return fc.join(truth, "date", "left").na.fill(0.0, ["n_true"]).withColumn("offset", F.datediff("date", "origin"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hour_of_day, renewable_share, tariff
+from ..functions.expressions import renewable_share, tariff
 from ..operators import loadcurve as L
 from ..operators import smart as C
 from ..operators.schema import shifted_week
@@ -64,9 +64,7 @@ def shift_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smart_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy by hour of the day when charging begins at the scheduled start."""
     s = event_sessions(spark, sf_dir)
-    r = C.smart_charge(s, price_signal(s)).filter(F.col("scheduled_start").isNotNull()).withColumn("hour", hour_of_day("scheduled_start"))
-    active = F.least(F.greatest(F.col("energy") / F.lit(7.4), F.lit(0.0)), F.lit(48.0))
-    return rounded(L.energy_24h(r, ["day_of_week", "season"], F.lit(7.4), active), "kwh", places=3)
+    return rounded(L.smart_profile(C.smart_charge(s, price_signal(s)), ["day_of_week", "season"]), "kwh", places=3)
 
 
 REGRET = with_(EV, SLOTS) + """, st AS (
@@ -86,7 +84,33 @@ def charging_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(EV) + "SELECT day_of_week, season, min(date) AS representative FROM ev GROUP BY ALL")
 def representative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_sessions(spark, sf_dir).groupBy("day_of_week", "season").agg(F.min("date").alias("representative"))
+    return C.representative_dates(event_sessions(spark, sf_dir))
+
+
+FROM_HOURS = "hv AS (SELECT session_id, CAST(date AS TIMESTAMP) + to_microseconds(CAST(round(hour * 3600 * 1000000) AS BIGINT)) AS arrival_time, duration, energy, 7.4::DOUBLE AS power_kw FROM ev)"
+
+
+@query(with_(EV, FROM_HOURS, SLOTS, _scheduled("hv")) + f"SELECT session_id, arrival_time, {COST} FROM res")
+def smart_charge_from_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with a date and an hour only, and no power: the arrival is made, the power is the default."""
+    s = event_sessions(spark, sf_dir)
+    bare = s.select("session_id", "date", F.col("hour").alias("arrival_hour"), "duration", "energy")
+    return rounded(C.smart_charge(bare, price_signal(s)).select("session_id", "arrival_time", *C.OUTPUT), "cost_smart", "cost_plug", "savings_pct")
+
+
+@query(with_(EV, SLOTS, _scheduled("ev").replace("sig AS (SELECT ts, ", "sig AS (SELECT ts + INTERVAL 5 MINUTE AS ts, ")) + f"SELECT session_id, {COST} FROM res")
+def smart_charge_off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal whose times lie five minutes off the grid of slots."""
+    s = event_sessions(spark, sf_dir)
+    late = price_signal(s).withColumn("ts", F.col("ts") + F.expr("interval 5 minutes"))
+    return rounded(C.smart_charge(s, late).select("session_id", *C.OUTPUT), "cost_smart", "cost_plug", "savings_pct")
+
+
+@query(with_(EV) + """SELECT location_type, count(*) AS n_sessions, round(sum(energy), 3) AS kwh, round(sum(CASE WHEN hour + duration > 72 THEN energy / duration * (hour + duration - 72) ELSE 0 END), 3) AS lost_kwh,
+  count(*) FILTER (WHERE hour + duration > 72) AS n_beyond FROM ev WHERE energy > 0 GROUP BY location_type""")
+def energy_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a profile of 72 hours loses of longer sessions."""
+    return rounded(L.energy_beyond(event_sessions(spark, sf_dir), ["location_type"]), "kwh", "lost_kwh", places=3)
 
 
 @query(with_(EV, SLOTS) + f"""SELECT ts, round({TARIFF}, 4) AS day_night, round(least(greatest(0.15::DOUBLE + 0.08::DOUBLE * sin(2 * pi() * h / 24 - pi() / 3), 0.02::DOUBLE), 0.40::DOUBLE), 6) AS spot_like,

@@ -63,7 +63,7 @@ def last_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.last_n_occurrences(event_sessions(spark, sf_dir), targets(spark), 2)[1]
 
 
-@query(with_(EV, POOL) + """, pool AS (SELECT target, ev.*, row_number() OVER (PARTITION BY target ORDER BY session_id) - 1 AS nth, count(*) OVER (PARTITION BY target) AS size FROM pd JOIN ev ON date = pool_date WHERE n <= 2),
+@query(with_(EV, POOL) + """, pool AS (SELECT target, ev.*, row_number() OVER (PARTITION BY target ORDER BY substr(md5(session_id::VARCHAR), 1, 2), session_id) - 1 AS nth, count(*) OVER (PARTITION BY target) AS size FROM pd JOIN ev ON date = pool_date WHERE n <= 2),
   dr AS (SELECT target, any_value(size) AS size FROM pool GROUP BY target), ex AS (SELECT target, size, CAST(s AS INT) AS scenario, d AS draw FROM dr, (SELECT unnest(range(3)) AS s), (SELECT unnest(generate_series(1, 50)) AS d)),
   pk AS (SELECT *, CAST(floor(('0x' || substr(md5('7|' || target || '|' || scenario || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) AS nth FROM ex)
   SELECT pk.target, scenario, CAST(draw AS INT) AS draw, session_id, round(energy, 4) AS energy FROM pk JOIN pool USING (target, nth)""")
@@ -73,6 +73,26 @@ def bootstrap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target", "scenario", "draw", "session_id", F.round("energy", 4).alias("energy"))
 
 
+def _u(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_NOISE = f"sqrt(-2 * ln(greatest({_u(chr(39) + 'n1|5|' + chr(39) + ' || location_type || ' + chr(39) + '|' + chr(39) + ' || date || ' + chr(39) + '|' + chr(39) + ' || scenario')}, 1e-12::DOUBLE))) * cos(2 * pi() * {_u(chr(39) + 'n2|5|' + chr(39) + ' || location_type || ' + chr(39) + '|' + chr(39) + ' || date || ' + chr(39) + '|' + chr(39) + ' || scenario')})"
+
+
+@query(with_(EV) + f""", dd AS (SELECT location_type, date, count(*) AS n FROM ev GROUP BY ALL), sp AS (SELECT location_type, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM dd GROUP BY location_type), cn AS (SELECT sp.*, coalesce(n, 0) AS n FROM sp LEFT JOIN dd USING (location_type, date)),
+  lv AS (SELECT location_type, avg(n) AS m, coalesce(stddev_samp(n), 0) AS s FROM cn GROUP BY location_type), dy AS (SELECT DATE '2024-01-31' + CAST(k AS INT) AS date FROM (SELECT unnest(range(7)) AS k)), sc AS (SELECT CAST(unnest(range(5)) AS INT) AS scenario),
+  pf AS (SELECT lv.location_type, dy.date, greatest(0, round_even(coalesce(arg_max(n, cn.date) FILTER (WHERE isodow(cn.date) = isodow(dy.date) AND cn.date <= dy.date - 7 AND cn.date >= dy.date - 371), any_value(m)), 0)) AS n, any_value(m) AS m, any_value(s) AS s FROM lv CROSS JOIN dy JOIN cn ON cn.location_type = lv.location_type GROUP BY ALL),
+  al AS (SELECT *, {_NOISE} AS z FROM pf, sc)
+  SELECT location_type, date, scenario, greatest(0, round_even(m + s * z, 0)) AS normal, greatest(0, round_even(n + greatest(0.03::DOUBLE * s, 0.1::DOUBLE) * z, 0)) AS persistence FROM al""")
+def forecast_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reproducible scenarios of the two forecasts of counts by place."""
+    c, by = A.daily_counts(event_sessions(spark, sf_dir), ("location_type",)), ("location_type",)
+    a = R.normal_scenarios(c, "2024-01-31", 7, 5, by, seed=5).withColumnRenamed("n_sessions", "normal")
+    b = R.persistence_scenarios(c, 1, "2024-01-31", 7, 5, by, seed=5).withColumnRenamed("n_sessions", "persistence")
+    return a.join(b, [*by, "date", "scenario"])
+
+
 GROWTH = {
     "linear": "b * (1 + 0.15::DOUBLE * t)",
     "s_curve": "b + b * 2.0::DOUBLE * (1 / (1 + exp(-2.0::DOUBLE * (t - 1.5::DOUBLE))) - 1 / (1 + exp(3.0::DOUBLE))) / (1 - 1 / (1 + exp(3.0::DOUBLE)))",

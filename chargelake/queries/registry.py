@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +19,3 @@ def query(sql: str | None) -> Callable[[Query], Query]:
         return f
 
     return put
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one only where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chargelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -10,9 +10,12 @@ from ..operators import compare as X
 from ..operators import loadcurve as L
 from ..operators import metrics as M
 from ..operators import smart as C
+from ..operators.forecast import bootstrap_sessions as resampled
+from ..operators.forecast import with_holidays
 from ..plans import backtest as B
 from .adapters import EV, ORD, SLOTS, TARIFF, event_sessions, order_sessions, price_signal, with_
 from .aggregates import NAT, OVERLAP, national, rounded
+from .charging import _scheduled
 from .forecasts import COUNTS, TARGETS, counts
 from .registry import query
 
@@ -35,10 +38,8 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT count(*) AS n_days, round(avg(abs(med - y / 5)), 4) AS mae, round(avg(CASE WHEN y > 0 THEN 100 * abs(med - y / 5) / (y / 5) END), 4) AS mape FROM b""")
 def median_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = national(spark, sf_dir)
-    med = A.scenario_bands(n, "v", ["date"]).select("date", "median")
-    d = med.join(n.groupBy("date").agg((F.sum("v") / 5).alias("y")), "date")
-    gap = F.abs(F.col("median") - F.col("y"))
-    return d.agg(F.count("*").alias("n_days"), F.round(F.avg(gap), 4).alias("mae"), F.round(F.avg(F.when(F.col("y") > 0, 100 * gap / F.col("y"))), 4).alias("mape"))
+    truth = n.groupBy("date").agg((F.sum("v") / 5).alias("y"))
+    return rounded(M.median_evaluation(n, "v", truth, "y", ["date"]), "mae", "mape")
 
 
 DIST = """fe AS (SELECT location_type, feature, x, CAST(weekend AS INT) AS side FROM (SELECT location_type, 'hour' AS feature, hour AS x, is_weekend AS weekend FROM {src} UNION ALL SELECT location_type, 'duration', duration, is_weekend FROM {src} UNION ALL SELECT location_type, 'energy', energy, is_weekend FROM {src})),
@@ -116,23 +117,22 @@ def rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOOT = """, dw AS (SELECT origin, h, x, target, n_target, s AS scenario, d AS draw FROM (SELECT *, unnest(range(2)) AS s FROM (SELECT *, unnest(generate_series(1, n_target)) AS d FROM sx WHERE status = 'ok'))),
-  pp AS (SELECT origin, h, x, ev.*, row_number() OVER (PARTITION BY origin, h, x ORDER BY session_id) - 1 AS nth, count(*) OVER (PARTITION BY origin, h, x) AS size FROM pl JOIN sx USING (origin, h, x) JOIN ev ON date = pl.pool_date WHERE status = 'ok'),
+  pp AS (SELECT origin, h, x, ev.*, row_number() OVER (PARTITION BY origin, h, x ORDER BY substr(md5(session_id::VARCHAR), 1, 2), session_id) - 1 AS nth, count(*) OVER (PARTITION BY origin, h, x) AS size FROM pl JOIN sx USING (origin, h, x) JOIN ev ON date = pl.pool_date WHERE status = 'ok'),
   pz AS (SELECT origin, h, x, any_value(size) AS size FROM pp GROUP BY ALL),
-  pk AS (SELECT origin, h, x, scenario, CAST(floor(('0x' || substr(md5('0|events|' || origin || '|' || h || '|' || x || '|' || scenario || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) AS nth FROM dw JOIN pz USING (origin, h, x)),
-  bs AS (SELECT pk.origin, pk.h, pk.x, pk.scenario, energy FROM pk JOIN pp USING (origin, h, x, nth)), tt AS (SELECT origin, h, x, scenario, sum(energy) AS total FROM bs GROUP BY ALL),
+  pk AS (SELECT origin, h, x, scenario, CAST(floor(('0x' || substr(md5('0|events|' || origin || '|' || h || '|' || x || '|' || scenario || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) AS nth, draw FROM dw JOIN pz USING (origin, h, x)),
+  bs AS (SELECT pk.origin, pk.h, pk.x, pk.scenario, pk.draw, pp.arrival_time, pp.hour, pp.duration, pp.energy, pp.power_kw FROM pk JOIN pp USING (origin, h, x, nth))"""
+CRPS = """, tt AS (SELECT origin, h, x, scenario, sum(energy) AS total FROM bs GROUP BY ALL),
   tr AS (SELECT origin, h, x, sum(energy) AS truth FROM sx JOIN ev ON date = target WHERE status = 'ok' GROUP BY ALL),
   rr AS (SELECT *, row_number() OVER (PARTITION BY origin, h, x ORDER BY total) AS i, count(*) OVER (PARTITION BY origin, h, x) AS m FROM tt JOIN tr USING (origin, h, x))
   SELECT 'events' AS dataset, origin, h, x, round(avg(abs(total - truth)) - sum((2 * i - m - 1) * total) / (any_value(m) * any_value(m)), 6) AS crps, count(*) AS members FROM rr GROUP BY ALL"""
 
 
-@query(with_(EV, GRID) + BOOT)
+@query(with_(EV, GRID) + BOOT + CRPS)
 def persistence_energy_crps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.forecast import bootstrap_sessions
-
     s, pools, status = grid_of(spark, sf_dir)
     ok = status.filter("status = 'ok'")
     rows = pools.join(ok.select(*B.CELL), B.CELL, "left_semi").join(s.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"])
-    sim = bootstrap_sessions(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 2)
+    sim = resampled(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 2)
     truth = ok.join(s.select("dataset", F.col("date").alias("target"), "energy"), ["dataset", "target"]).groupBy(*B.CELL).agg(F.sum("energy").alias("truth"))
     return rounded(B.energy_crps(truth, sim, B.CELL), "crps", places=6)
 
@@ -233,19 +233,36 @@ def summary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(ORD, COUNTS, TARGETS) + """, hd AS (SELECT unnest([DATE '2000-12-25', DATE '2000-05-01']) AS date), cd AS (SELECT cn.*, CASE WHEN hd.date IS NULL THEN 0 ELSE 1 END AS holiday FROM cn LEFT JOIN hd ON hd.date = cn.date)
   SELECT holiday, count(*) AS n_days, round(avg(n), 6) AS mean_sessions FROM cd GROUP BY holiday""")
 def holiday_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = spark.sql("select explode(array(date'2000-12-25', date'2000-05-01')) as date").withColumn("holiday", F.lit(1))
-    flagged = counts(spark, sf_dir).join(F.broadcast(days), "date", "left").withColumn("holiday", F.coalesce("holiday", F.lit(0)))
+    days = spark.sql("select explode(array(date'2000-12-25', date'2000-05-01')) as date")
+    flagged = with_holidays(counts(spark, sf_dir), days)
     return flagged.groupBy("holiday").agg(F.count("*").alias("n_days"), F.round(F.avg("n_sessions"), 6).alias("mean_sessions"))
 
 
-@query(None)
+BT = """, bt AS (SELECT origin || '|' || h || '|' || x || '|' || scenario AS location_type, hour, duration, energy, 1 AS is_weekend FROM bs
+    UNION ALL SELECT origin || '|' || h || '|' || x || '|' || s, ev.hour, ev.duration, ev.energy, 0 FROM sx JOIN ev ON ev.date = target, (SELECT unnest(range(2)) AS s) WHERE status = 'ok'), """
+
+
+@query(with_(EV, GRID) + BOOT + BT + DIST.format(src="bt") + f""", ws AS (SELECT location_type AS cell, feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 6) AS ks, round({KSP}, 6) AS ks_p, round(wasserstein, 5) AS wasserstein, round(kl, 5) AS kl, 'ok' AS status FROM pv JOIN kl USING (location_type, feature))
+  SELECT * FROM ws UNION ALL SELECT origin || '|' || h || '|' || x, NULL, NULL, NULL, NULL, NULL, NULL, NULL, status FROM sx WHERE status <> 'ok'""")
+def rolling_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persistence arm of the rolling-origin backtest, and the cells that can't be scored."""
+    s = event_sessions(spark, sf_dir).withColumn("dataset", F.lit("events"))
+    out = B.rolling_origin(s, [1, 2, 4], [1, 3], 12, 3, n_scenarios=2, arms=("persistence",))
+    out = out.withColumn("cell", F.concat_ws("|", "origin", "h", "x", "scenario"))
+    out = out.select("cell", "feature", "n", "m", "ks", "ks_p", "wasserstein", "kl", "status")
+    return rounded(rounded(out, "ks", "ks_p", places=6), "wasserstein", "kl", places=5)
+
+
+SCHEDULED = """, sb AS (SELECT concat_ws('/', 'events', origin, h, x, scenario, draw) AS session_id, origin, h, x, arrival_time, duration, energy, power_kw FROM bs), """
+
+
+@query(with_(EV, GRID) + BOOT + ", " + SLOTS + SCHEDULED + _scheduled("sb") + " SELECT 'events' AS dataset, origin, h, x, round(sum(cost_smart), 3) AS cost_smart, round(sum(cost_plug), 3) AS cost_plug FROM res GROUP BY ALL")
 def scheduled_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of each backtest scenario's persistence arm under the price signal."""
+    """Costs of the persistence arm's sessions of each backtest cell, over two scenarios, under the price signal."""
     s, pools, status = grid_of(spark, sf_dir)
-    from ..operators.forecast import bootstrap_sessions
-
-    ok = status.filter("status = 'ok' and x = 2")
+    ok = status.filter("status = 'ok'")
     rows = pools.join(ok.select(*B.CELL), B.CELL, "left_semi").join(s.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"])
-    sim = bootstrap_sessions(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 1)
-    sim = sim.withColumn("session_id", F.concat_ws("/", *B.CELL, "draw"))
-    return C.smart_charge(sim, price_signal(s)).groupBy(*B.CELL).agg(F.sum("cost_smart").alias("cost_smart"), F.sum("cost_plug").alias("cost_plug"))
+    sim = resampled(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 2)
+    sim = sim.withColumn("session_id", F.concat_ws("/", *B.CELL, "scenario", "draw"))
+    costs = C.smart_charge(sim, price_signal(s)).groupBy(*B.CELL).agg(F.sum("cost_smart").alias("cost_smart"), F.sum("cost_plug").alias("cost_plug"))
+    return rounded(costs, "cost_smart", "cost_plug", places=3)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import CHARGER_MIX
 from ..operators import schema as S
-from ..sources.readers import cached_table, export, load_datasets, load_sessions
+from ..sources.readers import cached_table, export, load_datasets, load_sessions, local_series, shared_folder
 from .adapters import EV, ORD, event_sessions, national_raw, order_sessions, raw_events, raw_orders, with_
-from .registry import query, shared_folder
+from .registry import query
 
 CALENDAR = "hour, day_of_week, month, season, is_weekend, date"
 
@@ -65,8 +65,10 @@ def scan_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
             export(source, path, sep=";")
             options = {"decimal_commas": ("Energy", "Park Duration")}
         elif name == "json":
+            # files with one array of about a thousand records each, however many records there are
             records = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*source.columns))), ","), F.lit("]"))
-            source.groupBy((F.col("session_id") % 8).alias("part")).agg(records.alias("value")).write.partitionBy("part").text(path)
+            files = F.lit(max(1, source.count() // 1000))
+            source.groupBy(F.pmod(F.xxhash64("session_id"), files).alias("part")).agg(records.alias("value")).write.partitionBy("part").text(path)
         else:
             export(source, path)
         s = load_sessions(spark, path, **options)
@@ -157,6 +159,30 @@ def week_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(EV) + "SELECT location_type, count(*) AS n_sessions, count(DISTINCT department) AS n_departments FROM ev GROUP BY location_type")
 def load_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_sessions(spark, sf_dir)
-    by = S.stratify_columns(s, ["location_type", "not_there"])
-    return s.groupBy(*by).agg(F.count("*").alias("n_sessions"), F.count_distinct("department").alias("n_departments"))
+    return S.load_overview(event_sessions(spark, sf_dir), ["location_type", "not_there"])
+
+
+SITES = "CASE user_id % 3 WHEN 0 THEN 'Caltech' WHEN 1 THEN 'jpl' ELSE 'office' END"
+
+
+@query(f"""WITH t AS (SELECT event_type, {SITES} AS site FROM events), k AS (SELECT 'known' AS part, lower(site) AS site FROM t UNION ALL SELECT 'one', 'jpl' FROM t UNION ALL SELECT 'others', CASE WHEN event_type = 'error' THEN 'elsewhere' ELSE lower(site) END FROM t)
+  SELECT part, coalesce(string_agg(DISTINCT site, ',' ORDER BY site) FILTER (WHERE site IN ('caltech', 'jpl', 'office')), '') AS sites, count(*) FILTER (WHERE site NOT IN ('caltech', 'jpl', 'office')) AS n_other,
+    count(*) FILTER (WHERE site NOT IN ('caltech', 'jpl', 'office')) = 0 AND count(DISTINCT site) > 1 AS combined FROM k GROUP BY part""")
+def combined_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a raw table is several known sites put together: three of them, one, and three among others."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    site = F.when(F.col("user_id") % 3 == 0, "Caltech").when(F.col("user_id") % 3 == 1, "jpl").otherwise("office")
+    parts = {"known": site, "one": F.lit("JPL"), "others": F.when(F.col("event_type") == "error", "elsewhere").otherwise(site)}
+    rows = [S.combined_site_check(e.select(c.alias("data"))).withColumn("part", F.lit(n)) for n, c in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT date_trunc('second', ts) AS ts, round(value, 4) AS value FROM events WHERE year(ts) = 2024 AND value <> round(value)")
+def decimal_comma_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as text with decimal commas and a zone behind the local time, written, read, and one year kept."""
+    e, path = spark.read.parquet(f"{sf_dir}/events.parquet"), f"{shared_folder(spark)}/series.csv"
+    zone = F.when(F.col("event_id") % 2 == 0, "+02:00").otherwise("Z")
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    export(e.filter("value <> round(value)").select(at.alias("Horodate"), F.regexp_replace(F.col("value").cast("string"), r"\.", ",").alias("Valeur")), path, sep=";")
+    s = local_series(spark.read.options(header=True, sep=";").csv(path), "Horodate", "Valeur", 2024)
+    return s.select("ts", F.round("value", 4).alias("value"))

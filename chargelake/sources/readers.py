@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,28 @@ from pyspark.sql import functions as F
 from ..operators.schema import validate
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, a temporary folder on a local master; on any other this raises, as no folder of one machine would do.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
+        base = "file://" + tempfile.mkdtemp(prefix="chargelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a new shared folder: computed once, and safe from lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def separator(spark: SparkSession, path: str) -> str:
     """Of a CSV: semicolon if the first lines have more of them than commas.  A .tsv has tabs."""
     if path.endswith(".tsv"):
@@ -40,6 +64,18 @@ def decimal_comma(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.regexp_replace(F.col(c), ",", ".").try_cast("double") for c in columns})
 
 
+def local_series(df: DataFrame, ts: str, value: str, year: int | None = None) -> DataFrame:
+    """``ts, value`` from text: local time as written, whatever zone follows it, decimal commas, and one year only if given.
+
+    Rows whose time can't be read go; a value that is no number is null.
+    """
+    local = F.regexp_extract(F.col(ts), r"^\s*(\d{4}-\d\d-\d\d)[ T](\d\d:\d\d(?::\d\d)?)", 0)
+    at = F.try_to_timestamp(F.regexp_replace(F.trim(local), "T", " ")).cast("timestamp_ntz")
+    number = F.regexp_replace(F.col(value).cast("string"), ",", ".").try_cast("double")
+    out = df.select(at.alias("ts"), number.alias("value")).filter("ts is not null")
+    return out if year is None else out.filter(F.year("ts") == year)
+
+
 def load_sessions(
     spark: SparkSession, source: str | DataFrame, strict: bool = False, filter_failed: bool = True, decimal_commas: tuple[str, ...] = (), **options
 ) -> DataFrame:
@@ -81,10 +117,15 @@ def config_hash(config: dict, datasets: list[str]) -> str:
 
 
 def cached_table(spark: SparkSession, build: Callable[[], DataFrame], config: dict, datasets: list[str], folder: str, force: bool = False) -> DataFrame:
-    """The result for a configuration and its set of datasets: read if it is there, else built and written."""
+    """The result for a configuration and its set of datasets: read if it is there, else built and written.
+
+    The configuration lies beside the table as one line of JSON, in ``<hash>.config.json``.
+    """
     path = f"{folder}/{config_hash(config, datasets)}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
     if force or not there:
+        text = json.dumps({"config": config, "datasets": sorted(datasets)}, sort_keys=True, default=str)
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.config.json")
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

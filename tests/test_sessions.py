@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from chargelake.operators import forecast as R
 from chargelake.operators import gaussian as G
 from chargelake.operators import loadcurve as L
 from chargelake.operators import metrics as M
+from chargelake.operators import ranks
 from chargelake.operators import schema as S
 from chargelake.operators import smart as C
 from chargelake.plans import backtest as B
@@ -147,12 +149,59 @@ def test_mixtures_iterate_until_they_converge(spark, tmp_path):
     assert 8 < len(trace) < 300 and abs(trace[-1] - trace[-2]) < 1e-3
 
 
-def test_component_counts_up_to_ten_or_a_fifth_of_the_rows(spark):
+def test_component_counts_up_to_ten_or_a_fifth_of_the_rows(spark, tmp_path):
     s = order_sessions(spark, SF)
     few = s.orderBy("session_id").limit(24)
     assert [r["k"] for r in G.component_count_by_bic(few).collect()] == [2, 3, 4]
     found = G.component_count_by_bic(s.orderBy("session_id").limit(60), starts=1).collect()
     assert [r["k"] for r in found] == list(range(2, 11))
+    table, _ = G.component_counts(few.withColumn("all_", F.lit(1)), ["all_"], f"file://{tmp_path}", rounds=5)
+    assert sorted(r["kk"] for r in table.collect()) == [2, 3, 4] and table.filter("best").count() == 1
+
+
+def test_component_counts_differ_between_contexts(spark, tmp_path):
+    """Two clouds in one context, three in the other, one session too few in a third."""
+    rng, rows = np.random.default_rng(0), []
+    for ctx, centres in (("two", (2.0, 4.0)), ("three", (1.0, 3.0, 5.0))):
+        for i in range(300):
+            c = centres[i % len(centres)]
+            rows.append((f"{ctx}{i}", ctx, *map(float, (4 * c + rng.normal() * 0.3, np.expm1(0.5 + rng.normal() * 0.05), np.expm1(c + rng.normal() * 0.1)))))
+    rows += [(f"few{i}", "few", 1.0, 1.0, float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "session_id string, ctx string, hour double, duration double, energy double").withColumn("date", F.lit("2024-01-01").cast("date"))
+    table, params = G.component_counts(df, ["ctx"], f"file://{tmp_path}", most=5, rounds=60)
+    best = {r["ctx"]: r["kk"] for r in table.filter("best").collect()}
+    assert best == {"two": 2, "three": 3}
+    means = sorted(round(r["m2"], 1) for r in params.filter("ctx = 'three'").collect())
+    assert means == [1.0, 3.0, 5.0] and params.groupBy("ctx").agg(F.round(F.sum("weight"), 6).alias("w")).filter("w <> 1").count() == 0
+
+
+def test_percentiles_running_sums_and_numbers(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(v)) for v in rng.lognormal(0, 2, 500)] + [("b", 3.0)] * 7 + [("c", float(v)) for v in rng.integers(-5, 6, 40)] + [("d", None), ("e", 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for split in (True, False):
+        got = {r["k"]: r for r in ranks.percentiles(df, ["k"], "v", {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}, split).collect()}
+        assert set(got) == {"a", "b", "c", "e"}
+        for k in got:
+            values = [v for g, v in rows if g == k]
+            assert np.allclose([got[k][f"p{q}"] for q in (0, 25, 50, 99, 100)], np.percentile(values, [0, 25, 50, 99, 100]))
+    ids = spark.range(1000).selectExpr("id", "id % 3 as k")
+    a, b = (sorted(map(tuple, ranks.numbered(ids, ["k"], "id", split).select("id", "k", "at_").collect())) for split in (True, False))
+    assert a == b and sorted(x[2] for x in a if x[1] == 0) == list(range(334))
+
+
+def test_smart_charging_leaves_before_a_late_slot(spark):
+    """A signal of 15 minutes under slots of 30: the slot at 10:15 begins after departure; the one at 10:05 of an odd signal counts."""
+    s = spark.sql("select 1 as session_id, timestamp_ntz'2024-01-01 09:50:00' as arrival_time, 20 / 60D as duration, 50D as energy")
+    signal = lambda *t: spark.createDataFrame([(x, v) for x, v in t], "t string, value double").select(F.col("t").cast("timestamp_ntz").alias("ts"), "value")
+    fine = C.smart_charge(s, signal(("2024-01-01 09:45:00", 0.5), ("2024-01-01 10:00:00", 0.3), ("2024-01-01 10:15:00", 0.1))).first()
+    assert str(fine["scheduled_start"]) == "2024-01-01 10:00:00" and fine["cost_smart"] == pytest.approx(0.3 * 7.4 * 0.5)
+    odd = C.smart_charge(s, signal(("2024-01-01 10:05:00", 0.3), ("2024-01-01 10:35:00", 0.1))).first()
+    assert str(odd["scheduled_start"]) == "2024-01-01 10:05:00"
+    hours = s.selectExpr("session_id", "date'2024-01-01' as date", "9.5D as hour", "1D as duration", "1D as energy")
+    assert str(C.smart_charge(hours, signal(("2024-01-01 09:30:00", 0.3))).first()["scheduled_start"]) == "2024-01-01 09:30:00"
+    with pytest.raises(ValueError):
+        C.smart_charge(hours.drop("hour"), signal(("2024-01-01 09:30:00", 0.3)))
 
 
 def test_panel_fills_by_calendar_or_all(spark):
