@@ -17,7 +17,7 @@ from .util import arrow_map, doc_crc_mod, labelled_sample, with_columns_last
 
 WORD = re.compile(r"\w+")
 #: Rows of queries scored together.
-TOGETHER = 64
+TOGETHER = 128
 
 
 def terms_of(text: str | None) -> Counter:
@@ -54,9 +54,9 @@ class BlockMaxIndex:
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k examples with the largest cosine above 0 (ties: lower number first), and the cosines.
 
-        The lists are added up for all blocks; on top of that comes, for each block, the bound of the matrix terms.  Blocks
-        are then scored in the order of those sums, 1, 2, 4, ... a round; a query is done once k examples are
-        known and no block left can reach the k-th cosine.  A block that could equal it is still scored, because of ties.
+        The lists are added up for all blocks; on top of that comes, for each block, the bound of the matrix terms.  The
+        blocks with the largest sums are scored first, at least k examples; of all others then those that can still
+        reach the k-th cosine so far.  A block that could equal it is scored as well, because of ties.
         """
         if not self.n or not queries:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
@@ -68,27 +68,32 @@ class BlockMaxIndex:
         head = np.zeros((rows, len(self.matrix)))
         head[of[at >= 0], at[at >= 0]] = weights[at >= 0]
         of, terms, weights = of[at < 0], terms[at < 0], weights[at < 0]
-        first, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        begin, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         total = np.cumsum(length)
-        posting = np.arange(total[-1] if len(total) else 0) + np.repeat(first - (total - length), length)
+        posting = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - length), length)
         cell = np.repeat(of, length) * width + self.examples[posting]
         score = np.bincount(cell, weights=np.repeat(weights, length) * self.weights[posting], minlength=rows * width)
         score = score.reshape(rows, self.n_blocks, self.block)
         bound = score.max(axis=2) + head @ self.top
-        order = np.argsort(-bound, axis=1, kind="stable")
+        first = min(max(4, -(-k // self.block) + 1), self.n_blocks)
+        top = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        wanted = np.zeros((rows, self.n_blocks), bool)
+        np.put_along_axis(wanted, top, True, axis=1)
         seen = np.full((rows, width), -1.0)
-        kth, live, done, step = np.zeros(rows), np.arange(rows), 0, 1
-        while len(live) and done < self.n_blocks:
-            chosen = order[live, done : done + step]
-            wanted = bound[live[:, None], chosen] >= kth[live][:, None] - 1e-9
-            for b in np.unique(chosen[wanted]):
-                q = live[(wanted & (chosen == b)).any(axis=1)]
-                seen[q, b * self.block : (b + 1) * self.block] = score[q, b] + head[q] @ self.matrix[:, b * self.block : (b + 1) * self.block]
-            done, step = done + step, step * 2
-            if self.n > k:
-                kth[live] = np.maximum(np.partition(seen[live], width - k, axis=1)[:, width - k], 0)
-            if done < self.n_blocks:
-                live = live[bound[live, order[live, done]] >= kth[live] - 1e-9]
+
+        def scored(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                q, at = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                seen[q, at] = score[q, b] + head[q] @ self.matrix[:, at]
+
+        def kth_best(among: np.ndarray) -> np.ndarray:
+            n = among.shape[1]
+            return np.maximum(np.partition(among, n - k, axis=1)[:, n - k], 0) if n > k else np.zeros(rows)
+
+        scored(wanted)
+        kth = kth_best(np.take_along_axis(seen.reshape(rows, self.n_blocks, self.block), top[:, :, None], axis=1).reshape(rows, -1))
+        scored(~wanted & (bound >= kth[:, None] - 1e-9))
+        kth = kth_best(seen) if self.n > k else np.zeros(rows)
         out = []
         for q in range(rows):
             hit = np.flatnonzero(seen[q] > max(kth[q] - 1e-9, 1e-12))
@@ -110,11 +115,11 @@ class ToxicityModel:
     shift: float = 0.0
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms that an example holds as well, in rising order, and how often the text has them."""
-        known = self.vocabulary
-        found = sorted((known[t], n) for t, n in terms_of(text).items() if t in known)
-        terms, counts = zip(*found, strict=True) if found else ((), ())
-        return np.array(terms, dtype=np.int64), np.array(counts, dtype=np.float64)
+        """Numbers of the terms that an example holds as well, and how often the text has them."""
+        known, found = self.vocabulary, terms_of(text)
+        numbers = np.array([known.get(t, -1) for t in found], dtype=np.int64)
+        counts = np.array(list(found.values()), dtype=np.float64)
+        return numbers[numbers >= 0], counts[numbers >= 0]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         v = (1 + np.log(counts)) * (self.weight[terms] if weight is None else weight)
@@ -166,7 +171,7 @@ def relevance(bad: np.ndarray, good: np.ndarray, prior: float, strength: float,
     return least + np.abs(np.log(odds * (1 - prior) / prior))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8_000, k: int = 16, strength: float = 20.0, least: float = 0.1) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4_000, k: int = 16, strength: float = 20.0, least: float = 0.1) -> ToxicityModel:
     """Examples from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 isn't 0.
 
     A term is a run of word characters in lower case.  Every term of every example counts, none is left out; its weight is (1 + ln
