@@ -5,7 +5,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +58,8 @@ class TreeEncoder:
 
     def part(self, text: str, start: int, end: int) -> Part:
         if end - start <= self.leaf:
-            found = list(self.split.finditer(text, start, end))
-            pieces = self.pieces
-            return Part(start, end, [m.start() for m in found], [pieces[m.group()] for m in found])
+            found = self.split.findall(text, start, end)  # every character is in one match
+            return Part(start, end, list(accumulate(map(len, found[:-1]), initial=start)) if found else [], list(map(self.pieces.__getitem__, found)))
         middle = (start + end) // 2
         return self.join(text, self.part(text, start, middle), self.part(text, middle, end))
 
