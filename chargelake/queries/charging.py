@@ -24,21 +24,21 @@ def _scheduled(sessions: str, signal: str = TARIFF, order: str = "ASC") -> str:
   res AS (SELECT s.*, cost_smart, cost_plug, CASE WHEN cost_plug > 0 THEN 100 * (cost_plug - cost_smart) / cost_plug END AS savings_pct, scheduled_start, scheduled_start + to_minutes(CAST(k * 30 AS BIGINT)) AS scheduled_end FROM {sessions} s LEFT JOIN sm USING (session_id))"""
 
 
-COST = "round(cost_smart, 4) AS cost_smart, round(cost_plug, 4) AS cost_plug, round(savings_pct, 4) AS savings_pct, scheduled_start, scheduled_end"
+COST = "round(cost_smart, 4) AS cost_smart, round(cost_plug, 4) AS cost_plug, round(savings_pct, 9) AS savings_pct, scheduled_start, scheduled_end"
 
 
 @query(with_(EV, SLOTS, _scheduled("ev")) + f"SELECT session_id, {COST} FROM res")
 def smart_charge_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_sessions(spark, sf_dir)
     out = C.smart_charge(s, price_signal(s)).select("session_id", *C.OUTPUT)
-    return rounded(out, "cost_smart", "cost_plug", "savings_pct")
+    return rounded(rounded(out, "cost_smart", "cost_plug"), "savings_pct", places=9)
 
 
 @query(with_(EV, SLOTS, _scheduled("ev", f"round({RENEWABLE}, 9)", "DESC")) + f"SELECT session_id, {COST} FROM res")
 def smart_charge_renewable(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_sessions(spark, sf_dir)
     signal = renewable_signal(s).withColumn("value", F.round("value", 9))
-    return rounded(C.smart_charge(s, signal, "renewable").select("session_id", *C.OUTPUT), "cost_smart", "cost_plug", "savings_pct")
+    return rounded(rounded(C.smart_charge(s, signal, "renewable").select("session_id", *C.OUTPUT), "cost_smart", "cost_plug"), "savings_pct", places=9)
 
 
 @query(with_(EV, SLOTS, _scheduled("ev")) + """SELECT round(sum(cost_smart), 3) AS total_smart, round(sum(cost_plug), 3) AS total_plug, round(sum(cost_plug - cost_smart), 3) AS total_saved,
@@ -95,7 +95,7 @@ def smart_charge_from_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with a date and an hour only, and no power: the arrival is made, the power is the default."""
     s = event_sessions(spark, sf_dir)
     bare = s.select("session_id", "date", F.col("hour").alias("arrival_hour"), "duration", "energy")
-    return rounded(C.smart_charge(bare, price_signal(s)).select("session_id", "arrival_time", *C.OUTPUT), "cost_smart", "cost_plug", "savings_pct")
+    return rounded(rounded(C.smart_charge(bare, price_signal(s)).select("session_id", "arrival_time", *C.OUTPUT), "cost_smart", "cost_plug"), "savings_pct", places=9)
 
 
 @query(with_(EV, SLOTS, _scheduled("ev").replace("sig AS (SELECT ts, ", "sig AS (SELECT ts + INTERVAL 5 MINUTE AS ts, ")) + f"SELECT session_id, {COST} FROM res")
@@ -103,7 +103,7 @@ def smart_charge_off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A signal whose times lie five minutes off the grid of slots."""
     s = event_sessions(spark, sf_dir)
     late = price_signal(s).withColumn("ts", F.col("ts") + F.expr("interval 5 minutes"))
-    return rounded(C.smart_charge(s, late).select("session_id", *C.OUTPUT), "cost_smart", "cost_plug", "savings_pct")
+    return rounded(rounded(C.smart_charge(s, late).select("session_id", *C.OUTPUT), "cost_smart", "cost_plug"), "savings_pct", places=9)
 
 
 @query(with_(EV) + """SELECT location_type, count(*) AS n_sessions, round(sum(energy), 3) AS kwh, round(sum(CASE WHEN hour + duration > 72 THEN energy / duration * (hour + duration - 72) ELSE 0 END), 3) AS lost_kwh,
