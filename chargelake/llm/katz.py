@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import doc_crc_mod, scratch_dir, table_written
+from .util import bounded_batches, doc_crc_mod, scratch_dir, table_written
 
 #: Counts above this aren't discounted.
 GOOD_TURING_TO = 5
@@ -231,6 +231,7 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, batch_tokens: i
     dropped.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)  # a batch of tokens is larger than that, so a worker is given one at a time
     save = lambda df: table_written(df, scratch_dir(spark))
     batches = save(token_batches(docs.select("doc_id", "text", (doc_crc_mod("doc_id", modulus) == held).alias("held_out")), batch_tokens))
     tokens = batches.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
