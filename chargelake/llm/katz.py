@@ -4,7 +4,8 @@ Texts are cut into *batches* of about a million tokens.  A batch asks for what i
 by sending its distinct keys, sorted, to the key ranges (*buckets*) of that table; each bucket adds up the
 counts of all batches and answers each batch in the order of its own keys.  So every distinct key
 travels once per batch and not once per occurrence, frequent words are summed before the shuffle, and no task holds
-more than one batch or one bucket.
+more than one batch or one bucket.  An n-gram can be in another batch only if its first and its last words are, so from
+order 3 on a batch sends only those n-grams of which both are; the counts of the others it knows itself.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded_batches, doc_crc_mod, scratch_dir, table_written
+from .util import Scratch, bounded_batches, doc_crc_mod
 
 #: Counts above this aren't discounted.
 GOOD_TURING_TO = 5
@@ -29,9 +30,9 @@ GOOD_TURING_TO = 5
 HISTORY_EXTRA = 0.5
 
 BATCH = "batch_id long, doc_ids array<long>, held_out array<boolean>, lengths array<int>, n_train long, words binary, tokens binary"
-REQUEST = "bucket int, batch_id long, n long, keys binary, counts binary"
+REQUEST = "bucket int, batch_id long, n long, keys binary, counts binary, here array<long>"
 REPLY = "bucket int, batch_id long, reply binary, totals array<long>"
-PARTIAL = "kind string, bucket int, batch_id long, n long, keys binary, used binary, mass binary, total binary, docs binary, at binary"
+PARTIAL = "kind string, bucket int, batch_id long, n long, keys binary, used binary, mass binary, total binary, docs binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -63,8 +64,8 @@ def word_key(word: bytes) -> int:
 END = b""
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each pair of word keys."""
+def gram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each history's key and word's key."""
     x = first * np.uint64(0x9E3779B97F4A7C15) + second
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -73,6 +74,14 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def as_batch(rows: list, schema: str) -> pa.RecordBatch:
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = [pa.array(x, ARROW[kind]) for x, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+
 
 def token_batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
     """The tokens of all texts as numbers into each batch's own word list."""
@@ -115,32 +124,73 @@ def token_batches(docs: DataFrame, batch_tokens: int) -> DataFrame:
     return docs.mapInArrow(batched, BATCH)
 
 
+class Grams:
+    """The distinct n-grams of one order in a batch, sorted by key.
+
+    ``keys``: of each; ``of``: the n-gram that ends at each token, -1 where the text has begun too lately for one; ``history``
+    and ``lower``: its first and its last words as numbers into the n-grams of the order below.
+    """
+
+    def __init__(self, keys: np.ndarray, of: np.ndarray, history: np.ndarray | None = None, lower: np.ndarray | None = None):
+        self.keys, self.of, self.history, self.lower = keys, of, history, lower
+
+    def over(self, tokens: np.ndarray) -> np.ndarray:
+        """How often each ends at one of the chosen ``tokens`` (a mask)."""
+        return np.bincount(self.of[tokens & (self.of >= 0)], minlength=len(self.keys))
+
+
 class TokenBatch:
-    def __init__(self, row: dict):
-        self.words, self.tokens = unpacked_keys(row["words"]), unpacked(row["tokens"], np.int32).astype(np.int64)
+    """A batch with the n-grams of orders 1 to ``order``, and what the buckets have answered about them.
+
+    The first word's history is the end of a text, alone; from then on histories grow by a word until they are complete.
+    """
+
+    def __init__(self, row: dict, order: int):
+        self.words, tokens = unpacked_keys(row["words"]), unpacked(row["tokens"], np.int32).astype(np.int64)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
+        place = np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)
         end = int(np.searchsorted(self.words, np.uint64(word_key(END))))
-        self.history = np.empty_like(self.tokens)
-        self.history[1:] = self.tokens[:-1]
-        self.history[self.starts] = end
-
-    def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.words, np.bincount(self.tokens[self.train], minlength=len(self.words))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs as history * words + word in the order of their keys; the keys; the pair of each token."""
-        distinct, of = np.unique(self.history * len(self.words) + self.tokens, return_inverse=True)
-        keys = pair_keys(self.words[distinct // len(self.words)], self.words[distinct % len(self.words)])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return distinct[order], keys[order], place[of.ravel()]
-
-    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        _, keys, of = self.pairs()
-        return keys, np.bincount(of[self.train], minlength=len(keys))
+        self.grams = [Grams(self.words, tokens)]
+        for k in range(2, order + 1):
+            below = self.grams[-1]
+            before = np.empty_like(tokens)
+            before[1:] = below.of[:-1]
+            if k == 2:
+                before[self.starts] = end
+            at = np.flatnonzero(place >= k - 2)
+            distinct, number = np.unique(before[at] * len(self.words) + tokens[at], return_inverse=True)
+            history = distinct // len(self.words)
+            keys = gram_keys(below.keys[history], self.words[distinct % len(self.words)])
+            by_key = np.argsort(keys, kind="stable")
+            rank = np.empty(len(by_key), np.int64)
+            rank[by_key] = np.arange(len(by_key))
+            of, lower = np.full(len(tokens), -1), np.empty(len(keys), np.int64)
+            of[at] = rank[number.ravel()]
+            lower[of[at]] = below.of[at]
+            self.grams.append(Grams(keys[by_key], of, history[by_key], lower))
+        self.known: list[Known] = []
+        for g, replies in zip(self.grams, (row.get(f"reply_{k}") for k in range(1, order + 1)), strict=True):
+            if replies is not None:
+                self.known.append(Known(g.over(self.train), self.asked(len(self.known) + 1), np.concatenate([unpacked(x, np.int64) for x in replies])))
+
+    def asked(self, k: int) -> np.ndarray:
+        """Which n-grams of order ``k`` other batches may have too: those of whose first and last words that is known."""
+        g = self.grams[k - 1]
+        if k <= 2:
+            return np.ones(len(g.keys), bool)
+        shared = self.known[k - 2].shared
+        return shared[g.history] & shared[g.lower]
+
+
+class Known:
+    """Of each n-gram: its count in training, whether other batches have it and whether a held-out text has it, and whether it is
+    this batch that answers for it.  What no bucket was asked occurs in this batch alone."""
+
+    def __init__(self, own: np.ndarray, asked: np.ndarray, reply: np.ndarray):
+        self.count, self.shared, self.wanted, self.owned = own.copy(), np.zeros(len(own), bool), np.zeros(len(own), bool), np.ones(len(own), bool)
+        self.count[asked], self.shared[asked], self.wanted[asked], self.owned[asked] = reply >> 3, reply & 4 > 0, reply & 2 > 0, reply & 1 > 0
 
 
 def bucket_cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -150,34 +200,51 @@ def bucket_cuts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     return zip(numbers.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)][: len(first)], strict=True)
 
 
-def count_requests(batches: DataFrame, what: str, bits: int) -> DataFrame:
+def totals_in(counts: np.ndarray) -> list[int]:
+    """Tokens, distinct n-grams and counts of counts 1 ... GOOD_TURING_TO + 1."""
+    return [int(counts.sum()), int((counts > 0).sum()), *(int((counts == r).sum()) for r in range(1, GOOD_TURING_TO + 2))]
+
+
+def count_requests(batches: DataFrame, k: int, bits: int) -> DataFrame:
+    """The distinct n-grams of order ``k`` that other batches may have, with ``2 * count + whether a held-out text has it``.
+
+    The totals of all others are in the batch's first row.
+    """
+
     def asked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                keys, counts = getattr(TokenBatch(row), what)()
-                out = [(b, row["batch_id"], hi - lo, packed_keys(keys[lo:hi]), packed(counts[lo:hi])) for b, lo, hi in bucket_cuts(keys, bits)]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["bucket", "batch_id", "n", "keys", "counts"])
+                b = TokenBatch(row | {f"reply_{k}": None}, k)
+                grams, sent = b.grams[k - 1], b.asked(k)
+                own = grams.over(b.train)
+                keys, counts, here = grams.keys[sent], (2 * own + (grams.over(~b.train) > 0))[sent], totals_in(own[~sent])
+                out = [[n, row["batch_id"], hi - lo, packed_keys(keys[lo:hi]), packed(counts[lo:hi]), None] for n, lo, hi in bucket_cuts(keys, bits)]
+                if not out:
+                    out = [[row["batch_id"] % (1 << bits), row["batch_id"], 0, packed_keys(keys), packed(counts), None]]
+                out[0][-1] = here
+                yield as_batch(out, REQUEST)
 
     return batches.mapInArrow(asked, REQUEST)
 
 
 def counted(requests: DataFrame) -> DataFrame:
-    """Replies ``2 * count + owner``: the count over all batches, and for one batch of each key a 1.
+    """Replies ``8 * count + 4 * shared + 2 * wanted + owned``: the count over all batches, and what ``Known`` says.
 
-    totals: tokens, distinct keys and counts of counts 1 ... GOOD_TURING_TO + 1, in one row of each bucket.
+    totals: as in ``totals_in``, in one row of each bucket.
     """
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("batch_id")
         keys = np.concatenate([unpacked_keys(x) for x in group["keys"]])
         counts = np.concatenate([unpacked(x, np.int64) for x in group["counts"]])
-        _, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        total = np.bincount(of.ravel(), weights=counts).astype(np.int64)
-        reply = 2 * total[of.ravel()]
+        distinct, first, of, batches = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        of, total, held = of.ravel(), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
+        np.add.at(total, of, counts >> 1)
+        held[of[counts & 1 > 0]] = True
+        reply = (8 * total + 4 * (batches > 1) + 2 * held)[of]
         reply[first] += 1
         cuts = np.cumsum(group["n"].to_numpy())[:-1]
-        totals = [int(total.sum()), int((total > 0).sum()), *(int((total == r).sum()) for r in range(1, GOOD_TURING_TO + 2))]
+        totals = np.sum([totals_in(total), *(x for x in group["here"] if x is not None)], axis=0).tolist()
         return pd.DataFrame(
             {"bucket": group["bucket"], "batch_id": group["batch_id"], "reply": [packed(x) for x in np.split(reply, cuts)], "totals": [totals] + [None] * (len(group) - 1)}
         )
@@ -208,6 +275,11 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
+def backoff_weight(used: np.ndarray, mass: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What a history leaves to words unseen after it, over what they have in the order below."""
+    return (1 - used / (total + HISTORY_EXTRA)) / np.maximum(1 - mass, 1e-12)
+
+
 def with_replies(batches: DataFrame, **replies: DataFrame) -> DataFrame:
     """Each batch with the answers of all buckets, in their order."""
     for name, table in replies.items():
@@ -216,81 +288,96 @@ def with_replies(batches: DataFrame, **replies: DataFrame) -> DataFrame:
     return batches
 
 
-def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, batch_tokens: int = 1 << 20) -> DataFrame:
+def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3, batch_tokens: int = 1 << 20) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): counts, the add-one unigram score, the model's score.
 
     The model learns from documents with crc32(doc_id as text) mod ``modulus`` other than ``held``.  Tokens:
     words between space and \\x09-\\x0D, A-Z in lower case, then one end.  With c counts in training and
-    d Good-Turing discounts: P(w) = d c(w) / N, what is left over for unknown words; P(w | h) = d c(h w) / (c(h) + e),
-    or where h w is unseen, a(h) P(w) with a(h) = (1 - sum of seen P(. | h)) / (1 - sum of their P(.)); for an unseen
-    history P(w).  The history of the first word is the end of text.  e is HISTORY_EXTRA.
+    d Good-Turing discounts of each order: P(w) = d c(w) / N, what is left over for unknown words; P(w | h) = d c(h w) / (c(h) + e),
+    or where h w is unseen, a(h) P(w | h') with h' the history without its first word and
+    a(h) = (1 - sum of seen P(. | h)) / (1 - sum of their P(. | h')); for an unseen history P(w | h').  The history of the first
+    word is the end of text, that of the second both; from then on it is the last ``order`` - 1 words.  e is HISTORY_EXTRA.
 
     Words are told apart by 64-bit hashes.  The number of buckets follows the number of tokens.
     Null or empty text: the end token alone.  Null id: crc32 of the empty text.  Repeated rows and ties: every row
-    counts and is scored.  Empty table: no rows.  Without training documents all words are unknown.  Other columns are
-    dropped.
+    counts and is scored.  A very long text: a batch of its own, whole.  Empty table: no rows.  Without training documents all
+    words are unknown.  Other columns are dropped.
     """
     spark = docs.sparkSession
     bounded_batches(spark)  # a batch of tokens is larger than that, so a worker is given one at a time
-    save = lambda df: table_written(df, scratch_dir(spark))
-    batches = save(token_batches(docs.select("doc_id", "text", (doc_crc_mod("doc_id", modulus) == held).alias("held_out")), batch_tokens))
+    scratch = Scratch(spark)
+    batches = scratch.save(token_batches(docs.select("doc_id", "text", (doc_crc_mod("doc_id", modulus) == held).alias("held_out")), batch_tokens), "batches")
     tokens = batches.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     bits = max(6, math.ceil(math.log2(max(tokens, 1) / (1 << 20))))
-    words = save(counted(count_requests(batches, "word_counts", bits)))
-    pairs = save(counted(count_requests(batches, "pair_counts", bits)))
-    n_train, n_words, *word_counts = totals_of(words)
-    d_word, d_pair = discounts(word_counts), discounts(totals_of(pairs)[2:])
+    replies: dict[str, DataFrame] = {}
+    for k in range(1, order + 1):
+        # only from order 3 on does it pay to leave out what no other batch can have
+        asking = with_replies(batches, **replies) if k > 2 else batches
+        replies[f"reply_{k}"] = scratch.save(counted(count_requests(asking, k, bits)), f"reply_{k}")
+    totals = [totals_of(x) for x in replies.values()]
+    n_train, n_words, *word_counts = totals[0]
+    d = [discounts(x[2:]) for x in totals]
     # what the discounts leave for unknown words; exact, as only the counts up to GOOD_TURING_TO are discounted
-    unknown = sum((1 - d_word[r]) * r * word_counts[r - 1] for r in range(1, GOOD_TURING_TO + 1)) / n_train if n_train else 1.0
+    unknown = sum((1 - d[0][r]) * r * word_counts[r - 1] for r in range(1, GOOD_TURING_TO + 1)) / n_train if n_train else 1.0
     unknown = unknown or 1.0 / (n_train + n_words + 1)
 
-    def unigram(counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, d_word) / max(n_train, 1), unknown)
-
     def partial(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for row in batch.to_pylist():
-                b = TokenBatch(row)
-                c = np.concatenate([unpacked(x, np.int64) for x in row["word_reply"]]) // 2
-                pair, _, of = b.pairs()
-                reply = np.concatenate([unpacked(x, np.int64) for x in row["pair_reply"]])
-                c_pair, history, word = reply // 2, pair // len(b.words), pair % len(b.words)
-                p = unigram(c)
-                seen = discounted(c_pair, d_pair) / (c[history] + HISTORY_EXTRA)
-                # sums over the seen pairs that this batch answers for
-                own = (reply % 2 == 1) & (c_pair > 0)
-                used = np.bincount(history[own], weights=discounted(c_pair[own], d_pair), minlength=len(c))
-                mass = np.bincount(history[own], weights=p[word[own]], minlength=len(c))
-                backed = (c_pair == 0) & (c[history] > 0)  # pairs that need the history's weight
-                direct = np.where(c_pair > 0, seen, p[word])
-                logs = np.add.reduceat(np.log10(direct)[of], b.starts)
-                base = np.add.reduceat(np.log10((c + 1) / (n_train + n_words + 1))[b.tokens], b.starts)
-                known = np.add.reduceat((c > 0)[b.tokens].astype(np.int64), b.starts)
+                b = TokenBatch(row, order)
+                c = b.known[0].count
+                p = np.where(c > 0, discounted(c, d[0]) / max(n_train, 1), unknown)
+                log_p = np.log10(p)
+                logs, doc_at, key_at, gives = log_p[b.grams[0].of], [], [], []
+                for k in range(1, order):
+                    grams, known, below = b.grams[k], b.known[k], b.known[k - 1]
+                    h, seen, total = grams.history, known.count > 0, below.count + HISTORY_EXTRA
+                    kept = discounted(known.count, d[k])
+                    own = known.owned & seen  # what this batch answers for
+                    used = np.bincount(h[own], weights=kept[own], minlength=len(total))
+                    mass = np.bincount(h[own], weights=p[grams.lower[own]], minlength=len(total))
+                    # all that follows a history which is in no other batch is in this one; weights of others come from the buckets
+                    backed = ~seen & (below.count[h] > 0)
+                    here = backed & ~below.shared[h]
+                    weight = backoff_weight(used, mass, below.count)
+                    p = np.where(seen, kept / total[h], p[grams.lower])
+                    log_p = np.where(seen, np.log10(p), log_p[grams.lower])
+                    log_p[here] += np.log10(weight[h[here]])
+                    there = np.flatnonzero(grams.of >= 0)
+                    logs[there] = log_p[grams.of[there]]
+                    at = there[(backed & below.shared[h])[grams.of[there]]]
+                    doc_at.append(np.searchsorted(b.starts, at, side="right") - 1)
+                    key_at.append(b.grams[k - 1].keys[h[grams.of[at]]])
+                    g = np.flatnonzero((used > 0) & below.shared & below.wanted)
+                    gives.append((b.grams[k - 1].keys[g], used[g], mass[g], below.count[g]))
+                score = np.add.reduceat(logs, b.starts)
+                base = np.add.reduceat(np.log10((c + 1) / (n_train + n_words + 1))[b.grams[0].of], b.starts)
+                n_known = np.add.reduceat((c > 0)[b.grams[0].of].astype(np.int64), b.starts)
                 out: list[tuple] = []
-                gives = np.flatnonzero(used > 0)
-                for k, lo, hi in bucket_cuts(b.words[gives], bits):
-                    g = gives[lo:hi]
-                    out.append(("give", k, row["batch_id"], hi - lo, packed_keys(b.words[g]), packed(used[g]), packed(mass[g]), packed(c[g]), None, None))
-                asks = np.unique(history[backed])
-                for k, lo, hi in bucket_cuts(b.words[asks], bits):
-                    out.append(("ask", k, row["batch_id"], hi - lo, packed_keys(b.words[asks[lo:hi]]), None, None, None, None, None))
-                at = np.flatnonzero(backed[of])
-                doc = np.searchsorted(b.starts, at, side="right") - 1
+                if gives:
+                    keys, used, mass, total = (np.concatenate(x) for x in zip(*gives, strict=True))
+                    by_key = np.argsort(keys, kind="stable")
+                    keys, used, mass, total = keys[by_key], used[by_key], mass[by_key], total[by_key]
+                    for n, lo, hi in bucket_cuts(keys, bits):
+                        cut = slice(lo, hi)
+                        out.append(("give", n, row["batch_id"], hi - lo, packed_keys(keys[cut]), packed(used[cut]), packed(mass[cut]), packed(total[cut]), None))
+                asks, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *key_at]), return_inverse=True)
+                for n, lo, hi in bucket_cuts(asks, bits):
+                    out.append(("ask", n, row["batch_id"], hi - lo, packed_keys(asks[lo:hi]), None, None, None, None))
                 ids = row["doc_ids"]
                 table = pa.table({
                     "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": b.lengths,
-                    "n_known": known, "base_score": base, "score": logs,
+                    "n_known": n_known, "base_score": base, "score": score,
                 })
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
-                weights_at = np.searchsorted(asks, history[of[at]])
-                out.append(("docs", -1, row["batch_id"], len(ids), None, packed(doc), packed(weights_at), None, sink.getvalue().to_pybytes(), None))
-                names = [f.split(" ")[0] for f in PARTIAL.split(", ")]
-                types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                doc_at = np.concatenate([np.zeros(0, np.int64), *doc_at])
+                out.append(("docs", -1, row["batch_id"], len(ids), None, packed(doc_at), packed(at.ravel()), None, sink.getvalue().to_pybytes()))
+                yield as_batch(out, PARTIAL)
 
-    parts = save(with_replies(batches, word_reply=words, pair_reply=pairs).mapInArrow(partial, PARTIAL))
+    parts = scratch.save(with_replies(batches, **replies).mapInArrow(partial, PARTIAL))
+    scratch.clean("batches", *replies)
 
     def weighed(group: pd.DataFrame) -> pd.DataFrame:
         """Backoff weights of the histories in a bucket, for the batches that ask."""
@@ -306,7 +393,7 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, batch_tokens: i
             add = lambda c: np.bincount(of.ravel(), weights=np.concatenate([unpacked(x, np.float64) for x in give[c]]))
             used, mass, total = add("used"), add("mass"), np.zeros(len(keys))
             total[of.ravel()] = np.concatenate([unpacked(x, np.int64) for x in give["total"]])
-        weight = (1 - used / (total + HISTORY_EXTRA)) / np.maximum(1 - mass, 1e-12)
+        weight = backoff_weight(used, mass, total)
         replies = []
         for x in ask["keys"]:
             wanted = unpacked_keys(x)

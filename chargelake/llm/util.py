@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,9 +34,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def table_written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors.
+
+    The job's shuffle files go when the table is complete.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
