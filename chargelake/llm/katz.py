@@ -32,7 +32,7 @@ HISTORY_EXTRA = 0.5
 BATCH = "batch_id long, doc_ids array<long>, held_out array<boolean>, lengths array<int>, n_train long, words binary, tokens binary"
 REQUEST = "bucket int, batch_id long, n long, keys binary, counts binary, here array<long>"
 REPLY = "bucket int, batch_id long, reply binary, totals array<long>"
-PARTIAL = "kind string, bucket int, batch_id long, n long, keys binary, used binary, mass binary, total binary, docs binary"
+PARTIAL = "kind string, bucket int, batch_id long, n long, keys binary, x binary, y binary, docs binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -146,11 +146,11 @@ class TokenBatch:
     """
 
     def __init__(self, row: dict, order: int):
-        self.words, tokens = unpacked_keys(row["words"]), unpacked(row["tokens"], np.int32).astype(np.int64)
+        self.words, tokens = unpacked_keys(row["words"]), unpacked(row["tokens"], np.int32)
         self.lengths = np.array(row["lengths"], dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
-        place = np.arange(len(tokens)) - np.repeat(self.starts, self.lengths)
+        place = np.arange(len(tokens), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
         end = int(np.searchsorted(self.words, np.uint64(word_key(END))))
         self.grams = [Grams(self.words, tokens)]
         for k in range(2, order + 1):
@@ -160,13 +160,13 @@ class TokenBatch:
             if k == 2:
                 before[self.starts] = end
             at = np.flatnonzero(place >= k - 2)
-            distinct, number = np.unique(before[at] * len(self.words) + tokens[at], return_inverse=True)
-            history = distinct // len(self.words)
+            distinct, number = np.unique(before[at].astype(np.int64) * len(self.words) + tokens[at], return_inverse=True)
+            history = (distinct // len(self.words)).astype(np.int32)
             keys = gram_keys(below.keys[history], self.words[distinct % len(self.words)])
             by_key = np.argsort(keys, kind="stable")
-            rank = np.empty(len(by_key), np.int64)
-            rank[by_key] = np.arange(len(by_key))
-            of, lower = np.full(len(tokens), -1), np.empty(len(keys), np.int64)
+            rank = np.empty(len(by_key), np.int32)
+            rank[by_key] = np.arange(len(by_key), dtype=np.int32)
+            of, lower = np.full(len(tokens), -1, np.int32), np.empty(len(keys), np.int32)
             of[at] = rank[number.ravel()]
             lower[of[at]] = below.of[at]
             self.grams.append(Grams(keys[by_key], of, history[by_key], lower))
@@ -275,9 +275,12 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return counts * np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0)
 
 
-def backoff_weight(used: np.ndarray, mass: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """What a history leaves to words unseen after it, over what they have in the order below."""
-    return (1 - used / (total + HISTORY_EXTRA)) / np.maximum(1 - mass, 1e-12)
+def backoff_weight(used: np.ndarray, used_lower: np.ndarray, total: np.ndarray, of_lower: np.ndarray) -> np.ndarray:
+    """What a history leaves to words unseen after it, over what they have in the order below.
+
+    The discounted counts of the words seen after it, in its own order and in the order below, and the totals that these are parts of.
+    """
+    return (1 - used / total) / np.maximum(1 - used_lower / of_lower, 1e-12)
 
 
 def with_replies(batches: DataFrame, **replies: DataFrame) -> DataFrame:
@@ -288,7 +291,7 @@ def with_replies(batches: DataFrame, **replies: DataFrame) -> DataFrame:
     return batches
 
 
-def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3, batch_tokens: int = 1 << 20) -> DataFrame:
+def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3, batch_tokens: int = 1 << 19) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): counts, the add-one unigram score, the model's score.
 
     The model learns from documents with crc32(doc_id as text) mod ``modulus`` other than ``held``.  Tokens:
@@ -326,44 +329,42 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
             for row in batch.to_pylist():
                 b = TokenBatch(row, order)
                 c = b.known[0].count
-                p = np.where(c > 0, discounted(c, d[0]) / max(n_train, 1), unknown)
-                log_p = np.log10(p)
-                logs, doc_at, key_at, gives = log_p[b.grams[0].of], [], [], []
+                kept, of_lower = discounted(c, d[0]), np.full(len(c), float(max(n_train, 1)))
+                log_p = np.log10(np.where(c > 0, kept / of_lower, unknown))
+                none = np.zeros(0)
+                logs, doc_at, asks, gives = log_p[b.grams[0].of], [none.astype(int)], [(none.astype(np.uint64), none, none)], [(none.astype(np.uint64), none, none)]
                 for k in range(1, order):
                     grams, known, below = b.grams[k], b.known[k], b.known[k - 1]
                     h, seen, total = grams.history, known.count > 0, below.count + HISTORY_EXTRA
-                    kept = discounted(known.count, d[k])
+                    lower, kept = kept[grams.lower], discounted(known.count, d[k])
                     own = known.owned & seen  # what this batch answers for
                     used = np.bincount(h[own], weights=kept[own], minlength=len(total))
-                    mass = np.bincount(h[own], weights=p[grams.lower[own]], minlength=len(total))
+                    used_lower = np.bincount(h[own], weights=lower[own], minlength=len(total))
                     # all that follows a history which is in no other batch is in this one; weights of others come from the buckets
                     backed = ~seen & (below.count[h] > 0)
                     here = backed & ~below.shared[h]
-                    weight = backoff_weight(used, mass, below.count)
-                    p = np.where(seen, kept / total[h], p[grams.lower])
-                    log_p = np.where(seen, np.log10(p), log_p[grams.lower])
+                    weight = backoff_weight(used, used_lower, total, of_lower)
+                    log_p = np.where(seen, np.log10(np.where(seen, kept, 1) / total[h]), log_p[grams.lower])
                     log_p[here] += np.log10(weight[h[here]])
                     there = np.flatnonzero(grams.of >= 0)
                     logs[there] = log_p[grams.of[there]]
                     at = there[(backed & below.shared[h])[grams.of[there]]]
                     doc_at.append(np.searchsorted(b.starts, at, side="right") - 1)
-                    key_at.append(b.grams[k - 1].keys[h[grams.of[at]]])
+                    asked = h[grams.of[at]]
+                    asks.append((b.grams[k - 1].keys[asked], total[asked], of_lower[asked]))
                     g = np.flatnonzero((used > 0) & below.shared & below.wanted)
-                    gives.append((b.grams[k - 1].keys[g], used[g], mass[g], below.count[g]))
+                    gives.append((b.grams[k - 1].keys[g], used[g], used_lower[g]))
+                    of_lower = total[grams.lower]
                 score = np.add.reduceat(logs, b.starts)
                 base = np.add.reduceat(np.log10((c + 1) / (n_train + n_words + 1))[b.grams[0].of], b.starts)
                 n_known = np.add.reduceat((c > 0)[b.grams[0].of].astype(np.int64), b.starts)
                 out: list[tuple] = []
-                if gives:
-                    keys, used, mass, total = (np.concatenate(x) for x in zip(*gives, strict=True))
-                    by_key = np.argsort(keys, kind="stable")
-                    keys, used, mass, total = keys[by_key], used[by_key], mass[by_key], total[by_key]
+                for kind, keys_of in (("give", gives), ("ask", asks)):
+                    keys, x, y = (np.concatenate(c) for c in zip(*keys_of, strict=True))
+                    keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+                    x, y = x[first], y[first]
                     for n, lo, hi in bucket_cuts(keys, bits):
-                        cut = slice(lo, hi)
-                        out.append(("give", n, row["batch_id"], hi - lo, packed_keys(keys[cut]), packed(used[cut]), packed(mass[cut]), packed(total[cut]), None))
-                asks, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *key_at]), return_inverse=True)
-                for n, lo, hi in bucket_cuts(asks, bits):
-                    out.append(("ask", n, row["batch_id"], hi - lo, packed_keys(asks[lo:hi]), None, None, None, None))
+                        out.append((kind, n, row["batch_id"], hi - lo, packed_keys(keys[lo:hi]), packed(x[lo:hi]), packed(y[lo:hi]), None))
                 ids = row["doc_ids"]
                 table = pa.table({
                     "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": b.lengths,
@@ -372,8 +373,8 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
-                doc_at = np.concatenate([np.zeros(0, np.int64), *doc_at])
-                out.append(("docs", -1, row["batch_id"], len(ids), None, packed(doc_at), packed(at.ravel()), None, sink.getvalue().to_pybytes()))
+                # what a token waits for: its text, and the number of the weight among those asked for
+                out.append(("docs", -1, row["batch_id"], len(ids), None, packed(np.concatenate(doc_at)), packed(at.ravel()), sink.getvalue().to_pybytes()))
                 yield as_batch(out, PARTIAL)
 
     parts = scratch.save(with_replies(batches, **replies).mapInArrow(partial, PARTIAL))
@@ -383,23 +384,18 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
         """Backoff weights of the histories in a bucket, for the batches that ask."""
         group = group.sort_values(["batch_id", "kind"])
         give, ask = group[group["kind"] == "give"], group[group["kind"] == "ask"]
-        none = pd.DataFrame({"bucket": [], "batch_id": [], "reply": [], "totals": []}, dtype=object)
         if not len(ask):
-            return none
-        keys, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        used = mass = total = np.zeros(0)
-        if len(give):
-            keys, of = np.unique(np.concatenate([unpacked_keys(x) for x in give["keys"]]), return_inverse=True)
-            add = lambda c: np.bincount(of.ravel(), weights=np.concatenate([unpacked(x, np.float64) for x in give[c]]))
-            used, mass, total = add("used"), add("mass"), np.zeros(len(keys))
-            total[of.ravel()] = np.concatenate([unpacked(x, np.int64) for x in give["total"]])
-        weight = backoff_weight(used, mass, total)
-        replies = []
-        for x in ask["keys"]:
-            wanted = unpacked_keys(x)
+            return pd.DataFrame({"bucket": [], "batch_id": [], "reply": [], "totals": []}, dtype=object)
+        empty = np.zeros(0, np.uint64)
+        keys, of = np.unique(np.concatenate([empty, *(unpacked_keys(x) for x in give["keys"])]), return_inverse=True)
+        # a last place, of a history from which nothing is taken, for keys that no batch gives
+        add = lambda c: np.bincount(of.ravel(), weights=np.concatenate([empty.astype(float), *(unpacked(x, np.float64) for x in give[c])]), minlength=len(keys) + 1)
+        used, used_lower, replies = add("x"), add("y"), []
+        for wanted, total, of_lower in zip(ask["keys"], ask["x"], ask["y"], strict=True):
+            wanted = unpacked_keys(wanted)
             at = np.searchsorted(keys, wanted)
-            found = (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-            replies.append(packed(np.where(found, weight[np.minimum(at, max(len(keys) - 1, 0))] if len(keys) else 1.0, 1.0)))
+            at[np.append(keys, np.uint64(0))[at] != wanted] = len(keys)
+            replies.append(packed(backoff_weight(used[at], used_lower[at], unpacked(total, np.float64), unpacked(of_lower, np.float64))))
         return pd.DataFrame({"bucket": ask["bucket"], "batch_id": ask["batch_id"], "reply": replies, "totals": None})
 
     weights = parts.filter("kind <> 'docs'").groupBy("bucket").applyInPandas(weighed, REPLY)
@@ -409,7 +405,7 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
             for row in batch.to_pylist():
                 table = pa.ipc.open_stream(row["docs"]).read_all()
                 score = table["score"].to_numpy().copy()
-                doc, at = unpacked(row["used"], np.int64), unpacked(row["mass"], np.int64)
+                doc, at = unpacked(row["x"], np.int64), unpacked(row["y"], np.int64)
                 if len(doc):
                     alpha = np.concatenate([unpacked(x, np.float64) for x in row["weights"]])
                     score += np.bincount(doc, weights=np.log10(alpha[at]), minlength=len(score))
@@ -420,5 +416,5 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
                     [t["doc_id"], t["held_out"], t["n_tokens"], t["n_known"], train, t["base_score"], pa.array(score)], names
                 )
 
-    per_batch = parts.filter("kind = 'docs'").select("batch_id", "docs", "used", "mass")
+    per_batch = parts.filter("kind = 'docs'").select("batch_id", "docs", "x", "y")
     return with_replies(per_batch, weights=weights).mapInArrow(finished, RESULT)
