@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -377,7 +378,10 @@ def score_katz(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 3,
                 out.append(("docs", -1, row["batch_id"], len(ids), None, packed(np.concatenate(doc_at)), packed(at.ravel()), sink.getvalue().to_pybytes()))
                 yield as_batch(out, PARTIAL)
 
-    parts = scratch.save(with_replies(batches, **replies).mapInArrow(partial, PARTIAL))
+    # in two halves, as the first one's shuffle files are gone before the second one's are written
+    half = lambda table, i: table.filter(F.pmod(F.xxhash64("batch_id"), F.lit(2)) == i)
+    halves = [with_replies(half(batches, i), **{name: half(x, i) for name, x in replies.items()}) for i in (0, 1)]
+    parts = reduce(DataFrame.unionAll, [scratch.save(x.mapInArrow(partial, PARTIAL)) for x in halves])
     scratch.clean("batches", *replies)
 
     def weighed(group: pd.DataFrame) -> pd.DataFrame:
