@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_tree import digest_bpe
 from .chat import PERSPECTIVES_SQL, rotate_perspectives
 from .decision_list import fit_rules, quality_rules
+from .divergence import DIVERGENCE_SQL, source_divergence
 from .hamming_topk import HAMMING_SQL, hamming_neighbors
 from .katz import score_katz
 from .packing import pack_documents
 from .prob_minhash import near_duplicates
 from .quality_eb import fit_evidence, quality_scores
+from .resampling import importance_resampling
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .util import doc_crc_mod
@@ -71,15 +73,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_token_counts, op2_near_dup, op3_packing, op4_katz, op5_toxicity,
             op6_quality, op7_chat_perspectives, op8_hamming_topk, op9_bpe_codec, op10_quality_rules,
+            op11_source_divergence, op12_importance_resampling,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_perspectives": PERSPECTIVES_SQL, "op8_hamming_topk": HAMMING_SQL}
+    return {"op7_chat_perspectives": PERSPECTIVES_SQL, "op8_hamming_topk": HAMMING_SQL, "op11_source_divergence": DIVERGENCE_SQL}
