@@ -31,9 +31,13 @@ class Shingler:
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """A text with fewer words than a window is one shingle; one without words has none."""
-        found = (text or "").lower().encode().split()
+        shingles, counts = np.unique(self.windows((text or "").lower().encode().split()), return_counts=True)
+        return shingles, 1 + np.log(counts)
+
+    def windows(self, found: list[bytes]) -> np.ndarray:
+        """Hashes of all windows of the words, repeats included."""
         if not found:
-            return np.zeros(0, np.uint64), np.zeros(0)
+            return np.zeros(0, np.uint64)
         if self.held > self.limit:  # bytes of remembered words
             self.known.clear()
             self.held = 0
@@ -50,8 +54,7 @@ class Shingler:
         windows = np.zeros(len(ids) - size + 1, np.uint64)
         for k in range(size):
             windows = mixed(windows + ids[k : len(ids) - size + 1 + k] * GOLDEN + np.uint64(k + 1))
-        shingles, counts = np.unique(windows, return_counts=True)
-        return shingles, 1 + np.log(counts)
+        return windows
 
 
 def prob_minhash(shingles: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, registers: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from .decision_list import fit_rules, quality_rules
 from .divergence import DIVERGENCE_SQL, source_divergence
 from .hamming_topk import HAMMING_SQL, hamming_neighbors
 from .katz import score_katz
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .prob_minhash import near_duplicates
 from .quality_eb import fit_evidence, quality_scores
@@ -81,13 +82,17 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_token_counts, op2_near_dup, op3_packing, op4_katz, op5_toxicity,
             op6_quality, op7_chat_perspectives, op8_hamming_topk, op9_bpe_codec, op10_quality_rules,
-            op11_source_divergence, op12_importance_resampling,
+            op11_source_divergence, op12_importance_resampling, op13_ngram_join,
         )
     }
 
