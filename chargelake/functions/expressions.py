@@ -66,9 +66,10 @@ def plus_hours(ts: ColumnOrName, hours: ColumnOrName) -> Column:
 
 
 def slots_needed(energy: ColumnOrName, power: ColumnOrName, resolution_min: int, efficiency: float, window: ColumnOrName) -> Column:
-    """How many slots a charge takes, at most those in the window; none for 0 kWh."""
-    per_slot = col(power) * F.lit(resolution_min / 60)
-    return F.least(F.ceil(col(energy) / F.lit(efficiency) / per_slot), col(window))
+    """How many slots a charge takes, at most those in the window; none for 0 kWh.  Null without a power above 0."""
+    per_slot = F.when(col(power) > 0, col(power) * F.lit(resolution_min / 60))
+    slots = F.ceil(F.try_divide(col(energy) / F.lit(efficiency), per_slot))
+    return F.when(slots.isNotNull() & col(window).isNotNull(), F.least(slots, col(window)))
 
 
 def savings_pct(plug: ColumnOrName, smart: ColumnOrName) -> Column:
@@ -109,6 +110,14 @@ def normal(*key: ColumnOrName) -> Column:
     return F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * F.pi() * v)
 
 
+def normals(*key: ColumnOrName) -> list[Column]:
+    """Three reproducible standard normal numbers, from one digest of the key's text."""
+    digest = F.md5(F.concat_ws("|", *(col(k).cast("string") for k in key)))
+    u = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("double") / F.lit(4294967296.0) for i in range(4)]
+    radius = lambda x: F.sqrt(-2 * F.ln(F.greatest(x, F.lit(1e-12))))
+    return [radius(u[0]) * F.cos(2 * F.pi() * u[1]), radius(u[0]) * F.sin(2 * F.pi() * u[1]), radius(u[2]) * F.cos(2 * F.pi() * u[3])]
+
+
 def draw(mix: dict[float, float], u: ColumnOrName) -> Column:
     """The category in whose share of the unit interval ``u`` falls; shares are normalised."""
     total, upto, out = sum(mix.values()), 0.0, None

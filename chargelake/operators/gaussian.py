@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import normal, recency_weight, season
+from ..functions.expressions import normals, recency_weight, season
 from .aggregate import present
 from .schema import from_features, to_features
 
@@ -18,33 +18,50 @@ PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 RIDGE = 1e-5
 
 
-def moments(w: Column | None = None) -> list[Column]:
-    """Means m0-m2 and covariances c00-c22 (division by n) of the features, plain or weighted, as one aggregation."""
+def moments() -> list[Column]:
+    """Means m0-m2 and covariances c00-c22 (division by n) of the features, as one aggregation."""
     x = [F.col(f) for f in FEATURES]
-    if w is None:
-        mean = [F.avg(c) for c in x]
-        cov = {(i, j): F.covar_pop(x[i], x[j]) for i, j in PAIRS}
-    else:
-        total = F.sum(w)
-        mean = [F.sum(w * c) / total for c in x]
-        cov = {(i, j): F.sum(w * x[i] * x[j]) / total - F.sum(w * x[i]) * F.sum(w * x[j]) / (total * total) for i, j in PAIRS}
-    return [m.alias(f"m{i}") for i, m in enumerate(mean)] + [(c + (RIDGE if i == j else 0)).alias(f"c{i}{j}") for (i, j), c in cov.items()]
+    mean = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]
+    return mean + [(F.covar_pop(x[i], x[j]) + (RIDGE if i == j else 0)).alias(f"c{i}{j}") for i, j in PAIRS]
+
+
+SUMS = [f"s{i}" for i in range(3)] + [f"s{i}{j}" for i, j in PAIRS]
+
+
+def day_moments(df: DataFrame, by: list[str]) -> DataFrame:
+    """``by, date, n, k, s*``: of each context and day the sessions, those with all features, and the sums of these features and of their products.
+
+    Moments of days can be added, so every pool of days, with any weights by day, is a sum over rows of this table.
+    """
+    x = [F.col(f) for f in FEATURES]
+    whole = x[0].isNotNull() & x[1].isNotNull() & x[2].isNotNull()
+    sums = [F.sum(F.when(whole, c)).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(F.when(whole, x[i] * x[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    return to_features(present(df, [*by, "date"])).groupBy(*by, "date").agg(F.count("*").alias("n"), F.count_if(whole).alias("k"), *sums)
+
+
+def strata_of_days(days: DataFrame, by: list[str], recency: bool = False, half_life_days: float | None = None, least: int = 10) -> DataFrame:
+    """``gaussian_strata`` of the days' moments (``by, date, n, k, s*``); a day may be in several contexts."""
+    extra = [F.sum("n").alias("n"), (F.sum("n") / F.count("*")).alias("per_day")]
+    w = F.lit(1.0)
+    if recency:
+        ends = days.groupBy(*by).agg(F.max("date").alias("hi_"), F.min("date").alias("lo_"))
+        half = F.lit(float(half_life_days)) if half_life_days else F.greatest(F.lit(1.0), F.datediff("hi_", "lo_") / 3.5)
+        days = days.join(ends.withColumn("half_", half), by)
+        w = recency_weight(F.datediff("hi_", "date"), "half_")
+    out = days.groupBy(*by).agg(*extra, F.sum(w * F.col("k")).alias("w_"), *(F.sum(w * F.col(c)).alias(c) for c in SUMS)).filter(F.col("n") >= least)
+    mean = [F.try_divide(F.col(f"s{i}"), F.col("w_")) for i in range(3)]
+    cov = {(i, j): F.try_divide(F.col(f"s{i}{j}"), F.col("w_")) - mean[i] * mean[j] for i, j in PAIRS}
+    cov = {(i, j): (F.greatest(c, F.lit(0.0)) + RIDGE if i == j else c) for (i, j), c in cov.items()}
+    return out.select(*by, "n", "per_day", *(m.alias(f"m{i}") for i, m in enumerate(mean)), *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()))
 
 
 def gaussian_strata(df: DataFrame, by: list[str], recency: bool = False, half_life_days: float | None = None, least: int = 10) -> DataFrame:
-    """One row for each context with enough sessions: count, rate per day, mean and covariance of the log features.
+    """One row for each context with enough sessions: count, rate per day, mean and covariance (division by n) of the log features.
 
     recency: rows weigh 0.5^(age / half-life), age from the context's last day; half-life: given, or the context's
-    span / 3.5 and at least a day.
+    span / 3.5 and at least a day.  Sessions are added up by day before anything else, so only days are joined and weighed.
     """
-    rows = to_features(present(df, by))
-    extra = [F.count("*").alias("n"), (F.count("*") / F.count_distinct("date")).alias("per_day")]
-    if not recency:
-        return rows.groupBy(*by).agg(*extra, *moments()).filter(F.col("n") >= least)
-    ends = rows.groupBy(*by).agg(*extra, F.max("date").alias("hi_"), F.min("date").alias("lo_")).filter(F.col("n") >= least)
-    half = F.lit(float(half_life_days)) if half_life_days else F.greatest(F.lit(1.0), F.datediff("hi_", "lo_") / 3.5)
-    weighed = rows.join(ends.withColumn("half_", half), by).withColumn("w_", recency_weight(F.datediff("hi_", "date"), "half_"))
-    return weighed.groupBy(*by).agg(F.first("n").alias("n"), F.first("per_day").alias("per_day"), *moments(F.col("w_")))
+    return strata_of_days(day_moments(df, by), by, recency, half_life_days, least)
 
 
 def log_density(of: Callable[[str], Column] = F.col) -> Column:
@@ -122,8 +139,11 @@ def resolve_context(wanted: DataFrame, params: DataFrame, by: list[str]) -> Data
     return out.select(*wanted.columns, "level", *(F.col(f"c_.{b}").alias(f"ctx_{b}") for b in by))
 
 
-def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
-    """``n`` sessions for each row of ``draws``: Cholesky factor times reproducible normals, back from log features."""
+def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed: int = 0, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` sessions for each row of ``draws``: Cholesky factor times reproducible normals, back from log features.
+
+    The normals depend on all columns of ``draws`` but ``carried`` and n.
+    """
     p = params.drop("n")
     each = draws.join(p, by).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     l00 = F.sqrt("c00")
@@ -131,7 +151,7 @@ def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed:
     l11 = F.sqrt(F.greatest(F.col("c11") - l10 * l10, F.lit(1e-12)))
     l21 = (F.col("c12") - l20 * l10) / l11
     l22 = F.sqrt(F.greatest(F.col("c22") - l20 * l20 - l21 * l21, F.lit(1e-12)))
-    z = [normal(F.lit(seed), *by, *(c for c in draws.columns if c not in (*by, "n")), "draw", F.lit(k)) for k in range(3)]
+    z = normals(F.lit(seed), *by, *(c for c in draws.columns if c not in (*by, *carried, "n")), "draw")
     f = {"f_hour": F.col("m0") + l00 * z[0], "f_duration": F.col("m1") + l10 * z[0] + l11 * z[1], "f_energy": F.col("m2") + l20 * z[0] + l21 * z[1] + l22 * z[2]}
     return from_features(each.withColumns(f)).select(*draws.columns, "draw", "hour", "duration", "energy")
 

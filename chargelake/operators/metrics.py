@@ -37,7 +37,7 @@ def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     return F.when(t < 0.04, F.lit(1.0)).otherwise(F.least(F.greatest(terms, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_wasserstein(long: DataFrame, by: list[str], split: bool = True) -> DataFrame:
+def ks_wasserstein(long: DataFrame, by: list[str]) -> DataFrame:
     """Kolmogorov-Smirnov D and p-value and Wasserstein-1 distance of the two sides.
 
     Values are first counted, so windows run over distinct values; both distances come from one running sum, of which a
@@ -46,7 +46,7 @@ def ks_wasserstein(long: DataFrame, by: list[str], split: bool = True) -> DataFr
     values = long.groupBy(*by, "value_").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
     sizes = values.groupBy(*by).agg(F.sum("a").alias("n"), F.sum("b").alias("m")).filter("n > 0 and m > 0")
     gap = F.abs(F.col("a_upto") / F.col("n") - F.col("b_upto") / F.col("m"))
-    steps = running(values, by, "value_", ["a", "b"], split).join(sizes, by).withColumn("gap", gap)
+    steps = running(values, by, "value_", ["a", "b"]).join(sizes, by).withColumn("gap", gap)
     out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next_") - F.col("value_"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
     return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
 
@@ -67,13 +67,46 @@ def kl_divergence(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1
     return dens.join(sums, by).groupBy(*by).agg(F.sum(x * F.ln(x / y) - x + y).alias("kl"))
 
 
+def small_groups_compared(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1e-9) -> DataFrame:
+    """``by, n, m, ks, ks_p, wasserstein, kl`` of many groups that are small: both distances and the histograms from one shuffle.
+
+    Rows are dealt by group once; counts of values, running sums and bins all stay in their task.  Bins without a value aren't
+    rows: their part of the divergence is the same for each, so it is multiplied.
+    """
+    values = long.repartition(*by).groupBy(*by, "value_").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    every, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value_")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = values.withColumns(
+        {
+            "n": F.sum("a").over(every), "m": F.sum("b").over(every), "lo": F.min("value_").over(every), "hi": F.max("value_").over(every),
+            "a_upto": F.sum("a").over(upto), "b_upto": F.sum("b").over(upto), "next_": F.lead("value_").over(order),
+        }
+    ).filter("n > 0 and m > 0")
+    spread = F.col("hi") > F.col("lo")
+    width = F.when(spread, F.col("hi") - F.col("lo")).otherwise(1.0) / bins
+    place = F.when(spread, F.least(F.floor((F.col("value_") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
+    gap = F.abs(F.col("a_upto") / F.col("n") - F.col("b_upto") / F.col("m"))
+    steps = steps.select(*by, place.cast("int").alias("bin"), width.alias("width"), "n", "m", "a", "b", gap.alias("gap"), (gap * (F.col("next_") - F.col("value_"))).alias("area"))
+    held = steps.groupBy(*by, "bin", "n", "m", "width").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("gap").alias("gap"), F.sum("area").alias("area"))
+    p, q = F.col("a") / F.col("n") / F.col("width") + eps, F.col("b") / F.col("m") / F.col("width") + eps
+    empty = bins - F.count("*").over(every)
+    held = held.withColumns({"p": p, "q": q, "empty": empty})
+    held = held.withColumns({"sp": F.sum("p").over(every) + F.col("empty") * eps, "sq": F.sum("q").over(every) + F.col("empty") * eps})
+    part = lambda x, y: x * F.ln(x / y) - x + y
+    nothing = F.first(F.col("empty") * part(eps / F.col("sp"), eps / F.col("sq")))
+    out = held.groupBy(*by, "n", "m").agg(F.max("gap").alias("ks"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein"), (F.sum(part(F.col("p") / F.col("sp"), F.col("q") / F.col("sq"))) + nothing).alias("kl"))
+    return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
+
+
 def distribution_comparison(real: DataFrame, sim: DataFrame, features: dict[str, str] | None = None, by: tuple[str, ...] = (), bins: int = 50, split: bool = True) -> DataFrame:
-    """One row for each feature (and group): ks, ks_p, wasserstein, kl."""
+    """One row for each feature (and group): ks, ks_p, wasserstein, kl.  split: groups may be large, so each is many tasks."""
     pairs = features or {f: f for f in ("hour", "duration", "energy")}
     if "hour" in pairs and "arrival_hour" in sim.columns:
         pairs = pairs | {"hour": "arrival_hour"}
     long, keys = sides(real, sim, pairs, by), [*by, "feature"]
-    return ks_wasserstein(long, keys, split).join(kl_divergence(long, keys, bins), keys).select(*keys, "n", "m", "ks", "ks_p", "wasserstein", "kl")
+    if not split:
+        return small_groups_compared(long, keys, bins).select(*keys, "n", "m", "ks", "ks_p", "wasserstein", "kl")
+    return ks_wasserstein(long, keys).join(kl_divergence(long, keys, bins), keys).select(*keys, "n", "m", "ks", "ks_p", "wasserstein", "kl")
 
 
 def crps(df: DataFrame, value: str, truth: str, by: list[str]) -> DataFrame:

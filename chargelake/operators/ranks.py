@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.readers import written
+
+
+def dealt_by_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``df``, written, with ``part_``: ranges of (keys, order) that hold about as many rows each, whatever the values.
+
+    The ranges are Spark's own: splitters are quantiles of a sample of the rows.  A large group is many ranges, small ones
+    share one.
+    """
+    return written(df.repartitionByRange(*keys, order).withColumn("part_", F.spark_partition_id()))
+
 
 def running(values: DataFrame, keys: list[str], order: str, sums: list[str], split: bool = True) -> DataFrame:
     """``values`` with ``<c>_upto`` for each of ``sums``, summed up to and with the row in the order of ``order``, and ``next_``, the value of
     ``order`` that follows.  ``keys, order`` must be unique.
 
-    With ``split`` a group is dealt into parts by value: quarters of octaves of the distance from its least value, at most a
-    few hundred; windows run inside the parts, and a window over the parts adds what lies before.  So a group with most of
-    all rows isn't one task.  Without, each group is one window, which is cheaper where groups are many and small.
+    With ``split`` rows are dealt into ranges of equal size (``dealt_by_order``); windows run inside a group's part of a range, and
+    totals of these parts, a row for each group and range at most, are carried across.  So a group with most of all rows isn't one
+    task.  Without, each group is one window, which is cheaper where groups are many and small.
     """
-    if not split:
-        w = Window.partitionBy(*keys).orderBy(order)
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        return values.withColumns({**{f"{c}_upto": F.sum(c).over(upto) for c in sums}, "next_": F.lead(order).over(w)})
-    ends = values.groupBy(*keys).agg(F.min(order).alias("lo_"), F.max(order).alias("hi_"))
-    share = (F.col(order) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))
-    part = F.when((F.col(order) > F.col("lo_")) & (share > 0), F.greatest(F.floor(4 * F.log2(share)), F.lit(-399))).otherwise(-400).cast("int")
-    dealt = values.join(ends, keys).withColumn("part_", part).drop("lo_", "hi_")
-    w = Window.partitionBy(*keys, "part_").orderBy(order)
+    inside = [*keys, "part_"] if split else keys
+    w = Window.partitionBy(*inside).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt_by_order(values, keys, order) if split else values
     inner = dealt.withColumns({**{f"{c}_upto": F.sum(c).over(upto) for c in sums}, "next_": F.lead(order).over(w)})
-    totals = dealt.groupBy(*keys, "part_").agg(*(F.sum(c).alias(f"{c}_all") for c in sums), F.min(order).alias("first_"))
+    if not split:
+        return inner
+    totals = dealt.groupBy(*inside).agg(*(F.sum(c).alias(f"{c}_all") for c in sums), F.min(order).alias("first_"))
     parts = Window.partitionBy(*keys).orderBy("part_")
     before = parts.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "part_", *(F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_before") for c in sums), F.lead("first_").over(parts).alias("after_"))
-    out = inner.join(totals, [*keys, "part_"])
+    totals = totals.select(*inside, *(F.coalesce(F.sum(f"{c}_all").over(before), F.lit(0)).alias(f"{c}_before") for c in sums), F.lead("first_").over(parts).alias("after_"))
+    out = inner.join(totals, inside)
     out = out.withColumns({**{f"{c}_upto": F.col(f"{c}_upto") + F.col(f"{c}_before") for c in sums}, "next_": F.coalesce("next_", "after_")})
     return out.drop("part_", "after_", *(f"{c}_before" for c in sums))
 
@@ -38,9 +45,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]
     """``keys`` and the exact percentiles with linear interpolation, under the names of ``qs``.
 
     Values are counted first; a percentile is the value (or lies between the value and the next) at which the running
-    count passes its place.  No task holds a group's values.
+    count passes its place.  No task holds a group's values.  Nulls and NaN are left out.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("c_"))
     sizes = counts.groupBy(*keys).agg(F.sum("c_").alias("n_"))
     rows = running(counts, keys, value, ["c_"], split).join(sizes, keys)
     found = []

@@ -254,7 +254,7 @@ def session_power(df: DataFrame, mode: str = "mean_power", power_kw: float | Non
     """``power_used`` and ``active`` hours: mean power, a fixed power, or one drawn from the place's charger mix."""
     from ..functions.expressions import draw, uniform
 
-    mean = F.col("energy") / F.col("duration")
+    mean = F.try_divide(F.col("energy"), F.col("duration"))
     if mode == "mean_power":
         power = mean
     elif mode == "fixed_power":
@@ -269,7 +269,7 @@ def session_power(df: DataFrame, mode: str = "mean_power", power_kw: float | Non
             power = F.when(F.col("location_type") == place, draw(shares, uniform("session_id"))).otherwise(power)
     else:
         raise ValueError(f"no charging mode {mode}")
-    active = F.col("duration") if mode == "mean_power" else F.least(F.col("energy") / F.col("power_used"), F.col("duration"))
+    active = F.col("duration") if mode == "mean_power" else F.least(F.try_divide(F.col("energy"), F.col("power_used")), F.col("duration"))
     return df.withColumn("power_used", power).withColumn("active", active)
 
 

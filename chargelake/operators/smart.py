@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import plus_hours, savings_pct, slots_needed
+from ..sources.readers import written
 
 OUTPUT = ["cost_smart", "cost_plug", "savings_pct", "scheduled_start", "scheduled_end"]
 
@@ -38,33 +39,91 @@ def slots_in_window(df: DataFrame, signal: DataFrame, resolution_min: int, id_:
     return near.filter((F.col("ts") >= F.col("arrival_time")) & (F.col("ts") < F.col("departure_"))).select(id_, "energy", "power_", "ts", "value")
 
 
+#: Blocks of the signal hold up to 2^TOP of its rows; a longer window takes several of those.
+TOP = 8
+
+
+def signal_slots(signal: DataFrame, resolution_min: int) -> tuple[DataFrame, DataFrame]:
+    """``slot, first, times`` and ``at, slot, ts, value``: the signal's rows numbered in order of time, and for each slot of the grid from the first
+    to the last the number of the first row at or after its start, and the times inside it.
+
+    Rows are numbered by day, and days among each other; rows without time or value are left out.  The numbered rows are written, so the
+    signal is computed once.
+    """
+    rows = signal.filter(F.col("ts").isNotNull() & F.col("value").isNotNull()).select(F.to_date("ts").alias("day"), slot_of("ts", resolution_min).alias("slot"), "ts", "value")
+    days = Window.orderBy("day")  # one row a day
+    day = rows.groupBy("day").agg(F.count("*").alias("n"), F.min("slot").alias("slot"))
+    day = day.select("day", F.coalesce(F.sum("n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("slot").over(days).alias("next_day"))
+    at = (F.row_number().over(Window.partitionBy("day").orderBy("ts", "value")) + F.col("before") - 1).alias("at")
+    rows = written(rows.join(F.broadcast(day), "day").select("day", "slot", "next_day", "ts", "value", at))
+    held = rows.groupBy("day", "slot", "next_day").agg(F.min("at").alias("first"), F.sort_array(F.collect_list("ts")).alias("times"))
+    next_ = F.coalesce(F.lead("slot").over(Window.partitionBy("day").orderBy("slot")), "next_day", F.col("slot") + 1)
+    held = held.withColumn("next_", next_).withColumn("to", F.explode(F.sequence("slot", F.col("next_") - 1)))  # a slot without times begins where the one before ends
+    own = F.col("to") == F.col("slot")
+    slots = held.select(F.col("to").alias("slot"), F.when(own, F.col("first")).otherwise(F.col("first") + F.size("times")).alias("first"), F.when(own, F.col("times")).otherwise(F.array().cast("array<timestamp_ntz>")).alias("times"))
+    return slots, rows.select("at", "slot", "ts", "value")
+
+
+def slot_of(ts: str, resolution_min: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(resolution_min * 60_000_000)).cast("long")
+
+
+def signal_blocks(rows: DataFrame, signal_type: str) -> DataFrame:
+    """``level, block, best, total``: of each aligned run of 2^level rows the slots, best first, and the sum of their values."""
+    rank = F.col("value") if signal_type == "price" else -F.col("value")
+    each = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TOP)))).withColumn("block", F.expr("shiftright(at, level)"))
+    return each.groupBy("level", "block").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "ts", "value"))).alias("best"), F.sum("value").alias("total"))
+
+
+def cover(i: str, j: str) -> Column:
+    """The blocks (level, block) that make up rows i to j - 1: at most two of each level below TOP, and the whole ones of TOP between."""
+    piece = lambda level, block: f"named_struct('level', {level}, 'block', {block})"
+    lo, hi = f"shiftright({i} + shiftleft(1L, l) - 1, l)", f"shiftright({j}, l)"
+    odd = f"""flatten(transform(sequence(0, {TOP - 1}), l -> array(
+        if({lo} < {hi} and {lo} % 2 = 1, {piece("l", lo)}, null), if({lo} < {hi} and {hi} % 2 = 1, {piece("l", f"{hi} - 1")}, null))))"""
+    lo, hi = (x.replace(", l)", f", {TOP})") for x in (lo, hi))
+    return F.expr(f"filter(concat({odd}, if({lo} < {hi}, transform(sequence({lo}, greatest({hi} - 1, {lo})), b -> {piece(TOP, 'b')}), array())), x -> x is not null)")
+
+
 def smart_charge(
     df: DataFrame, signal: DataFrame, signal_type: str = "price", resolution_min: int = 30, efficiency: float = 0.9, default_power_kw: float = 7.4, id_: str = "session_id"
 ) -> DataFrame:
     """``df`` with cost_smart, cost_plug, savings_pct, scheduled_start and scheduled_end.
 
     The k slots a charge needs are the k best of its window (lowest price, or highest renewable share; ties: the earlier)
-    against the first k.  A session's slots, at most those of its stay, meet once, in one array that is sorted both ways.  Sessions
-    without a slot in their window keep nulls.  Columns of an earlier run go.  Without arrival_time it is made from date and hour.
+    against the first k.  The window is the signal's rows at or after arrival and before departure.  Its rows are never listed:
+    the signal is indexed once, in blocks of 1, 2, 4 ... rows with their slots sorted and their values summed; a
+    window is some two blocks of each size, and its k best are among the k best of each.
+
+    0 kWh costs nothing and begins and ends at arrival.  Sessions without a slot in their window, without energy or without a power
+    above 0 keep nulls.  Columns of an earlier run go.  Without arrival_time it is made from date and hour.
     """
     df = with_arrival(df.drop(*OUTPUT))
     power = F.coalesce(F.col("power_kw"), F.lit(default_power_kw)) if "power_kw" in df.columns else F.lit(default_power_kw)
-    slots = slots_in_window(df.withColumn("power_", power), signal, resolution_min, id_)
-    rank = F.col("value") if signal_type == "price" else -F.col("value")
-    stays = slots.groupBy(id_).agg(
-        F.first("energy").alias("energy_"), F.first("power_").alias("power_"),
-        F.collect_list(F.struct(rank.alias("rank"), "ts", "value")).alias("slots_"),
+    slots, rows = signal_slots(signal, resolution_min)
+    lo, hi, n = rows.agg(F.min("slot"), F.max("slot"), F.count("*")).first()  # of the written signal
+    stays = df.select(id_, "energy", power.alias("power_"), "arrival_time", plus_hours("arrival_time", "duration").alias("departure_"))
+    stays = stays.withColumns({"a_": slot_of("arrival_time", resolution_min), "z_": slot_of("departure_", resolution_min)})
+    for at, slot, ts in (("i_", "a_", "arrival_time"), ("j_", "z_", "departure_")):
+        here = slots.select(F.col("slot").alias(slot), F.col("first").alias("first_"), F.col("times").alias("times_"))
+        inside = F.expr(f"size(filter(times_, t -> t < {ts}))")
+        stays = stays.join(here, slot, "left").withColumn(at, F.when(F.col(slot) < F.lit(lo), 0).when(F.col(slot) > F.lit(hi), F.lit(n)).otherwise(F.col("first_") + inside))
+        stays = stays.drop("first_", "times_")
+    stays = stays.filter("j_ > i_").withColumn("k_", F.greatest(slots_needed("energy", "power_", resolution_min, efficiency, F.col("j_") - F.col("i_")), F.lit(0)).cast("int"))
+    stays = stays.filter(F.col("energy").isNotNull() & (F.col("power_") > 0)).withColumn("to_", F.col("i_") + F.col("k_"))
+    tagged = lambda i, j, best: F.transform(cover(i, j), lambda b: F.struct(b["level"].alias("level"), b["block"].alias("block"), F.lit(best).alias("smart_")))
+    pieces = F.when(F.col("k_") > 0, F.concat(tagged("i_", "j_", True), tagged("i_", "to_", False)))
+    met = stays.select(id_, "power_", "k_", "arrival_time", F.inline_outer(pieces)).join(signal_blocks(rows, signal_type), ["level", "block"], "left")
+    merged = met.groupBy(id_).agg(
+        F.first("power_").alias("power_"), F.first("k_").alias("k_"), F.first("arrival_time").alias("arrival_"), F.sum(F.when(~F.col("smart_"), F.col("total"))).alias("plug_"),
+        F.flatten(F.collect_list(F.when(F.col("smart_"), F.slice("best", F.lit(1), F.col("k_"))))).alias("best_"),
     )
-    k = F.greatest(slots_needed("energy_", "power_", resolution_min, efficiency, F.size("slots_")), F.lit(0)).cast("int")
-    by_time = F.sort_array(F.transform("slots_", lambda s: F.struct(s["ts"].alias("ts"), s["value"].alias("value"))))
-    chosen = stays.withColumn("k_", k).select(
-        id_, "power_", "k_", F.slice(F.sort_array("slots_"), F.lit(1), F.col("k_")).alias("best_"), F.slice(by_time, F.lit(1), F.col("k_")).alias("first_")
-    ).withColumn(
-        "best_", F.sort_array(F.transform("best_", lambda s: F.struct(s["ts"].alias("ts"), s["value"].alias("value"))))  # costs add up in order of time
-    )
-    cost = lambda c: F.aggregate(c, F.lit(0.0), lambda total, s: total + s["value"] * F.col("power_") * F.lit(resolution_min / 60))
-    start = F.array_min(F.transform("best_", lambda s: s["ts"]))
-    each = chosen.select(id_, cost("best_").alias("cost_smart"), cost("first_").alias("cost_plug"), start.alias("scheduled_start"), "k_")
+    by_time = F.sort_array(F.transform(F.slice(F.sort_array("best_"), F.lit(1), F.col("k_")), lambda s: F.struct(s["ts"].alias("ts"), s["value"].alias("value"))))
+    merged = merged.withColumn("best_", by_time)  # costs add up in order of time
+    kwh = F.col("power_") * F.lit(resolution_min / 60)
+    smart = F.aggregate("best_", F.lit(0.0), lambda total, s: total + s["value"] * kwh)
+    start = F.when(F.col("k_") == 0, F.col("arrival_")).otherwise(F.element_at("best_", 1)["ts"])
+    each = merged.select(id_, smart.alias("cost_smart"), (F.coalesce("plug_", F.lit(0.0)) * kwh).alias("cost_plug"), start.alias("scheduled_start"), "k_")
     end = F.col("scheduled_start") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k_") * resolution_min)
     each = each.withColumn("scheduled_end", end).withColumn("savings_pct", savings_pct("cost_plug", "cost_smart")).drop("k_")
     return df.join(each.select(id_, *OUTPUT), id_, "left")

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators import gaussian as G
 from ..operators.aggregate import fill_days
-from ..operators.forecast import bootstrap_sessions, persistence_forecast
-from ..operators.metrics import crps, distribution_comparison, forecast_metrics
+from ..functions.expressions import uniform
+from ..operators.forecast import persistence_forecast
+from ..operators.metrics import crps, forecast_metrics, small_groups_compared
+from ..operators.ranks import numbered
 from ..sources.readers import written
 
 CELL = ["dataset", "origin", "h", "x"]
+FEATURES = ["hour", "duration", "energy"]
 
 
 def backtest_grid(df: DataFrame, x_grid: list[int], horizons: list[int], eval_window_days: int = 30, step_days: int = 1) -> DataFrame:
@@ -54,6 +57,24 @@ def backtest_status(df: DataFrame, grid: DataFrame, pools: DataFrame, min_sessio
     return out.withColumn("status", status)
 
 
+def pool_draws(df: DataFrame, pools: DataFrame, cells: DataFrame, n_scenarios: int, id_: str = "session_id", seed: int = 0) -> DataFrame:
+    """Sessions drawn with replacement from the pools: ``n`` for each scenario of each of ``cells`` (CELL, n and columns to carry).
+
+    Pools aren't put together.  Sessions are numbered within their day once; a draw is a place in the pool's days laid end to
+    end, which names a day and a number in it: one equi-join, however many pools a day is in.
+    """
+    per_day = df.groupBy("dataset", F.col("date").alias("pool_date")).agg(F.count("*").alias("n_"))
+    held = pools.select(*CELL, "pool_date").join(per_day, ["dataset", "pool_date"]).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("pool_date", "n_"))).alias("days_"))
+    held = held.withColumn("ends_", F.expr("transform(days_, (d, i) -> aggregate(slice(days_, 1, i + 1), 0L, (a, x) -> a + x.n_))"))
+    each = cells.join(held, CELL).filter("n > 0").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
+    each = each.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    each = each.withColumn("at_", F.floor(uniform(F.lit(seed), *CELL, "scenario", "draw") * F.element_at("ends_", -1)))
+    each = each.withColumn("day_", F.expr("size(filter(ends_, e -> e <= at_))"))
+    each = each.withColumns({"date": F.expr("days_[day_].pool_date"), "at_": F.expr("cast(at_ - if(day_ = 0, 0, ends_[greatest(day_ - 1, 0)]) as int)")})
+    rows = numbered(df, ["dataset", "date"], id_, split=False)
+    return each.drop("days_", "ends_", "day_", "n").join(rows, ["dataset", "date", "at_"]).drop("at_", "date")
+
+
 def rolling_origin(
     df: DataFrame, x_grid: list[int], horizons: list[int], eval_window_days: int = 30, step_days: int = 1, min_sessions: int = 10,
     n_scenarios: int = 5, arms: tuple[str, ...] = ("persistence", "gmm", "gmm_recency"), seed: int = 0,
@@ -62,33 +83,45 @@ def rolling_origin(
     one row with their status.
 
     Arms: persistence resamples the pool, gmm draws from one Gaussian of the pool's log features, gmm_recency weighs
-    recent days more.  Each arm draws as many sessions as the target day has.
+    recent days more.  Each arm draws as many sessions as the target day has.  Models are fitted to sums over days
+    (``day_moments``), whatever the number of pools a day is in.  A simulation is one number while it is scored.
     """
     grid = backtest_grid(df, x_grid, horizons, eval_window_days, step_days)
-    pools = backtest_pools(df, grid)
-    status = written(backtest_status(df, grid, pools, min_sessions))  # a row for each cell
-    ok = status.filter("status = 'ok'").select(*CELL, "target", F.col("n_target").alias("n"))
+    pools = written(backtest_pools(df, grid))
+    status = written(backtest_status(df, grid, pools, min_sessions).withColumn("cell_", F.monotonically_increasing_id()))  # a row for each cell
+    ok = status.filter("status = 'ok'")
     columns = [c for c in ("session_id", "dataset", "date", "hour", "duration", "energy") if c in df.columns]
-    df = df.select(*columns)
-    sessions = written(pools.join(ok.drop("target", "n"), CELL, "left_semi").join(df.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"]))
-    draws = ok.select(*CELL, "n")
+    df, cells = df.select(*columns), ok.select(*CELL, "cell_", F.col("n_target").alias("n"))
+    days = G.day_moments(df, ["dataset"]).withColumnRenamed("date", "pool_date")
+    of_cells = pools.join(ok.select(*CELL), CELL, "left_semi").join(days, ["dataset", "pool_date"]).withColumnRenamed("pool_date", "date")
     found: list[DataFrame] = []
-    for arm in arms:
+    for number, arm in enumerate(arms):
         if arm == "persistence":
-            one = bootstrap_sessions(sessions, draws, CELL, n_scenarios, seed=seed, split=False)
+            one = pool_draws(df, pools, cells, n_scenarios, seed=seed)
         else:
-            params = G.gaussian_strata(sessions.withColumn("date", F.col("pool_date")), CELL, recency=arm == "gmm_recency")
-            each = draws.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
-            one = G.gaussian_sessions(params, each, CELL, seed)
-        found.append(one.select(*CELL, "scenario", "hour", "duration", "energy").withColumn("method", F.lit(arm)))
-    sim = reduce(lambda a, b: a.unionByName(b), found)
-    # cells are many and hold a few days each, so their windows aren't split
-    truth = ok.drop("n").join(df.withColumnRenamed("date", "target"), ["dataset", "target"]).select(*CELL, "hour", "duration", "energy")
-    each = F.explode(F.array(*(F.struct(F.lit(a).alias("method"), F.lit(s).alias("scenario")) for a in arms for s in range(n_scenarios))))
-    real = truth.withColumn("a_", each).select(*CELL, "a_.method", "a_.scenario", "hour", "duration", "energy")
-    scores = distribution_comparison(real, sim, by=(*CELL, "scenario", "method"), split=False).withColumn("status", F.lit("ok"))
-    rest = status.filter("status <> 'ok'").select(*CELL, "status")
-    return scores.unionByName(rest, allowMissingColumns=True)
+            params = G.strata_of_days(of_cells, CELL, recency=arm == "gmm_recency")
+            each = cells.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
+            one = G.gaussian_sessions(params, each, CELL, seed, carried=("cell_",))
+        found.append(one.select("cell_", F.lit(number).alias("arm_"), "scenario", "hour", "duration", "energy", F.lit(1).alias("side")))
+    truth = ok.select("cell_", "dataset", F.col("target").alias("date")).join(df, ["dataset", "date"])
+    runs = F.inline(F.array(*(F.struct(F.lit(a).alias("arm_"), F.lit(s).alias("scenario")) for a in range(len(arms)) for s in range(n_scenarios))))
+    found.append(truth.select("cell_", runs, "hour", "duration", "energy", F.lit(0).alias("side")))
+    both = reduce(lambda a, b: a.unionByName(b), found)
+    run = ((F.col("cell_") * len(arms) + F.col("arm_")) * n_scenarios + F.col("scenario")) * len(FEATURES)
+    values = F.inline(F.array(*(F.struct(F.lit(i).alias("feature_"), F.col(f).cast("double").alias("value_")) for i, f in enumerate(FEATURES))))
+    long = both.select(run.alias("run_"), "side", values).filter(F.col("value_").isNotNull() & ~F.isnan("value_")).select((F.col("run_") + F.col("feature_")).alias("run_"), "side", "value_")
+    scores = small_groups_compared(long, ["run_"])
+    part = lambda unit, size: F.pmod(F.floor(F.col("run_") / unit), F.lit(size)).cast("int")
+    name = lambda names, at: F.element_at(F.lit(list(names)), at + 1)
+    scores = scores.withColumns(
+        {
+            "feature": name(FEATURES, part(1, len(FEATURES))), "scenario": part(len(FEATURES), n_scenarios),
+            "method": name(arms, part(len(FEATURES) * n_scenarios, len(arms))), "cell_": F.floor(F.col("run_") / (len(FEATURES) * n_scenarios * len(arms))),
+        }
+    )
+    scores = scores.join(ok.select(*CELL, "cell_", "status"), "cell_")
+    scores = scores.select(*CELL, "scenario", "method", "feature", "n", "m", "ks", "ks_p", "wasserstein", "kl", "status")
+    return scores.unionByName(status.filter("status <> 'ok'").select(*CELL, "status"), allowMissingColumns=True)
 
 
 def energy_crps(df: DataFrame, sim: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,14 +14,15 @@ from .aggregates import rounded
 from .registry import query
 
 
-def _scheduled(sessions: str, signal: str = TARIFF, order: str = "ASC") -> str:
+def _scheduled(sessions: str, signal: str = TARIFF, order: str = "ASC", minutes: int = 30) -> str:
+    kwh = f"power_kw * {minutes}::DOUBLE / 60"
     return f"""sig AS (SELECT ts, {signal} AS value FROM slots),
-  win AS (SELECT s.session_id, energy, power_kw, ts, value FROM {sessions} s JOIN sig ON ts >= arrival_time AND ts < arrival_time + to_microseconds(CAST(round(duration * 3600 * 1000000) AS BIGINT))),
+  win AS (SELECT s.session_id, energy, power_kw, ts, value, arrival_time FROM {sessions} s JOIN sig ON ts >= arrival_time AND ts < arrival_time + to_microseconds(CAST(round(duration * 3600 * 1000000) AS BIGINT))),
   rk AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts) AS nth, row_number() OVER (PARTITION BY session_id ORDER BY value {order}, ts) AS best,
-    least(ceil(energy / 0.9::DOUBLE / (power_kw * 0.5::DOUBLE)), count(*) OVER (PARTITION BY session_id)) AS k FROM win),
-  sm AS (SELECT session_id, coalesce(sum(value * power_kw * 0.5::DOUBLE) FILTER (WHERE best <= k), 0) AS cost_smart, coalesce(sum(value * power_kw * 0.5::DOUBLE) FILTER (WHERE nth <= k), 0) AS cost_plug,
-    min(ts) FILTER (WHERE best <= k) AS scheduled_start, max(k) AS k FROM rk GROUP BY session_id),
-  res AS (SELECT s.*, cost_smart, cost_plug, CASE WHEN cost_plug > 0 THEN 100 * (cost_plug - cost_smart) / cost_plug END AS savings_pct, scheduled_start, scheduled_start + to_minutes(CAST(k * 30 AS BIGINT)) AS scheduled_end FROM {sessions} s LEFT JOIN sm USING (session_id))"""
+    CASE WHEN power_kw > 0 THEN least(ceil(energy / 0.9::DOUBLE / ({kwh})), count(*) OVER (PARTITION BY session_id)) END AS k, arrival_time FROM win),
+  sm AS (SELECT session_id, coalesce(sum(value * {kwh}) FILTER (WHERE best <= k), 0) AS cost_smart, coalesce(sum(value * {kwh}) FILTER (WHERE nth <= k), 0) AS cost_plug,
+    coalesce(min(ts) FILTER (WHERE best <= k), any_value(arrival_time)) AS scheduled_start, max(k) AS k FROM rk WHERE k IS NOT NULL GROUP BY session_id),
+  res AS (SELECT s.*, cost_smart, cost_plug, CASE WHEN cost_plug > 0 THEN 100 * (cost_plug - cost_smart) / cost_plug END AS savings_pct, scheduled_start, scheduled_start + to_minutes(CAST(k * {minutes} AS BIGINT)) AS scheduled_end FROM {sessions} s LEFT JOIN sm USING (session_id))"""
 
 
 COST = "round(cost_smart, 4) AS cost_smart, round(cost_plug, 4) AS cost_plug, round(savings_pct, 9) AS savings_pct, scheduled_start, scheduled_end"
@@ -106,6 +107,33 @@ def smart_charge_off_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(C.smart_charge(s, late).select("session_id", *C.OUTPUT), "cost_smart", "cost_plug"), "savings_pct", places=9)
 
 
+FINE = SLOTS.replace("1430 MINUTE", "1435 MINUTE").replace("INTERVAL 30 MINUTE", "INTERVAL 5 MINUTE")
+
+
+@query(with_(EV, FINE, _scheduled("ev", f"round({RENEWABLE}, 9)", "DESC", 5)) + f"SELECT session_id, {COST} FROM res")
+def smart_charge_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A renewable signal of five minutes."""
+    s = event_sessions(spark, sf_dir)
+    signal = slots_of(s, 5).select("ts", F.round(renewable_share("ts"), 9).alias("value"))
+    out = C.smart_charge(s, signal, "renewable", resolution_min=5).select("session_id", *C.OUTPUT)
+    return rounded(rounded(out, "cost_smart", "cost_plug"), "savings_pct", places=9)
+
+
+IDLE = "idle AS (SELECT * REPLACE (CASE WHEN session_id % 10 = 0 THEN 0 ELSE energy END AS energy, CASE WHEN session_id % 10 = 1 THEN 0 ELSE power_kw END AS power_kw) FROM ev)"
+
+
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of ten sessions one took no energy and one had no power."""
+    s, last = event_sessions(spark, sf_dir), F.col("session_id") % 10
+    return s.withColumns({"energy": F.when(last == 0, 0.0).otherwise(F.col("energy")), "power_kw": F.when(last == 1, 0.0).otherwise(F.col("power_kw"))})
+
+
+@query(with_(EV, IDLE, SLOTS, _scheduled("idle")) + f"SELECT session_id, {COST} FROM res")
+def smart_charge_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = idle_sessions(spark, sf_dir)
+    return rounded(rounded(C.smart_charge(s, price_signal(s)).select("session_id", *C.OUTPUT), "cost_smart", "cost_plug"), "savings_pct", places=9)
+
+
 @query(with_(EV) + """SELECT location_type, count(*) AS n_sessions, round(sum(energy), 3) AS kwh, round(sum(CASE WHEN hour + duration > 72 THEN energy / duration * (hour + duration - 72) ELSE 0 END), 3) AS lost_kwh,
   count(*) FILTER (WHERE hour + duration > 72) AS n_beyond FROM ev WHERE energy > 0 GROUP BY location_type""")
 def energy_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:

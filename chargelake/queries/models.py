@@ -95,6 +95,13 @@ def _uniform(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
+def _normals(key: str) -> list[str]:
+    """The three reproducible normal numbers of one key, in SQL."""
+    u = [f"(('0x' || substr(md5({key}), {1 + 8 * i}, 8))::BIGINT / 4294967296.0::DOUBLE)" for i in range(4)]
+    radius = lambda x: f"sqrt(-2 * ln(greatest({x}, 1e-12::DOUBLE)))"
+    return [f"({radius(u[0])} * cos(2 * pi() * {u[1]}))", f"({radius(u[0])} * sin(2 * pi() * {u[1]}))", f"({radius(u[2])} * cos(2 * pi() * {u[3]}))"]
+
+
 def _normal(key: str) -> str:
     """The reproducible normal number of a key, in SQL."""
     u, v = (_uniform(f"'n{i}|' || {key}") for i in (1, 2))
@@ -102,8 +109,8 @@ def _normal(key: str) -> str:
 
 
 def _gaussian_draws(cells: str, keys: str, key: str) -> str:
-    """SQL of draws from moments: ``cells`` has one row for each draw, ``key`` is the text of its normal numbers but for the last part."""
-    z = [_normal(f"{key} || '|{k}'") for k in range(3)]
+    """SQL of draws from moments: ``cells`` has one row for each draw, ``key`` is the text of its normal numbers."""
+    z = _normals(key)
     return f"""zz0 AS (SELECT *, {z[0]} AS z0, {z[1]} AS z1, {z[2]} AS z2, sqrt(c00) AS l00 FROM {cells}), zz1 AS (SELECT *, c01 / l00 AS l10, c02 / l00 AS l20 FROM zz0),
   zz2 AS (SELECT *, sqrt(greatest(c11 - l10 * l10, 1e-12::DOUBLE)) AS l11 FROM zz1), zz3 AS (SELECT *, (c12 - l20 * l10) / l11 AS l21 FROM zz2), zz4 AS (SELECT *, sqrt(greatest(c22 - l20 * l20 - l21 * l21, 1e-12::DOUBLE)) AS l22 FROM zz3),
   gs AS (SELECT {keys}, least(greatest(m0 + l00 * z0, 0.0::DOUBLE), 23.99::DOUBLE) AS hour, least(greatest(exp(m1 + l10 * z0 + l11 * z1) - 1, 0.08::DOUBLE), 48.0::DOUBLE) AS duration,

@@ -10,13 +10,14 @@ from ..operators import compare as X
 from ..operators import loadcurve as L
 from ..operators import metrics as M
 from ..operators import smart as C
-from ..operators.forecast import bootstrap_sessions as resampled
 from ..operators.forecast import with_holidays
+from ..operators.gaussian import PAIRS
 from ..plans import backtest as B
 from .adapters import EV, ORD, SLOTS, TARIFF, event_sessions, order_sessions, price_signal, with_
 from .aggregates import NAT, OVERLAP, national, rounded
 from .charging import _scheduled
 from .forecasts import COUNTS, TARGETS, counts
+from .models import _gaussian_draws
 from .registry import query
 
 PAIRS_SQL = """, b AS (SELECT date, quantile_cont(v, 0.5) AS p, max(v) AS y FROM nat GROUP BY date)"""
@@ -86,16 +87,19 @@ def energy_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.energy_bias(s.filter("session_id % 2 = 0"), s.filter("session_id % 2 = 1"), ["location_type"]), "bias_kwh", "bias_pct")
 
 
-GRID = """gd AS (SELECT 'events' AS dataset, o::DATE AS origin, h, x, (o::DATE + h) AS target FROM (SELECT unnest(generate_series((SELECT max(date) - 12 FROM ev), (SELECT max(date) - 3 FROM ev), INTERVAL 3 DAY)) AS o), (SELECT unnest([1, 3]) AS h), (SELECT unnest([1, 2, 4]) AS x)),
+#: The grid of the usual backtest; of its pool sizes those count that the data have days for.
+X_GRID, HORIZONS, WINDOW, SCENARIOS = [1, 2, 3, 4, 8, 16, 52], [1, 2, 3], 30, 10
+GRID = f"""gd AS (SELECT 'events' AS dataset, o::DATE AS origin, h, x, (o::DATE + h) AS target FROM (SELECT unnest(generate_series((SELECT max(date) - {WINDOW} FROM ev), (SELECT max(date) - {max(HORIZONS)} FROM ev), INTERVAL 1 DAY)) AS o), (SELECT unnest({HORIZONS}) AS h), (SELECT unnest({X_GRID}) AS x)),
   pl AS (SELECT * FROM (SELECT gd.*, pool_date, row_number() OVER (PARTITION BY origin, h, x ORDER BY pool_date DESC) AS n FROM gd JOIN (SELECT DISTINCT date AS pool_date FROM ev) d ON isodow(pool_date) = isodow(target) AND pool_date <= origin AND pool_date < target) WHERE n <= x),
-  zz AS (SELECT origin, h, x, count(DISTINCT pool_date) AS n_dates, count(*) AS n_pool FROM pl JOIN ev ON date = pool_date GROUP BY ALL),
-  ss AS (SELECT gd.*, coalesce(n_dates, 0) AS n_dates, coalesce(n_pool, 0) AS n_pool, (SELECT count(*) FROM ev WHERE date = target) AS n_target FROM gd LEFT JOIN zz USING (origin, h, x)),
+  nd AS (SELECT date, count(*) AS n FROM ev GROUP BY date),
+  zz AS (SELECT origin, h, x, count(*) AS n_dates, sum(nd.n) AS n_pool FROM pl JOIN nd ON date = pool_date GROUP BY ALL),
+  ss AS (SELECT gd.*, coalesce(n_dates, 0) AS n_dates, CAST(coalesce(n_pool, 0) AS BIGINT) AS n_pool, coalesce(nd.n, 0) AS n_target FROM gd LEFT JOIN zz USING (origin, h, x) LEFT JOIN nd ON nd.date = target),
   sx AS (SELECT *, CASE WHEN n_dates < x THEN 'insufficient_history' WHEN n_pool < 10 THEN 'insufficient_volume' WHEN n_target = 0 THEN 'no_target_sessions' ELSE 'ok' END AS status FROM ss)"""
 
 
 def grid_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = event_sessions(spark, sf_dir).withColumn("dataset", F.lit("events"))
-    grid = B.backtest_grid(s, [1, 2, 4], [1, 3], 12, 3)
+    grid = B.backtest_grid(s, X_GRID, HORIZONS, WINDOW)
     pools = B.backtest_pools(s, grid)
     return s, pools, B.backtest_status(s, grid, pools)
 
@@ -110,14 +114,8 @@ def cell_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.cell_coverage(grid_of(spark, sf_dir)[2], ["dataset", "origin", "h", "x"], "x"), "pct_ok")
 
 
-@query(None)
-def rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = event_sessions(spark, sf_dir).withColumn("dataset", F.lit("events"))
-    return B.rolling_origin(s, [1, 2], [1, 3], 12, 3, n_scenarios=3)
-
-
-BOOT = """, dw AS (SELECT origin, h, x, target, n_target, s AS scenario, d AS draw FROM (SELECT *, unnest(range(2)) AS s FROM (SELECT *, unnest(generate_series(1, n_target)) AS d FROM sx WHERE status = 'ok'))),
-  pp AS (SELECT origin, h, x, ev.*, row_number() OVER (PARTITION BY origin, h, x ORDER BY substr(md5(session_id::VARCHAR), 1, 2), session_id) - 1 AS nth, count(*) OVER (PARTITION BY origin, h, x) AS size FROM pl JOIN sx USING (origin, h, x) JOIN ev ON date = pl.pool_date WHERE status = 'ok'),
+BOOT = f""", dw AS (SELECT origin, h, x, target, n_target, s AS scenario, d AS draw FROM (SELECT *, unnest(range({SCENARIOS})) AS s FROM (SELECT *, unnest(generate_series(1, n_target)) AS d FROM sx WHERE status = 'ok'))),
+  pp AS (SELECT origin, h, x, ev.*, row_number() OVER (PARTITION BY origin, h, x ORDER BY date, substr(md5(session_id::VARCHAR), 1, 2), session_id) - 1 AS nth, count(*) OVER (PARTITION BY origin, h, x) AS size FROM pl JOIN sx USING (origin, h, x) JOIN ev ON date = pl.pool_date WHERE status = 'ok'),
   pz AS (SELECT origin, h, x, any_value(size) AS size FROM pp GROUP BY ALL),
   pk AS (SELECT origin, h, x, scenario, CAST(floor(('0x' || substr(md5('0|events|' || origin || '|' || h || '|' || x || '|' || scenario || '|' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE * size) AS BIGINT) AS nth, draw FROM dw JOIN pz USING (origin, h, x)),
   bs AS (SELECT pk.origin, pk.h, pk.x, pk.scenario, pk.draw, pp.arrival_time, pp.hour, pp.duration, pp.energy, pp.power_kw FROM pk JOIN pp USING (origin, h, x, nth))"""
@@ -127,14 +125,16 @@ CRPS = """, tt AS (SELECT origin, h, x, scenario, sum(energy) AS total FROM bs G
   SELECT 'events' AS dataset, origin, h, x, round(avg(abs(total - truth)) - sum((2 * i - m - 1) * total) / (any_value(m) * any_value(m)), 6) AS crps, count(*) AS members FROM rr GROUP BY ALL"""
 
 
+def drawn(s: DataFrame, pools: DataFrame, ok: DataFrame, n_scenarios: int) -> DataFrame:
+    return B.pool_draws(s, pools, ok.select(*B.CELL, F.col("n_target").alias("n")), n_scenarios)
+
+
 @query(with_(EV, GRID) + BOOT + CRPS)
 def persistence_energy_crps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, pools, status = grid_of(spark, sf_dir)
     ok = status.filter("status = 'ok'")
-    rows = pools.join(ok.select(*B.CELL), B.CELL, "left_semi").join(s.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"])
-    sim = resampled(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 2)
     truth = ok.join(s.select("dataset", F.col("date").alias("target"), "energy"), ["dataset", "target"]).groupBy(*B.CELL).agg(F.sum("energy").alias("truth"))
-    return rounded(B.energy_crps(truth, sim, B.CELL), "crps", places=6)
+    return rounded(B.energy_crps(truth, drawn(s, pools, ok, SCENARIOS), B.CELL), "crps", places=6)
 
 
 ARMS = """, rs AS (SELECT department, CAST(date_trunc('month', date) AS DATE) AS cell, location_type AS method, avg(energy) AS score FROM ord GROUP BY ALL)"""
@@ -238,31 +238,59 @@ def holiday_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.groupBy("holiday").agg(F.count("*").alias("n_days"), F.round(F.avg("n_sessions"), 6).alias("mean_sessions"))
 
 
-BT = """, bt AS (SELECT origin || '|' || h || '|' || x || '|' || scenario AS location_type, hour, duration, energy, 1 AS is_weekend FROM bs
-    UNION ALL SELECT origin || '|' || h || '|' || x || '|' || s, ev.hour, ev.duration, ev.energy, 0 FROM sx JOIN ev ON ev.date = target, (SELECT unnest(range(2)) AS s) WHERE status = 'ok'), """
+#: Moments of the pools, plain and weighted by recency, and draws from both.
+_X = ["hour", "ln(1 + duration)", "ln(1 + energy)"]
+_DAYS = ", ".join([f"sum({x}) AS s{i}" for i, x in enumerate(_X)] + [f"sum(({_X[i]}) * ({_X[j]})) AS s{i}{j}" for i, j in PAIRS])
+_MOMENTS = ", ".join([f"sum(w * s{i}) / sum(w * n) AS m{i}" for i in range(3)] + [
+    f"greatest(sum(w * s{i}{j}) / sum(w * n) - (sum(w * s{i}) / sum(w * n)) * (sum(w * s{j}) / sum(w * n)), 0) + 1e-5::DOUBLE AS c{i}{j}" if i == j
+    else f"sum(w * s{i}{j}) / sum(w * n) - (sum(w * s{i}) / sum(w * n)) * (sum(w * s{j}) / sum(w * n)) AS c{i}{j}" for i, j in PAIRS])
+MODELS = f""", dm AS (SELECT date, count(*) AS n, {_DAYS} FROM ev GROUP BY date),
+  pd AS (SELECT origin, h, x, pool_date, dm.*, max(pool_date) OVER c AS hi, greatest(1.0::DOUBLE, (max(pool_date) OVER c - min(pool_date) OVER c) / 3.5::DOUBLE) AS half FROM pl JOIN sx USING (origin, h, x) JOIN dm ON dm.date = pool_date WHERE status = 'ok' WINDOW c AS (PARTITION BY origin, h, x)),
+  pw AS (SELECT 'gmm' AS method, 1.0::DOUBLE AS w, pd.* FROM pd UNION ALL SELECT 'gmm_recency', pow(0.5::DOUBLE, (hi - pool_date) / half), pd.* FROM pd),
+  pm AS (SELECT method, origin, h, x, {_MOMENTS} FROM pw GROUP BY method, origin, h, x HAVING sum(n) >= 10),
+  gd2 AS (SELECT pm.*, scenario, draw FROM dw JOIN pm USING (origin, h, x)), """ + _gaussian_draws("gd2", "method, origin, h, x, scenario", "'0|events|' || origin || '|' || h || '|' || x || '|' || scenario || '|' || draw")
 
 
-@query(with_(EV, GRID) + BOOT + BT + DIST.format(src="bt") + f""", ws AS (SELECT location_type AS cell, feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 6) AS ks, round({KSP}, 6) AS ks_p, round(wasserstein, 5) AS wasserstein, round(kl, 5) AS kl, 'ok' AS status FROM pv JOIN kl USING (location_type, feature))
-  SELECT * FROM ws UNION ALL SELECT origin || '|' || h || '|' || x, NULL, NULL, NULL, NULL, NULL, NULL, NULL, status FROM sx WHERE status <> 'ok'""")
-def rolling_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The persistence arm of the rolling-origin backtest, and the cells that can't be scored."""
+def _scored(arms: list[str], sims: str) -> str:
+    """Scores of the arms' simulations against the target days, and the cells that can't be scored."""
+    cell = "origin || '|' || h || '|' || x || '|' || scenario || '|' || method"
+    return f""", bt AS (SELECT {cell} AS location_type, hour, duration, energy, 1 AS is_weekend FROM ({sims})
+    UNION ALL SELECT {cell}, ev.hour, ev.duration, ev.energy, 0 FROM sx JOIN ev ON ev.date = target, (SELECT unnest(range({SCENARIOS})) AS scenario), (SELECT unnest({arms}) AS method) WHERE status = 'ok'), {DIST.format(src="bt")},
+  ws AS (SELECT location_type AS cell, feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 6) AS ks, round({KSP}, 6) AS ks_p, round(wasserstein, 8) AS wasserstein, round(kl, 5) AS kl, 'ok' AS status FROM pv JOIN kl USING (location_type, feature))
+  SELECT * FROM ws UNION ALL SELECT origin || '|' || h || '|' || x, NULL, NULL, NULL, NULL, NULL, NULL, NULL, status FROM sx WHERE status <> 'ok'"""
+
+
+def scored(spark: SparkSession, sf_dir: str, arms: tuple[str, ...]) -> DataFrame:
     s = event_sessions(spark, sf_dir).withColumn("dataset", F.lit("events"))
-    out = B.rolling_origin(s, [1, 2, 4], [1, 3], 12, 3, n_scenarios=2, arms=("persistence",))
-    out = out.withColumn("cell", F.concat_ws("|", "origin", "h", "x", "scenario"))
+    out = B.rolling_origin(s, X_GRID, HORIZONS, WINDOW, n_scenarios=SCENARIOS, arms=arms)
+    out = out.withColumn("cell", F.concat_ws("|", "origin", "h", "x", "scenario", "method"))
     out = out.select("cell", "feature", "n", "m", "ks", "ks_p", "wasserstein", "kl", "status")
-    return rounded(rounded(out, "ks", "ks_p", places=6), "wasserstein", "kl", places=5)
+    out = rounded(rounded(out, "ks", "ks_p", places=6), "kl", places=5)
+    return rounded(out, "wasserstein", places=8)  # halves of the fifth place are common
+
+
+_PERSISTENCE = "SELECT 'persistence' AS method, origin, h, x, scenario, hour, duration, energy FROM bs"
+
+
+@query(with_(EV, GRID) + BOOT + _scored(["persistence"], _PERSISTENCE))
+def rolling_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persistence arm of the rolling-origin backtest, and the cells that can't be scored."""
+    return scored(spark, sf_dir, ("persistence",))
+
+
+@query(with_(EV, GRID) + BOOT + MODELS + _scored(["persistence", "gmm", "gmm_recency"], _PERSISTENCE + " UNION ALL SELECT method, origin, h, x, scenario, hour, duration, energy FROM gs"))
+def rolling_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All arms on the whole grid."""
+    return scored(spark, sf_dir, ("persistence", "gmm", "gmm_recency"))
 
 
 SCHEDULED = """, sb AS (SELECT concat_ws('/', 'events', origin, h, x, scenario, draw) AS session_id, origin, h, x, arrival_time, duration, energy, power_kw FROM bs), """
 
 
-@query(with_(EV, GRID) + BOOT + ", " + SLOTS + SCHEDULED + _scheduled("sb") + " SELECT 'events' AS dataset, origin, h, x, round(sum(cost_smart), 3) AS cost_smart, round(sum(cost_plug), 3) AS cost_plug FROM res GROUP BY ALL")
+@query(with_(EV, GRID) + BOOT.replace(f"range({SCENARIOS})", "range(3)") + ", " + SLOTS + SCHEDULED + _scheduled("sb") + " SELECT 'events' AS dataset, origin, h, x, round(sum(cost_smart), 3) AS cost_smart, round(sum(cost_plug), 3) AS cost_plug FROM res GROUP BY ALL")
 def scheduled_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of the persistence arm's sessions of each backtest cell, over two scenarios, under the price signal."""
+    """Costs of the persistence arm's sessions of each backtest cell, over three scenarios, under the price signal."""
     s, pools, status = grid_of(spark, sf_dir)
-    ok = status.filter("status = 'ok'")
-    rows = pools.join(ok.select(*B.CELL), B.CELL, "left_semi").join(s.withColumnRenamed("date", "pool_date"), ["dataset", "pool_date"])
-    sim = resampled(rows, ok.select(*B.CELL, F.col("n_target").alias("n")), B.CELL, 2)
-    sim = sim.withColumn("session_id", F.concat_ws("/", *B.CELL, "scenario", "draw"))
+    sim = drawn(s, pools, status.filter("status = 'ok'"), 3).withColumn("session_id", F.concat_ws("/", *B.CELL, "scenario", "draw"))
     costs = C.smart_charge(sim, price_signal(s)).groupBy(*B.CELL).agg(F.sum("cost_smart").alias("cost_smart"), F.sum("cost_plug").alias("cost_plug"))
     return rounded(costs, "cost_smart", "cost_plug", places=3)

@@ -138,20 +138,33 @@ def capped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 U = "(('0x' || substr(md5(session_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query(with_(EV) + f""", p AS (SELECT *, {U} AS u FROM ev), q AS (SELECT *, CASE location_type
+MODES = f""", p AS (SELECT *, {U} AS u FROM {{sessions}}), q AS (SELECT *, CASE location_type
     WHEN 'home' THEN CASE WHEN u < 0.3::DOUBLE THEN 3.7::DOUBLE WHEN u < 0.3::DOUBLE + 0.6::DOUBLE THEN 7.4::DOUBLE ELSE 11.0::DOUBLE END
     WHEN 'work' THEN CASE WHEN u < 0.55::DOUBLE THEN 7.4::DOUBLE WHEN u < 0.55::DOUBLE + 0.25::DOUBLE THEN 11.0::DOUBLE ELSE 22.0::DOUBLE END
     WHEN 'public' THEN CASE WHEN u < 0.4::DOUBLE THEN 22.0::DOUBLE WHEN u < 0.75::DOUBLE THEN 50.0::DOUBLE WHEN u < 0.95::DOUBLE THEN 150.0::DOUBLE ELSE 350.0::DOUBLE END
     ELSE energy / duration END AS drawn FROM p)
-  SELECT session_id, round(energy / duration, 9) AS mean_power, round(least(energy / 7.4::DOUBLE, duration), 4) AS fixed_active, round(drawn, 9) AS drawn_power, round(least(energy / nullif(drawn, 0), duration), 4) AS drawn_active FROM q""")
-def charging_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_sessions(spark, sf_dir)
+  SELECT session_id, round(energy / duration, 9) AS mean_power, round(least(energy / 7.4::DOUBLE, duration), 4) AS fixed_active, round(drawn, 9) AS drawn_power, round(least(energy / nullif(drawn, 0), duration), 4) AS drawn_active FROM q"""
+
+
+def modes(ev: DataFrame) -> DataFrame:
     mean = S.session_power(ev).select("*", F.col("power_used").alias("mean_power")).drop("power_used", "active")
     fixed = S.session_power(mean, "fixed_power", 7.4).withColumn("fixed_active", F.col("active")).drop("power_used", "active")
     drawn = S.session_power(fixed, "by_location", mix=CHARGER_MIX["2024"])
     return drawn.select("session_id", F.round("mean_power", 9).alias("mean_power"), F.round("fixed_active", 4).alias("fixed_active"), F.round("power_used", 9).alias("drawn_power"), F.round("active", 4).alias("drawn_active"))
 
 
+@query(with_(EV) + MODES.format(sessions="ev"))
+def charging_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modes(event_sessions(spark, sf_dir))
+
+
+@query(with_(EV) + ", idle AS (SELECT * REPLACE (CASE WHEN session_id % 10 = 0 THEN 0 ELSE energy END AS energy) FROM ev)" + MODES.format(sessions="idle"))
+def charging_modes_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session of ten took no energy, also at places without a charger mix."""
+    ev = event_sessions(spark, sf_dir)
+    return modes(ev.withColumn("energy", F.when(F.col("session_id") % 10 == 0, 0.0).otherwise(F.col("energy"))))
+
+
 @query(with_(EV) + "SELECT session_id, arrival_time + INTERVAL 7 DAY AS arrival_time, date + 7 AS date, round(energy, 4) AS energy FROM ev WHERE date >= DATE '2024-01-08' AND date < DATE '2024-01-15'")
 def week_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shifted_week(event_sessions(spark, sf_dir), "2024-01-08").select("session_id", "arrival_time", "date", F.round("energy", 4).alias("energy"))

@@ -29,13 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that operators have written, by application.
+_folders: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in a new shared folder: computed once, and safe from lost executors."""
+    """``df`` as a table in a new shared folder: computed once, and safe from lost executors.
+
+    The table stays until ``drop_written``, as what an operator returns may read it.
+    """
     path = shared_folder(df.sparkSession)
+    _folders.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that operators have written for this application, and say how many: once their results are saved or no
+    longer wanted."""
+    folders = _folders.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)
+
+
 def separator(spark: SparkSession, path: str) -> str:
     """Of a CSV: semicolon if the first lines have more of them than commas.  A .tsv has tabs."""
     if path.endswith(".tsv"):
