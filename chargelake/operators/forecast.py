@@ -97,6 +97,61 @@ def department_forecast(daily: DataFrame, start: str, horizon: int = 30, value:
     return out.select("date", "department", median.alias("median"), F.greatest(median - spread, F.lit(0.0)).alias("p10"), (median + spread).alias("p90"))
 
 
+#: Lags of the autoregression, in observed days.
+LAGS = (1, 7)
+
+
+def autoregressive_forecast(
+    daily: DataFrame, start: str, horizon: int = 30, value: str = "energy_kwh", by: str = "department", min_obs: int = 60, z: float = 1.2816,
+    holidays: DataFrame | None = None, ridge: float = 1e-3,
+) -> DataFrame:
+    """``date, by, median, p10, p90``: log1p of the value on its value one and seven observed days before, the weekday, a trend and
+    holidays, for all groups in one job.
+
+    The normal equations of every group are grouped sums, so a group is one row, whatever its length; a small ``ridge`` keeps them
+    solvable where a regressor never varies.  They are solved by elimination on an array of rows, the forecast goes on from the last
+    days step by step, and bands widen with the horizon as the errors of earlier steps are carried on.  Nothing is below 0 or above
+    the square of the largest value.  A group with fewer than ``min_obs`` days has its mean, and bands of its standard deviation.
+    """
+    most = max(LAGS)
+    flag = lambda df: with_holidays(df, holidays, "hol_") if holidays is not None else df.withColumn("hol_", F.lit(0))
+    order = Window.partitionBy(by).orderBy("date")
+    t = F.datediff("date", F.lit(start).cast("date")) / F.lit(365.0)
+    rows = flag(daily.select(by, "date", F.col(value).cast("double").alias("v_"))).withColumns({"y_": F.log1p("v_"), "wd_": F.weekday("date"), "t_": t})
+    rows = rows.withColumns({**{f"lag{k}_": F.lag("y_", k).over(order) for k in LAGS}, "ago_": F.row_number().over(Window.partitionBy(by).orderBy(F.desc("date")))})
+    x = [(F.col("wd_") == d).cast("double") for d in range(7)] + [F.col("t_"), F.col("hol_").cast("double")] + [F.col(f"lag{k}_") for k in LAGS]
+    n = len(x)
+    whole = F.col(f"lag{most}_").isNotNull()
+    product = lambda a, b: F.coalesce(F.sum(F.when(whole, a * b)), F.lit(0.0))
+    sums = [product(x[i], x[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)] + [product(c, F.col("y_")).alias(f"r{i}") for i, c in enumerate(x)]
+    ends = F.sort_array(F.collect_list(F.when(F.col("ago_") <= most, F.struct("date", "y_"))))
+    level = [F.count("*").alias("n_"), F.avg("v_").alias("mean_"), F.coalesce(F.stddev_samp("v_"), F.lit(0.0)).alias("std_"), F.max("y_").alias("top_"), F.count_if(whole).alias("k_")]
+    fitted = rows.groupBy(by).agg(*sums, product(F.col("y_"), F.col("y_")).alias("yy_"), *level, F.transform(ends, lambda e: e["y_"]).alias("last_"))
+    lines = [F.array(*(F.col(f"g{min(i, j)}_{max(i, j)}") + (ridge if i == j else 0.0) for j in range(n)), F.col(f"r{i}")) for i in range(n)]
+    solved = f"""aggregate(sequence(0, {n - 1}), lines_, (m, k) -> transform(m, (row, i) ->
+        if(i = k, transform(row, v -> v / m[k][k]), transform(row, (v, j) -> v - row[k] * m[k][j] / m[k][k]))))"""
+    fitted = fitted.withColumn("lines_", F.array(*lines)).withColumn("b_", F.expr(f"transform({solved}, row -> row[{n}])"))
+    unexplained = F.col("yy_") - sum((F.col("b_")[i] * F.col(f"r{i}") for i in range(n)), F.lit(0.0))
+    model = fitted.select(by, "n_", "mean_", "std_", "b_", "last_", (2 * F.col("top_")).alias("top_"), (F.greatest(unexplained, F.lit(0.0)) / F.greatest(F.col("k_") - n, F.lit(1))).alias("var_"))
+
+    days = flag(days_from(model.select(by, "b_"), start, horizon)).withColumn("t_", t)
+    given = F.element_at("b_", F.weekday("date") + 1) + F.col("b_")[7] * F.col("t_") + F.col("b_")[8] * F.col("hol_")
+    given = days.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("date", given.alias("f")))), lambda g: g["f"]).alias("given_"))
+    before = lambda acc: " + ".join(f"b_[{9 + i}] * element_at({acc}, -{k})" for i, k in enumerate(LAGS))
+    steps = {
+        "path_": f"slice(aggregate(given_, last_, (acc, f) -> array_append(acc, least(greatest(f + {before('acc')}, 0D), top_))), {most + 1}, {horizon})",
+        "carried_": f"slice(aggregate(sequence(2, {horizon + 1}), concat(array_repeat(0D, {most - 1}), array(1D)), (acc, h) -> array_append(acc, {before('acc')})), {most}, {horizon})",
+    }
+    out = model.join(given, by).filter((F.size("last_") == most) | (F.col("n_") < min_obs))
+    out = out.withColumns({k: F.when(F.col("n_") >= min_obs, F.expr(v)) for k, v in steps.items()})
+    spread = f"transform(sequence(1, {horizon}), h -> sqrt(var_ * aggregate(slice(carried_, 1, h), 0D, (a, c) -> a + c * c)))"
+    out = out.withColumn("spread_", F.expr(spread)).withColumn("h_", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))))
+    at, wide, mean, flat = F.col("path_")[F.col("h_")], z * F.col("spread_")[F.col("h_")], F.col("mean_"), z * F.greatest("std_", F.lit(1.0))
+    bound = lambda a, b: F.greatest(F.coalesce(F.expm1(a), b), F.lit(0.0))
+    date = F.date_add(F.lit(start).cast("date"), F.col("h_"))
+    return out.select(date.alias("date"), by, bound(at, mean).alias("median"), bound(at - wide, mean - flat).alias("p10"), bound(at + wide, mean + flat).alias("p90"))
+
+
 def last_n_occurrences(df: DataFrame, targets: DataFrame, n: int, date: str = "date") -> tuple[DataFrame, DataFrame]:
     """Sessions of the last n days before each target day with its weekday, and how many there are.
 

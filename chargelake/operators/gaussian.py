@@ -18,11 +18,17 @@ PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 RIDGE = 1e-5
 
 
-def moments() -> list[Column]:
-    """Means m0-m2 and covariances c00-c22 (division by n) of the features, as one aggregation."""
+def moments(w: Column | None = None) -> list[Column]:
+    """Means m0-m2 and covariances c00-c22 (division by n) of the features, plain or weighted, as one aggregation."""
     x = [F.col(f) for f in FEATURES]
-    mean = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]
-    return mean + [(F.covar_pop(x[i], x[j]) + (RIDGE if i == j else 0)).alias(f"c{i}{j}") for i, j in PAIRS]
+    if w is None:
+        mean = [F.avg(c) for c in x]
+        cov = {(i, j): F.covar_pop(x[i], x[j]) for i, j in PAIRS}
+    else:
+        total = F.sum(w)
+        mean = [F.sum(w * c) / total for c in x]
+        cov = {(i, j): F.sum(w * x[i] * x[j]) / total - F.sum(w * x[i]) * F.sum(w * x[j]) / (total * total) for i, j in PAIRS}
+    return [m.alias(f"m{i}") for i, m in enumerate(mean)] + [(c + (RIDGE if i == j else 0)).alias(f"c{i}{j}") for (i, j), c in cov.items()]
 
 
 SUMS = [f"s{i}" for i in range(3)] + [f"s{i}{j}" for i, j in PAIRS]
@@ -234,34 +240,10 @@ def component_counts(df: DataFrame, by: list[str], folder: str, least: int = 2,
     return table, params.join(table.filter("best").select(*by, "kk"), [*by, "kk"], "left_semi")
 
 
-def component_count_by_bic(df: DataFrame, least: int = 2, most: int = 10, seed: int = 0, iterations: int = 300, starts: int = 3, tolerance: float = 1e-3) -> DataFrame:
-    """BIC of unstratified mixtures of ``least`` to min(``most``, n / 5) components (at least one number is tried); the least is best.
-
-    Of ``starts`` fits, the likeliest counts.  A fit ends when the mean log-likelihood changes by ``tolerance`` or less, or after
-    ``iterations``.  Fits run side by side, as their jobs are small.
-    """
-    from functools import partial
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(to_features(df).select(*FEATURES)).select("features").persist()
-    n = data.count()
-    ks = range(least, max(min(most, n // 5), least) + 1) if n else []
-
-    def likelihood(k: int, start: int) -> float:
-        return GaussianMixture(k=k, seed=seed + start, maxIter=iterations, tol=tolerance * n).fit(data).summary.logLikelihood
-
-    # wrapped one by one: each call copies the local properties, which threads mustn't share
-    tasks = [inheritable_thread_target(df.sparkSession)(partial(likelihood, k, start)) for k in reversed(ks) for start in range(starts)]
-    with ThreadPool(8) as pool:
-        fits = pool.map(lambda task: task(), tasks, chunksize=1)
-    found = [max(fits[i : i + starts]) for i in range(0, len(fits), starts)][::-1]
-    data.unpersist()
-    out = [(k, float(-2 * best + (k * (3 + 6) + k - 1) * math.log(n))) for k, best in zip(ks, found, strict=True)]
-    return df.sparkSession.createDataFrame(out, "k int, bic double")
+def component_count_by_bic(df: DataFrame, folder: str, least: int = 2, most: int = 10, rounds: int = 300, tolerance: float = 1e-3) -> DataFrame:
+    """``k, bic`` of unstratified mixtures of ``least`` to min(``most``, n / 5) components; the least is best (``component_counts``)."""
+    table, _ = component_counts(df.withColumn("all_", F.lit(1)), ["all_"], folder, least, most, rounds, tolerance)
+    return table.select(F.col("kk").alias("k"), "bic")
 
 
 def contexts_of_dates(dates: DataFrame, by: list[str], date: str = "date") -> DataFrame:

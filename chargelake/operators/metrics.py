@@ -30,6 +30,44 @@ def sides(real: DataFrame, sim: DataFrame, features: dict[str, str], by: tuple[s
     return a.unionByName(b).filter(F.col("value_").isNotNull() & ~F.isnan("value_"))
 
 
+#: Of samples whose sizes multiply to at most this the p-value is exact.
+EXACT_UP_TO = 10_000
+
+
+def exact_p(d: Column, n: Column, m: Column) -> Column:
+    """The probability that two samples of n and m values of one distribution differ by ``d`` or more.
+
+    All orders of the values are paths on a lattice from (0, 0) to (n, m), each as likely.  Row by row of the lattice, an
+    array holds the probability of reaching each point by a path that stays under d: a point is reached from the left in
+    j of i + j cases and from below in i.  What doesn't arrive at (n, m) is the p-value.
+    """
+    # in units of 1 / (n m), where the distance at (i, j) is |i m - j n|, a whole number; d is one such
+    n, m = n.cast("long"), m.cast("long")
+    limit = F.round(d * n * m).cast("long")
+    inside = lambda i, j: F.abs(i * m - j * n) < limit
+    places = F.sequence(F.lit(1).cast("long"), m)
+
+    def row(before: Column, i: Column) -> Column:
+        """Arrays grow by one: the chance of (i, j) from (i - 1, j), which ``before`` holds, and (i, j - 1), the last."""
+        start = F.array(F.when(inside(i, F.lit(0)), F.element_at(before, 1)).otherwise(0.0))
+
+        def point(done: Column, j: Column) -> Column:
+            reached = (F.element_at(before, (j + 1).cast("int")) * i + F.element_at(done, -1) * j) / (i + j)
+            return F.array_append(done, F.when(inside(i, j), reached).otherwise(0.0))
+
+        return F.aggregate(places, start, point)
+
+    first = F.transform(F.sequence(F.lit(0).cast("long"), m), lambda j: F.when(F.abs(j * n) < limit, F.lit(1.0)).otherwise(0.0))
+    # along the bottom all points before (0, j) must be inside too; they are, as the distance grows with j
+    last = F.aggregate(F.sequence(F.lit(1).cast("long"), n), first, row)
+    return F.when(limit <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(1.0 - F.element_at(last, -1), F.lit(0.0)), F.lit(1.0)))
+
+
+def ks_p_value(d: Column, n: Column, m: Column) -> Column:
+    """Exact for small samples (EXACT_UP_TO), asymptotic for others."""
+    return F.when(n.cast("double") * m.cast("double") <= EXACT_UP_TO, exact_p(d, n, m)).otherwise(kolmogorov(d, n.cast("double"), m.cast("double")))
+
+
 def kolmogorov(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic p-value of the two-sample statistic."""
     t = d * F.sqrt(n * m / (n + m))
@@ -48,7 +86,7 @@ def ks_wasserstein(long: DataFrame, by: list[str]) -> DataFrame:
     gap = F.abs(F.col("a_upto") / F.col("n") - F.col("b_upto") / F.col("m"))
     steps = running(values, by, "value_", ["a", "b"]).join(sizes, by).withColumn("gap", gap)
     out = steps.groupBy(*by).agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * (F.col("next_") - F.col("value_"))), F.lit(0.0)).alias("wasserstein"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
+    return out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n"), F.col("m")))
 
 
 def kl_divergence(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1e-9) -> DataFrame:
@@ -95,7 +133,7 @@ def small_groups_compared(long: DataFrame, by: list[str], bins: int = 50, eps: f
     part = lambda x, y: x * F.ln(x / y) - x + y
     nothing = F.first(F.col("empty") * part(eps / F.col("sp"), eps / F.col("sq")))
     out = held.groupBy(*by, "n", "m").agg(F.max("gap").alias("ks"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein"), (F.sum(part(F.col("p") / F.col("sp"), F.col("q") / F.col("sq"))) + nothing).alias("kl"))
-    return out.withColumn("ks_p", kolmogorov(F.col("ks"), F.col("n").cast("double"), F.col("m").cast("double")))
+    return out.withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n"), F.col("m")))
 
 
 def distribution_comparison(real: DataFrame, sim: DataFrame, features: dict[str, str] | None = None, by: tuple[str, ...] = (), bins: int = 50, split: bool = True) -> DataFrame:

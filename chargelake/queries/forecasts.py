@@ -137,3 +137,31 @@ def growth_bass(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_growth("bass").replace("SELECT department, date, round(x, 4) AS expected, round(x * kwh, 3) AS expected_kwh FROM g", "SELECT department, round(arg_min(x, date), 4) AS first_value, round(arg_max(x, date), 4) AS last_value, round(arg_max(x, date) / arg_min(x, date), 6) AS factor FROM g GROUP BY department"))
 def capacity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(R.capacity_table(projection(spark, sf_dir, "bass"), ("department",)), "first_value", "last_value"), "factor", places=6)
+
+
+def _autoregression(horizon: int = 14) -> str:
+    n = 11
+    x = [f"CAST(isodow(date) = {d + 1} AS DOUBLE)" for d in range(7)] + ["t", "hol", "l1", "l7"]
+    gram = ", ".join("[" + ", ".join([*(f"coalesce(sum(({x[i]}) * ({x[j]})) FILTER (WHERE l7 IS NOT NULL), 0)" + (" + 1e-3::DOUBLE" if i == j else "") for j in range(n)), f"coalesce(sum(({x[i]}) * y) FILTER (WHERE l7 IS NOT NULL), 0)"]) + "]" for i in range(n))
+    k, at = "CAST(e[1][1] AS BIGINT)", lambda a: f"b[10] * {a}[-1] + b[11] * {a}[-7]"
+    solved = f"""list_reduce(list_transform(range(1, {n + 1}), lambda k: [[k::DOUBLE]]), lambda m, e: list_transform(m, lambda row, i: CASE WHEN i = {k} THEN list_transform(row, lambda v: v / m[{k}][{k}])
+      ELSE list_transform(row, lambda v, j: v - row[{k}] * m[{k}][j] / m[{k}][{k}]) END), lines)"""
+    return with_(ORD) + f""", hd AS (SELECT unnest([DATE '2000-01-01', DATE '2000-12-25', DATE '2001-01-01']) AS date), dd AS (SELECT date, department, sum(energy) AS v FROM ord WHERE date < DATE '2001-01-01' GROUP BY ALL),
+  rw AS (SELECT dd.*, ln(1 + v) AS y, (dd.date - DATE '2001-01-01') / 365.0::DOUBLE AS t, CASE WHEN hd.date IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hol, lag(ln(1 + v), 1) OVER w AS l1, lag(ln(1 + v), 7) OVER w AS l7, row_number() OVER (PARTITION BY department ORDER BY dd.date DESC) AS ago
+    FROM dd LEFT JOIN hd ON hd.date = dd.date WINDOW w AS (PARTITION BY department ORDER BY dd.date)),
+  ft AS (SELECT department, count(*) AS n, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS sd, 2 * max(y) AS top, count(*) FILTER (WHERE l7 IS NOT NULL) AS k, coalesce(sum(y * y) FILTER (WHERE l7 IS NOT NULL), 0) AS yy, list(y ORDER BY date) FILTER (WHERE ago <= 7) AS last, [{gram}] AS lines FROM rw GROUP BY department),
+  sv AS (SELECT *, list_transform({solved}, lambda row: row[{n + 1}]) AS b FROM ft),
+  mo AS (SELECT *, greatest(yy - list_sum(list_transform(range(1, {n + 1}), lambda i: b[i] * lines[i][{n + 1}])), 0) / greatest(k - {n}, 1) AS var,
+    list_transform(range(0, {horizon}), lambda h: b[isodow(DATE '2001-01-01' + CAST(h AS INT))] + b[8] * (h / 365.0::DOUBLE) + b[9] * CASE WHEN h = 0 THEN 1 ELSE 0 END) AS given FROM sv WHERE n < 60 OR len(last) = 7),
+  pa AS (SELECT *, CASE WHEN n >= 60 THEN list_reduce(list_transform(given, lambda f: [f]), lambda acc, f: list_append(acc, least(greatest(f[1] + {at("acc")}, 0), top)), last)[8:{7 + horizon}] END AS path,
+    CASE WHEN n >= 60 THEN list_reduce(list_transform(range(2, {horizon + 2}), lambda h: [h::DOUBLE]), lambda acc, h: list_append(acc, {at("acc")}), [0::DOUBLE, 0, 0, 0, 0, 0, 1])[7:{6 + horizon}] END AS carried FROM mo),
+  ex AS (SELECT *, unnest(range(0, {horizon})) AS h FROM pa),
+  fc AS (SELECT DATE '2001-01-01' + CAST(h AS INT) AS date, department, mean, 1.2816::DOUBLE * greatest(sd, 1) AS flat, path[h + 1] AS a, 1.2816::DOUBLE * sqrt(var * list_sum(list_transform(carried[1:h + 1], lambda c: c * c))) AS w FROM ex)
+  SELECT date, department, round(greatest(coalesce(exp(a) - 1, mean), 0), 3) AS median, round(greatest(coalesce(exp(a - w) - 1, mean - flat), 0), 3) AS p10, round(greatest(coalesce(exp(a + w) - 1, mean + flat), 0), 3) AS p90 FROM fc"""
+
+
+@query(_autoregression())
+def department_autoregression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = A.department_daily_energy(order_sessions(spark, sf_dir).filter("date < '2001-01-01'"))
+    holidays = spark.sql("select explode(array(date'2000-01-01', date'2000-12-25', date'2001-01-01')) as date")
+    return rounded(R.autoregressive_forecast(daily, "2001-01-01", 14, holidays=holidays), "median", "p10", "p90", places=3)

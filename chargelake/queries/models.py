@@ -156,7 +156,7 @@ def gaussian_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.component_count_by_bic(event_sessions(spark, sf_dir))
+    return G.component_count_by_bic(event_sessions(spark, sf_dir), shared_folder(spark))
 
 
 @query(None)

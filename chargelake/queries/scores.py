@@ -51,8 +51,14 @@ DIST = """fe AS (SELECT location_type, feature, x, CAST(weekend AS INT) AS side
   ct AS (SELECT location_type, feature, CAST(least(floor((x - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM fe JOIN en USING (location_type, feature) GROUP BY ALL),
   gr AS (SELECT e.*, coalesce(a, 0) / n / ((hi - lo) / 50) + 1e-9::DOUBLE AS p, coalesce(b, 0) / m / ((hi - lo) / 50) + 1e-9::DOUBLE AS q FROM (SELECT *, unnest(range(50)) AS bin FROM en) e LEFT JOIN ct USING (location_type, feature, bin)),
   sp AS (SELECT *, p / sum(p) OVER w AS u, q / sum(q) OVER w AS v FROM gr WINDOW w AS (PARTITION BY location_type, feature)), kl AS (SELECT location_type, feature, sum(u * ln(u / v) - u + v) AS kl FROM sp GROUP BY ALL),
-  pv AS (SELECT *, ks * sqrt(n * m / (n + m)) AS t FROM kw)"""
-KSP = "CASE WHEN t < 0.04::DOUBLE THEN 1.0::DOUBLE ELSE least(greatest(list_aggregate(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * t * t)), 'sum'), 0), 1) END"
+  pv AS (SELECT * REPLACE (CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m), CAST(round(ks * n * m) AS BIGINT) AS lim, ks * sqrt(n * m / (n + m)) AS t FROM kw)"""
+#: The exact p-value of small samples: paths on the lattice that stay inside, row by row.
+EXACT = """CASE WHEN lim <= 0 THEN 1.0::DOUBLE ELSE least(greatest(1 - list_extract(list_reduce(list_transform(range(1, n + 1), lambda i: [i::DOUBLE]),
+   lambda before, x: list_reduce(list_transform(range(1, m + 1), lambda j: [j::DOUBLE]),
+       lambda done, y: list_append(done, CASE WHEN abs(x[1] * m - y[1] * n) < lim THEN (before[CAST(y[1] AS BIGINT) + 1] * x[1] + done[-1] * y[1]) / (x[1] + y[1]) ELSE 0.0::DOUBLE END),
+       [CASE WHEN x[1] * m < lim THEN before[1] ELSE 0.0::DOUBLE END]),
+   list_transform(range(0, m + 1), lambda j: CASE WHEN j * n < lim THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), -1), 0), 1) END"""
+KSP = f"CASE WHEN n * m <= {M.EXACT_UP_TO} THEN {EXACT} ELSE CASE WHEN t < 0.04::DOUBLE THEN 1.0::DOUBLE ELSE least(greatest(list_aggregate(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * t * t)), 'sum'), 0), 1) END END"
 
 
 @query(with_(EV, DIST.format(src="ev")) + f" SELECT location_type, feature, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 6) AS ks, round({KSP}, 6) AS ks_p, round(wasserstein, 5) AS wasserstein, round(kl, 5) AS kl FROM pv JOIN kl USING (location_type, feature)")
@@ -63,6 +69,17 @@ def distribution_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, "ks", "ks_p", places=6), "wasserstein", "kl", places=5)
 
 
+SMALL = ", sm AS (SELECT department || '/' || location_type AS location_type, hour, duration, energy, is_weekend FROM ev), "
+
+
+@query(with_(EV) + SMALL + DIST.format(src="sm") + f" SELECT location_type AS cell, feature, n, m, round(ks, 9) AS ks, round({KSP}, 9) AS ks_p, round(wasserstein, 8) AS wasserstein, round(kl, 5) AS kl FROM pv JOIN kl USING (location_type, feature)")
+def small_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekend against working days by area and place: groups so small that their p-values are exact."""
+    s = event_sessions(spark, sf_dir).withColumn("cell", F.concat_ws("/", "department", "location_type"))
+    out = M.distribution_comparison(s.filter("is_weekend = 0"), s.filter("is_weekend = 1"), by=("cell",), split=False)
+    return rounded(rounded(rounded(out, "ks", "ks_p", places=9), "wasserstein", places=8), "kl", places=5)
+
+
 @query(with_(NAT) + """, m AS (SELECT date, avg(v) AS y FROM nat GROUP BY date), r AS (SELECT date, v, y, row_number() OVER (PARTITION BY date ORDER BY v) AS i, count(*) OVER (PARTITION BY date) AS m FROM nat JOIN m USING (date))
   SELECT date, round(avg(abs(v - y)) - sum((2 * i - m - 1) * v) / (any_value(m) * any_value(m)), 7) AS crps, count(*) AS members FROM r GROUP BY date""")
 def crps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chargelake.operators import ranks
+from chargelake.operators.metrics import exact_p, ks_p_value
 from chargelake.sources import readers
 
 
@@ -64,3 +66,26 @@ def test_tables_can_be_dropped(spark):
     assert readers.drop_written(spark) >= 1 and readers.drop_written(spark) == 0
     with pytest.raises(Exception, match="(?i)not exist|no such file"):
         spark.read.parquet(path).count()
+
+
+def test_exact_p_values_equal_counting_paths(spark):
+    """All orders of two samples, by whole numbers."""
+
+    def counted(limit, n, m):
+        paths = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n + 1):
+            for j in range(m + 1):
+                if abs(i * m - j * n) < limit:
+                    paths[i][j] = 1 if i == j == 0 else (paths[i - 1][j] if i else 0) + (paths[i][j - 1] if j else 0)
+        return float(1 - Fraction(paths[n][m], math.comb(n + m, n)))
+
+    cases = [(k / (n * m), n, m) for n, m in [(1, 1), (3, 5), (10, 10), (33, 20), (90, 100), (7, 300)] for k in (0, 1, n, n * m // 3, n * m // 2, n * m)]
+    df = spark.createDataFrame(cases, "d double, n long, m long").withColumn("p", exact_p(F.col("d"), F.col("n"), F.col("m")))
+    for r in df.collect():
+        assert r["p"] == pytest.approx(counted(round(r["d"] * r["n"] * r["m"]), r["n"], r["m"]), abs=1e-12)
+
+
+def test_p_values_are_asymptotic_beyond_the_limit(spark):
+    df = spark.createDataFrame([(0.1, 100, 100), (0.1, 101, 100)], "d double, n long, m long")
+    exact, other = (r["p"] for r in df.select(ks_p_value(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect())
+    assert exact == pytest.approx(0.7021, abs=1e-3) and other == pytest.approx(0.6918, abs=5e-3)
