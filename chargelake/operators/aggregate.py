@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import percentiles
+from .ranks import overlapping_ranges, percentiles
 
 #: Percentiles of scenario tables.
 BANDS = {"p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.90, "p95": 0.95}
@@ -169,24 +169,29 @@ def daily_maximum_rows(df: DataFrame, value: str, ts: str = "ts") -> DataFrame:
 
 
 def centred_mean(df: DataFrame, value: str, width: int, by: tuple[str, ...], ts: str = "ts") -> DataFrame:
-    """Rolling mean over ``width`` rows around each row; only full windows."""
-    w = Window.partitionBy(*by).orderBy(ts).rowsBetween(-(width // 2), width - width // 2 - 1)
-    return df.withColumn("rolling", F.when(F.count(value).over(w) == width, F.avg(value).over(w)))
+    """Rolling mean over ``width`` rows around each row; only full windows.  A series is many tasks (``overlapping_ranges``)."""
+    before, after = width // 2, width - width // 2 - 1
+    near = overlapping_ranges(df, list(by), ts, before, after)
+    w = Window.partitionBy(*by, "block_").orderBy(ts).rowsBetween(-before, after)
+    return near.withColumn("rolling", F.when(F.count(value).over(w) == width, F.avg(value).over(w))).filter("own_").drop("own_", "block_")
 
 
 def returns(df: DataFrame, value: str, by: tuple[str, ...], at: str = "date") -> DataFrame:
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(at))
-    return df.withColumn("change", F.try_divide(F.col(value), before) - 1)
+    near = overlapping_ranges(df, list(by), at, 1, 0)
+    before = F.lag(value).over(Window.partitionBy(*by, "block_").orderBy(at))
+    return near.withColumn("change", F.try_divide(F.col(value), before) - 1).filter("own_").drop("own_", "block_")
 
 
 def gradient(df: DataFrame, value: str, at: str, by: tuple[str, ...]) -> DataFrame:
     """Slope by neighbours on either side; one-sided at the ends."""
-    w = Window.partitionBy(*by).orderBy(at)
+    near = overlapping_ranges(df, list(by), at, 1, 1)
+    w = Window.partitionBy(*by, "block_").orderBy(at)
     lo, hi = F.coalesce(F.lag(value).over(w), F.col(value)), F.coalesce(F.lead(value).over(w), F.col(value))
     t_lo, t_hi = F.coalesce(F.lag(at).over(w), F.col(at)), F.coalesce(F.lead(at).over(w), F.col(at))
-    return df.withColumn("slope", F.try_divide(hi - lo, t_hi - t_lo))
+    return near.withColumn("slope", F.try_divide(hi - lo, t_hi - t_lo)).filter("own_").drop("own_", "block_")
 
 
 def growth_ratio(df: DataFrame, value: str, by: tuple[str, ...], at: str = "date") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("ratio", F.try_divide(F.col(value), F.first(value).over(w)))
+    """To the group's first value, which is one row of an aggregate."""
+    first = df.groupBy(*by).agg(F.min_by(value, at).alias("first_"))
+    return df.join(first, list(by)).withColumn("ratio", F.try_divide(F.col(value), F.col("first_"))).drop("first_")

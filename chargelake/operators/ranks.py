@@ -72,3 +72,15 @@ def numbered(df: DataFrame, keys: list[str], id_: str, split: bool = True) -> Da
     before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy(*keys, "part_").agg(F.count("*").alias("n_")).select(*keys, "part_", F.coalesce(before, F.lit(0)).alias("start_"))
     return inner.join(starts, [*keys, "part_"]).withColumn("at_", (F.col("at_") + F.col("start_")).cast("int")).drop("part_", "start_")
+
+
+def overlapping_ranges(df: DataFrame, keys: list[str], order: str, before: int, after: int, rows: int = 1 << 16) -> DataFrame:
+    """``df`` in blocks of ``rows`` neighbouring rows of each group (``block_``), with the rows that windows reach into on either side.
+
+    Windows over (keys, block_) that look ``before`` rows back and ``after`` ahead are right for rows with ``own_``; the others
+    are copies, to be dropped.  So one long series is many tasks.
+    """
+    placed = running(df.withColumn("one_", F.lit(1)), keys, order, ["one_"]).withColumn("at_", F.col("one__upto") - 1).drop("one_", "one__upto", "next_")
+    lo, hi = F.floor((F.col("at_") - after) / rows), F.floor((F.col("at_") + before) / rows)
+    each = placed.withColumn("block_", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
+    return each.withColumn("own_", F.col("block_") == F.floor(F.col("at_") / rows)).drop("at_")

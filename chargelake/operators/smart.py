@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import plus_hours, savings_pct, slots_needed
 from ..sources.readers import written
+from .intervals import cover, overlapping
 
 OUTPUT = ["cost_smart", "cost_plug", "savings_pct", "scheduled_start", "scheduled_end"]
 
@@ -75,16 +76,6 @@ def signal_blocks(rows: DataFrame, signal_type: str) -> DataFrame:
     return each.groupBy("level", "block").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "ts", "value"))).alias("best"), F.sum("value").alias("total"))
 
 
-def cover(i: str, j: str) -> Column:
-    """The blocks (level, block) that make up rows i to j - 1: at most two of each level below TOP, and the whole ones of TOP between."""
-    piece = lambda level, block: f"named_struct('level', {level}, 'block', {block})"
-    lo, hi = f"shiftright({i} + shiftleft(1L, l) - 1, l)", f"shiftright({j}, l)"
-    odd = f"""flatten(transform(sequence(0, {TOP - 1}), l -> array(
-        if({lo} < {hi} and {lo} % 2 = 1, {piece("l", lo)}, null), if({lo} < {hi} and {hi} % 2 = 1, {piece("l", f"{hi} - 1")}, null))))"""
-    lo, hi = (x.replace(", l)", f", {TOP})") for x in (lo, hi))
-    return F.expr(f"filter(concat({odd}, if({lo} < {hi}, transform(sequence({lo}, greatest({hi} - 1, {lo})), b -> {piece(TOP, 'b')}), array())), x -> x is not null)")
-
-
 def smart_charge(
     df: DataFrame, signal: DataFrame, signal_type: str = "price", resolution_min: int = 30, efficiency: float = 0.9, default_power_kw: float = 7.4, id_: str = "session_id"
 ) -> DataFrame:
@@ -111,7 +102,7 @@ def smart_charge(
         stays = stays.drop("first_", "times_")
     stays = stays.filter("j_ > i_").withColumn("k_", F.greatest(slots_needed("energy", "power_", resolution_min, efficiency, F.col("j_") - F.col("i_")), F.lit(0)).cast("int"))
     stays = stays.filter(F.col("energy").isNotNull() & (F.col("power_") > 0)).withColumn("to_", F.col("i_") + F.col("k_"))
-    tagged = lambda i, j, best: F.transform(cover(i, j), lambda b: F.struct(b["level"].alias("level"), b["block"].alias("block"), F.lit(best).alias("smart_")))
+    tagged = lambda i, j, best: F.transform(cover(i, j, TOP), lambda b: F.struct(b["level"].alias("level"), b["block"].alias("block"), F.lit(best).alias("smart_")))
     pieces = F.when(F.col("k_") > 0, F.concat(tagged("i_", "j_", True), tagged("i_", "to_", False)))
     met = stays.select(id_, "power_", "k_", "arrival_time", F.inline_outer(pieces)).join(signal_blocks(rows, signal_type), ["level", "block"], "left")
     merged = met.groupBy(id_).agg(
@@ -129,6 +120,16 @@ def smart_charge(
     return df.join(each.select(id_, *OUTPUT), id_, "left")
 
 
+def cost_of_validity(df: DataFrame, tariffs: DataFrame, id_: str = "session_id") -> DataFrame:
+    """``df`` with ``covered_h`` and ``cost``: of a session that draws its mean power all the time, under prices that hold from one time to
+    another (valid_from, valid_to, value; of any lengths).  Hours without a price cost nothing and aren't covered."""
+    stays = df.filter(F.col("duration") > 0).select(id_, "energy", "duration", "arrival_time", plus_hours("arrival_time", "duration").alias("departure_"))
+    met = overlapping(stays, "arrival_time", "departure_", tariffs.select("valid_from", "valid_to", "value"), "valid_from", "valid_to")
+    hours = F.col("overlap_s") / 3600
+    each = met.groupBy(id_).agg(F.sum(hours).alias("covered_h"), F.sum(F.col("energy") / F.col("duration") * hours * F.col("value")).alias("cost"))
+    return df.join(each, id_, "left").na.fill(0.0, ["covered_h", "cost"])
+
+
 def representative_dates(signal_days: DataFrame, by: tuple[str, ...] = ("day_of_week", "season"), date: str = "date") -> DataFrame:
     """The first date of each weekday and season."""
     return signal_days.groupBy(*by).agg(F.min(date).alias("representative"))

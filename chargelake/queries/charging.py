@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import renewable_share, tariff
@@ -149,3 +149,18 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", tariff("ts").alias("day_night"), tariff("ts", "spot_like").alias("spot_like"), F.lit(0.15).alias("flat"), renewable_share("ts").alias("renewable")
     )
     return rounded(rounded(t, "day_night"), "spot_like", "renewable", places=6)
+
+
+#: Prices that hold from one purchase of a user to the next: intervals of all lengths that overlap and leave gaps.
+VALID = """vf AS (SELECT user_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to, ln(1 + value) / 20 AS value FROM events WHERE event_type = 'purchase'),
+  mt AS (SELECT session_id, energy, duration, value, epoch_us(least(arrival_time + to_microseconds(CAST(round(duration * 3600 * 1000000) AS BIGINT)), valid_to)) - epoch_us(greatest(arrival_time, valid_from)) AS us
+    FROM ev JOIN vf ON arrival_time < valid_to AND valid_from < arrival_time + to_microseconds(CAST(round(duration * 3600 * 1000000) AS BIGINT)) WHERE valid_from < valid_to)"""
+
+
+@query(with_(EV, VALID) + "SELECT session_id, round(coalesce(sum(us / 3.6e9::DOUBLE), 0), 6) AS covered_h, round(coalesce(sum(energy / duration * us / 3.6e9::DOUBLE * value), 0), 5) AS cost FROM ev LEFT JOIN mt USING (session_id) GROUP BY session_id".replace("energy / duration", "mt.energy / mt.duration"))
+def cost_of_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = event_sessions(spark, sf_dir)
+    bought = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type = 'purchase'")
+    next_ = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    tariffs = bought.select(F.col("ts").cast("timestamp_ntz").alias("valid_from"), next_.cast("timestamp_ntz").alias("valid_to"), (F.log1p("value") / 20).alias("value"))
+    return rounded(C.cost_of_validity(s, tariffs).select("session_id", "covered_h", "cost").withColumn("cost", F.round("cost", 5)), "covered_h", places=6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import CHARGER_MIX
 from ..operators import schema as S
-from ..sources.readers import cached_table, export, load_datasets, load_sessions, local_series, shared_folder
+from ..sources.readers import cached_cells, cached_table, export, load_datasets, load_sessions, local_series, shared_folder
 from .adapters import EV, ORD, event_sessions, national_raw, order_sessions, raw_events, raw_orders, with_
 from .registry import query
 
@@ -94,6 +94,16 @@ def cached_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached_table(spark, lambda: spark.range(0).toDF("never"), {"freq": "D"}, ["events"], folder)
 
 
+@query(with_(EV) + "SELECT department, date, count(*) AS n_sessions, round(sum(energy), 4) AS energy FROM ev GROUP BY ALL")
+def cached_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of areas, kept by area: the first call builds some, the second only the others."""
+    s, folder = event_sessions(spark, sf_dir), shared_folder(spark)
+    daily = lambda missing: s.join(missing, "department", "left_semi").groupBy("department", "date").agg(F.count("*").alias("n_sessions"), F.round(F.sum("energy"), 4).alias("energy"))
+    areas = s.select("department").distinct()
+    cached_cells(spark, daily, areas.filter("department < '06'"), ["department"], {"freq": "D"}, folder)
+    return cached_cells(spark, daily, areas, ["department"], {"freq": "D"}, folder).select("department", "date", "n_sessions", "energy")
+
+
 @query(with_(EV, ORD) + """SELECT 'year' AS part, count(*) AS n FROM ord WHERE year(arrival_time) = 1996
   UNION ALL SELECT 'departments', count(*) FROM ord WHERE department IN ('NATION_1', 'NATION_2')
   UNION ALL SELECT 'exclude_last', count(*) FROM ord WHERE date < (SELECT max(date) - 30 FROM ord)

@@ -148,3 +148,24 @@ def cached_table(spark: SparkSession, build: Callable[[], DataFrame], config: di
         spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.config.json")
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cached_cells(spark: SparkSession, build: Callable[[DataFrame], DataFrame], cells: DataFrame, keys: list[str], config: dict, folder: str) -> DataFrame:
+    """The results of ``cells`` (``keys``) for a configuration: only cells that aren't there yet are built, and added.
+
+    ``build`` gets the missing cells and returns their rows, with ``keys``; a cell may have none.  Rows are written before the
+    manifest that lists their cells, under a name of their own, so a run that breaks off leaves nothing that would be read.
+    """
+    path = f"{folder}/{config_hash(config, [])}"
+    manifest = f"{path}/manifest"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    wanted = cells.select(*keys).distinct()
+    missing = written(wanted.join(spark.read.parquet(manifest), keys, "left_anti") if there else wanted)
+    if not missing.isEmpty():
+        run = uuid.uuid4().hex
+        build(missing).write.parquet(f"{path}/rows/run={run}")
+        missing.withColumn("run", F.lit(run)).write.mode("append").parquet(manifest)
+    done = spark.read.parquet(manifest).join(wanted, keys, "left_semi")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").withColumn("run", F.col("run").cast("string"))
+    return rows.join(done, [*keys, "run"], "left_semi").drop("run")

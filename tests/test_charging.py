@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chargelake.operators import loadcurve as L
 from chargelake.operators import schema as S
 from chargelake.operators import smart as C
+from chargelake.operators.intervals import cover, overlapping, points_in_intervals
 
 DAY = dt.datetime(2024, 3, 1)
 
@@ -71,7 +72,7 @@ def test_a_window_is_few_blocks(spark):
     """Two of each size at most, and whole ones of the largest."""
     rnd = random.Random(1)
     spans = [(i, i + rnd.choice([1, 2, 7, 64, 255, 300, 5000])) for i in (rnd.randrange(5000) for _ in range(200))]
-    rows = spark.createDataFrame(spans, "i long, j long").select("i", "j", C.cover("i", "j").alias("blocks")).collect()
+    rows = spark.createDataFrame(spans, "i long, j long").select("i", "j", cover("i", "j", C.TOP).alias("blocks")).collect()
     for r in rows:
         covered = [x for b in r["blocks"] for x in range(b["block"] << b["level"], (b["block"] + 1) << b["level"])]
         assert sorted(covered) == list(range(r["i"], r["j"]))
@@ -129,3 +130,31 @@ def test_shifted_curves(spark):
                     want[r["date"], kind, s] += r["power_kw"]
     got = {(r["date"], r["kind"], r["slot"]): r["kw"] for r in L.shift_curves(df).filter("kw > 0").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-8) for k, v in want.items())
+
+
+def intervals_of(spark, seed, n, names, longest):
+    rnd = random.Random(seed)
+    rows = [(i, DAY + dt.timedelta(seconds=rnd.randrange(90_000)), rnd.choice([0, 1, 299, 300, 3_600, longest])) for i in range(n)]
+    rows = [(i, lo, lo + dt.timedelta(seconds=s)) for i, lo, s in rows] + [(n, None, DAY), (n + 1, DAY, None)]
+    return rows, spark.createDataFrame(rows, f"{names[0]} int, {names[1]} timestamp_ntz, {names[2]} timestamp_ntz")
+
+
+@pytest.mark.parametrize("top", [2, 12])
+def test_overlaps_equal_comparing_all(spark, top):
+    """Intervals of no length to months, that overlap, touch, begin together and leave gaps; nulls."""
+    left, a = intervals_of(spark, 1, 120, ("a", "a_lo", "a_hi"), 40_000)
+    right, b = intervals_of(spark, 2, 150, ("b", "b_lo", "b_hi"), 3_000_000 if top == 12 else 50_000)
+    meet = lambda lo, hi, f, t: None not in (lo, hi, f, t) and lo < hi and f < t and max(lo, f) < min(hi, t)
+    want = {(i, j): (min(hi, t) - max(lo, f)).total_seconds() for i, lo, hi in left for j, f, t in right if meet(lo, hi, f, t)}
+    rows = overlapping(a, "a_lo", "a_hi", b, "b_lo", "b_hi", top=top).collect()
+    assert len(rows) == len(want) and {(r["a"], r["b"]): r["overlap_s"] for r in rows} == want
+    inside = points_in_intervals(b.select("b", "b_lo"), "b_lo", a, "a_lo", "a_hi", top=top).collect()
+    assert {(r["a"], r["b"]) for r in inside} == {(i, j) for i, lo, hi in left for j, f, _ in right if None not in (lo, hi, f) and lo <= f < hi}
+    assert overlapping(a.limit(0), "a_lo", "a_hi", b, "b_lo", "b_hi").count() == 0
+
+
+def test_the_overlap_join_has_no_nested_loop(spark):
+    _, a = intervals_of(spark, 1, 9, ("a", "a_lo", "a_hi"), 40_000)
+    _, b = intervals_of(spark, 2, 9, ("b", "b_lo", "b_hi"), 40_000)
+    plan = overlapping(a, "a_lo", "a_hi", b, "b_lo", "b_hi")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

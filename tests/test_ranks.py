@@ -6,9 +6,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chargelake.operators import ranks
+from chargelake.operators import gaussian, ranks
 from chargelake.operators.metrics import exact_p, ks_p_value
 from chargelake.sources import readers
 
@@ -60,6 +61,41 @@ def test_percentiles_of_a_large_group(spark):
     assert [got["a"], got["b"], got["c"]] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize("rows", [4, 10, 1000])
+def test_windows_over_ranges_equal_windows_over_the_series(spark, rows):
+    rnd = random.Random(2)
+    data = [(k, t, rnd.random()) for k, n in (("a", 57), ("b", 4)) for t in rnd.sample(range(1000), n)]
+    df = spark.createDataFrame(data, "k string, t int, v double")
+    near = ranks.overlapping_ranges(df, ["k"], "t", 3, 2, rows)
+    inside = Window.partitionBy("k", "block_").orderBy("t").rowsBetween(-3, 2)
+    got = {(r["k"], r["t"]): r["s"] for r in near.withColumn("s", F.sum("v").over(inside)).filter("own_").collect()}
+    whole = df.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("t").rowsBetween(-3, 2))).collect()
+    assert len(got) == len(data) and all(got[r["k"], r["t"]] == pytest.approx(r["s"]) for r in whole)
+    assert near.filter("own_").select("block_").distinct().count() == -(-57 // rows)
+
+
+@pytest.mark.parametrize("cap", [0, 1, 3, 40, 10_000])
+def test_capped_contexts_equal_ranking_them(spark, cap):
+    df = spark.createDataFrame([(i, "a" if i % 9 else "b") for i in range(3000)] + [(7, "a")] * 3, "session_id int, k string")
+    w = Window.partitionBy("k").orderBy(F.md5(F.concat_ws("|", F.lit("0"), F.col("session_id").cast("string"))), "session_id")
+    want = df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= cap).drop("r")
+    assert sorted(map(tuple, gaussian.capped(df, ["k"], cap).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_missing_cells_are_built(spark, tmp_path):
+    built = []
+
+    def build(missing):
+        built.append(sorted(r["c"] for r in missing.collect()))
+        return missing.filter("c <> 3").withColumn("v", F.col("c") * 10)
+
+    cells = lambda *c: spark.createDataFrame([(x,) for x in c], "c int")
+    call = lambda *c, config=1: sorted(r["v"] for r in readers.cached_cells(spark, build, cells(*c), ["c"], {"x": config}, f"file://{tmp_path}").collect())
+    assert call(1, 2, 2) == [10, 20] and call(2, 3, 4) == [20, 40] and call(3) == [] and call(1, 4) == [10, 40]
+    assert call(1, config=2) == [10]
+    assert built == [[1, 2], [3, 4], [1]]
+
+
 def test_tables_can_be_dropped(spark):
     table = readers.written(spark.range(3))
     path = table.inputFiles()[0]
