@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import Scratch, bounded_batches, small_batches
+from .buckets import compared_blocks
+from .util import Scratch, bounded_batches
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -225,6 +226,8 @@ def links_between(a: list[dict], b: list[dict], threshold: float) -> list[tuple[
     return list(found.values())
 
 
+#: Shingles of a block, but for single texts that have more.
+BLOCK_TOKENS = 1 << 17
 #: Members of a bucket that share a salt: a bucket with many is spread over many tasks.
 SALTED = 256
 
@@ -239,39 +242,6 @@ def salts() -> F.Column:
     return F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALTED).cast("int") - 1)).alias("salt")
 
 
-def compared_in_blocks(rest: DataFrame, shingles: DataFrame, threshold: float, block: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between nodes of different classes in unsettled buckets: ``key, salt, node, label``.
-
-    Buckets that share nodes form groups, so that no two nodes meet once per bucket.  The nodes of a group are dealt
-    into blocks of about ``block``, and each two blocks of a group are one row of work: the rows are few, a task
-    holds two blocks at a time, and the blocks of a large group spread over all tasks.
-    """
-    spark = rest.sparkSession
-    near = rest.groupBy("key", "salt").agg(F.min("node").alias("near"))
-    least = near.groupBy("key").agg(F.min("near").alias("least"))
-    edges = rest.join(near, ["key", "salt"]).select(F.col("node").alias("a"), F.col("near").alias("b"))
-    edges = edges.unionByName(near.join(least, "key").select(F.col("near").alias("a"), F.col("least").alias("b")))
-    groups = components(edges, scratch).withColumnRenamed("label", "grp")
-    nodes = rest.select("node", "label").distinct().join(groups, "node")
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("size"))
-    nodes = nodes.join(sizes, "grp").withColumn("n_blocks", F.ceil(F.col("size") / block))
-    nodes = nodes.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    full = nodes.join(shingles, "node").groupBy("grp", "blk", "n_blocks").agg(F.collect_list(F.struct("node", "label", "shingles", "weights")).alias("rows"))
-    blocks = scratch.save(full)
-    left = blocks.select("grp", F.col("rows").alias("x"), F.explode(F.sequence(F.col("blk"), F.col("n_blocks").cast("int") - 1)).alias("blk"))
-    work = left.join(blocks.select("grp", "blk", F.col("rows").alias("y")), ["grp", "blk"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = links_between(batch.column("x")[i].as_py(), batch.column("y")[i].as_py(), threshold)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
-
-    with small_batches(spark, 4):
-        return scratch.save(work.select("x", "y").mapInArrow(compared, "a binary, b binary"))
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, label`` for every node of the edges (a, b): the smallest node it is connected with.
 
@@ -298,12 +268,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, small_bucket: int = 8, cheap_rounds: int = 6, block: int = 256
 ) -> DataFrame:
-    """``doc_id, class_id, n_links, link_id, node, class_node``: one row for each row of ``docs`` (doc_id, text).
+    """``doc_id, class_id, n_links, link_id, node, class_node, n_copies``: one row for each row of ``docs`` (doc_id, text).
 
     Documents are linked where the probability Jaccard of their weighted ``words``-word shingles, or the Jaccard of the shingle
     sets, is at least ``threshold``; classes are the connected components, named by their smallest doc_id.  node is
-    the md5 of the text: exact copies are one node; class_node is the smallest of the class.  n_links counts the verified
-    links of the text to other texts, link_id is the smallest doc_id of one such text (null without): every class is held
+    the md5 of the text: exact copies are one node; class_node is the smallest of the class.  n_copies counts the rows with the
+    text (1 without words), n_links the verified links of the text to other texts, link_id is the smallest doc_id of one such text (null without): every class is held
     together by its verified links, though not every two of its texts have been compared.  Candidates share a band of a
     signature, by weights or by sets; a pair at 0.8 by either does so with a probability over 0.99999.
 
@@ -312,7 +282,7 @@ def near_duplicates(
     is compared with one node, the smallest of the random pivots of its buckets that isn't of its class; rounds go on while
     they settle a quarter of what is left, ``cheap_rounds`` at most.
     Buckets with one class left are done.  What is left, nodes near the threshold that few links hold together, is
-    compared in full and in blocks (``compared_in_blocks``).  So every two members of a bucket have been compared
+    compared in full, in blocks that share a bucket (``compared_blocks``).  So every two members of a bucket have been compared
     or have ended up in one class: no candidate is dropped, and there is no cap.
 
     Null, empty and white-space texts: alone (class_id their own id, node null).  Null ids: the class of their text;
@@ -330,7 +300,7 @@ def classes_of(
     scratch = Scratch(docs.sparkSession)
     save = scratch.save
     signed = save(signatures(docs, bands, rows, words), "signed")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
     nodes = save(nodes, "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
@@ -368,21 +338,24 @@ def classes_of(
         if left > 0.75 * before:
             break
     if left:
-        links = save(links.unionByName(compared_in_blocks(now, shingles, threshold, block, scratch)), "links")
+        sizes = shingles.select("node", F.size("shingles").alias("n"))
+        compare = lambda x, y: links_between(x, y, threshold)
+        found = compared_blocks(now.drop("n").join(sizes, "node"), shingles, ["shingles", "weights"], compare, block, BLOCK_TOKENS, scratch)
+        links = save(links.unionByName(found), "links")
         labels = save(components(links, scratch), "labels")
 
-    joined = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = nodes.select("node", "doc_id", "n_copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = save(joined, "joined")
     class_of = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     both = links.distinct().unionByName(links.distinct().select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = joined.select(F.col("node").alias("b"), F.col("doc_id").alias("other"))
     counts = both.distinct().join(other, "b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.min("other").alias("link_id"))
     of_node = joined.join(class_of, "label").join(counts, "node", "left")
-    of_node = save(of_node.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "link_id", F.col("label").alias("class_node")), "classes")
-    scratch.clean("nodes", "members", "shingles", "links", "labels", "unsettled", "joined", "edges")
-    columns = ["doc_id", "class_id", "n_links", "link_id", "node", "class_node"]
+    of_node = save(of_node.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "link_id", F.col("label").alias("class_node"), "n_copies"), "classes")
+    scratch.clean("nodes", "members", "shingles", "links", "labels", "unsettled", "joined", "edges", "place", "blocks", "found")
+    columns = ["doc_id", "class_id", "n_links", "link_id", "node", "class_node", "n_copies"]
     with_text = signed.filter("node is not null").select("doc_id", "node").join(of_node, "node").select(*columns)
-    none = {"n_links": F.lit(0).cast("long"), "link_id": F.lit(None), "class_node": F.lit(None).cast("binary")}
+    none = {"n_links": F.lit(0).cast("long"), "link_id": F.lit(None), "class_node": F.lit(None).cast("binary"), "n_copies": F.lit(1).cast("long")}
     alone = signed.filter("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "node").withColumns(none).select(*columns)
     return with_text.unionByName(alone)
 
