@@ -83,6 +83,7 @@ def recency_weight(days: ColumnOrName, half_life: ColumnOrName) -> Column:
 def tariff(ts: ColumnOrName, kind: str = "day_night") -> Column:
     """Price of a time of day, EUR/kWh: night and day rates with two peaks, a spot-like curve, or flat."""
     h = hour_of_day(ts)
+    # fixed values: rates, hours and limits must be these for the same prices
     if kind == "flat":
         return F.lit(0.15)
     if kind == "spot_like":
@@ -93,6 +94,7 @@ def tariff(ts: ColumnOrName, kind: str = "day_night") -> Column:
 
 def renewable_share(ts: ColumnOrName) -> Column:
     h = hour_of_day(ts)
+    # fixed values: hours of sun, level and swing of wind
     solar = F.greatest(F.lit(0.0), F.cos(F.pi() * (h - 13) / 7))
     wind = 0.2 + 0.15 * F.sin(2 * F.pi() * h / 24 + 1.0)
     return F.least(F.greatest(solar + wind, F.lit(0.0)), F.lit(1.0))
@@ -137,6 +139,7 @@ def count_of(x: ColumnOrName) -> Column:
 def growth(base: ColumnOrName, t: ColumnOrName, model: str, years: float, **p: float) -> Column:
     """Growth of ``base`` after ``t`` years; every model starts at ``base``."""
     b, t = col(base), col(t)
+    # fixed values: the usual parameters of each model, where none are given
     if model == "linear":
         return b * (1 + F.lit(p.get("rate", 0.15)) * t)
     if model == "s_curve":

@@ -93,11 +93,11 @@ def annual_series(profiles: DataFrame, year: int, smart: DataFrame | None = None
     )
     hours = hours.withColumns({"day_of_week": F.weekday("ts"), "season": season(F.month("ts")), "h": F.hour("ts")})
     keys = ["day_of_week", "season", "h"]
-    base = profiles.select(*keys, F.col("mw").alias("base_"))  # at most 7 x 4 x 24 rows
-    out = hours.join(F.broadcast(base), keys, "left")
+    base = profiles.select(*keys, F.col("mw").alias("base_"))
+    out = hours.join(base, keys, "left")
     mw = F.coalesce("base_", F.lit(0.0))
     if smart is not None:
-        out = out.join(F.broadcast(smart.select(*keys, F.col("mw").alias("smart_"))), keys, "left")
+        out = out.join(smart.select(*keys, F.col("mw").alias("smart_")), keys, "left")
         mw = F.coalesce("smart_", "base_", F.lit(0.0))
     if noise:
         mw = mw * F.greatest(1 + noise * normal(F.to_date("ts")), F.lit(0.0))
