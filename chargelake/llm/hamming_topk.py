@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,13 @@ def part_of(code: Column, segment: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(code, segment[0]).bitwiseAND(F.lit((1 << segment[1]) - 1)).cast("int")
 
 
-def flips(spark: SparkSession, width: int, radius: int) -> DataFrame:
-    """All numbers of ``width`` bits of which ``radius`` are 1."""
-    return spark.range(1 << width).filter(F.bit_count("id") == radius).select(F.col("id").cast("int").alias("flip"))
+def flips(spark: SparkSession, widths: set[int], radius: int) -> DataFrame:
+    """``width, flip``: for each width all numbers of so many bits of which ``radius`` are 1.
+
+    The width is worked out from the row, as a constant would be taken out of the join that needs it.
+    """
+    of = lambda w: spark.range(1 << w).filter(F.bit_count("id") == radius).select((F.col("id") * 0 + w).cast("int").alias("width"), F.col("id").cast("int").alias("flip"))
+    return reduce(DataFrame.unionByName, map(of, sorted(widths)))
 
 
 def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -76,7 +81,7 @@ def search_codes(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     for radius in range(widest + 1):
         probe = F.array(*(F.struct(F.lit(n).alias("part"), F.lit(w).alias("width"), part_of(F.col("query_code"), (at, w)).alias("own")) for n, (at, w) in enumerate(segments)))
         probes = open_.select("query_code", "worst", F.explode(probe).alias("p")).select("query_code", "worst", "p.part", "p.width", "p.own")
-        probes = probes.join(F.broadcast(flips(spark, widest, radius)), F.expr("flip < shiftleft(1, width)"))
+        probes = probes.join(F.broadcast(flips(spark, {w for _, w in segments}, radius)), "width")
         probes = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("flip"))).drop("own", "flip", "width")
         first = F.lit(True)
         for n, s in enumerate(segments):

@@ -4,7 +4,7 @@ import random
 
 from chargelake.llm import queries as llm
 from chargelake.llm.chat import rotate_perspectives
-from chargelake.llm.hamming_topk import hamming_neighbors, search_codes, segments_for
+from chargelake.llm.hamming_topk import flips, hamming_neighbors, search_codes, segments_for
 
 from ..oracle import assert_same
 
@@ -91,3 +91,8 @@ def test_vectors_edge_rows(spark):
     rows = [(0, [0.1, -0.2]), (50, [0.1, None]), (51, None), (52, []), (None, [1.0]), (53, [0.1, -0.2])]
     out = hamming_neighbors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as code"))
     assert sorted(map(tuple, out.collect())) == [(0, 1, 50, 0), (0, 2, 53, 0), (50, 1, 0, 0), (50, 2, 53, 0)]
+
+
+def test_flips_of_two_widths(spark):
+    got = sorted(tuple(r) for r in flips(spark, {3, 4}, 2).collect())
+    assert got == [(w, f) for w in (3, 4) for f in range(1 << w) if f.bit_count() == 2]
