@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .util import Scratch, small_batches
 
@@ -28,7 +29,7 @@ def dealt_blocks(nodes: DataFrame, most_sets: int, most_tokens: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), pa.array(out, pa.int64())], ["node", "label", "block"])
 
     in_order = nodes.select("node", "label", "key", "n").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return in_order.mapInArrow(dealt, "node binary, label binary, block long")
+    return in_order.mapInArrow(dealt, nodes.select("node", "label").schema.add("block", "long"))
 
 
 def block_pairs(members: DataFrame, place: DataFrame) -> DataFrame:
@@ -43,19 +44,22 @@ def block_pairs(members: DataFrame, place: DataFrame) -> DataFrame:
 
 
 def compared_blocks(
-    members: DataFrame, sets: DataFrame, columns: list[str], links_between: Callable[[list[dict], list[dict]], list[tuple[bytes, bytes]]], most_sets: int, most_tokens: int, scratch: Scratch
+    members: DataFrame, sets: DataFrame, columns: list[str], links_between: Callable[[list[dict], list[dict]], list[tuple]], most_sets: int, most_tokens: int, scratch: Scratch
 ) -> DataFrame:
     """Links (a, b) that join classes, from large buckets (key, node, n, label): each row one bucket and member, n its tokens.
 
     sets: node and ``columns``, which ``links_between`` finds with node and label in the rows of two blocks.
     """
 
+    nodes = members.select(F.col("node").alias("a"), F.col("node").alias("b")).schema
+    kind = to_arrow_type(nodes["a"].dataType)
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = links_between(batch.column("x")[i].as_py(), batch.column("y")[i].as_py())
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*found, strict=True)], ["a", "b"])
 
     first = members.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("label").alias("label"))
     place = scratch.save(dealt_blocks(first, most_sets, most_tokens), "place")
@@ -64,4 +68,4 @@ def compared_blocks(
     of = lambda side: blocks.select(F.col("block").alias(f"b{side}"), F.col("rows").alias(side))
     work = block_pairs(members, place).join(of("x"), "bx").join(of("y"), "by")
     with small_batches(members.sparkSession, 4):
-        return scratch.save(work.select("x", "y").mapInArrow(compared, "a binary, b binary"), "found")
+        return scratch.save(work.select("x", "y").mapInArrow(compared, nodes), "found")
