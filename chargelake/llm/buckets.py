@@ -35,8 +35,10 @@ def dealt_blocks(nodes: DataFrame, most_sets: int, most_tokens: int) -> DataFram
 def block_pairs(members: DataFrame, place: DataFrame) -> DataFrame:
     """``bx, by``: the distinct pairs of blocks that share a bucket (key, node) and hold more than one class between them."""
     at = members.select("key", "node").join(place, "node").groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("at"))
-    ahead = F.expr("flatten(transform(at, (x, i) -> transform(slice(at, i + 1, size(at)), y -> struct(x as bx, y as by))))")
-    pairs = at.select("at").distinct().select(F.inline(ahead)).distinct()  # many buckets are in the same blocks
+    at = at.select("at").distinct().select("at", F.posexplode("at").alias("i", "bx"))  # many buckets are in the same blocks
+    # each block with the later ones of its buckets, united: a row for each block of a bucket, not for each two
+    later = at.select("bx", F.slice("at", F.col("i") + 1, F.size("at")).alias("later")).groupBy("bx").agg(F.collect_set("later").alias("later"))
+    pairs = later.select("bx", F.explode(F.array_distinct(F.flatten("later"))).alias("by"))
     classes = place.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     of = lambda side: classes.select(F.col("block").alias(f"b{side}"), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
     one_class = F.expr("lo_x = hi_x and lo_x = lo_y and lo_y = hi_y")
