@@ -158,3 +158,24 @@ def test_the_overlap_join_has_no_nested_loop(spark):
     _, b = intervals_of(spark, 2, 9, ("b", "b_lo", "b_hi"), 40_000)
     plan = overlapping(a, "a_lo", "a_hi", b, "b_lo", "b_hi")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_costs_under_prices_pair_no_intervals(spark):
+    """Prices that overlap by hundreds, with nulls, against the sum over all pairs; the plan joins on times only."""
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, {})"
+    s = spark.range(200).selectExpr("id as session_id", f"{at.format('id * 7 % 1440')} as arrival_time", "1.0 + id % 9 as duration", "id * 0.7D as energy")
+    prices = spark.range(400).selectExpr(
+        f"{at.format('id * 13 % 1440')} as valid_from", f"{at.format('id * 13 % 1440 + id % 31 * 30 - 60')} as valid_to", "if(id % 10 = 0, null, 0.1D + id / 997D) as value"
+    )
+    out = C.cost_of_validity(s, prices)
+    plan = out._jdf.queryExecution().toString()
+    assert "block_" not in plan and "NestedLoop" not in plan
+    found = {r["session_id"]: r for r in out.collect()}
+    minutes = [(i * 13 % 1440, i * 13 % 1440 + i % 31 * 30 - 60, None if i % 10 == 0 else 0.1 + i / 997) for i in range(400)]
+    for i in range(200):
+        a, z, power = i * 7 % 1440, i * 7 % 1440 + 60 * (1 + i % 9), i * 0.7 / (1 + i % 9)
+        shared = [(max(0, min(z, t) - max(a, f)) / 60, v) for f, t, v in minutes if f < t]
+        assert found[i]["covered_h"] == pytest.approx(sum(h for h, _ in shared), abs=1e-9)
+        assert found[i]["cost"] == pytest.approx(sum(power * h * (v or 0) for h, v in shared), abs=1e-9)
+    nan = C.cost_of_validity(s.filter("session_id = 3"), prices.withColumn("value", F.lit(float("nan")))).first()
+    assert nan["cost"] != nan["cost"]
