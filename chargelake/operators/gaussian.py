@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import normals, recency_weight, season
 from .aggregate import present
+from .mixture_kernels import SUMS as STEP_SUMS
+from .mixture_kernels import expected, packed, started
 from .schema import from_features, to_features
 
 FEATURES = ["f_hour", "f_duration", "f_energy"]
@@ -80,44 +82,6 @@ def log_density(of: Callable[[str], Column] = F.col) -> Column:
     return -0.5 * (quad + F.ln(det) + 3 * math.log(2 * math.pi))
 
 
-def quadratic_forms(parts: str) -> Column:
-    """Weighted components' log densities as forms in the features: ``k, q*``, of which q goes with 1, qi with x_i, qij with x_i x_j.
-
-    So each session costs ten products a component, and the inverse is worked out once for a component, in steps that
-    keep the expressions small.
-    """
-    keep = lambda c, *names: [c[n].alias(n) for n in names]
-    m = ["m0", "m1", "m2"]
-
-    def minors(c: Column) -> Column:
-        s = {(i, j): c[f"c{min(i, j)}{max(i, j)}"] for i in range(3) for j in range(3)}
-        rest = lambda i: [k for k in range(3) if k != i]
-        minor = lambda i, j: s[rest(i)[0], rest(j)[0]] * s[rest(i)[1], rest(j)[1]] - s[rest(i)[0], rest(j)[1]] * s[rest(i)[1], rest(j)[0]]
-        first = [s[0, j].alias(f"s{j}") for j in range(3)]
-        return F.struct(*keep(c, "k", "weight", *m), *first, *((minor(i, j) * float((-1) ** (i + j))).alias(f"a{i}{j}") for i, j in PAIRS))
-
-    def determinant(c: Column) -> Column:
-        det = c["s0"] * c["a00"] + c["s1"] * c["a01"] + c["s2"] * c["a02"]
-        return F.struct(*keep(c, "k", "weight", *m), *keep(c, *(f"a{i}{j}" for i, j in PAIRS)), det.alias("det"))
-
-    def linear(c: Column) -> Column:
-        a = lambda i, j: c[f"a{min(i, j)}{max(i, j)}"] / c["det"]
-        sums = [(a(i, 0) * c["m0"] + a(i, 1) * c["m1"] + a(i, 2) * c["m2"]).alias(f"q{i}") for i in range(3)]
-        squares = [(a(i, j) * (-0.5 if i == j else -1.0)).alias(f"q{i}{j}") for i, j in PAIRS]
-        return F.struct(*keep(c, "k", *m), (F.ln(c["weight"]) - 0.5 * (F.ln(c["det"]) + 3 * math.log(2 * math.pi))).alias("q"), *sums, *squares)
-
-    def centred(c: Column) -> Column:
-        at = c["q"] - 0.5 * (c["m0"] * c["q0"] + c["m1"] * c["q1"] + c["m2"] * c["q2"])
-        return F.struct(c["k"].alias("k"), at.alias("q"), *keep(c, "q0", "q1", "q2", *(f"q{i}{j}" for i, j in PAIRS)))
-
-    return F.transform(F.transform(F.transform(F.transform(parts, minors), determinant), linear), centred)
-
-
-def value_of(form: Column) -> Column:
-    x = [F.col(f) for f in FEATURES]
-    return sum((form[f"q{i}{j}"] * (x[i] * x[j]) for i, j in PAIRS), sum((form[f"q{i}"] * x[i] for i in range(3)), form["q"]))
-
-
 def gaussian_score(df: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
     """Mean log-likelihood over the sessions whose context has a model; none: minus infinity."""
     rows = to_features(df).join(params, by).agg(F.avg(log_density()).alias("score"), F.count("*").alias("n"))
@@ -168,47 +132,69 @@ def fit_mixtures(
     """``by, kk, k, weight, mass, mean_ll, m*, c*``: mixtures of kk Gaussians, for every context and each kk of ``ks`` at once, by
     expectation-maximisation; and each round's mean log-likelihood.  A context needs ``least`` sessions and five for each component.
 
-    All components of a mixture are one row of an array, so a round is a join of the sessions with the contexts' few rows, an array
-    expression for the responsibilities, and a grouped sum that is partial before its shuffle: sessions aren't
-    shuffled by themselves.  Parameters are written to ``folder`` (shared) each round, which cuts the lineage.  Components start as
-    ranges of energy between the context's quantiles.  A mixture is done when its mean log-likelihood changes by less than
-    ``tolerance``; only the others go on, ``rounds`` at most.
+    Sessions with the same features are one row with their number, and rows of a context lie in packs of at most 2,048.  A
+    round joins the packs with the contexts' parameters, works out responsibilities as products of matrices, a pack at a time, and adds
+    up one row for each pack and component: sessions aren't shuffled by themselves.  Parameters are written to ``folder`` (shared)
+    each round, which cuts the lineage.  Components start as ranges of energy between the context's quantiles.  A mixture is done when
+    its mean log-likelihood changes by less than ``tolerance``; only the others go on, ``rounds`` at most.
+    Sessions without all features are left out.
     """
     spark = df.sparkSession
     base = f"{folder}/{uuid.uuid4().hex}"
 
     def save(t: DataFrame, name: str) -> DataFrame:
         t.write.parquet(f"{base}/{name}")
-        return spark.read.parquet(f"{base}/{name}")
+        return spark.read.schema(t.schema).parquet(f"{base}/{name}")
 
     names = ["weight", "mass", *(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in PAIRS)]
-    rows = to_features(present(df, by)).select(*by, *FEATURES)
-    rows = save(rows.repartition(2 * spark.sparkContext.defaultParallelism), "rows")  # few bytes, much work: spread over all cores
-    cuts = [F.percentile_approx("f_energy", F.array(*(F.lit(i / kk) for i in range(1, kk))), 10_000).alias(f"cuts_{kk}") for kk in ks]
-    starts = save(rows.groupBy(*by).agg(F.count("*").alias("size_"), *cuts), "starts")
-    each = F.explode(F.array(*(F.struct(F.lit(kk).alias("kk"), F.col(f"cuts_{kk}").alias("cuts")) for kk in ks)))
-    wide = starts.filter(F.col("size_") >= least).select(*by, "size_", each.alias("s_")).select(*by, "size_", "s_.kk", "s_.cuts").filter("size_ >= 5 * kk")
-    first = rows.join(wide, by).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("f_energy"))))
-    first = first.groupBy(*by, "kk", "k").agg((F.count("*") / F.first("size_")).alias("weight"), F.count("*").cast("double").alias("mass"), *moments())
-
-    def as_rows(t: DataFrame, *more: str) -> DataFrame:
-        return t.groupBy(*by, "kk", *more).agg(F.sort_array(F.collect_list(F.struct("k", *names))).alias("parts"))  # at most kk of them
-
-    now = save(as_rows(first.withColumn("mean_ll", F.lit(float("-inf"))), "mean_ll").withColumn("done", F.lit(False)), "0")
+    rows = to_features(present(df, by)).select(*by, *(F.col(f).cast("double").alias(f) for f in FEATURES)).na.drop(subset=FEATURES)
+    distinct = save(rows.groupBy(*by, *FEATURES).agg(F.count("*").cast("double").alias("count_")), "rows")
+    parts = 4 * spark.sparkContext.defaultParallelism
+    near = distinct.repartitionByRange(parts, *by, *FEATURES).sortWithinPartitions(*by)  # a large context is many ranges
+    keys = [f for f in near.schema.fields if f.name in by]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
+    packs = save(near.mapInArrow(packed(by, [*FEATURES, "count_"]), f"{ddl}, pack binary"), "packs")
+    shares = sorted({i / kk for kk in ks for i in range(1, kk)})
+    cuts = F.percentile_approx("f_energy", F.lit(shares), 10_000).alias("cuts")
+    starts = rows.groupBy(*by).agg(F.count("*").alias("size_"), cuts)
+    starts = save(starts.filter(F.col("size_") >= least), "starts")
+    each = F.explode(F.array(*(F.struct(F.lit(kk).alias("kk"), F.array(*(F.element_at("cuts", shares.index(i / kk) + 1) for i in range(1, kk))).alias("cuts")) for kk in ks)))
+    wide = starts.select(*by, "size_", each.alias("s_")).select(*by, "size_", "s_.kk", "s_.cuts").filter("size_ >= 5 * kk")
+    step = f"{ddl}, kk int, k int, " + ", ".join(f"{c} double" for c in STEP_SUMS)
+
+    def added(models: DataFrame, run: Callable) -> DataFrame:
+        sums = packs.join(models, by).mapInArrow(run, step)
+        return sums.groupBy(*by, "kk", "k").agg(*(F.sum(c).alias(c) for c in STEP_SUMS))
+
+    def parameters() -> list[Column]:
+        mean = [F.col(f"s{i}") / F.col("w_") for i in range(3)]
+        return [m.alias(f"m{i}") for i, m in enumerate(mean)] + [
+            (F.col(f"s{i}{j}") / F.col("w_") - mean[i] * mean[j] + (RIDGE if i == j else 0)).alias(f"c{i}{j}") for i, j in PAIRS
+        ]
+
+    def as_rows(t: DataFrame) -> DataFrame:
+        """The components of a mixture as one array, at most kk of them, with their weights."""
+        held = t.select(*by, "kk", "k", "mass", "sum_", *parameters()).groupBy(*by, "kk")
+        held = held.agg(F.sort_array(F.collect_list(F.struct("k", *names[1:]))).alias("parts"), F.sum("mass").alias("size_"), F.sum("sum_").alias("sum_all"))
+        weight = lambda c: F.greatest(c["mass"] / F.col("size_"), F.lit(1e-9)).alias("weight")
+        weighed = F.transform("parts", lambda c: F.struct(c["k"].alias("k"), weight(c), *(c[x].alias(x) for x in names[1:])))
+        return held.select(*by, "kk", (F.col("sum_all") / F.col("size_")).alias("mean_ll"), weighed.alias("parts"))
+
+    ranges = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda k: F.struct(
+        k.alias("k"), F.coalesce(F.get("cuts", k - 1), F.lit(float("-inf"))).alias("low"), F.coalesce(F.get("cuts", k), F.lit(float("inf"))).alias("high")
+    ))
+    spread = wide.select(*by, "kk", F.explode(ranges).alias("p_"))
+    spread = spread.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("kk", "p_.*"))).alias("p_"))
+    spread = spread.select(*by, F.col("p_.kk").alias("kks"), F.col("p_.k").alias("ks"), F.col("p_.low").alias("lows"), F.col("p_.high").alias("highs"))
+    now = as_rows(added(spread, started(by)).filter("mass > 0")).withColumn("mean_ll", F.lit(float("-inf"))).withColumn("done", F.lit(False))
+    now = save(now, "0")
     trace: list[float] = []
     for n in range(1, rounds + 1):
         live = now.filter("not done")
-        forms = live.select(*by, "kk", quadratic_forms("parts").alias("parts"))
-        seen = rows.join(forms, by).withColumn("l_", F.transform("parts", value_of)).withColumn("top_", F.array_max("l_"))
-        seen = seen.withColumn("ll_", F.col("top_") + F.ln(F.aggregate("l_", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top_")))))
-        shares = F.transform("parts", lambda c, i: F.struct(c["k"].alias("k"), F.exp(F.element_at("l_", i + 1) - F.col("ll_")).alias("r")))
-        spread = seen.select(*by, "kk", *FEATURES, "ll_", F.explode(shares).alias("s_")).select("*", "s_.k", F.col("s_.r").alias("r_"))
-        new = spread.groupBy(*by, "kk", "k").agg(F.sum("r_").alias("mass"), F.sum(F.col("ll_") * F.col("r_")).alias("sum_"), *moments(F.greatest("r_", F.lit(1e-12))))
-        parts = F.sort_array(F.collect_list(F.struct("k", *names[1:])))  # at most kk of them
-        stepped = new.groupBy(*by, "kk").agg(parts.alias("parts"), F.sum("mass").alias("size_"), F.sum("sum_").alias("sum_all"))
-        weighed = F.transform("parts", lambda c: F.struct(c["k"].alias("k"), F.greatest(c["mass"] / F.col("size_"), F.lit(1e-9)).alias("weight"), *(c[x].alias(x) for x in names[1:])))
-        stepped = stepped.select(*by, "kk", (F.col("sum_all") / F.col("size_")).alias("mean_ll"), weighed.alias("parts"))
-        stepped = stepped.join(live.select(*by, "kk", F.col("mean_ll").alias("before_")), [*by, "kk"])
+        flat = F.transform("parts", lambda c: F.struct(F.col("kk").alias("kk"), c["k"].alias("k"), F.array(*(c[x] for x in ("weight", *names[2:]))).alias("form")))
+        forms = live.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list(flat))).alias("p_"))  # at most ks of them, of kk each
+        forms = forms.select(*by, F.col("p_.kk").alias("kks"), F.col("p_.k").alias("ks"), F.flatten("p_.form").alias("forms"))
+        stepped = as_rows(added(forms, expected(by))).join(live.select(*by, "kk", F.col("mean_ll").alias("before_")), [*by, "kk"])
         stepped = stepped.withColumn("done", F.abs(F.col("mean_ll") - F.col("before_")) < tolerance).drop("before_")
         now = save(now.filter("done").unionByName(stepped), str(n))
         mass = F.aggregate("parts", F.lit(0.0), lambda total, c: total + c["mass"])

@@ -1,5 +1,6 @@
 """Properties of the session operators on small tables."""
 
+import glob
 import datetime as dt
 
 import numpy as np
@@ -149,6 +150,20 @@ def test_mixtures_iterate_until_they_converge(spark, tmp_path):
     assert 8 < len(trace) < 300 and abs(trace[-1] - trace[-2]) < 1e-3
 
 
+def test_equal_sessions_are_one_row_of_a_mixture(spark, tmp_path):
+    """Ten copies of each session: packs hold the sessions once, and the mixture is that of single ones."""
+    s = order_sessions(spark, SF).filter("location_type = 'work'").select("location_type", "hour", "duration", "energy")
+    copies = s.crossJoin(spark.range(10).select(F.col("id").alias("copy"))).drop("copy")
+    found = []
+    for name, df in (("one", s), ("ten", copies)):
+        params, trace = G.gaussian_mixtures(df, ["location_type"], 2, f"file://{tmp_path}/{name}", rounds=3)
+        bytes_ = spark.read.parquet(*glob.glob(f"{tmp_path}/{name}/*/packs")).agg(F.sum(F.length("pack"))).first()[0]
+        assert bytes_ == 32 * s.distinct().count()
+        found.append((trace, [tuple(r)[3:] for r in params.drop("mass").orderBy("k").collect()]))
+    assert found[0][0] == pytest.approx(found[1][0], abs=1e-9)
+    assert [x for r in found[0][1] for x in r] == pytest.approx([x for r in found[1][1] for x in r], abs=1e-6)
+
+
 def test_component_counts_up_to_ten_or_a_fifth_of_the_rows(spark, tmp_path):
     s = order_sessions(spark, SF)
     few = s.orderBy("session_id").limit(24)
