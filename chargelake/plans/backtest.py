@@ -67,12 +67,15 @@ def pool_draws(df: DataFrame, pools: DataFrame, cells: DataFrame, n_scenarios: i
     held = pools.select(*CELL, "pool_date").join(per_day, ["dataset", "pool_date"]).groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("pool_date", "n_"))).alias("days_"))
     held = held.withColumn("ends_", F.expr("transform(days_, (d, i) -> aggregate(slice(days_, 1, i + 1), 0L, (a, x) -> a + x.n_))"))
     each = cells.join(held, CELL).filter("n > 0").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
-    each = each.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    each = each.withColumn("at_", F.floor(uniform(F.lit(seed), *CELL, "scenario", "draw") * F.element_at("ends_", -1)))
+    # the key's text begins alike for all draws of a scenario; a thousand of these are a row, dealt over all tasks
+    each = each.withColumns({"key_": F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in [*CELL, "scenario"])), "n": F.col("n").cast("int")})
+    each = each.withColumn("from_", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(1000)))).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "key_", "from_")
+    each = each.withColumn("draw", F.explode(F.sequence("from_", F.least("n", F.col("from_") + 999)))).drop("from_")
+    each = each.withColumn("at_", F.floor(uniform("key_", "draw") * F.element_at("ends_", -1)))
     each = each.withColumn("day_", F.expr("size(filter(ends_, e -> e <= at_))"))
     each = each.withColumns({"date": F.expr("days_[day_].pool_date"), "at_": F.expr("cast(at_ - if(day_ = 0, 0, ends_[greatest(day_ - 1, 0)]) as int)")})
-    rows = numbered(df, ["dataset", "date"], id_, split=False)
-    return each.drop("days_", "ends_", "day_", "n").join(rows, ["dataset", "date", "at_"]).drop("at_", "date")
+    rows = numbered(df, ["dataset", "date"], id_, split=False).hint("shuffle_hash")  # draws are many times the sessions, and needn't be sorted
+    return each.drop("days_", "ends_", "day_", "n", "key_").join(rows, ["dataset", "date", "at_"]).drop("at_", "date")
 
 
 def rolling_origin(

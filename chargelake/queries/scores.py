@@ -13,6 +13,7 @@ from ..operators import smart as C
 from ..operators.forecast import with_holidays
 from ..operators.gaussian import PAIRS
 from ..plans import backtest as B
+from ..sources.readers import written
 from .adapters import EV, ORD, SLOTS, TARIFF, event_sessions, order_sessions, price_signal, with_
 from .aggregates import NAT, OVERLAP, national, rounded
 from .charging import _scheduled
@@ -142,16 +143,24 @@ CRPS = """, tt AS (SELECT origin, h, x, scenario, sum(energy) AS total FROM bs G
   SELECT 'events' AS dataset, origin, h, x, round(avg(abs(total - truth)) - sum((2 * i - m - 1) * total) / (any_value(m) * any_value(m)), 6) AS crps, count(*) AS members FROM rr GROUP BY ALL"""
 
 
+def scored_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, pools and the cells that can be scored, numbered (``cell_``); the latter two written, a row for each cell and date."""
+    s, pools, status = grid_of(spark, sf_dir)
+    return s, written(pools), written(status.filter("status = 'ok'").withColumn("cell_", F.monotonically_increasing_id()))
+
+
 def drawn(s: DataFrame, pools: DataFrame, ok: DataFrame, n_scenarios: int) -> DataFrame:
-    return B.pool_draws(s, pools, ok.select(*B.CELL, F.col("n_target").alias("n")), n_scenarios)
+    """Draws with the number of their cell only: few bytes a draw."""
+    return B.pool_draws(s, pools, ok.select(*B.CELL, "cell_", F.col("n_target").alias("n")), n_scenarios).drop(*B.CELL)
 
 
 @query(with_(EV, GRID) + BOOT + CRPS)
 def persistence_energy_crps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, pools, status = grid_of(spark, sf_dir)
-    ok = status.filter("status = 'ok'")
-    truth = ok.join(s.select("dataset", F.col("date").alias("target"), "energy"), ["dataset", "target"]).groupBy(*B.CELL).agg(F.sum("energy").alias("truth"))
-    return rounded(B.energy_crps(truth, drawn(s, pools, ok, SCENARIOS), B.CELL), "crps", places=6)
+    s, pools, ok = scored_cells(spark, sf_dir)
+    daily = s.groupBy("dataset", F.col("date").alias("target")).agg(F.sum("energy").alias("truth"))
+    truth = ok.join(daily, ["dataset", "target"]).select(*B.CELL, "cell_", "truth")
+    scores = B.energy_crps(truth.select("cell_", "truth"), drawn(s.select("session_id", "dataset", "date", "energy"), pools, ok, SCENARIOS), ["cell_"])
+    return rounded(scores.join(truth.select(*B.CELL, "cell_"), "cell_").drop("cell_"), "crps", places=6)
 
 
 ARMS = """, rs AS (SELECT department, CAST(date_trunc('month', date) AS DATE) AS cell, location_type AS method, avg(energy) AS score FROM ord GROUP BY ALL)"""
@@ -307,7 +316,9 @@ SCHEDULED = """, sb AS (SELECT concat_ws('/', 'events', origin, h, x, scenario,
 @query(with_(EV, GRID) + BOOT.replace(f"range({SCENARIOS})", "range(3)") + ", " + SLOTS + SCHEDULED + _scheduled("sb") + " SELECT 'events' AS dataset, origin, h, x, round(sum(cost_smart), 3) AS cost_smart, round(sum(cost_plug), 3) AS cost_plug FROM res GROUP BY ALL")
 def scheduled_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of the persistence arm's sessions of each backtest cell, over three scenarios, under the price signal."""
-    s, pools, status = grid_of(spark, sf_dir)
-    sim = drawn(s, pools, status.filter("status = 'ok'"), 3).withColumn("session_id", F.concat_ws("/", *B.CELL, "scenario", "draw"))
-    costs = C.smart_charge(sim, price_signal(s)).groupBy(*B.CELL).agg(F.sum("cost_smart").alias("cost_smart"), F.sum("cost_plug").alias("cost_plug"))
-    return rounded(costs, "cost_smart", "cost_plug", places=3)
+    s, pools, ok = scored_cells(spark, sf_dir)
+    # a draw is a copy of its session, which is scheduled once, however often it is drawn
+    costs = C.smart_charge(s.select("session_id", "dataset", "date", "arrival_time", "duration", "energy", "power_kw"), price_signal(s))
+    sim = drawn(costs.select("session_id", "dataset", "date", "cost_smart", "cost_plug"), pools, ok, 3)
+    totals = sim.groupBy("cell_").agg(F.sum("cost_smart").alias("cost_smart"), F.sum("cost_plug").alias("cost_plug"))
+    return rounded(totals.join(ok.select(*B.CELL, "cell_"), "cell_").drop("cell_"), "cost_smart", "cost_plug", places=3)
