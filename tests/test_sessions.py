@@ -16,6 +16,7 @@ from chargelake.operators import metrics as M
 from chargelake.operators import ranks
 from chargelake.operators import schema as S
 from chargelake.operators import smart as C
+from chargelake.queries import scores
 from chargelake.plans import backtest as B
 from chargelake.queries.adapters import event_sessions, order_sessions, price_signal, raw_events
 from chargelake.sources import readers
@@ -150,6 +151,17 @@ def test_mixtures_iterate_until_they_converge(spark, tmp_path):
     assert 8 < len(trace) < 300 and abs(trace[-1] - trace[-2]) < 1e-3
 
 
+def test_drawn_sessions_are_scheduled_once(spark, monkeypatch):
+    """However often the backtest draws a session; and draws, many times the sessions, are joined without being sorted."""
+    seen, smart_charge = [], scores.C.smart_charge
+    monkeypatch.setattr(scores.C, "smart_charge", lambda df, *a, **k: seen.append(df.count()) or smart_charge(df, *a, **k))
+    scores.scheduled_backtest(spark, SF)
+    assert seen == [scores.event_sessions(spark, SF).count()]
+    s, pools, ok = scores.scored_cells(spark, SF)
+    plan = scores.drawn(s.select("session_id", "dataset", "date", "energy"), pools, ok, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+
+
 def test_equal_sessions_are_one_row_of_a_mixture(spark, tmp_path):
     """Ten copies of each session: packs hold the sessions once, and the mixture is that of single ones."""
     s = order_sessions(spark, SF).filter("location_type = 'work'").select("location_type", "hour", "duration", "energy")
