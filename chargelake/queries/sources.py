@@ -71,6 +71,8 @@ def scan_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
             source.groupBy(F.pmod(F.xxhash64("session_id"), files).alias("part")).agg(records.alias("value")).write.partitionBy("part").text(path)
         else:
             export(source, path)
+        if name in ("json", "jsonl"):
+            options = {"schema": source.schema}
         s = load_sessions(spark, path, **options)
         one = s.agg(F.lit(name).alias("format"), F.count("*").alias("n_sessions"), F.round(F.sum("energy"), 2).alias("energy"), F.round(F.sum("duration"), 2).alias("duration"))
         out = one if out is None else out.unionByName(one)

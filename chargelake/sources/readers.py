@@ -64,15 +64,19 @@ def separator(spark: SparkSession, path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table by its extension: csv, tsv, json (one array of records), jsonl, parquet."""
+    """A table by its extension: csv, tsv, json (one array of records), jsonl, parquet.
+
+    ``schema``: of JSON, which is then read once; without it Spark reads all of it before, to infer one.
+    """
+    schema = options.pop("schema", None)
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv"):
         sep = options.pop("sep", None) or separator(spark, path)
         return spark.read.options(header=True, sep=sep, **options).csv(path)
     if kind == "json":
-        return spark.read.options(multiLine=True, **options).json(path)
+        return spark.read.options(multiLine=True, **options).json(path, schema)
     if kind in ("jsonl", "ndjson"):
-        return spark.read.options(**options).json(path)
+        return spark.read.options(**options).json(path, schema)
     if kind in ("parquet", "pq"):
         return spark.read.options(**options).parquet(path)
     raise ValueError(f"no reader for .{kind}")

@@ -151,6 +151,13 @@ def test_mixtures_iterate_until_they_converge(spark, tmp_path):
     assert 8 < len(trace) < 300 and abs(trace[-1] - trace[-2]) < 1e-3
 
 
+def test_json_with_a_schema_is_read_once(spark, tmp_path):
+    raw = spark.range(20).selectExpr("id as session_id", "id / 2D as energy")
+    readers.export(raw, f"file://{tmp_path}/a.jsonl")
+    read = readers.read_table(spark, f"file://{tmp_path}/a.jsonl", schema="session_id long, energy double, note string")
+    assert read.columns == ["session_id", "energy", "note"] and read.agg(F.sum("energy")).first()[0] == 95.0
+
+
 def test_drawn_sessions_are_scheduled_once(spark, monkeypatch):
     """However often the backtest draws a session; and draws, many times the sessions, are joined without being sorted."""
     seen, smart_charge = [], scores.C.smart_charge
