@@ -5,7 +5,8 @@ from itertools import combinations
 
 import numpy as np
 
-from chargelake.llm.prob_minhash import Shingler, components, drop_near_duplicates, near_duplicates, prob_minhash, signatures, similarity
+from chargelake.llm.buckets import compared_blocks
+from chargelake.llm.prob_minhash import Shingler, components, drop_near_duplicates, joined_labels, links_between, near_duplicates, prob_minhash, signatures, similarity
 from chargelake.llm.util import Scratch
 
 
@@ -77,6 +78,36 @@ def test_components(spark):
     assert got == {x: m for x, m in label.items() if x in got} and all(x in got for a, b in edges if a != b for x in (a, b))
 
 
+def test_links_added_to_classes(spark):
+    """Labels after each share of the links are those of all links at once; nodes without a class yet are added."""
+    rnd = random.Random(7)
+    edges = [(f"{rnd.randrange(300):03}".encode(), f"{rnd.randrange(300):03}".encode()) for _ in range(240)]
+    frame = lambda some: spark.createDataFrame(some, "a binary, b binary")
+    scratch = Scratch(spark)
+    rows = lambda t: {bytes(r["node"]): bytes(r["label"]) for r in t.collect()}
+    labels = scratch.save(components(frame(edges[:80]), scratch), "labels")
+    for lo in (80, 160):
+        labels = scratch.save(joined_labels(labels, frame(edges[lo : lo + 80]), scratch), "labels")
+        assert rows(labels) == rows(components(frame(edges[: lo + 80]), scratch))
+    assert rows(joined_labels(labels, frame(edges).limit(0), scratch)) == rows(labels)
+
+
+def test_links_of_blocks_grow_with_the_group(spark):
+    """A large bucket of which all sets are alike: its links grow as it does, not as its pairs, and join all of it."""
+    made = {}
+    for n in (100, 200):
+        sets = [(bytes([i // 256, i % 256]), [*range(60), 100 + i], [1.0] * 61) for i in range(n)]
+        sets = spark.createDataFrame(sets, "node binary, shingles array<long>, weights array<float>")
+        scratch = Scratch(spark)
+        members = scratch.save(sets.selectExpr("1L as key", "node", "61 as n", "node as label"))
+        labels = members.select("node", "label")
+        joined = lambda found: joined_labels(labels, found, scratch)  # noqa: B023, E731
+        found = compared_blocks(members, sets, ["shingles", "weights"], lambda x, y: links_between(x, y, 0.8), joined, 10, 1 << 17, scratch)
+        made[n] = found.count()
+        assert joined(found).select("label").distinct().count() == 1
+    assert made[100] <= 100 * 10 and made[200] < 2.5 * made[100]
+
+
 def test_classes_equal_all_pairs(spark, table):
     docs = table("documents", "0.01")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
