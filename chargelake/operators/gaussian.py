@@ -18,6 +18,8 @@ from .schema import from_features, to_features
 FEATURES = ["f_hour", "f_duration", "f_energy"]
 PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 RIDGE = 1e-5
+#: Draws that one row stands for until they are drawn.
+PACK = 1000
 
 
 def moments(w: Column | None = None) -> list[Column]:
@@ -112,10 +114,12 @@ def resolve_context(wanted: DataFrame, params: DataFrame, by: list[str]) -> Data
 def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed: int = 0, carried: tuple[str, ...] = ()) -> DataFrame:
     """``n`` sessions for each row of ``draws``: Cholesky factor times reproducible normals, back from log features.
 
-    The normals depend on all columns of ``draws`` but ``carried`` and n.
+    The normals depend on all columns of ``draws`` but ``carried`` and n.  A row of many draws is dealt to all tasks in packs of PACK; none of 0 is drawn.
     """
-    p = params.drop("n")
-    each = draws.join(p, by).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    p, n = params.drop("n"), F.col("n").cast("int")
+    packs = draws.join(p, by).filter(n > 0).withColumn("pack_", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PACK).cast("int"))))
+    packs = packs.repartition(4 * draws.sparkSession.sparkContext.defaultParallelism)
+    each = packs.withColumn("draw", F.explode(F.sequence(F.col("pack_") * PACK + 1, F.least(n, (F.col("pack_") + 1) * PACK)))).drop("pack_")
     l00 = F.sqrt("c00")
     l10, l20 = F.col("c01") / l00, F.col("c02") / l00
     l11 = F.sqrt(F.greatest(F.col("c11") - l10 * l10, F.lit(1e-12)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gaussian as G
 from ..operators.schema import to_features
-from ..sources.readers import shared_folder
+from ..sources.readers import shared_folder, written
 from .adapters import EV, ORD, event_sessions, order_sessions, with_
 from .aggregates import rounded
 from .registry import query
@@ -121,7 +121,7 @@ def _gaussian_draws(cells: str, keys: str, key: str) -> str:
        + " SELECT location_type, season, is_weekend, n, CAST(draw AS INT) AS draw, round(hour, 5) AS hour, round(duration, 5) AS duration, round(energy, 5) AS energy FROM gs")
 def gaussian_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many drawn sessions for each context as it has."""
-    p = params(spark, sf_dir)
+    p = written(params(spark, sf_dir))
     return rounded(G.gaussian_sessions(p, p.select(*BY, "n"), BY, seed=1), "hour", "duration", "energy", places=5)
 
 

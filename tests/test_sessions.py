@@ -141,6 +141,16 @@ def test_gaussian_draws_have_the_models_moments(spark):
         assert r["m"] == pytest.approx(r["m2"], abs=0.1) and r["d"] == pytest.approx(r["m1"], abs=0.1)
 
 
+def test_draws_of_one_context_are_dealt_to_all_tasks(spark):
+    """Every draw once, from several tasks; none of 0."""
+    numbers = {"m0": 12.0, "m1": 1.0, "m2": 2.0, "c00": 1.0, "c01": 0.0, "c02": 0.0, "c11": 0.1, "c12": 0.0, "c22": 0.1}
+    p = spark.createDataFrame([("home", 10_500), ("work", 1), ("heavy", 0)], "location_type string, n long").withColumns({c: F.lit(v) for c, v in numbers.items()})
+    drawn = G.gaussian_sessions(p, p.select("location_type", "n"), ["location_type"]).withColumn("task", F.spark_partition_id())
+    rows = {r["location_type"]: r for r in drawn.groupBy("location_type").agg(F.count("*").alias("c"), F.countDistinct("draw").alias("d"), F.min("draw").alias("lo"), F.max("draw").alias("hi"), F.countDistinct("task").alias("tasks")).collect()}
+    assert tuple(rows["home"])[1:5] == (10_500, 10_500, 1, 10_500) and tuple(rows["work"])[1:5] == (1, 1, 1, 1) and "heavy" not in rows
+    assert rows["home"]["tasks"] > 4
+
+
 def test_mixture_likelihood_rises(spark, tmp_path):
     _, trace = G.gaussian_mixtures(order_sessions(spark, SF), ["location_type"], 2, f"file://{tmp_path}", rounds=4)
     assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
