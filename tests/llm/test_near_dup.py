@@ -170,3 +170,33 @@ def test_texts_alike_as_sets_meet(spark, docs_of):
     assert all(keys[2 * n] & keys[2 * n + 1] for n in range(20)) and len(keys[1]) > len(keys[0]) == 32
     got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in near_duplicates(docs_of(rows)).collect())
     assert got == want_of(rows) and len({c for _, c in got}) == 20
+
+
+def test_blocks_join_members_once(spark):
+    """Rows of a large bucket are read for their order and for the pairs of blocks, not again for each comparison."""
+    n, read = 60, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    sets = [(bytes([i]), [*range(60), 100 + i], [1.0] * 61) for i in range(n)]
+    sets = spark.createDataFrame(sets, "node binary, shingles array<long>, weights array<float>")
+    scratch = Scratch(spark)
+    members = scratch.save(sets.selectExpr("1L as key", "node", "61 as n", "node as label"))
+    labels = members.select("node", "label")
+    seen = members.mapInArrow(counted, members.schema)
+    found = compared_blocks(seen, sets, ["shingles", "weights"], lambda x, y: links_between(x, y, 0.8), lambda f: joined_labels(labels, f, scratch), 10, 1 << 17, scratch)
+    assert joined_labels(labels, found, scratch).select("label").distinct().count() == 1
+    # a sort by ranges reads its rows once more, for their quantiles
+    assert read.value <= 3 * n
+
+
+def test_stars_need_no_step(spark):
+    scratch = Scratch(spark)
+    edges = spark.createDataFrame([(i, i % 3) for i in range(3, 30)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components(edges, scratch).collect()}
+    assert got == {i: i % 3 for i in range(30)}
+    assert len(scratch.folders["edges"]) == 1
+    assert components(edges.limit(0), scratch).count() == 0
