@@ -111,14 +111,17 @@ def resolve_context(wanted: DataFrame, params: DataFrame, by: list[str]) -> Data
     return out.select(*wanted.columns, "level", *(F.col(f"c_.{b}").alias(f"ctx_{b}") for b in by))
 
 
-def gaussian_sessions(params: DataFrame, draws: DataFrame, by: list[str], seed: int = 0, carried: tuple[str, ...] = ()) -> DataFrame:
+def gaussian_sessions(
+    params: DataFrame, draws: DataFrame, by: list[str], seed: int = 0, carried: tuple[str, ...] = (), dealt: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``n`` sessions for each row of ``draws``: Cholesky factor times reproducible normals, back from log features.
 
-    The normals depend on all columns of ``draws`` but ``carried`` and n.  A row of many draws is dealt to all tasks in packs of PACK; none of 0 is drawn.
+    The normals depend on all columns of ``draws`` but ``carried`` and n.  A row of many draws is dealt to all tasks in packs of PACK,
+    or as ``dealt`` says; draws stay where their pack is.  None of 0 is drawn.
     """
     p, n = params.drop("n"), F.col("n").cast("int")
     packs = draws.join(p, by).filter(n > 0).withColumn("pack_", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PACK).cast("int"))))
-    packs = packs.repartition(4 * draws.sparkSession.sparkContext.defaultParallelism)
+    packs = dealt(packs) if dealt else packs.repartition(4 * draws.sparkSession.sparkContext.defaultParallelism)
     each = packs.withColumn("draw", F.explode(F.sequence(F.col("pack_") * PACK + 1, F.least(n, (F.col("pack_") + 1) * PACK)))).drop("pack_")
     l00 = F.sqrt("c00")
     l10, l20 = F.col("c01") / l00, F.col("c02") / l00

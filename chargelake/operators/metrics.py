@@ -108,15 +108,24 @@ def kl_divergence(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1
 def small_groups_compared(long: DataFrame, by: list[str], bins: int = 50, eps: float = 1e-9) -> DataFrame:
     """``by, n, m, ks, ks_p, wasserstein, kl`` of many groups that are small: both distances and the histograms from one shuffle.
 
-    Rows are dealt by group once; counts of values, running sums and bins all stay in their task.  Bins without a value aren't
-    rows: their part of the divergence is the same for each, so it is multiplied.
+    Rows are dealt by group once; counts of values, running sums and bins all stay in their task.
     """
     values = long.repartition(*by).groupBy(*by, "value_").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    return counts_compared(values, by, bins, eps)
+
+
+def counts_compared(values: DataFrame, by: list[str], bins: int = 50, eps: float = 1e-9) -> DataFrame:
+    """``small_groups_compared`` of counts: ``by, value_, a, b``, of each side so many; a value may have several rows.
+
+    Rows that are dealt by some of ``by`` already stay where they are.  Bins without a value aren't rows: their part of the divergence
+    is the same for each, so it is multiplied.
+    """
     every, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value_")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)  # with all rows of the value
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the same pass
     steps = values.withColumns(
         {
-            "n": F.sum("a").over(every), "m": F.sum("b").over(every), "lo": F.min("value_").over(every), "hi": F.max("value_").over(every),
+            "n": F.sum("a").over(whole), "m": F.sum("b").over(whole), "lo": F.min("value_").over(whole), "hi": F.max("value_").over(whole),
             "a_upto": F.sum("a").over(upto), "b_upto": F.sum("b").over(upto), "next_": F.lead("value_").over(order),
         }
     ).filter("n > 0 and m > 0")

@@ -121,6 +121,60 @@ def test_backtest_scores_all_arms(spark):
     assert got == {(m, f) for m in ("persistence", "gmm", "gmm_recency") for f in ("hour", "duration", "energy")}
 
 
+def rows_shuffled(df):
+    """By the last run of ``df``, in all exchanges of its plan."""
+    seen = {}
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            seen[node.id()] = node.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.collectToPython()
+    walk(plan)
+    return sum(seen.values())
+
+
+def test_backtest_shuffles_fewer_rows_than_it_draws(spark):
+    """Few different values, many sessions: only the persistence arm's draws are dealt, once; the others and what is compared stay in their task."""
+    rows = spark.range(42 * 1000).selectExpr("id as session_id", "'d' as dataset", "date_add(date'2024-01-01', cast(id div 1000 as int)) as date", "id % 20 + 1D as hour", "id % 7 + 1D as duration", "id % 11 + 2D as energy")
+    for arms, dealt in ((("gmm", "gmm_recency"), 0), (("persistence", "gmm", "gmm_recency"), 1)):
+        out = B.rolling_origin(rows, [2], [1], 6, 1, n_scenarios=5, arms=arms)
+        drawn = 6 * 5 * 1000
+        assert 0 <= rows_shuffled(out) - dealt * (rows.count() + drawn) < 0.3 * drawn  # sessions are numbered
+        assert out.filter("n <> 1000 or m <> 1000 or status <> 'ok'").count() == 0 and out.count() == 6 * 5 * 3 * len(arms)
+
+
+def test_draws_lie_in_blocks_of_a_day(spark, monkeypatch):
+    """The same sessions are drawn whatever the size of a block, from days that are many blocks and days that are one."""
+    df = daily(spark, 42, lambda d: 12 + 40 * (d % 2))
+    grid = B.backtest_grid(df, [1, 3], [1, 2], 6)
+    pools = B.backtest_pools(df, grid)
+    cells = B.backtest_status(df, grid, pools).filter("status = 'ok'").select(*B.CELL, F.col("n_target").alias("n"))
+    found = []
+    for digits in (16, 3):
+        monkeypatch.setattr(B, "BLOCK", digits)
+        draws = B.pool_draws(df, pools, cells, 2)
+        found.append((draws.select("block_").distinct().count(), sorted(map(tuple, draws.select(*B.CELL[1:], "scenario", "draw", "session_id").collect()))))
+    assert found[0][1] == found[1][1] and len(found[0][1]) == 2 * cells.agg(F.sum("n")).first()[0] and found[1][0] > 3 * found[0][0]
+
+
+def test_counts_of_a_value_may_be_several_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v), int(s)) for k in ("a", "b") for v, s in zip(rng.integers(0, 9, 400), rng.integers(0, 2, 400))]
+    long = spark.createDataFrame(rows, "k string, value_ double, side int")
+    split = long.selectExpr("k", "value_", "1L - side as a", "cast(side as long) as b")
+    one, other = (out.orderBy("k").select("k", "n", "m", "ks", "ks_p", "wasserstein", "kl").collect() for out in (M.small_groups_compared(long, ["k"]), M.counts_compared(split, ["k"])))
+    assert [list(r)[1:] for r in one] == [pytest.approx(list(r)[1:], abs=1e-12) for r in other]
+
+
 def test_bootstrap_and_draws(spark):
     pool = daily(spark, 14)
     draws = spark.createDataFrame([("d", 500)], "dataset string, n long")
