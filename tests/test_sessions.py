@@ -145,7 +145,7 @@ def rows_shuffled(df):
 def test_backtest_shuffles_fewer_rows_than_it_draws(spark):
     """Few different values, many sessions: only the persistence arm's draws are dealt, once; the others and what is compared stay in their task."""
     rows = spark.range(42 * 1000).selectExpr("id as session_id", "'d' as dataset", "date_add(date'2024-01-01', cast(id div 1000 as int)) as date", "id % 20 + 1D as hour", "id % 7 + 1D as duration", "id % 11 + 2D as energy")
-    for arms, dealt in ((("gmm", "gmm_recency"), 0), (("persistence", "gmm", "gmm_recency"), 1)):
+    for arms, dealt in ((("gmm", "gmm_recency"), 0), (("persistence",), 1), (("persistence", "gmm", "gmm_recency"), 1)):
         out = B.rolling_origin(rows, [2], [1], 6, 1, n_scenarios=5, arms=arms)
         drawn = 6 * 5 * 1000
         assert 0 <= rows_shuffled(out) - dealt * (rows.count() + drawn) < 0.3 * drawn  # sessions are numbered
